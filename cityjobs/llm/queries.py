@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, sharding
+from . import exact_dedup, jaccard, lattice, mixing, packing, quality, sharding
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,26 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def public_file(name: str) -> str:
+    """A public tokenizer's file on this machine; every executor has the same."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,6 +69,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_external_shuffle": op3_external_shuffle,
+        "op4_lattice_score": op4_lattice_score,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_source_mix": op8_source_mix,
         "op10_quality_rules": op10_quality_rules,
     }
