@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, lattice, mixing, packing, quality, sharding
+from . import exact_dedup, id_files, jaccard, lattice, mixing, packing, quality, sharding, style_tree, warc
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are written in the shared folder and read back; all columns come from what was read."""
+    archive = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.read_warc(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole records go through the shuffle and the written shards; the digests are taken from those."""
     shards = sharding.write_shards(table(spark, sf_dir, "documents"))
@@ -56,6 +62,16 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id files are written in the shared folder and read back; all columns come from what was read."""
+    folder = id_files.write_ids(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json"))
+    return id_files.read_ids(spark, folder)
+
+
+def op9_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -68,11 +84,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_warc_writer": op2_warc_writer,
         "op3_external_shuffle": op3_external_shuffle,
         "op4_lattice_score": op4_lattice_score,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_jaccard_join": op6_jaccard_join,
+        "op7_id_files": op7_id_files,
         "op8_source_mix": op8_source_mix,
+        "op9_style_tree": op9_style_tree,
         "op10_quality_rules": op10_quality_rules,
     }
 

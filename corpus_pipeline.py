@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cityjobs.llm import exact_dedup, quality
+from cityjobs.llm import exact_dedup, jaccard, mixing, packing, quality
 from cityjobs.llm.common import drop_ids, materialize
+from cityjobs.llm.queries import public_file
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,30 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_ids(docs, materialize(out.filter("NOT kept").select("doc_id"), "copies"))
 
 
-STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of documents linked at 0.75 or more the smallest doc_id stays."""
+    out = jaccard.jaccard_components(docs)
+    return drop_ids(docs, materialize(out.filter("doc_id <> component_id").select("doc_id"), "near-copies"))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: nine tenths of the tokens, shared out by the target weights; no document twice, none without an id."""
+    chosen = materialize(mixing.mix(docs, budget=0.9, max_epochs=1).select("doc_id"), "chosen")
+    return docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the pieces of all documents in windows of 2048 tokens."""
+    return packing.pack_documents(docs, public_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("mixing sources to target weights", mix_stage),
+    ("packing", pack_stage),
+]
 
 #: Packing by a tokenizer cannot be expressed in SQL.
 ORACLE_SQL = None
