@@ -1,0 +1,321 @@
+"""Training-data operators against brute force, exact round trips and SQL on small inputs."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cityjobs.llm import exact_dedup, id_coder, id_files, jaccard, lattice, mixing, packing, quality, queries, sharding, style_tree, tokens, warc
+from cityjobs.llm.dom import blocks
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, kept string, id string, h string"
+LONG = "Wörter und words. " * 4000
+TEXTS = [None, "", " \n\t", "a", "a", "a b c d e", "A B C D E", LONG, LONG + "x", "x\x0by z  w", "<|endoftext|> it's 1,234.50!\n\n\nNew line", "日本語の文章です。" * 300]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else f"src{i}", None, "s", "k", "i", "h") for i, t in enumerate(TEXTS)]
+    rows += [(3, "a", "en", "src3", 1, None, None, None, None), (None, "a b c d e", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def pairs(docs):
+    return [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def test_exact_dedup(docs, none):
+    groups = {}
+    for i, t in pairs(docs):
+        groups.setdefault(t, []).append(i)
+    want = Counter()
+    for t, ids in groups.items():
+        top = max((i for i in ids if i is not None), default=None)
+        for i in ids:
+            want[i, top, len(ids), i == top, hashlib.sha256(t.encode()).hexdigest()] += 1
+    for ident in (F.xxhash64, lambda c: F.pmod(F.length(c), F.lit(2)).cast("long")):
+        got = exact_dedup.exact_dedup(docs.filter("doc_id IS NOT NULL OR text IS NULL").dropDuplicates(["doc_id"]) if ident is not F.xxhash64 else docs, identifier=ident).collect()
+        if ident is F.xxhash64:
+            assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
+        else:
+            by = {r.doc_id: r for r in got}
+            assert by[7].keep_id == 7 and by[8].keep_id == 8 and by[3].keep_id == by[4].keep_id == 4
+    assert exact_dedup.exact_dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [200, 1 << 20])
+def test_external_shuffle(docs, none, bucket):
+    wide = docs.drop("shard")
+    out = sharding.write_shards(wide, n_shards=4, bucket_bytes=bucket).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in docs.collect())
+    by = {}
+    for r in out:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    sizes = [len(by.get(k, [])) for k in range(4)]
+    assert max(sizes) - min(sizes) <= 1
+    again = sharding.external_shuffle(wide.repartition(3), n_shards=4, bucket_bytes=bucket).collect()
+    at = lambda rows: sorted((r.shard, r.slot, str(r.doc_id), r.text or "") for r in rows)
+    assert at(again) == at(out)
+    assert sharding.external_shuffle(none.drop("shard")).count() == 0
+
+
+def test_lattice_forward_equals_all_segmentations():
+    pieces = [bytes([x]) for x in lattice.BYTES] + [b" a", b"ab", b"abc", b"bc", b" ab"]
+    probs = lattice.smoothed(np.arange(1, len(pieces) + 1, dtype=float))
+    score = dict(zip(pieces, probs, strict=True))
+
+    def total(w):
+        return 1.0 if not w else sum(score[w[:k]] * total(w[k:]) for k in range(1, len(w) + 1) if w[:k] in score)
+
+    words = [b"abc", b"aabcab", b"x", b"abcabc", b"bcbc"]
+    got = lattice.Lattice(pieces, probs).scores(words)
+    assert np.allclose(got, [math.log(total(b" " + w)) for w in words])
+    one = lattice.Lattice(pieces, probs).expect([b"abc"], np.array([2.0]))
+    lengths = np.array([len(p) for p in pieces])
+    assert math.isclose((one * lengths).sum(), 2.0 * 4)
+
+
+def test_lattice_scores(docs, none):
+    path = queries.public_file("piece_bpe_32k.model")
+    rows = pairs(docs)
+    out = lattice.lattice_scores(docs, path).collect()
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 1
+    words = lambda t: t.encode().lower().split()
+    counts, ends = Counter(), 0
+    for i, t in rows:
+        if not held(i):
+            counts.update(words(t))
+            ends += 1
+    n, v = sum(counts.values()) + ends, len(counts) + 1
+    counts[None] = ends
+    want = Counter()
+    for i, t in rows:
+        w = words(t) + [None]
+        base = sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        want[i, held(i), len(w), sum(counts[x] > 0 for x in w), n, round(base, 5)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in out) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in out)
+    assert lattice.lattice_scores(none, path).count() == 0
+
+
+def test_best_fit_decreasing_takes_the_tightest_window():
+    rng = random.Random(3)
+    for _ in range(50):
+        lengths = np.array([rng.randrange(1, 65) for _ in range(rng.randrange(1, 120))])
+        where, offset = packing.best_fit_decreasing(lengths, 64)
+        room, w2 = [], np.zeros(len(lengths), int)
+        for i in np.argsort(-lengths, kind="stable"):
+            fits = [(c, -k) for k, c in enumerate(room) if c >= lengths[i]]
+            if not fits:
+                room.append(64)
+                fits = [(64, -(len(room) - 1))]
+            c = min(fits)[0]
+            k = next(k for k, x in enumerate(room) if x == c) if c != 64 else len(room) - 1
+            w2[i] = k
+            room[k] -= lengths[i]
+        assert where.max() + 1 == len(room)
+        used = Counter()
+        for w, o, n in sorted(zip(where.tolist(), offset.tolist(), lengths.tolist(), strict=True)):
+            assert o == used[w]
+            used[w] += n
+        assert max(used.values()) <= 64
+
+
+@pytest.mark.parametrize("name,style,end", [("byte_bpe_50k.json", "bytes", 1), ("word_bpe_49k.json", "words", 2)])
+def test_unit_memory_equals_the_tokenizer(name, style, end):
+    enc = tokens.UnitEncoder(queries.public_file(name), style)
+    rng = random.Random(9)
+    alphabet = ["a", "b", "é", "Σ", "'s", "'", " ", "  ", "\n", "\n\n", "\t", " ", " ", "\x1c", ",", ".", "!", "1", "²", "日", "́", "_", "<|endoftext|>", "don't", "ﬁ", "\x85", "\r\n"]
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+
+
+def test_packing(docs, none):
+    path = queries.public_file("byte_bpe_50k.json")
+    out = packing.pack_documents(docs, path, keep_ids=True).collect()
+    enc = tokens.UnitEncoder(path, "bytes").tokenizer
+    want = Counter((i, tuple(enc.encode(t, add_special_tokens=False).ids + [1])) for i, t in pairs(docs))
+    assert sum(len(r.ids) for r in out) == sum(len(k[1]) * n for k, n in want.items())
+    for i in {k[0] for k in want} - {None, 3}:
+        mine = sorted((r.start, r.ids) for r in out if r.doc_id == i)
+        assert [x for _, ids in mine for x in ids] == list(next(k[1] for k in want if k[0] == i))
+    by = {}
+    for r in out:
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.length
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        at = 0
+        for o, n in sorted(spans):
+            assert o == at
+            at += n
+        assert at <= 2048
+    assert packing.pack_documents(none, path).count() == 0
+
+
+def components(rows):
+    sets = {i: set() if not (w := t.encode().lower().split()) else {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize("most", [0, 64])
+def test_jaccard_join(spark, docs, none, most, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", most)
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(10**9)}" for _ in range(50)] for _ in range(2)]
+    rows = []
+    for k in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(50)] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    common = [f"c{i}" for i in range(14)]
+    rows += [(k, " ".join(common + [f"y{rng.randrange(30)}" for _ in range(rng.randrange(0, 6))])) for k in range(120, 200)]
+    rows += [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, " ")]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = components([(i, t or "") for i, t in rows])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    assert jaccard.jaccard_components(docs).count() == docs.count()
+    assert jaccard.jaccard_components(none).count() == 0
+
+
+def test_id_coder_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 2047, 2048, 2049, 4097, 9000):
+        for ids in (rng.integers(0, 49408, n), rng.integers(0, 3, n), np.zeros(n, int), rng.integers(0, 65535, n), (rng.zipf(1.3, n) % 60000)):
+            assert (id_coder.decode(id_coder.encode(ids)) == ids).all()
+    data = bytearray(id_coder.encode(rng.integers(0, 100, 5000)))
+    data[-40] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        id_coder.decode(bytes(data))
+
+
+def test_id_files(spark, docs, none):
+    path = queries.public_file("word_bpe_49k.json")
+    enc = tokens.UnitEncoder(path, "words").tokenizer
+    rows = sorted(((i is not None, i, np.array(enc.encode(t, add_special_tokens=False).ids + [2], "<u2").tobytes()) for i, t in pairs(docs)), key=lambda r: (r[0], r[1] or 0, r[2]))
+    at, want = 0, []
+    for _, i, b in rows:
+        ids = np.frombuffer(b, "<u2").astype("<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    for size in (3000, 1 << 20):
+        out = id_files.read_ids(spark, id_files.write_ids(docs, path, file_bytes=size)).collect()
+        assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == sorted((s, i, n, c) for i, s, n, c in want)
+    assert id_files.read_ids(spark, id_files.write_ids(none, path)).count() == 0
+
+
+def test_warc(spark):
+    rows = [(1, "http://a/x", "<p>a"), (2, None, "<p>a"), (3, "http://b/", None), (4, "http://c/", ""), (5, "u", "é" * 5000), (5, "u", "é" * 5000), (None, "n", "<p>a"), (7, "u v\nw", "\r\n\r\nWARC/1.1\r\n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for roll in (300, 1 << 20):
+        out = warc.read_warc(spark, warc.write_warc(pages, roll_bytes=roll)).collect()
+        best = {}
+        for p, _, h in rows:
+            best[h or ""] = max(best.get(h or "", -1), -1 if p is None else p)
+        want = Counter((p, len((h or "").encode()), warc.sha1_base32((h or "").encode()), "response" if best[h or ""] == p else "revisit", None if best[h or ""] == p else best[h or ""]) for p, _, h in rows)
+        assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == want
+        assert len({r.record_id for r in out}) == len(rows)
+    a, b = (sorted((r.file, r.record_id) for r in warc.read_warc(spark, warc.write_warc(p, roll_bytes=300)).collect()) for p in (pages, pages.repartition(5)))
+    assert a == b
+    assert warc.read_warc(spark, warc.write_warc(pages.limit(0))).count() == 0
+
+
+def test_main_text(spark):
+    page = '<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>One<br><p>two  &nbsp;three<script>x</script><form>f</form></article><div id="comments">no</div><footer>F'
+    assert [b.text for b in blocks(page)[0] if b.in_body and not b.furniture] == ["A & B", "One", "two three"]
+    tpl = "<body><div><p>Same words on every page</p></div><div><p>Own words {}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", tpl.format(i)) for i in range(12)] + [(20, None, None), (21, "http://other.example/", tpl.format(21)), (22, "u", page)]
+    out = {r.page_id: r.text for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[20] == "" and out[22] == "A & B\nOne\ntwo three"
+    assert out[21] == "Same words on every page\nOwn words 21"
+    side = "<body><section class='x'><p>Same words on every page</p></section><div><p>Own words {}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", side.format(i)) for i in range(12)]
+    assert {r.text for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {f"Own words {i}" for i in range(12)}
+    assert style_tree.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_quality_counts(docs, none, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = quality.judge(docs, labels).collect()
+    want = Counter()
+    for i, t in pairs(docs):
+        w = [x.decode() for x in t.encode().split()]
+        c = Counter(zip(w, w[1:], w[2:], strict=False))
+        rep = {p for k in range(len(w) - 2) if c[w[k], w[k + 1], w[k + 2]] > 1 for p in (k, k + 1, k + 2)}
+        lines = [x for x in t.split("\n") if x.encode().split()]
+        failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
+        want[i, len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(rep), failed, not failed] += 1
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in out) == want
+    assert quality.judge(none, labels).count() == 0
+
+
+def test_binomial_bound(spark):
+    p = 0.03
+    cases = [(k, n) for n in (1, 10, 400, 3000) for k in range(0, min(n, 60), 7)]
+    got = spark.createDataFrame(cases, "k long, n long").select("k", "n", quality.binomial_cdf(F.col("k"), F.col("n"), p).alias("c")).collect()
+    for r in got:
+        want = sum(math.exp(math.lgamma(r.n + 1) - math.lgamma(j + 1) - math.lgamma(r.n - j + 1) + j * math.log(p) + (r.n - j) * math.log1p(-p)) for j in range(r.k + 1))
+        assert math.isclose(r.c, want, rel_tol=1e-8)
+
+
+def test_mixing_budgets(spark, docs, none):
+    rows = [(d, "en", f"src{s}", " ".join(["w"] * n)) for d, (s, n) in enumerate([(0, 10), (0, 30), (1, 5), (5, 40), (5, 40), (11, 7)])]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"), budget=1.0, max_epochs=1).collect()
+    assert sum(r.take_tokens for r in out) == 132
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"), budget=0.5, max_epochs=2).collect()
+    assert sum(r.take_tokens for r in out) == 66
+    assert mixing.mix(docs).count() > 0 and mixing.mix(none).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    rel = con.sql(queries.oracle_sql()[name])
+    cols = sorted(df.columns)
+    assert cols == sorted(rel.columns)
+    assert sorted(str([r[c] for c in cols]) for r in df.collect()) == sorted(str([dict(zip(rel.columns, r, strict=True))[c] for c in cols]) for r in rel.fetchall())
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, SF)
+        assert out.columns == docs.columns, name
+        assert 0 < out.count() <= kept.count()
+        kept = spark.createDataFrame(out.collect(), docs.schema)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+    assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+    texts = [r.text for r in kept.collect()]
+    assert len(texts) == len(set(texts))
