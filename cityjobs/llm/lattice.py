@@ -27,7 +27,7 @@ from .common import materialize, ship
 from .shingles import _BASE, _BYTE, HashIndex, U, mix64, slices, word_hashes
 
 #: Words that every task holds (20 bytes each); rarer ones are scored once and joined.
-MAX_HELD_WORDS = 1 << 21
+MAX_HELD_WORDS = 1 << 20
 #: Longest piece in bytes; bounds the work for one byte of a word.
 MAX_PIECE = 16
 #: Share of the subword probability that single bytes have, so that any word has a segmentation.
@@ -296,8 +296,8 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
             break
         least, listed = r["level"], listed + r["count"]
     least = least if least is not None else 1 << 62
-    top = scored.filter(F.col("c") >= least).select("h", "c", "s").toPandas()
-    held = sc.broadcast((HashIndex(top["h"].to_numpy(np.int64).view(U)), top["c"].to_numpy(np.int64), top["s"].to_numpy(float)))
+    top = scored.filter(F.col("c") >= least).select("h", "c", "s").toArrow()
+    held = sc.broadcast((HashIndex(top["h"].to_numpy().view(U)), top["c"].to_numpy(), top["s"].to_numpy()))
     del top
 
     parts = texts.mapInArrow(_document_task(held, n, v), "__id long, n_tokens long, known long, base double, s double, rare array<binary>")
