@@ -32,6 +32,8 @@ MAX_HELD_WORDS = 1 << 20
 MAX_PIECE = 16
 #: Share of the subword probability that single bytes have, so that any word has a segmentation.
 BYTE_SHARE = 1e-4
+#: The bytes of words in lower case.
+BYTES = [x for x in range(256) if not 65 <= x <= 90]
 EM_ROUNDS = 2
 #: Words whose lattices are computed side by side.
 GROUP = 40_000
@@ -42,12 +44,12 @@ def public_pieces(model_path: str) -> tuple[list[bytes], np.ndarray]:
 
     The file orders its pieces by rank, and a piece of rank r gets a probability in
     proportion to 1 / (r + 10). The word-start mark is a leading space. All single bytes
-    are pieces; they come first.
+    that words have are pieces; they come first.
     """
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    raw: dict[bytes, float] = {bytes([x]): 0.0 for x in range(256)}
+    raw: dict[bytes, float] = {bytes([x]): 0.0 for x in BYTES}
     for i in range(p.get_piece_size()):
         if p.is_control(i) or p.is_unknown(i) or p.is_byte(i):
             continue
@@ -60,7 +62,7 @@ def public_pieces(model_path: str) -> tuple[list[bytes], np.ndarray]:
 def smoothed(weights: np.ndarray) -> np.ndarray:
     """Probabilities in proportion to the weights, with the bytes' own share."""
     p = (1 - BYTE_SHARE) * weights / max(weights.sum(), 1e-300)
-    p[:256] += BYTE_SHARE / 256
+    p[: len(BYTES)] += BYTE_SHARE / len(BYTES)
     return p
 
 
@@ -237,8 +239,8 @@ def _document_task(held, n: int, v: int):
                         batch.column(0).slice(i, j - i).cast(pa.int64()),
                         pa.array(np.diff(at) + 1, pa.int64()),
                         pa.array(sums[0].astype(np.int64)),
-                        pa.array(sums[1]),
-                        pa.array(sums[2]),
+                        pa.array(sums[1].astype(float)),
+                        pa.array(sums[2].astype(float)),
                         pa.ListArray.from_arrays(pa.array(lists), texts),
                     ],
                     names=["__id", "n_tokens", "known", "base", "s", "rare"],
