@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cityjobs.sources.shipping import ship_package
+
 GROUNDS = """
 SELECT s_suppkey AS i,
   34580000 + ((s_suppkey - CASE WHEN s_suppkey % 5 = 4 THEN 1 ELSE 0 END) * 102947) % 190000 AS lat_u,
@@ -94,6 +96,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table over the tables in ``sf_dir``."""
+    ship_package(spark)
     sql, base, derived = TABLES[name]
     for t in base:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
