@@ -37,7 +37,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,6 +46,9 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that their Python workers can import it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default; whole texts make such batches too large
+        spark.conf.set(key, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
