@@ -9,8 +9,9 @@ partition of the hash space), and are then verified once on the whole sets.
 
 Equal sets are one class and are joined as one. Matching proceeds in rounds that keep
 groups of copies linear: a shingle's most central class is paired with all others that
-hold it, links found join components, and pairs within a component need no test. What
-remains between different components is paired in full, so no link is lost.
+hold it, links found join components, and pairs within a component need no test. Later
+rounds take eight times the leaders each, and once few pairs are left these are paired in
+full, so no link is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
@@ -34,8 +35,9 @@ MAX_FREQUENT = 1 << 18
 BUCKET_ENTRIES = 1 << 20
 #: Parts of the hash space that the suffix filter counts over.
 PARTS = 32
-#: Rounds of star matching go on while more than this many pairs remain for each posting.
-PAIRS_PER_POSTING = 4
+#: Rounds of star matching go on while more than this many pairs remain for each posting; each takes more leaders.
+PAIRS_PER_POSTING = 64
+LEADERS = 8
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -205,7 +207,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     near = pairs.join(a, "a").join(b, "b").filter(bound >= needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
     near = materialize(near, "near")
-    full = sets.select("id", "grams")
+    ids = materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "near-ids")
+    full = sets.select("id", "grams").join(ids, "id", "left_semi")
     both = near.join(full.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(full.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     both = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("m"))
     return both.filter(F.col("m") * 100 >= (F.col("na") + F.col("nb") - F.col("m")) * percent).select("a", "b")
@@ -219,10 +222,11 @@ def _passes(percent: int) -> Column:
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    both = left.select("gram", F.col("id").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa")).join(
-        right.select("gram", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb")), "gram"
-    )
-    return both.filter(F.col("x") != F.col("y")).filter(_passes(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Distinct pairs of different components that share a shingle and pass the filters on it."""
+    a = left.select("gram", F.col("id").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    b = right.select("gram", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    both = a.join(b, "gram").filter(F.col("ca") != F.col("cb")).filter(_passes(percent))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = 5) -> DataFrame:
@@ -233,7 +237,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     * Null and empty texts have no shingles and are linked with nothing.
     * Rows that repeat an id are joined as the documents they are and share its component.
-    * Rows without an id are counted but not linked; their class and component are null.
+    * Rows without an id link nothing: they take class and component of an equal set that has
+      an id, and have none otherwise.
     * An empty table gives an empty result; other columns are ignored.
     * Ids are integers. A set, a shingle or a group of copies may belong to any share of the
       rows: equal sets are merged before they are matched, frequent shingles are dealt out
@@ -253,10 +258,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if listed + n > MAX_FREQUENT:
             break
         least, listed = e, listed + n
-    rows = times.filter(F.col("times") >= F.lit(float(2**least))).toPandas() if listed else pd.DataFrame({"gram": [], "times": []})
-    grams = rows["gram"].to_numpy(dtype=np.int64).view(U)
+    rows = times.filter(F.col("times") >= F.lit(float(2**least))).toArrow() if listed else pa.table({"gram": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
+    grams, counts = rows["gram"].to_numpy().view(U), rows["times"].to_numpy()
     o = np.argsort(grams)
-    frequent = spark.sparkContext.broadcast((grams[o], rows["times"].to_numpy(dtype=np.int64)[o]))
+    frequent = spark.sparkContext.broadcast((grams[o], counts[o]))
 
     total = own.agg(F.sum(F.col("n"))).first()[0] or 0
     n_buckets = max(16, -(-total * (100 - percent) // 100 // BUCKET_ENTRIES))
@@ -278,17 +283,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = materialize(sets.dropDuplicates(["id"]) if _repeats(member) else sets, "sets")
 
     labels: DataFrame | None = None
-    for _ in range(16):
+    postings = postings.withColumn("comp", F.col("id"))
+    for k in range(6):
         if postings.isEmpty():
             break
-        # the most central class of a shingle has the fewest rare ones before it
-        leaders = materialize(
-            postings.groupBy("gram").agg(F.min(F.struct("pos", "id", "n")).alias("l")).select("gram", F.col("l.id").alias("id"), F.col("l.n").alias("n"), F.col("l.pos").alias("pos")), "leaders"
-        )
+        # the most central classes of a shingle have the fewest rare ones before it; a task hands on few of each
+        place = F.row_number().over(Window.partitionBy("gram").orderBy("pos", "id"))
+        leaders = materialize(postings.withColumn("__place", place).filter(F.col("__place") <= LEADERS**k).drop("__place"), "leaders")
         links = materialize(_verify(_pairs(leaders, postings, percent), sets, percent), "links")
         labels = connected_components(links, labels)
         # the leaders are done; so are shingles whose other holders are all in one component
-        left = postings.join(leaders.select("gram", "id"), ["gram", "id"], "left_anti").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        left = postings.select("gram", "id", "n", "pos").join(leaders.select("gram", "id"), ["gram", "id"], "left_anti").join(labels.withColumnRenamed("node", "id"), "id", "left")
         left = materialize(left.select("gram", "id", "n", "pos", F.coalesce("comp", "id").alias("comp")), "left")
         by = left.groupBy("gram", "comp").count().groupBy("gram").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("same"))
         by = materialize(by.withColumn("pairs", (F.col("m") * F.col("m") - F.col("same")) / 2).filter("pairs > 0"), "open")
@@ -298,10 +303,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         postings = materialize(left.join(by.select("gram"), "gram", "left_semi").select("gram", "id", "n", "pos", "comp"), "postings")
         if sums["p"] <= PAIRS_PER_POSTING * sums["m"]:
             break
-    else:
-        sums = {"m": 1}
-    if not postings.isEmpty() and labels is not None and sums["m"]:
-        links = materialize(_verify(_cross(postings, percent), sets, percent), "links")
+    if not postings.isEmpty() and (labels is None or sums["m"]):
+        links = materialize(_verify(_pairs(postings, postings, percent), sets, percent), "links")
         labels = connected_components(links, labels)
 
     out = member.withColumnRenamed("n", "n_shingles")
@@ -315,11 +318,3 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _repeats(member: DataFrame) -> bool:
     return not member.groupBy("doc_id").count().filter("count > 1").isEmpty()
-
-
-def _cross(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share a shingle and lie in different components."""
-    a = postings.select("gram", F.col("id").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    b = postings.select("gram", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    both = a.join(b, "gram").filter((F.col("x") < F.col("y")) & (F.col("ca") != F.col("cb"))).filter(_passes(percent))
-    return both.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
