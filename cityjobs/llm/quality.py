@@ -1,17 +1,21 @@
 """Quality rules whose thresholds are certified on labelled documents (DataFrame operations only).
 
 Every rule is a feature of a document that is large in bad text, with a grid of cut-offs.
-For each stratum (language), rule and cut-off, the good documents among the labelled ones
-that the cut-off would reject are counted. A cut-off is certified when the exact binomial
-upper bound of its false rejection rate is at most ``alpha`` over the number of rules, at
-level ``delta`` over the number of all tests (Bonferroni). The lowest certified cut-off
-holds; a rule without one rejects nothing in that stratum. So with probability 1 - delta
-no stratum loses more than ``alpha`` of its good documents to these rules.
+The cut-offs of all rules form one ladder of joint sets, each a little stricter than the
+one before; its order comes from the documents labelled bad alone. For each stratum
+(language) the steps are tested from the loosest on: a step is certified when the exact
+binomial upper bound of the share of good documents that any of its rules rejects is at
+most ``alpha``, and the last step before the first failure holds (fixed-sequence testing,
+so the level ``delta`` is shared among strata only). Strata with too few good labels for
+any certificate take the step of the pool of all strata. So with probability 1 - delta no
+stratum with a test of its own, nor all strata together, loses more than ``alpha`` of its
+good documents to these rules; for a pooled stratum alone there is no such bound.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,27 +110,79 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.exp(top) * F.aggregate(F.reverse(ones), start, step, lambda s: s["total"])
 
 
+def ladder_of(levels: list[tuple[tuple[int, ...], int]], grid: dict[str, list[float]] = GRID) -> list[tuple[str, float]]:
+    """All (rule, cut-off) of the grid in the order in which they are added to the joint set.
+
+    ``levels`` holds for bad documents the number of cut-offs that each rule's value is above,
+    and how many documents have these. The cut-off that catches most bad documents not caught
+    yet comes next, after the looser ones of its rule; when none catches more, the rules are
+    tightened in turn. No good document has a say, so testing along the ladder stays exact.
+    """
+    rules, out = list(grid), []
+    at = {r: len(grid[r]) for r in rules}  # cut-offs from here on are in the set
+
+    def add(rule: str, upto: int) -> None:
+        while at[rule] > upto:
+            at[rule] -= 1
+            out.append((rule, float(grid[rule][at[rule]])))
+
+    left = list(levels)
+    while left:
+        gain: Counter = Counter()
+        for level, n in left:
+            for r, v in zip(rules, level, strict=True):
+                for i in range(v):
+                    gain[r, i] += n
+        best = max(gain, key=lambda x: (gain[x], x[1] - len(grid[x[0]]), -rules.index(x[0])), default=None)
+        if best is None:
+            break
+        add(*best)
+        left = [(level, n) for level, n in left if level[rules.index(best[0])] <= best[1]]
+    while any(at.values()):
+        rule = max(rules, key=lambda r: (at[r], -rules.index(r)))
+        add(rule, at[rule] - 1)
+    return out
+
+
 def certified_cutoffs(
     features: DataFrame, labels: DataFrame, stratum: str = "stratum", alpha: float = ALPHA, delta: float = DELTA, grid: dict[str, list[float]] = GRID
 ) -> DataFrame:
-    """Rows (stratum, <rule>...) with the certified cut-off of each rule, null where there is none.
+    """Rows (stratum, cut_<rule>...) with the certified joint cut-offs of a stratum, null for a rule that takes no part.
 
-    ``labels`` holds doc_id and quality; a document with several labels is good when none
-    of them is 0, and labels or ids that are null are ignored.
+    The row of stratum null is that of the pool; it holds for all strata without a row. A
+    stratum that was tested and has no certificate has a row of nulls. ``labels`` holds
+    doc_id and quality; a document with several labels is good when none of them is 0, and
+    labels or ids that are null are ignored.
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    rated = features.join(good, "doc_id", "left_semi").select(F.col(stratum).alias("stratum"), *[v.alias(r) for r, v in rule_values().items()])
-    above = [F.count_if(F.col(r) > c).alias(f"{r}|{i}") for r, cuts in grid.items() for i, c in enumerate(cuts)]
-    counts = rated.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above)
-    tests = [F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cut"), F.col(f"{r}|{i}").alias("k")) for r, cuts in grid.items() for i, c in enumerate(cuts)]
-    counts = counts.select("stratum", "n", F.explode(F.array(*tests)).alias("t")).select("stratum", "n", "t.rule", "t.cut", "t.k")
+    marks = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q IN (0, 1)").withColumnRenamed("doc_id", "__id")
+    rated = features.join(marks, F.col("doc_id") == F.col("__id")).filter((F.col("q") == 1) | ~base_failed())
+    level = [sum(((v > c).cast("int") for c in grid[r]), F.lit(0)).alias(r) for r, v in rule_values().items()]
+    counts = rated.select(F.col(stratum).alias("stratum"), "q", *level).groupBy("stratum", "q", *grid).agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "holdout-counts")
-    n_tests = max(1, counts.count())
-    p = alpha / len(grid)
-    held = F.col("k") < F.col("n") * F.lit(p)
-    sure = F.when(held, binomial_cdf(F.col("k"), F.col("n"), p)).otherwise(F.lit(1.0)) <= F.lit(delta / n_tests)
-    cuts = counts.filter(sure).groupBy("stratum").pivot("rule", list(grid)).agg(F.min("cut"))
-    return materialize(cuts.select("stratum", *[F.col(r).alias(f"cut_{r}") for r in grid]), "cutoffs")
+    # one row for each mix of levels, however many documents there are
+    bad = counts.filter("q = 0").groupBy(*grid).agg(F.sum("n").alias("n")).collect()
+    ladder = ladder_of([(tuple(r[x] for x in grid), r["n"]) for r in bad], grid)
+    # the first step whose set rejects a document: the cut-offs of a rule join from the loosest down
+    joins = [F.when(F.col(r) > grid[r].index(c), F.lit(i)) for i, (r, c) in enumerate(ladder)]
+    good = counts.filter("q = 1").select("stratum", "n", F.coalesce(*joins, F.lit(len(ladder))).alias("step"))
+    ks = [F.sum(F.when(F.col("step") <= i, F.col("n")).otherwise(0)).alias(f"k{i}") for i in range(len(ladder))]
+    per = materialize(good.groupBy("stratum").agg(F.sum("n").alias("n"), *ks), "step-counts")
+    pool = per.agg(F.sum("n").alias("n"), *[F.sum(f"k{i}").alias(f"k{i}") for i in range(len(ladder))]).withColumn("stratum", F.lit(None).cast("string"))
+
+    def least(tests: int) -> int:
+        """Good labels from which a set without a false rejection is certified."""
+        return math.ceil(math.log(delta / tests) / math.log1p(-alpha))
+
+    tests = per.filter(F.col("n") >= least(2)).count() + 1
+    tested = per.filter(F.col("n") >= least(tests)).unionByName(pool.filter(F.col("n") > 0))
+    tested = tested.select("stratum", "n", F.array(*[F.col(f"k{i}") for i in range(len(ladder))]).alias("ks"))
+    one = tested.select("stratum", "n", F.posexplode("ks").alias("step", "k"))
+    held = F.col("k") < F.col("n") * F.lit(alpha)
+    sure = F.when(held, binomial_cdf(F.col("k"), F.col("n"), alpha)).otherwise(F.lit(1.0)) <= F.lit(delta / tests)
+    last = one.groupBy("stratum").agg(F.coalesce(F.min(F.when(~sure, F.col("step"))), F.lit(len(ladder))).alias("steps"))
+    cuts = [F.when(F.col("steps") > i, F.lit(c)) for i, (_, c) in enumerate(ladder)]
+    cols = [F.coalesce(*reversed([x for (r, _), x in zip(ladder, cuts, strict=True) if r == rule])).alias(f"cut_{rule}") for rule in grid]
+    return materialize(last.select("stratum", *cols), "cutoffs")
 
 
 def judge(
@@ -136,15 +192,18 @@ def judge(
     n_repeat_words, base_failed, kept, failed_rules, stratum.
 
     * Null or empty texts have no words and fail the base rule. Null strata are the stratum ''.
-    * A stratum without enough labelled documents has no certified cut-off and loses
-      documents to the base rule only; without labels that holds for all.
+    * A stratum without enough labelled documents takes the cut-offs of all strata together;
+      without enough labels in all, or in any, documents are lost to the base rule only.
     * Repeated rows are judged each on its own; an empty table gives an empty result.
     * Any stratum may hold any share of the rows: its counts are combined before the shuffle.
     """
     named = docs.select(id_col, text_col, F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"))
     features = materialize(text_features(named, id_col, text_col, ("stratum",)), "features")
     cutoffs = certified_cutoffs(features, labels, alpha=alpha, delta=delta).withColumnRenamed("stratum", "__stratum")
+    pool = cutoffs.filter("__stratum IS NULL").head()
     out = features.join(cutoffs, F.col("stratum") == F.col("__stratum"), "left").withColumn("base_failed", base_failed())
+    own = F.col("__stratum").isNotNull()
+    out = out.withColumns({c: F.when(own, F.col(c)).otherwise(F.lit(pool and pool[c]).cast("double")) for c in cutoffs.columns[1:]})
     failed = F.filter(F.array(*[F.when(v > F.col(f"cut_{r}"), F.lit(r)) for r, v in rule_values().items()]), lambda r: r.isNotNull())
     out = out.withColumn("failed_rules", failed)
     return out.select(

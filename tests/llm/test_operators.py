@@ -277,6 +277,55 @@ def test_quality_counts(docs, none, spark):
     assert quality.judge(none, labels).count() == 0
 
 
+def test_quality_rules_are_certified_and_junk_goes(spark):
+    rng = random.Random(6)
+    text = lambda end: " ".join(f"w{rng.randrange(10**6)}{end if k % 2 else ''}" for k in range(60))
+    langs = ["en"] * 1000 + ["de"] * 600 + ["xx"] * 50
+    rows = [(i, text(""), lang, 1) for i, lang in enumerate(langs)]
+    rows += [(10_000 + i, text("#"), lang, 0 if i % 2 else None) for i, lang in enumerate(["en", "de", "xx", "yy", None] * 20)]
+    frame = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality.judge(frame, labels).collect()}
+    assert all("symbol_rate" in out[i].failed_rules and not out[i].kept for i in out if i >= 10_000)
+    good = [out[i].kept for i in range(len(langs))]
+    assert sum(good) == len(langs)
+    few = quality.judge(frame, labels.filter("doc_id < 200 OR doc_id >= 10000")).collect()
+    assert all(r.kept for r in few)
+
+
+def test_quality_steps_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows, values = [], {}
+    for i in range(4000):
+        stratum = "a" if i % 3 else "b" if i % 2 else f"s{i % 7}"
+        n = 100
+        rows.append((i, stratum, n, 400 + (500 if rng.random() < 0.003 else 0), 60 if i % 40 == 0 else rng.choice([0, 0, 0, 1]), 10, 4 if rng.random() < 0.004 else 0, 0, 0))
+        values[i] = rows[-1]
+    cols = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_upper long"
+    labels = spark.createDataFrame([(i, 0 if i % 40 == 0 else 1) for i in range(4000)], "doc_id long, quality int")
+    got = {r.stratum: r for r in quality.certified_cutoffs(spark.createDataFrame(rows, cols), labels).collect()}
+    grid = quality.GRID
+    value = lambda r: {"symbol_rate": r[4] / 100, "dup_line_rate": r[6] / 10, "repeat_word_rate": 0.0, "upper_rate": 0.0, "word_length": r[3] / 100}
+    level = lambda r: tuple(sum(v > c for c in grid[k]) for k, v in value(r).items())
+    ladder = quality.ladder_of([(level(r), 1) for r in rows if r[0] % 40 == 0])
+    assert sorted(ladder) == sorted((r, float(c)) for r, cs in grid.items() for c in cs)
+    good = [r for r in rows if r[0] % 40]
+    sizes = Counter(r[1] for r in good)
+    need = lambda m: next(n for n in range(10**4) if 0.99**n <= 0.05 / m)
+    m = sum(n >= need(2) for n in sizes.values()) + 1
+    assert set(got) == {s for s, n in sizes.items() if n >= need(m)} | {None} and len(got) == 3
+    for s, row in got.items():
+        mine = [value(r) for r in good if s in (None, r[1])]
+        want, now = {}, {}
+        for rule, cut in ladder:
+            now[rule] = cut
+            k, n = sum(any(v[r] > c for r, c in now.items()) for v in mine), len(mine)
+            if k >= n * 0.01 or sum(math.comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1)) > 0.05 / m:
+                break
+            want = dict(now)
+        assert {r: row[f"cut_{r}"] for r in grid} == {r: want.get(r) for r in grid}
+
+
 def test_binomial_bound(spark):
     p = 0.03
     cases = [(k, n) for n in (1, 10, 400, 3000) for k in range(0, min(n, 60), 7)]
