@@ -12,6 +12,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 NOT_TEXT = frozenset("head script style noscript template iframe object svg math canvas audio video map datalist title".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button select textarea fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+LINK_TARGETS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 BODY_NAMES = frozenset("article content body entry post main story text".split())
 FURNITURE_NAMES = re.compile(
@@ -45,7 +46,10 @@ class _Node:
 
 
 def _traits(tag: str, attrs: str, in_body: bool) -> tuple[str, bool, bool]:
-    """Style name of an element, whether it opens the article, and whether it is page furniture."""
+    """Style name of an element, whether it opens the article, and whether it is page furniture.
+
+    An id names furniture on containers only: those of headings and paragraphs are targets of links.
+    """
     names, style = [], tag
     furniture = tag in FURNITURE or tag in NOT_TEXT or (tag == "header" and not in_body)
     body = tag in ("article", "main")
@@ -60,7 +64,7 @@ def _traits(tag: str, attrs: str, in_body: bool) -> tuple[str, bool, bool]:
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                 furniture |= key == "hidden" and value != "until-found"
             else:
-                names += value.split()
+                names += value.split() if key == "class" or tag not in LINK_TARGETS else []
                 if key == "class" and value:
                     style += "." + _DIGITS.sub("", ".".join(sorted(value.split())))
     if names and tag not in ("body", "html", "article", "main"):
@@ -129,7 +133,8 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             up.kids.append(style)
         if tag in VOID:
             continue
-        stack.append(_Node(tag, f"{up.path}/{style}", up.body or body, up.furniture or furniture))
+        furniture |= up.furniture
+        stack.append(_Node(tag, f"{up.path}/{style}", up.body or (body and not furniture), furniture))
     if at < len(page):
         text.append(page[at:])
     flush()

@@ -102,7 +102,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for page, low in zip(part.column("html"), part.column("paths"), strict=True):
                 cut = tuple(low.as_py() or ())
                 found, _ = blocks(page.as_py() or "")
-                marked = any(b.in_body for b in found)
+                marked = any(b.in_body and not b.furniture for b in found)
                 kept = [
                     b.text
                     for b in found

@@ -262,6 +262,22 @@ def test_main_text(spark):
     assert style_tree.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_beside_articles_in_furniture(spark):
+    page = "<body><div><h1>Head</h1><p>Whole text</p></div>{}</body>"
+    others = [
+        "<section id=comments><article><p>first!</p></article></section>",
+        "<aside><article><p>Other story</p></article></aside>",
+        "<div class=related><article><header>x</header><p>Card</p></article></div>",
+        "<div class=sidebar><div itemprop=articleBody>y</div></div>",
+        "<div class=nav role=main>z</div>",
+    ]
+    ids = "<body><article><header><h1 id=header>Head</h1></header><p id=search>One</p><h2 id='related-work'>Related work</h2><p>Two</p><div id=comments><p>no</p></div><p class=share>no</p></article></body>"
+    hidden = "<body><article hidden><p>old</p></article><div><p>Whole text</p></div></body>"
+    rows = [(i, f"http://h{i}.example/", page.format(x)) for i, x in enumerate(others)] + [(10, "http://i.example/", ids), (11, "http://j.example/", hidden)]
+    out = {r.page_id: r.text for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: "Head\nWhole text" for i in range(len(others))} | {10: "Head\nOne\nRelated work\nTwo", 11: "Whole text"}
+
+
 def test_quality_counts(docs, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     out = quality.judge(docs, labels).collect()
