@@ -1,18 +1,19 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree of element paths. A node's importance joins
-its presentation (entropy of the child sequences that pages give it) and its content (how
-evenly each text below it is spread over the pages: a text on all pages carries nothing,
-a text on one page carries all). Branches of low importance are cut from every page, as are
-those whose element or class names them page furniture; what is left, within the article
-if the page marks one, is the main text.
+The pages of a host are merged into one tree of element paths; pages of equal payload count
+as one. A node's importance joins its presentation (entropy of the child sequences that
+pages give it) and its content (how evenly each text below it is spread over the pages: a
+text on all pages carries nothing, a text on one page carries all). Branches of low
+importance are cut from every page, within a marked article as well, and so are single
+texts of a node that stand on most of its pages. Branches whose element or class names them
+page furniture go too; what is left, within the article if the page marks one, is the main
+text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
-from .dom import blocks
+from .dom import Block, blocks
 
-#: Pages that a node needs before it can be judged.
+#: Distinct pages that a node needs before it can be judged.
 MIN_PAGES = 8
 #: A branch of lower importance is cut.
 THRESHOLD = 0.2
@@ -30,85 +31,100 @@ THRESHOLD = 0.2
 GAMMA = 0.9
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature, pages): texts (kind 0), child sequences (1) and the nodes themselves (2)."""
-    counts: Counter = Counter()
+    """(host, path, kind, feature, pages): texts (kind 0), child sequences (1) and the nodes themselves (2).
+
+    A page of which the host has n copies counts as 1/n.
+    """
+    counts: defaultdict = defaultdict(float)
 
     def out():
         rows = list(zip(*counts, strict=True))
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(counts.values(), pa.int64())],
+            [pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(counts.values(), pa.float64())],
             names=["host", "path", "kind", "feature", "pages"],
         )
 
     for batch in batches:
-        for url, page in zip(batch.column(0), batch.column(1), strict=True):
-            host = host_of(url.as_py())
-            if not host:
-                continue
+        for host, page, copies in zip(*batch.columns, strict=True):
+            host = host.as_py()
             found, styles = blocks(page.as_py() or "")
-            seen = {(host, b.path, 0, xxhash.xxh3_64_intdigest(b.text) - (1 << 63)) for b in found if not b.furniture and not b.in_body}
+            seen = {(host, b.path, 0, _digest(b.text)) for b in found}
             held = {p for _, p, _, _ in seen}
             seen |= {(host, p, 2, 0) for p in held}
-            seen |= {(host, p, 1, xxhash.xxh3_64_intdigest(s) - (1 << 63)) for p, s in styles if p in held}
-            counts.update(seen)
+            seen |= {(host, p, 1, _digest(s)) for p, s in styles if p in held}
+            share = 1 / copies.as_py()
+            for x in seen:
+                counts[x] += share
         if len(counts) > 200_000:
             yield out()
-            counts = Counter()
+            counts.clear()
     if counts:
         yield out()
 
 
-def unimportant(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (host, paths): the branches to cut on the pages of a host.
+def unimportant(pages: DataFrame, html_col: str = "html", min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (host, paths, texts): the branches to cut on the pages of a host, and the single texts as 'digest path'.
 
-    Text inside a marked article is not judged, nor are branches that names exclude already.
+    ``pages`` has the host in ``__host``. Only copies of a page are joined by payload, so pages
+    are shuffled only where the table of payloads that repeat is too large to be broadcast.
     """
     ship(pages.sparkSession)
-    counted = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_features, "host string, path string, kind int, feature long, pages long")
-    features = materialize(counted.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("k")), "style-features")
-    nodes = features.filter("kind = 2").select("host", "path", F.col("k").alias("m"))
-    shares = features.filter("kind < 2").join(nodes, ["host", "path"]).filter(F.col("m") >= min_pages)
+    rows = pages.filter("__host <> ''").select("__host", F.col(html_col).cast("string").alias("html"))
+    rows = rows.withColumn("__payload", F.unhex(F.md5(F.coalesce("html", F.lit("")).cast("binary"))))
+    copies = materialize(rows.groupBy("__host", "__payload").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "page-copies")
+    rows = rows.withColumn("copies", F.lit(1).cast("long")) if copies.isEmpty() else rows.join(copies, ["__host", "__payload"], "left")
+    rows = rows.select("__host", "html", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
+    counted = rows.mapInArrow(_features, "host string, path string, kind int, feature long, pages double")
+    features = materialize(counted.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("pages")).cast("long").alias("k")), "style-features")
+    nodes = features.filter("kind = 2").select("host", "path", F.col("k").alias("m")).filter(F.col("m") >= min_pages)
+    # a node may hold most texts of a host: its features are summed by their number of pages before the join
+    shares = features.filter("kind < 2").groupBy("host", "path", "kind", "k").agg(F.count(F.lit(1)).alias("c")).join(nodes, ["host", "path"])
     spread = F.log("k") / F.log("m")  # entropy, to the base m, of an even spread over k of m pages
     part = F.least(F.lit(1.0), F.col("k") / F.col("m"))
+    content = 1 - F.least(F.lit(1.0), spread)
     per_node = shares.groupBy("host", "path").agg(
         F.first("m").alias("m"),
-        F.sum(F.when(F.col("kind") == 0, F.col("k") * (1 - F.least(F.lit(1.0), spread)))).alias("content"),
-        F.sum(F.when(F.col("kind") == 0, F.col("k"))).alias("texts"),
-        F.sum(F.when(F.col("kind") == 1, -part * F.log(part) / F.log("m"))).alias("style"),
+        F.sum(F.when(F.col("kind") == 0, F.col("c") * F.col("k") * content)).alias("content"),
+        F.sum(F.when(F.col("kind") == 0, F.col("c") * F.col("k"))).alias("texts"),
+        F.sum(F.when(F.col("kind") == 1, -F.col("c") * part * F.log(part) / F.log("m"))).alias("style"),
     )
+    # a text on most pages of its node is a leaf without presentation; a page of usual length has few such
+    most = features.filter((F.col("kind") == 0) & (2 * F.col("k") > min_pages)).join(nodes, ["host", "path"])
+    most = most.filter((2 * F.col("k") > F.col("m")) & (GAMMA * content < threshold))
+    leaves = most.select("host", F.lit(None).cast("string").alias("branch"), F.concat_ws(" ", "feature", "path").alias("leaf"))
     # a branch joins all nodes below it
     steps = F.split("path", "/")
     branch = F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/")))
     tree = per_node.withColumn("branch", branch).groupBy("host", "branch")
     tree = tree.agg(F.sum("content").alias("content"), F.sum("texts").alias("texts"), F.max(F.when(F.col("path") == F.col("branch"), F.col("style"))).alias("style"))
     importance = (1 - GAMMA) * F.coalesce("style", F.lit(0.0)) + GAMMA * F.col("content") / F.col("texts")
-    low = tree.filter(importance < threshold).groupBy("host").agg(F.array_sort(F.collect_set("branch")).alias("paths"))
+    low = tree.filter(importance < threshold).select("host", "branch", F.lit(None).cast("string").alias("leaf")).unionByName(leaves)
+    low = low.groupBy("host").agg(F.array_sort(F.collect_set("branch")).alias("paths"), F.array_sort(F.collect_set("leaf")).alias("texts"))
     return materialize(low, "unimportant")
 
 
+def main_blocks(found: list[Block], cut: tuple[str, ...], single: frozenset[str]) -> list[Block]:
+    """The blocks of a page that neither names nor the tree remove, within its article if it marks one."""
+    named = [b for b in found if not b.furniture]
+    if any(b.in_body for b in named):
+        named = [b for b in named if b.in_body]
+    return [b for b in named if not any(b.path == p or b.path.startswith(p + "/") for p in cut) and not (single and f"{_digest(b.text)} {b.path}" in single)]
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             texts = []
-            for page, low in zip(part.column("html"), part.column("paths"), strict=True):
-                cut = tuple(low.as_py() or ())
+            for page, low, leaves in zip(part.column("html"), part.column("paths"), part.column("texts"), strict=True):
+                cut, single = tuple(low.as_py() or ()), frozenset(leaves.as_py() or ())
                 found, _ = blocks(page.as_py() or "")
-                marked = any(b.in_body and not b.furniture for b in found)
-                kept = [
-                    b.text
-                    for b in found
-                    if not b.furniture and (b.in_body if marked else not any(b.path == p or b.path.startswith(p + "/") for p in cut))
-                ]
-                texts.append("\n".join(kept))
+                texts.append("\n".join(b.text for b in main_blocks(found, cut, single)))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -116,6 +132,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Rows (id, url, text, n_chars) for every page.
 
     * Null html has an empty text. Pages without a host are judged by names alone.
+    * Hosts with fewer than ``MIN_PAGES`` distinct pages are judged by names alone.
     * Repeated rows are extracted each; an empty table gives an empty result; other columns
       are ignored.
     * A host may hold any share of the pages: its tree is summed in the tasks before the
@@ -123,12 +140,12 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     spark: SparkSession = pages.sparkSession
     ship(spark)
-    low = unimportant(pages, url_col, html_col, **options)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = rows.withColumn("__host", F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))))
+    low = unimportant(rows, **options)
     kind = rows.schema["page_id"].dataType.simpleString()
     if low.isEmpty():
-        rows = rows.withColumn("paths", F.lit(None).cast("array<string>"))
+        rows = rows.withColumns({c: F.lit(None).cast("array<string>") for c in ("paths", "texts")})
     else:
-        host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-        rows = rows.withColumn("__host", host).join(low.withColumnRenamed("host", "__low"), F.col("__host") == F.col("__low"), "left").select("page_id", "url", "html", "paths")
+        rows = rows.join(low.withColumnRenamed("host", "__low"), F.col("__host") == F.col("__low"), "left").select("page_id", "url", "html", "paths", "texts")
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long").withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)

@@ -278,6 +278,20 @@ def test_main_text_beside_articles_in_furniture(spark):
     assert out == {i: "Head\nWhole text" for i in range(len(others))} | {10: "Head\nOne\nRelated work\nTwo", 11: "Whole text"}
 
 
+def test_tree_judges_articles_and_counts_copies_once(spark):
+    schema = "page_id long, url string, html string"
+    texts = lambda rows: {r.page_id: r.text for r in style_tree.main_texts(spark.createDataFrame(rows, schema)).collect()}
+    page = "<body><article><h1>Head {0}</h1><div><p>Read our letter</p></div><p>Own words {0}</p><p>Tell your friends</p></article></body>"
+    assert texts([(i, f"http://h.example/{i}", page.format(i)) for i in range(12)]) == {i: f"Head {i}\nOwn words {i}" for i in range(12)}
+    few = texts([(i, f"http://h.example/{i}", page.format(i)) for i in range(7)])
+    assert few[3] == "Head 3\nRead our letter\nOwn words 3\nTell your friends"
+    plain = "<body><div><p>Own words {}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", plain.format(min(i, 3))) for i in range(60)]
+    assert texts(rows) == {i: f"Own words {min(i, 3)}" for i in range(60)}
+    rows = [(i, f"http://h.example/{i}", page.format(min(i, 11))) for i in range(60)]
+    assert texts(rows) == {i: f"Head {min(i, 11)}\nOwn words {min(i, 11)}" for i in range(60)}
+
+
 def test_quality_counts(docs, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     out = quality.judge(docs, labels).collect()
