@@ -8,82 +8,86 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import id_coder
-from .common import shared_dir, ship, text_or_empty
+from .common import shared_dir, ship
 from .storage import read_file, write_committed
 from .tokens import encoder
 
-#: Text bytes that a file should hold about.
-FILE_BYTES = 12 << 20
-STEP = 256
-_NO_ID = -(1 << 63)
+#: Ids after which a file is closed.
+FILE_IDS = 4 << 20
+_MANIFEST = "part int, seq int, file string, n_docs long, n_ids long, bytes long, sha256 string"
 
 
-def _tokenize(path: str, style: str, end_id: int, bounds: list[int]):
-    tail = np.array([end_id], "<u4").tobytes()
+def _file(ids: list[np.ndarray], doc_ids: list[np.ndarray], none: list[np.ndarray], sizes: list[np.ndarray]) -> bytes:
+    """A table of the documents (id, whether it has one, number of ids), then the coded ids."""
+    key, missing, n = np.concatenate(doc_ids), np.concatenate(none), np.concatenate(sizes)
+    packed = zlib.compress(np.diff(key, prepend=0).astype("<i8").tobytes() + missing.astype("u1").tobytes() + n.astype("<u4").tobytes(), 6)
+    return struct.pack("<QII", len(key), len(packed), zlib.crc32(packed)) + packed + id_coder.encode(np.concatenate(ids))
+
+
+def _write(path: str, tokenizer: str, style: str, end_id: int, file_ids: int):
+    """The files of a task's sorted documents; only one file's ids are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, style)
-        cuts = np.array(bounds, np.int64)
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        part, attempt = (context.partitionId(), context.taskAttemptId()) if context else (0, 0)
+        enc = encoder(tokenizer, style)
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        waiting = seq = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal held, waiting, seq
+            data = _file(*held)
+            name = f"ids-{part:06d}-{seq:06d}.bin"
+            write_committed(path, name, str(attempt), data)
+            row = {"part": part, "seq": seq, "file": name, "n_docs": sum(len(x) for x in held[3]), "n_ids": waiting, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}
+            held, waiting, seq = ([], [], [], []), 0, seq + 1
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                ids = part.column(0).cast(pa.int64())
-                key = ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
-                coded = []
-                for x in enc.encode([t or "" for t in part.column(1).to_pylist()]):
-                    v = np.frombuffer(x + tail, "<u4")
-                    if v.max() > 65535:
-                        raise ValueError("ids of more than 16 bits")
-                    coded.append(v.astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, key, side="left"), pa.int64()), ids, pa.array(coded, pa.binary())], names=["file_no", "doc_id", "ids"])
+            key = batch.column(0)
+            missing = key.is_null().to_numpy(zero_copy_only=False)
+            key = key.fill_null(0).to_numpy()
+            for i, j, ids, offsets in enc.encode(batch.column(1), end_id):
+                if ids.max() > 65535:
+                    raise ValueError("the file format holds ids of at most 16 bits")
+                for x, v in zip(held, (ids.astype(np.int32), key[i:j], missing[i:j], np.diff(offsets)), strict=True):
+                    x.append(v)
+                waiting += len(ids)
+                if waiting >= file_ids:
+                    yield close()
+        if waiting:
+            yield close()
 
     return run
 
 
-def write_ids(
-    docs: DataFrame, tokenizer: str, path: str | None = None, style: str = "words", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES
-) -> str:
+def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, style: str = "words", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> str:
     """Write the ids of all documents, each followed by ``end_id``, in ascending document id; return the folder.
 
-    A file holds a range of document ids: a table of its documents and the coded stream.
+    Documents are sorted over the cluster; every task writes its range, a file for each
+    ``file_ids`` ids or so (a run of documents of 1 MB more at most, or one longer document).
 
     * Null and empty texts are the end id alone. Null ids come first. Rows that repeat an id
-      are documents of their own, in the order of their ids' bytes.
-    * An empty table gives a manifest without files; other columns are ignored.
+      are documents of their own, in the order of their texts' hashes; so an id, or none, may
+      belong to any share of the rows, which then are several tasks' work.
+    * Ids over 65,535 fail the job. An empty table gives a manifest without files; other
+      columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
     path = path or shared_dir(spark, "ids")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = texts.agg(F.sum(F.octet_length(text_or_empty("text")) + 1)).first()[0] or 0
-    n_files = max(1, -(-total // file_bytes))
-    bounds: list[int] = []
-    if n_files > 1:
-        shares = [i / n_files for i in range(1, n_files)]
-        bounds = sorted(set(texts.agg(F.percentile_approx("doc_id", shares, 10 * n_files + 1000)).first()[0] or []))
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from pyspark import TaskContext
-
-        pdf = pdf.sort_values(["doc_id", "ids"], na_position="first")
-        stream = b"".join(pdf["ids"])
-        table = pd.DataFrame({"id": pdf["doc_id"].fillna(0).astype(np.int64), "none": pdf["doc_id"].isna(), "n": pdf["ids"].str.len() // 2})
-        packed = zlib.compress(np.diff(table["id"].to_numpy(), prepend=0).astype("<i8").tobytes() + table["none"].to_numpy().astype("u1").tobytes() + table["n"].to_numpy().astype("<u4").tobytes(), 6)
-        data = struct.pack("<QII", len(table), len(packed), zlib.crc32(packed)) + packed + id_coder.encode(np.frombuffer(stream, "<u2"))
-        no = int(pdf["file_no"].iloc[0])
-        name = f"ids-{no:08d}.bin"
-        context = TaskContext.get()
-        write_committed(path, name, str(context.taskAttemptId() if context else 0), data)
-        return pd.DataFrame({"file_no": [no], "file": [name], "n_docs": [len(table)], "n_ids": [len(stream) // 2], "bytes": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()]})
-
-    coded = texts.mapInArrow(_tokenize(tokenizer, style, end_id, bounds), "file_no long, doc_id long, ids binary")
-    files = coded.repartition(n_files, "file_no").groupBy("file_no").applyInPandas(write, "file_no long, file string, n_docs long, n_ids long, bytes long, sha256 string")
+    order = [F.col("doc_id").asc_nulls_first(), "hash"]
+    ranged = texts.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order, "row")
+    files = ranged.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(_write(path, tokenizer, style, end_id, file_ids), _MANIFEST)
     files.write.parquet(f"{path}/_manifest")
     return path
 
@@ -94,8 +98,8 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFram
     Files and blocks that differ from their checksums fail the job.
     """
     ship(spark)
-    manifest = spark.read.schema("file_no long, file string, n_docs long, n_ids long, bytes long, sha256 string").parquet(f"{path}/_manifest")
-    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file only
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest")
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file only
     starts = manifest.select("file", "sha256", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

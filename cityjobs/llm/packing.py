@@ -22,8 +22,6 @@ from .tokens import encoder
 
 #: Remainders that are packed together; more of them fill the last windows better, fewer spread better.
 GROUP_PIECES = 16_384
-#: Documents tokenized at a time.
-STEP = 256
 
 
 class CapacityTree:
@@ -81,30 +79,23 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def _pieces(path: str, style: str, window: int, end_id: int, keep_ids: bool):
-    tail = np.array([end_id], dtype="<u4").tobytes()
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, style)
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP):
-                part = batch.slice(at, STEP)
-                out: dict[str, list] = {"id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "ids": []}
-                for i, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += tail
-                    for b in range(0, len(ids), 4 * window):
-                        piece = ids[b : b + 4 * window]
-                        out["id"].append(i)
-                        out["start"].append(b // 4)
-                        out["length"].append(len(piece) // 4)
-                        out["ids_crc32"].append(zlib.crc32(piece))
-                        out["doc_tokens"].append(len(ids) // 4)
-                        if keep_ids:
-                            out["ids"].append(np.frombuffer(piece, "<u4").astype(np.int64))
-                arrays = [pa.array(out[k], pa.int64()) for k in ("id", "start", "length", "ids_crc32", "doc_tokens")]
-                names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
-                if keep_ids:
-                    arrays.append(pa.array(out["ids"], pa.list_(pa.int64())))
-                    names.append("ids")
+            for i, j, ids, offsets in enc.encode(batch.column(1), end_id):
+                tokens = np.diff(offsets)
+                n = -(-tokens // window)
+                doc = np.repeat(np.arange(j - i), n)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * window
+                length = np.minimum(window, tokens[doc] - start)
+                begin = offsets[doc] + start
+                buf = memoryview(ids.tobytes())
+                crc = [zlib.crc32(buf[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                arrays = [batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[doc])]
+                if keep_ids:  # the pieces one after another are the documents one after another
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run

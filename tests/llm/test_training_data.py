@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,10 +140,24 @@ def test_best_fit_decreasing_takes_the_tightest_window():
 def test_unit_memory_equals_the_tokenizer(name, style, end):
     enc = tokens.UnitEncoder(queries.public_file(name), style)
     rng = random.Random(9)
-    alphabet = ["a", "b", "é", "Σ", "'s", "'", " ", "  ", "\n", "\n\n", "\t", " ", " ", "\x1c", ",", ".", "!", "1", "²", "日", "́", "_", "<|endoftext|>", "don't", "ﬁ", "\x85", "\r\n"]
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    alphabet = ["a", "b", "é", "Σ", "'s", "'", " ", "  ", "\n", "\n\n", "\t", " ", " ", "\x1c", ",", ".", "!", "1", "²", "日", "́", "_", "<|endoftext|>", "don't", "ﬁ", "\x85", "\r\n", "\x01", "　", "😀", "à", "Ġ"]
+    texts = [t or "" for t in TEXTS] + ["x" * 100 + " " + "y" * 70 + "é " + "z" * 5000, "漢" * 500] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
     want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+    got = [ids[a:b].tolist() for _, _, ids, at in enc.encode(pa.array(texts), 7) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert got == [x + [7] for x in want]
+
+
+def test_held_units_stay_within_their_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_HELD", 1 << 20)
+    monkeypatch.setattr(tokens, "RUN", 1 << 14)
+    enc = tokens.UnitEncoder(queries.public_file("byte_bpe_50k.json"), "bytes")
+    rng = random.Random(1)
+    texts = [" ".join(f"{rng.randrange(10**12):x}" for _ in range(2000)) + " " + "y" * 3000 for _ in range(20)]
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for k, t in enumerate(texts):
+        ((_, _, ids, _),) = enc.encode(pa.array([t]), 7)
+        assert ids.tolist() == want[k] + [7]
+        assert enc.table.nbytes() < 3 << 20
 
 
 def test_packing(docs, none):
@@ -220,15 +235,18 @@ def test_id_coder_round_trip():
 def test_id_files(spark, docs, none):
     path = queries.public_file("word_bpe_49k.json")
     enc = tokens.UnitEncoder(path, "words").tokenizer
-    rows = sorted(((i is not None, i, np.array(enc.encode(t, add_special_tokens=False).ids + [2], "<u2").tobytes()) for i, t in pairs(docs)), key=lambda r: (r[0], r[1] or 0, r[2]))
-    at, want = 0, []
-    for _, i, b in rows:
-        ids = np.frombuffer(b, "<u2").astype("<u4")
-        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
+    want = Counter()
+    for i, t in pairs(docs):
+        ids = np.array(enc.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        want[i, len(ids), zlib.crc32(ids.tobytes())] += 1
     for size in (3000, 1 << 20):
-        out = id_files.read_ids(spark, id_files.write_ids(docs, path, file_bytes=size)).collect()
-        assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == sorted((s, i, n, c) for i, s, n, c in want)
+        out = sorted(id_files.read_ids(spark, id_files.write_ids(docs, path, file_ids=size)).collect(), key=lambda r: r.start)
+        assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+        at = 0
+        for a, b in zip(out, out[1:] + [None], strict=True):
+            assert a.start == at
+            at += a.n_tokens
+            assert b is None or (a.doc_id is None) or (b.doc_id is not None and a.doc_id <= b.doc_id)
     assert id_files.read_ids(spark, id_files.write_ids(none, path)).count() == 0
 
 
