@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,14 +12,7 @@ from cityjobs.jobs.spatial_queries import SQL_CLS, classified
 from cityjobs.operators import buildings as B
 from cityjobs.operators import terrain as T
 from cityjobs.sources import readers as R
-
-
-def folder(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from cityjobs.sources.shared import shared_dir as folder
 
 
 def _poly(z):
