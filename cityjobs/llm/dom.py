@@ -12,13 +12,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 NOT_TEXT = frozenset("head script style noscript template iframe object svg math canvas audio video map datalist title".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button select textarea fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-LINK_TARGETS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-BODY_NAMES = frozenset("article content body entry post main story text".split())
+TEXT_LEVEL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th pre blockquote figcaption caption summary address".split())
 FURNITURE_NAMES = re.compile(
-    r"(ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|foot|header\w*|masthead|cookie\w*|consent\w*|gdpr|notice\w*"
-    r"|notification\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|share\w*|sharing|social\w*|related\w*|recommend\w*|comment\w*|disqus\w*|respond|repl(?:y|ies)|login|signup"
-    r"|search\w*|skip|pagination|pager|widget\w*|toolbar|copyright)"
+    r"ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banners?|nav\w*|menus?|breadcrumbs?|sidebars?|aside|footers?|foot|headers?|masthead|cookies?|consent|gdpr|notices?"
+    r"|notifications?|popups?|modals?|overlays?|newsletters?|subscri\w*|shar(?:e|es|ing)|social|related|recommend\w*|comments?|disqus\w*|respond|repl(?:y|ies)|login|signup"
+    r"|search\w*|skip|pagination|pagers?|widgets?|toolbars?|copyright"
+)
+NEUTRAL_NAMES = re.compile(
+    r"|\d+|[a-z]|box(?:es)?|list|item|items|wrap|wrapper|inner|outer|container|section|area|block|panel|module|unit|slot|group|row|col|column|columns|grid|flex|left|right|top|bottom|main|global|site|page"
+    r"|primary|secondary|clearfix|cf|xs|sm|md|lg|xl|bar|link|links|button|buttons|btn|icon|icons|tools|form|posts|articles|stories|thread|up|us|me|and|on|policy|message|hidden|visible|js"
 )
 # end of fixed values
 
@@ -27,8 +30,9 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_NAME = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?|["'][^"']*["']?""")
 _DIGITS = re.compile(r"\d+")
+_PART = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Block(NamedTuple):
@@ -45,33 +49,34 @@ class _Node:
         self.tag, self.path, self.body, self.furniture, self.kids = tag, path, body, furniture, []
 
 
+def says_furniture(names: list[str]) -> bool:
+    """Whether names of a class or an id say page furniture and nothing else.
+
+    ``share-buttons`` and ``col-4 sidebar`` do; ``share-price``, ``related work`` and ``ad-hoc`` name something else.
+    """
+    parts = [p.lower() for name in names for p in _PART.split(name)]
+    return any(FURNITURE_NAMES.fullmatch(p) for p in parts) and all(FURNITURE_NAMES.fullmatch(p) or NEUTRAL_NAMES.fullmatch(p) for p in parts)
+
+
 def _traits(tag: str, attrs: str, in_body: bool) -> tuple[str, bool, bool]:
     """Style name of an element, whether it opens the article, and whether it is page furniture.
 
     An id names furniture on containers only: those of headings and paragraphs are targets of links.
     """
-    names, style = [], tag
+    style = tag
     furniture = tag in FURNITURE or tag in NOT_TEXT or (tag == "header" and not in_body)
     body = tag in ("article", "main")
     if attrs:
-        for m in _NAME.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key == "role":
-                furniture |= value in ROLES
-                body |= value in ("main", "article")
-            elif key == "itemprop":
-                body |= value == "articlebody"
-            elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-                furniture |= key == "hidden" and value != "until-found"
-            else:
-                names += value.split() if key == "class" or tag not in LINK_TARGETS else []
-                if key == "class" and value:
-                    style += "." + _DIGITS.sub("", ".".join(sorted(value.split())))
-    if names and tag not in ("body", "html", "article", "main"):
-        for name in names:
-            parts = [p for p in re.split(r"[-_:]+", name) if p]
-            if any(FURNITURE_NAMES.fullmatch(p) for p in parts) and not (BODY_NAMES.intersection(parts) and parts[-1] in ("header", "head")):
-                furniture = True
+        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed(list(_ATTRIBUTE.finditer(attrs))) if m[1]}  # of repeated ones the first
+        role = found.get("role", "").lower()
+        furniture |= role in ROLES or ("hidden" in found and found["hidden"].lower() != "until-found")
+        body |= role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
+        classes = found.get("class", "").split()
+        if classes:
+            style += "." + _DIGITS.sub("", ".".join(sorted(c.lower() for c in classes)))
+        if tag not in ("body", "html", "article", "main"):
+            ident = found.get("id", "").split() if tag not in TEXT_LEVEL else []
+            furniture |= says_furniture(classes) or says_furniture(ident)
     return style, body, furniture
 
 
