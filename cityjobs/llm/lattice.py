@@ -1,15 +1,15 @@
 """Language-model scores from a subword lattice.
 
-A document is the sequence of its words and an end. A word's probability is the sum over
-all of its segmentations into pieces of a unigram vocabulary, found by a forward recursion
-over the lattice in logarithms; a document's is the product, its marginal probability.
-
-The pieces are an existing public vocabulary whose order gives them scores; the scores are
-re-estimated on the training words by expectation maximisation over the same lattice, rare
-words counting most, because the words that need pieces are like them.
-Every training word is a whole-word piece with its frequency as well: an edge that spans
-the lattice of that word. The subword pieces get the share of probability that the words
-seen once stand for (Good-Turing), the whole-word pieces the rest.
+A document is the sequence of its words, each after a space, and an end. It is written by
+drawing pieces of an existing public vocabulary one after another until the end is drawn.
+Its probability is the sum over all of its segmentations into pieces: a forward recursion
+over the lattice of each word, in logarithms, gives the word's marginal probability, and a
+document's is the product. The pieces and the end together have probability one.
+
+The vocabulary's order gives its pieces their scores. These weigh the segmentations of all
+training words; the expected numbers of pieces, counted over the whole training corpus, are
+added to what the vocabulary's own scores stand for, and the sums are the scores of the
+next round (expectation maximisation with the vocabulary as prior).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
-from .shingles import _BASE, _BYTE, HashIndex, U, mix64, slices, word_hashes
+from .shingles import _BASE, _BYTE, HashIndex, U, _powers, mix64, slices, word_hashes
 
 #: Words that every task holds (20 bytes each); rarer ones are scored once and joined.
 MAX_HELD_WORDS = 1 << 20
@@ -35,8 +35,12 @@ BYTE_SHARE = 1e-4
 #: The bytes of words in lower case.
 BYTES = [x for x in range(256) if not 65 <= x <= 90]
 EM_ROUNDS = 2
+#: Pieces that the vocabulary's own scores count for, beside those of the training words.
+PRIOR = 10_000.0
 #: Words whose lattices are computed side by side.
 GROUP = 40_000
+#: Longer words, in bytes, are computed one by one, this many positions at a time.
+LONG, WINDOW = 256, 1 << 14
 
 
 def public_pieces(model_path: str) -> tuple[list[bytes], np.ndarray]:
@@ -106,17 +110,81 @@ class Lattice:
             alpha[e] = _logsum(np.stack([alpha[e - 1 - k] + self.log[i] for k, i in enumerate(edges[e])]))
         return alpha
 
+    def _window(self, d: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The edges of a long word that end at positions a + 1 .. b: end, length and piece of each, by end."""
+        low = max(0, a - MAX_PIECE)
+        h = np.zeros(b - low + 1, U)
+        # hashes of prefixes that begin at ``low``; those of pieces do not depend on where they begin
+        up, down = _powers(b - low)
+        np.cumsum(_BYTE[d[low:b]] * down[: b - low], out=h[1:])
+        h *= np.concatenate((up[:1], up[: b - low]))
+        ends, sizes, pieces = [], [], []
+        e = np.arange(a + 1, b + 1)
+        for k in range(1, MAX_PIECE + 1):
+            at = e[e >= k] - low
+            power = U(pow(_BASE, k, 1 << 64))
+            i = self.index.find(mix64(h[at] - h[at - k] * power + U(k)))
+            some = i >= 0
+            ends.append(at[some] + low)
+            sizes.append(np.full(int(some.sum()), k))
+            pieces.append(i[some])
+        end, size, piece = np.concatenate(ends), np.concatenate(sizes), np.concatenate(pieces)
+        o = np.argsort(end, kind="stable")
+        return end[o], size[o], piece[o]
+
+    def long_forward(self, word: bytes) -> np.ndarray:
+        """alpha of one word of any length; no more than a window's edges are held."""
+        d = np.frombuffer(b" " + word, np.uint8)
+        m = len(d)
+        alpha = np.zeros(m + 1)
+        for a in range(0, m, WINDOW):
+            b = min(m, a + WINDOW)
+            end, size, piece = self._window(d, a, b)
+            score = self.log[piece]
+            cut = np.searchsorted(end, np.arange(a + 1, b + 2)).tolist()
+            size, score = size.tolist(), score.tolist()
+            near = alpha[max(0, a - MAX_PIECE) : b + 1].tolist()
+            base = max(0, a - MAX_PIECE)
+            for e in range(a + 1, b + 1):
+                x, y = cut[e - a - 1], cut[e - a]
+                terms = [near[e - base - size[i]] + score[i] for i in range(x, y)]
+                top = max(terms)
+                near[e - base] = top + math.log(sum(math.exp(t - top) for t in terms))
+            alpha[a + 1 : b + 1] = near[a + 1 - base :]
+        return alpha
+
+    def long_expect(self, word: bytes, weight: float, total: np.ndarray) -> None:
+        d = np.frombuffer(b" " + word, np.uint8)
+        m = len(d)
+        alpha = self.long_forward(word)
+        beta = np.full(m + 1, -np.inf)
+        beta[m] = 0.0
+        for a in reversed(range(0, m, WINDOW)):
+            b = min(m, a + WINDOW)
+            end, size, piece = self._window(d, a, b)
+            score = self.log[piece]
+            base = max(0, a - MAX_PIECE)
+            near = beta[base : b + 1].tolist()
+            for e, k, s in zip(end[::-1].tolist(), size[::-1].tolist(), score[::-1].tolist(), strict=True):
+                x, y = near[e - k - base], near[e - base] + s
+                near[e - k - base] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
+            beta[base : b + 1] = near
+            np.add.at(total, piece, weight * np.exp(alpha[end - size] + score + beta[end] - alpha[m]))
+
     def scores(self, words: list[bytes]) -> np.ndarray:
         """Natural logarithm of each word's marginal probability."""
         out = np.zeros(len(words))
         for at, b in by_length(words):
-            out[at] = self.forward(self.edges(b))[-1]
+            out[at] = self.forward(self.edges(b))[-1] if b is not None else self.long_forward(words[at[0]])[-1]
         return out
 
     def expect(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
         """Expected number of each piece over all segmentations of the weighted words."""
         total = np.zeros(self.n + 1)
         for at, b in by_length(words):
+            if b is None:
+                self.long_expect(words[at[0]], float(weights[at[0]]), total)
+                continue
             edges = self.edges(b)
             alpha = self.forward(edges)
             m = len(edges) - 1
@@ -139,14 +207,17 @@ def _logsum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top).sum(axis=0))
 
 
-def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words of one length at a time, as (their places, their bytes after a leading space)."""
+def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Words of one length at a time, as (their places, their bytes after a leading space); a long word alone, without bytes."""
     length = np.array([len(w) for w in words])
     order = np.argsort(length, kind="stable")
     cuts = np.flatnonzero(np.diff(length[order])) + 1
     for at in np.split(order, cuts):
         n = int(length[at[0]])
-        # long words a few at a time, so that a group's lattice stays small
+        if n > LONG:
+            yield from ((at[i : i + 1], None) for i in range(len(at)))
+            continue
+        # longer words a few at a time, so that a group's lattice stays small
         step = max(1, 4_000_000 // (MAX_PIECE * (n + 1)))
         for i in range(0, len(at), step):
             part = at[i : i + step]
@@ -176,7 +247,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], li
     for batch in batches:
         words += batch.column(0).to_pylist()
         counts += batch.column(1).to_pylist()
-        if len(words) >= GROUP:
+        if len(words) >= GROUP or batch.nbytes > 1 << 24:
             yield words, counts
             words, counts = [], []
     if words:
@@ -187,7 +258,7 @@ def _expect_task(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, total = Lattice(*given.value), 0.0
         for words, counts in _groups(batches):
-            total = total + lattice.expect(words, 1.0 / np.sqrt(np.array(counts, float)))
+            total = total + lattice.expect(words, np.array(counts, float))
         if isinstance(total, np.ndarray):
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["piece", "x"])
@@ -195,16 +266,12 @@ def _expect_task(given):
     return run
 
 
-def _word_task(given, share: float, n: int):
+def _word_task(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*given.value)
         for words, counts in _groups(batches):
-            c = np.array(counts, float)
-            sub = lattice.scores(words) + math.log(share)
-            with np.errstate(divide="ignore"):
-                whole = np.log((1 - share) * c / n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(np.logaddexp(whole, sub) / math.log(10)), pa.array(_hashes(words).view(np.int64))],
+                [pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(lattice.scores(words) / math.log(10)), pa.array(_hashes(words).view(np.int64))],
                 names=["word", "c", "s", "h"],
             )
 
@@ -249,6 +316,12 @@ def _document_task(held, n: int, v: int):
     return run
 
 
+def end_share(probs: np.ndarray, drawn: float, n_docs: int) -> tuple[np.ndarray, float]:
+    """Probabilities of the pieces beside the end's, which is drawn once for each training document."""
+    p_end = (n_docs + 1) / (drawn + PRIOR + n_docs + 1)
+    return (1 - p_end) * probs, p_end
+
+
 def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1
 
@@ -260,8 +333,9 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
     * Null and empty texts have the end token only.
     * A null id counts as held out; rows that repeat are counted and scored each.
-    * With no training documents all tokens are unknown; an empty table gives an empty result.
-    * Other columns are ignored.
+    * With no training documents all tokens are unknown, the model is the vocabulary alone with
+      an end as likely as one piece of ``PRIOR``; an empty table gives an empty result.
+    * Other columns are ignored. A text may be one word of any length: time is linear in it.
     * Word counts are combined in the tasks before the shuffle. The most frequent words (a
       fixed number) are held by every task; all others are scored once each and joined.
     """
@@ -274,21 +348,22 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     n_docs = train.count()
     counted = train.select("__text").mapInArrow(_count_words, "word binary, c long")
     words = materialize(counted.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
-    n, v, once = max(1, sums["n"] + n_docs), sums["v"] + (n_docs > 0), sums["once"]
-    share = min(0.5, max(once, 1) / n)
+    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    n, v = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
 
-    pieces, probs = public_pieces(model_path)
+    pieces, own = public_pieces(model_path)
+    probs, p_end = end_share(own, 0.0, n_docs)
     for _ in range(EM_ROUNDS):
-        found = words.mapInArrow(_expect_task(sc.broadcast((pieces, probs))), "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()  # a row for each piece at most
-        if found:
-            weights = np.zeros(len(pieces))
-            for r in found:
-                weights[r["piece"]] = r["x"]
-            probs = smoothed(weights)
+        given = sc.broadcast((pieces, probs))
+        found = words.mapInArrow(_expect_task(given), "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()  # a row for each piece at most
+        given.unpersist()
+        weights = PRIOR * own
+        for r in found:
+            weights[r["piece"]] += r["x"]
+        probs, p_end = end_share(smoothed(weights), weights.sum() - PRIOR, n_docs)
     given = sc.broadcast((pieces, probs))
     word_scores = "word binary, c long, s double, h long"
-    scored = materialize(words.mapInArrow(_word_task(given, share, n), word_scores), "word-scores")
+    scored = materialize(words.mapInArrow(_word_task(given), word_scores), "word-scores")
 
     # the held words: from the greatest counts down, as many as the bound allows
     level = F.when(F.col("c") < 1024, F.col("c")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("c")))).cast("long")
@@ -309,13 +384,13 @@ def lattice_scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
     rare = materialize(rare, "rare")
     seen = scored.filter(F.col("c") < least).select("word", "c", "s")
     unseen = materialize(rare.select("word").distinct().join(seen, "word", "left_anti").select("word", F.lit(0).cast("long").alias("c")), "unseen")
-    unseen = unseen.mapInArrow(_word_task(given, share, n), word_scores).select("word", "c", "s")
+    unseen = unseen.mapInArrow(_word_task(given), word_scores).select("word", "c", "s")
     base = F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))
     tail = rare.join(seen.unionByName(unseen), "word").groupBy("__row")
     tail = tail.agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tk"), F.sum(F.col("k") * base).alias("tb"), F.sum(F.col("k") * F.col("s")).alias("ts"))
     out = parts.drop("rare").join(materialize(tail, "tails"), "__row", "left")
     end_base = math.log10((n_docs + 0.5) / (n + 0.5 * (v + 1)))
-    end_score = math.log10(max(n_docs, 0.5) / n)
+    end_score = math.log10(p_end)
     return out.select(
         F.col("__id").alias(id_col),
         is_held.alias("held_out"),
