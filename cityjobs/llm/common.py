@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cityjobs.sources.shared import shared_dir, written  # noqa: F401
+from cityjobs.sources.shipping import ship_package
+
 #: ASCII white space, the only separators of words.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder path under the cluster's ``spark.checkpoint.dir``.
-
-    The setting is read from the session; only where it is unset (local tests)
-    a temporary folder takes its place.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a plain Parquet scan.
 
@@ -35,30 +21,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     gives the planner true sizes, so that it broadcasts the table only when the
     measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_SHIPPED: set[str] = set()
+    return written(df, name)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that their Python workers can import it."""
+    """Send this package to the executors and keep Arrow batches of whole texts small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":  # the default; whole texts make such batches too large
         spark.conf.set(key, "1000")
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    top = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="spark-package-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(target))
+    ship_package(spark)
+
+
+ROW = "__row"
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, the file of each row and its place there: rows are told apart whatever their ids are.
+
+    A frame that is no plain scan of Parquet files is written first. A column named
+    ``_metadata`` or ``__row`` is not allowed.
+    """
+    try:
+        return docs.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(ROW))
+    except AnalysisException:
+        return with_rows(materialize(docs, "rows"))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``with_rows(docs)`` whose ``__row`` is not in ``dropped``, without that column.
+
+    A sort-merge join whatever the sizes: both sides grow with the data, and AQE splits skew.
+    """
+    return docs.join(dropped.select(ROW).hint("merge"), ROW, "left_anti").drop(ROW)
+
+
+def before_each(df: DataFrame, key: str, value: Column, out: str, span: int = 4096) -> DataFrame:
+    """Rows (key, out): the sum of ``value`` over all smaller keys, ``df`` having a row for each whole number ``key``.
+
+    Two levels, so that no window holds more than ``span`` rows or one for each span.
+    """
+    rows = df.select(F.col(key).cast("long").alias(key), value.cast("long").alias("__v"), F.floor(F.col(key) / span).alias("__span"))
+    upto = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy("__span").agg(F.sum("__v").alias("__s")).select("__span", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__span").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(spans, "__span").select(key, (F.col("__before") + F.coalesce(F.sum("__v").over(within), F.lit(0))).alias(out))
 
 
 def text_or_empty(col: str | Column) -> Column:
@@ -69,8 +75,3 @@ def text_or_empty(col: str | Column) -> Column:
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; an empty list if none."""
     return F.filter(F.split(text, WORD_SPLIT), lambda w: w != F.lit(""))
-
-
-def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in ``dropped``; rows with a null id stay."""
-    return docs.join(dropped.select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)

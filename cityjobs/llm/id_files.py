@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import id_coder
-from .common import shared_dir, ship
+from .common import before_each, shared_dir, ship
 from .storage import read_file, write_committed
 from .tokens import encoder
 
 #: Ids after which a file is closed.
-FILE_IDS = 4 << 20
+FILE_IDS = 8 << 20
 _MANIFEST = "part int, seq int, file string, n_docs long, n_ids long, bytes long, sha256 string"
 
 
@@ -99,8 +99,9 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFram
     """
     ship(spark)
     manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file only
-    starts = manifest.select("file", "sha256", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    parts = before_each(manifest.groupBy("part").agg(F.sum("n_ids").alias("n")), "part", F.col("n"), "ahead")
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)  # the files of one task
+    starts = manifest.join(parts, "part").select("file", "sha256", (F.col("ahead") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
