@@ -72,13 +72,18 @@ _VALUES = {
     "upper_rate": "n_upper / greatest(word_chars, 1)::DOUBLE",
     "word_length": "word_chars / greatest(n_words, 1)::DOUBLE",
 }
-_P = ALPHA / len(GRID)
-_TESTS = " UNION ALL ".join(
-    f"SELECT stratum, '{r}' AS rule, {c}::DOUBLE AS cut, count(*) AS n, count(*) FILTER (WHERE {r} > {c}::DOUBLE) AS k FROM good GROUP BY stratum" for r, cs in GRID.items() for c in cs
-)
+_RULES = list(enumerate(GRID.items()))
+_LEVELS = ", ".join("(" + " + ".join(f"({r} > {c}::DOUBLE)::INT" for c in cs) + f") AS l{i}" for i, (r, cs) in _RULES)
+_ITEMS = ", ".join(f"({i}, {j}, {c}::DOUBLE)" for i, (_, cs) in _RULES for j, c in enumerate(cs))
+_A = ", ".join(f"a{i}" for i, _ in _RULES)
+_OF = lambda x: "CASE i.r " + " ".join(f"WHEN {i} THEN {x}{i}" for i, _ in _RULES) + " END"
+_SIZE = "CASE i.r " + " ".join(f"WHEN {i} THEN {len(cs)}" for i, (_, cs) in _RULES) + " END"
+_N = sum(len(cs) for cs in GRID.values())
+_LEAST = f"ceil(ln({DELTA}::DOUBLE / {{}}) / ln(1 - {ALPHA}::DOUBLE))"
 
+#: The ladder grows by the cut-off that catches most bad documents not caught yet (``walk``); its steps are tested in order.
 OP10 = f"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 win AS (SELECT doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS g
@@ -90,17 +95,29 @@ f AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(ar
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
   len(regexp_extract_all(t, '[A-Z!]')) AS n_upper FROM w LEFT JOIN cov USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{e} AS {r}" for r, e in _VALUES.items())} FROM f),
-good AS (SELECT v.* FROM v JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id)),
-tests AS ({_TESTS}),
-sure AS (SELECT stratum, rule, min(cut) AS cut FROM tests
-  WHERE k < n * {_P} AND list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
-    + j * ln({_P}) + (n - j) * ln(1 - {_P}::DOUBLE)))) <= {DELTA}::DOUBLE / (SELECT count(*) FROM tests)
-  GROUP BY stratum, rule),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN sure USING (stratum)
-  WHERE {" OR ".join(f"(rule = '{r}' AND {r} > cut)" for r in GRID)})
+rated AS (SELECT doc_id, stratum, q, {_LEVELS} FROM v JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id HAVING min(quality) IN (0, 1)) USING (doc_id)
+  WHERE q = 1 OR NOT base_failed),
+items(r, j, c) AS (VALUES {_ITEMS}),
+caught AS (SELECT l0, l1, l2, l3, l4, count(*) AS n FROM rated WHERE q = 0 GROUP BY ALL),
+walk(k, {_A}) AS (SELECT 0, {", ".join(str(len(cs)) for _, (_, cs) in _RULES)}
+  UNION ALL SELECT k + 1, {", ".join(f"CASE WHEN best.r = {i} THEN best.j ELSE a{i} END" for i, _ in _RULES)}
+  FROM (SELECT k, {_A}, arg_max({{'r': r, 'j': j}}, (gain, j - size, -r)) AS best
+    FROM (SELECT k, {_A}, i.r, i.j, {_SIZE} AS size, sum(b.n) AS gain FROM walk JOIN caught b ON {" AND ".join(f"b.l{i} <= a{i}" for i, _ in _RULES)}
+      JOIN items i ON {_OF("b.l")} > i.j GROUP BY k, {_A}, i.r, i.j) GROUP BY k, {_A})),
+ladder AS (SELECT r, j, c, row_number() OVER (ORDER BY k NULLS LAST, j DESC, r) - 1 AS pos
+  FROM (SELECT i.r, i.j, i.c, min(k) AS k FROM items i LEFT JOIN walk ON {_OF("a")} <= i.j GROUP BY i.r, i.j, i.c)),
+steps AS (SELECT g.doc_id, g.stratum, min(pos) AS step FROM (SELECT * FROM rated WHERE q = 1) g LEFT JOIN ladder i ON {_OF("g.l")} > i.j GROUP BY g.doc_id, g.stratum),
+sizes AS (SELECT stratum, count(*) AS n FROM steps GROUP BY stratum),
+m AS (SELECT count(*) FILTER (WHERE n >= {_LEAST.format(2)}) + 1 AS tests FROM sizes),
+tested AS (SELECT stratum, n FROM sizes, m WHERE n >= {_LEAST.format("tests")} UNION ALL SELECT NULL, sum(n) FROM sizes HAVING sum(n) > 0),
+ks AS (SELECT t.stratum, t.n, l.pos, count(s.doc_id) AS k FROM tested t CROSS JOIN ladder l LEFT JOIN steps s ON s.step <= l.pos AND (t.stratum IS NULL OR s.stratum = t.stratum) GROUP BY t.stratum, t.n, l.pos),
+held AS (SELECT stratum, coalesce(min(pos) FILTER (WHERE NOT (k < n * {ALPHA}::DOUBLE AND list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+    + j * ln({ALPHA}::DOUBLE) + (n - j) * ln(1 - {ALPHA}::DOUBLE)))) <= {DELTA}::DOUBLE / tests)), {_N}) AS steps FROM ks, m GROUP BY stratum),
+cuts AS (SELECT stratum, {", ".join(f"min(c) FILTER (WHERE r = {i} AND pos < steps) AS c{i}" for i, _ in _RULES)} FROM held CROSS JOIN ladder GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
-FROM v
+  NOT base_failed AND NOT coalesce({" OR ".join(f"{r} > c{i}" for i, (r, _) in _RULES)}, false) AS kept
+FROM v LEFT JOIN (SELECT s.stratum AS sid, c.* EXCLUDE (stratum) FROM (SELECT DISTINCT stratum FROM v) s
+  JOIN cuts c ON c.stratum = s.stratum OR (c.stratum IS NULL AND s.stratum NOT IN (SELECT stratum FROM cuts WHERE stratum IS NOT NULL))) x ON x.sid = v.stratum
 """
 
 OP6 = """
