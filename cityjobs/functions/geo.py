@@ -86,6 +86,10 @@ def in_ring(lat: Column, lon: Column, ring: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.transform(ring, crosses), lambda x: x)) % 2 == 1, F.lit(False))
 
 
+def in_any_ring(lat: Column, lon: Column, rings: Column) -> Column:
+    return F.exists(rings, lambda r: in_ring(lat, lon, r))
+
+
 def ring_area(ring: Column) -> Column:
     """Area in plane square metres, by the shoelace sum."""
     n = F.size(ring)
@@ -97,6 +101,16 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(F.transform(ring, term), F.lit(0.0), lambda s, x: s + x)) / 2
 
 
+def rings_area(rings: Column) -> Column:
+    return F.aggregate(F.transform(rings, ring_area), F.lit(0.0), lambda s, x: s + x)
+
+
+def largest_ring(rings: Column) -> Column:
+    """The ring of the greatest area, the first of equals."""
+    most = F.array_max(F.transform(rings, ring_area))
+    return F.get(F.filter(rings, lambda r: ring_area(r) == most), 0)
+
+
 def ring_mean(ring: Column, field: str) -> Column:
     return F.aggregate(F.transform(ring, lambda p: p[field]), F.lit(0.0), lambda s, x: s + x) / F.size(ring)
 
@@ -127,11 +141,17 @@ def dropped_axis(nx: Column, ny: Column, nz: Column) -> Column:
     return F.when(size >= 1e-6, F.when((ax > ay) & (ax > az), 0).when(ay > az, 1).otherwise(2))
 
 
-def quantized(x: Column, step: float, most: int = 32767) -> Column:
+def clamped_steps(x: Column, step: float, most: int = 32767) -> Column:
     """Nearest whole number of steps, within +-most."""
     return F.greatest(F.lit(-most), F.least(F.lit(most), F.floor(x / step + 0.5))).cast("int")
 
 
+def quantized_position(east: Column, north: Column, up: Column, step: float = 0.05, most: int = 32767) -> Column:
+    """Steps along the axes of a y-up frame (east, up, south); a position out of range fails the job."""
+    q = F.transform(F.array(east, up, -north), lambda v: F.floor(v / step + 0.5).cast("int"))
+    return F.when(F.exists(q, lambda v: F.abs(v) > most), F.raise_error(F.lit("position out of quantization range"))).otherwise(q)
+
+
 def offset_position(lat: Column, lon: Column, north_m: Column, east_m: Column) -> tuple[Column, Column]:
     return lat + north_m / 111320.0, lon + east_m / (111320.0 * F.cos(F.radians(lat)))
 

@@ -12,7 +12,9 @@ from cityjobs.jobs.spatial_queries import SQL_CLS, classified
 from cityjobs.operators import buildings as B
 from cityjobs.operators import terrain as T
 from cityjobs.sources import readers as R
+from cityjobs.sources.fixtures import fixture
 from cityjobs.sources.shared import shared_dir as folder
+from cityjobs.sources.writers import write_files
 
 
 def _poly(z):
@@ -21,51 +23,68 @@ def _poly(z):
     return F.concat(F.lit("<gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>"), F.concat_ws(" ", *p), F.lit("</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon>"))
 
 
-def _gml(spark, sf):
-    """Buildings as CityGML text, a file for each part; every eleventh is flat, every fifth has surfaces."""
+def _gml(spark, sf, first_files=None):
+    """Buildings as CityGML text, a file for each of four meshes; every eleventh is flat, every fifth has surfaces. Read back by the reader."""
     h = F.when(F.col("id") % 11 == 0, 0.05).otherwise((F.col("id") % 40 + 3).cast("double"))
     solid = F.concat(F.lit("<bldg:lod1Solid>"), _poly(F.lit("1.0")), _poly((h + 1).cast("string")), F.lit("</bldg:lod1Solid>"))
-    surfaces = F.when(F.col("id") % 5 == 0, F.concat(F.lit("<bldg:boundedBy><bldg:RoofSurface>"), _poly((h + 1).cast("string")), F.lit("</bldg:RoofSurface><bldg:GroundSurface>"), _poly(F.lit("1.0")), F.lit("</bldg:GroundSurface></bldg:boundedBy><gml:name>not this</gml:name>")))
+    multi = lambda z: F.concat(F.lit("<bldg:lod2MultiSurface>"), _poly(z), F.lit("</bldg:lod2MultiSurface>"))
+    surfaces = F.when(F.col("id") % 5 == 0, F.concat(
+        F.lit("<bldg:lod2Solid></bldg:lod2Solid><bldg:boundedBy><bldg:RoofSurface>"), multi((h + 1).cast("string")), F.lit("</bldg:RoofSurface><bldg:GroundSurface>"), multi(F.lit("1.0")),
+        F.lit("</bldg:GroundSurface></bldg:boundedBy><gml:name>not this</gml:name>"),
+    ))
     xml = F.concat(
         F.lit("<bldg:Building gml:id=\"x\">"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("<gml:name> B"), "id", F.lit(" </gml:name>"))).otherwise(""), F.lit("<bldg:measuredHeight uom=\"m\">"), h.cast("string"),
         F.lit("</bldg:measuredHeight>"), F.lit("<bldg:usage>411</bldg:usage>"), solid, F.coalesce(surfaces, F.lit("")), F.lit("<uro:buildingID>"), "id", F.lit("</uro:buildingID></bldg:Building>"),
     )
     path = folder(spark, "gml")
-    w = I.ways(spark, sf).select("id", F.concat(F.lit("5235"), F.lpad((F.col("id") % 4).cast("string"), 4, "0"), F.lit("_bldg_op")).alias("f"), xml.alias("value"))
-    # one file for each mesh: the text sink names files, so meshes go to folders of their own
-    w.repartition(4, "f").sortWithinPartitions("f", "id").select("f", "value").write.partitionBy("f").option("lineSep", "\n").text(path)
-    raw = spark.read.option("lineSep", "</bldg:Building>").option("recursiveFileLookup", True).text(path)
-    return raw.withColumn("xml", F.regexp_extract("value", r"(?s)(<bldg:Building[ >].*)", 1)).filter("xml <> ''")
+    name = F.concat(F.lit("5235"), F.lpad((F.col("id") % 4).cast("string"), 4, "0"), F.lit("_bldg_op.gml"))
+    w = I.ways(spark, sf).select(name.alias("name"), F.struct("id", xml.alias("xml")).alias("b"))
+    files = w.groupBy("name").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list("b")), lambda b: b["xml"])).alias("content"))  # a mesh is a square kilometre
+    write_files(files, path)
+    return R.gml_buildings(spark, path, first_files)
 
 
-_F = "fl AS (SELECT id, CASE WHEN id % 11 = 0 THEN 0.05::DOUBLE ELSE (id % 40 + 3)::DOUBLE END AS h, s, w, n, e FROM w)"
+_F = "fl AS (SELECT id, '5235000' || (id % 4) AS mesh, CASE WHEN id % 11 = 0 THEN 0.05::DOUBLE ELSE (id % 40 + 3)::DOUBLE END AS h, s, w, n, e FROM w)"
+_ID = lambda: R.building_attributes(F.col("xml"))["id"].alias("id")
 
 
-@query("src1_citygml_buildings", f"WITH {SQL_W}, {_F} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 4 = 0 THEN 'B' || id ELSE '' END AS name, h, 0 AS s, '411' AS u, '' AS addr FROM fl")
+@query("src1_citygml_buildings", f"WITH {SQL_W}, {_F} SELECT mesh, CAST(id AS VARCHAR) AS id, CASE WHEN id % 4 = 0 THEN 'B' || id ELSE '' END AS name, h, 0 AS s, '411' AS u, '' AS addr FROM fl")
 def src1(spark, sf):
-    return _gml(spark, sf).select(*[c.alias(k) for k, c in R.building_attributes(F.col("xml")).items()])
+    return _gml(spark, sf).select("mesh", *[c.alias(k) for k, c in R.building_attributes(F.col("xml")).items()])
 
 
-@query("fn4_building_attributes", f"WITH {SQL_W}, {_F} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 4 = 0 THEN 'B' || id ELSE '' END AS name, h FROM fl WHERE id % 5 = 0")
+@query("src1_first_files", f"WITH {SQL_W}, {_F} SELECT mesh, row_number() OVER (PARTITION BY mesh ORDER BY id) AS place, CAST(id AS VARCHAR) AS id FROM fl WHERE id % 4 < 2")
+def src1_first(spark, sf):
+    """The first two files in the order of their names, with each building's place in its file."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy("seq"))
+    return _gml(spark, sf, 2).select("mesh", place.cast("long").alias("place"), _ID())
+
+
+@query("fn4_building_attributes", f"WITH {SQL_W}, {_F} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 4 = 0 THEN 'B' || id ELSE '' END AS name, h FROM fl")
 def fn4(spark, sf):
     """Names that stand after the surfaces do not count."""
-    return src1(spark, sf).filter("CAST(id AS BIGINT) % 5 = 0").select("id", "name", "h")
+    return src1(spark, sf).select("id", "name", "h")
 
 
 @query("fn2_lod1_solids", f"WITH {SQL_W}, {_F} SELECT CAST(id AS VARCHAR) AS id, 1.0::DOUBLE AS zb, h + 1 AS zt, 4 AS n FROM fl WHERE id % 11 <> 0")
 def fn2(spark, sf):
-    g = _gml(spark, sf).select(R.building_attributes(F.col("xml"))["id"].alias("id"), F.explode(R.lod1_solids(F.col("xml"))).alias("s"))
+    g = _gml(spark, sf).select(_ID(), F.explode(R.lod1_solids(F.col("xml"))).alias("s"))
     return g.select("id", "s.zb", "s.zt", F.size("s.ext").alias("n"))
 
 
-@query("flt7_valid_buildings", f"WITH {SQL_W} SELECT count(*) AS n, count(*) FILTER (WHERE id % 11 = 0) AS skipped FROM w")
+@query("flt7_valid_buildings", f"WITH {SQL_W} SELECT CAST(id AS VARCHAR) AS id, id % 11 <> 0 AS valid FROM w")
 def flt7(spark, sf):
-    return _gml(spark, sf).select(F.size(R.lod1_solids(F.col("xml"))).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") == 0).alias("skipped"))
+    return _gml(spark, sf).select(_ID(), (F.size(R.lod1_solids(F.col("xml"))) > 0).alias("valid"))
 
 
-@query("fn3_lod2_surfaces", f"WITH {SQL_W} SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS n FROM w")
+@query("fn3_lod2_surfaces", f"WITH {SQL_W}, {_F} SELECT CAST(id AS VARCHAR) AS id, id % 10 = 0 AS surfaces, CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS n_all, CASE WHEN id % 10 = 0 THEN h + 1 END AS z, CASE WHEN id % 10 = 0 THEN round(s, 6) END AS lat0 FROM fl")
 def fn3(spark, sf):
-    return _gml(spark, sf).select(R.building_attributes(F.col("xml"))["id"].alias("id"), F.size(R.lod2_surfaces(F.col("xml"))).alias("n"))
+    """Every tenth building is in a ground; the others keep their solids unless all are asked for."""
+    g = _gml(spark, sf).withColumn("id", R.building_attributes(F.col("xml"))["id"])
+    in_ground = F.col("id").cast("long") % 10 == 0
+    g = g.select("id", R.chosen_surfaces(F.col("xml"), in_ground).alias("s"), R.chosen_surfaces(F.col("xml"), in_ground, True).alias("every"))
+    first = F.get(F.get("s", 0)["ext"], 0)
+    return g.select("id", (F.size("s") > 0).alias("surfaces"), F.size("s").alias("n"), F.size("every").alias("n_all"), first["z"].alias("z"), first["lat"].alias("lat0"))
 
 
 @query("fn1_position_lists", f"WITH {SQL_W} SELECT id, 4 AS n, round(s, 6) AS lat0, round(w, 6) AS lon0 FROM w")
@@ -81,26 +100,29 @@ def fn6(spark, sf):
     return w.select("id", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
 
 
-@query("src2_terrain_triangles", "SELECT lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, z_dm / 10.0::DOUBLE AS z FROM fx_tin WHERE z_dm > 250")
+@query("src2_terrain_triangles", "SELECT lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, z_dm / 10.0::DOUBLE AS z FROM fx_tin UNION ALL SELECT (lat_u + 500) / 1e6, lon_u / 1e6, z_dm / 10.0::DOUBLE FROM fx_tin UNION ALL SELECT lat_u / 1e6, (lon_u + 500) / 1e6, z_dm / 10.0::DOUBLE FROM fx_tin")
 def src2(spark, sf):
-    """Vertices as position lists of three points, the first repeated, read back from text."""
+    """Triangles as position lists that close with their first point, in sixteen files."""
     path = folder(spark, "tin")
-    t = I.tin(spark, sf).filter("z > 25")
-    one = F.format_string("%.6f %.6f %.1f", "lat", "lon", "z")
-    other = F.format_string("%.6f %.6f %.1f", F.col("lat") + 50, "lon", "z")
-    t.select(F.concat(F.lit("<gml:posList>"), F.concat_ws(" ", one, other, one), F.lit("</gml:posList>")).alias("value")).write.text(path)
-    raw = spark.read.option("lineSep", "</gml:posList>").text(path)
-    pts = B.ring_of_numbers(F.regexp_extract("value", r"(?s)<gml:posList[^>]*>([^<]*)$", 1))
-    return raw.filter(F.col("value").rlike("<gml:posList>")).select(F.explode(pts).alias("p")).select("p.lat", "p.lon", "p.z").filter("lat < 80")
+    at = lambda dy, dx: F.format_string("%.6f %.6f %.1f", (F.col("lat_u") + dy) / 1e6, (F.col("lon_u") + dx) / 1e6, F.col("z_dm") / F.lit(10.0))
+    line = F.concat(F.lit("<gml:posList srsDimension=\"3\">\n"), F.concat_ws(" ", at(0, 0), at(500, 0), at(0, 500), at(0, 0)), F.lit("</gml:posList>"))
+    t = fixture(spark, sf, "fx_tin").select(F.concat((F.col("lat_u") % 16).cast("string"), F.lit("_dem_op.gml")).alias("name"), line.alias("line"))
+    write_files(t.groupBy("name").agg(F.concat_ws("\n", F.collect_list("line")).alias("content")), path)
+    return R.tin_triangles(spark, path)
 
 
-@query("src4_osm_elements", "SELECT 'way' AS type, id, name FROM (SELECT id, btype AS name FROM fx_ways)")
+@query("src4_osm_elements", f"WITH {SQL_W} SELECT 'way' AS type, id, btype AS building, 4 AS points, round(s, 6) AS lat0, round(w, 6) AS lon0, row_number() OVER (PARTITION BY id % 16 ORDER BY id) - 1 AS seq FROM w")
 def src4(spark, sf):
+    """Element documents, sixteen of them; seq is the place in the document."""
     path = folder(spark, "osm")
-    e = F.struct(F.lit("way").alias("type"), F.col("id"), F.create_map(F.lit("building"), F.col("btype")).alias("tags"), F.col("ring").alias("geometry"))
-    I.ways(spark, sf).groupBy((F.col("id") % 16).alias("g")).agg(F.collect_list(e).alias("elements")).select("elements").write.json(path)  # files of a sixteenth each
-    el = spark.read.schema(R.ELEMENTS).json(path)
-    return el.select(F.posexplode("elements").alias("seq", "e")).select("e.type", "e.id", F.try_element_at("e.tags", F.lit("building")).alias("name"))
+    e = F.struct(F.col("id"), F.lit("way").alias("type"), F.create_map(F.lit("building"), F.col("btype")).alias("tags"), F.col("ring").alias("geometry"))
+    sorted_by_id = F.array_sort(F.collect_list(e.dropFields("tags")))
+    docs = I.ways(spark, sf).withColumn("g", F.col("id") % 16)
+    tags = docs.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("id", "btype"))).alias("kinds"), sorted_by_id.alias("es"))
+    full = F.transform("es", lambda x: F.struct(x["type"].alias("type"), x["id"].alias("id"), F.create_map(F.lit("building"), F.try_element_at(F.col("kinds"), x["id"])).alias("tags"), x["geometry"].alias("geometry")))
+    write_files(tags.select(F.concat("g", F.lit(".json")).alias("name"), F.to_json(F.struct(full.alias("elements"))).alias("content")), path)
+    first = F.get("geometry", 0)
+    return R.osm_elements(spark, path).select("type", "id", F.try_element_at("tags", F.lit("building")).alias("building"), F.size("geometry").alias("points"), F.round(first["lat"], 6).alias("lat0"), F.round(first["lon"], 6).alias("lon0"), F.col("seq").cast("long").alias("seq"))
 
 
 def _tiles(spark, sf):
@@ -124,15 +146,25 @@ def snk1(spark, sf):
 @query("src5_sidecar_features", f"WITH {SQL_CLS}, {_SC} SELECT mesh, cls, CAST(batch_id AS INTEGER) AS batch_id, id, s, u, '' AS addr, tn FROM sc")
 def src5(spark, sf):
     path = folder(spark, "sidecars")
-    _tiles(spark, sf).write.partitionBy("mesh", "cls").json(path)
-    return B.features_of_sidecars(spark.read.schema(R.SIDECAR + ", mesh string, cls string").json(path))
+    tiles = _tiles(spark, sf).select(F.concat("mesh", F.lit("_"), "cls", F.lit(".json")).alias("name"), F.to_json(F.struct("id", "s", "u", "addr", "tn")).alias("content"))
+    write_files(tiles, path)
+    return R.sidecar_features(spark, path)
+
 
+_NODES = f"""{SQL_CLS}, tb AS (SELECT mesh, cls, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n, min(base) AS lo, max(top) AS hi FROM cls GROUP BY mesh, cls),
+nodes AS (SELECT mesh, max(mesh || '_t') FILTER (WHERE cls = 't') AS tall, max(mesh || '_d') FILTER (WHERE cls = 'd') AS detail, min(w) AS w, min(s) AS s, max(e) AS e, max(n) AS n, min(lo) AS lo, max(hi) AS hi FROM tb GROUP BY mesh)"""
 
-@query("snk2_tile_manifest", f"WITH {SQL_CLS} SELECT count(DISTINCT mesh) AS n FROM cls")
+
+@query("snk2_tile_manifest", f"WITH {_NODES} SELECT row_number() OVER (ORDER BY mesh) - 1 AS place, mesh, 80 AS error, 'ADD' AS refine, tall, detail, CASE WHEN detail IS NOT NULL THEN 0 END AS detail_error, w, s, e, n, lo, hi, min(w) OVER () AS root_w, max(hi) OVER () AS root_hi FROM nodes")
 def snk2(spark, sf):
+    """The written document's nodes in their order, with the root's box."""
     c = classified(spark, sf).groupBy("mesh", "cls")
     bounds = c.agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"), F.min("base").alias("lo"), F.max("top").alias("hi"))
-    return B.manifest(bounds).select(F.size(F.from_json("manifest", "children array<struct<mesh:string>>")["children"]).cast("long").alias("n"))
+    tile = "struct<region:array<double>,content:string,geometricError:int>"
+    back = F.from_json("manifest", f"root struct<region:array<double>,geometricError:int,children:array<struct<mesh:string,region:array<double>,geometricError:int,refine:string,content:{tile},child:{tile}>>>")
+    nodes = B.manifest(bounds).select(back.alias("m")).select(F.col("m.root.region").alias("root"), F.posexplode("m.root.children").alias("place", "n"))
+    box = [F.get("n.region", i).alias(k) for i, k in enumerate(("w", "s", "e", "n", "lo", "hi"))]
+    return nodes.select(F.col("place").cast("long").alias("place"), "n.mesh", F.col("n.geometricError").alias("error"), "n.refine", F.col("n.content.content").alias("tall"), F.col("n.child.content").alias("detail"), F.col("n.child.geometricError").alias("detail_error"), *box, F.get("root", 0).alias("root_w"), F.get("root", 5).alias("root_hi"))
 
 
 @query("win3_primitive_packing")
@@ -146,6 +178,15 @@ def snk4(spark, sf):
     return R.refreshed(T.overview(I.dem(spark, sf)), folder(spark, "overview"))
 
 
+@query("src6_terrain_chunks", f"""WITH {SQL_DEM}, ch AS (SELECT cr, cc, y, x, least(cr * 64 + y, 209) AS r, least(cc * 64 + x, 239) AS c FROM range(4) a(cr), range(4) b(cc), range(65) d(y), range(65) f(x))
+SELECT cr, cc, y, x, CAST(floor(z / 0.1::DOUBLE + 0.5) AS INTEGER) AS z_dm FROM ch JOIN dem USING (r, c)""")
+def src6(spark, sf):
+    """Chunks packed into binary files and read back."""
+    path = folder(spark, "chunks")
+    write_files(T.chunk_blobs(T.chunked(I.dem(spark, sf), I.GRID, 64), 64), path)
+    return R.chunk_cells(spark, path, 64)
+
+
 @query("snk5_labels_output", "SELECT id, name FROM fx_landmarks")
 def snk5(spark, sf):
     path = folder(spark, "labels")
@@ -164,10 +205,10 @@ def snk7(spark, sf):
     return R.refreshed(l.withColumn("state", F.lit("new")), path, force=True)
 
 
-@query("src7_building_index", "SELECT src, row_number() OVER (ORDER BY src, id) - 1 AS seq, id FROM (SELECT 'city' AS src, id FROM fx_buildings WHERE id < 2000 UNION ALL SELECT 'osm', id FROM fx_ways WHERE id < 2000)")
+@query("src7_building_index", "SELECT src, row_number() OVER (ORDER BY src, id) - 1 AS seq, id FROM (SELECT 'city' AS src, id FROM fx_buildings UNION ALL SELECT 'osm', id FROM fx_ways)")
 def src7(spark, sf):
     """The city's index, then the infill's, numbered on: places within a source plus the rows of the sources before."""
-    both = I.buildings(spark, sf).select(F.lit("city").alias("src"), F.col("pid").alias("id")).unionByName(I.ways(spark, sf).select(F.lit("osm").alias("src"), "id")).filter("id < 2000")
+    both = I.buildings(spark, sf).select(F.lit("city").alias("src"), F.col("pid").alias("id")).unionByName(I.ways(spark, sf).select(F.lit("osm").alias("src"), "id"))
     part = F.floor(F.col("id") / 500)
     sizes = both.groupBy("src", part.alias("part")).count()
     before = F.coalesce(F.sum("count").over(Window.orderBy("src", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part

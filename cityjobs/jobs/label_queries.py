@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
 from cityjobs.jobs import inputs as I
-from cityjobs.jobs.inputs import SQL_B, SQL_DEM, sql_dist
+from cityjobs.jobs.inputs import SQL_B, SQL_BILINEAR, SQL_DEM, sql_dist
 from cityjobs.jobs.registry import query
 from cityjobs.operators import labels as L
 from cityjobs.operators import views as V
@@ -74,7 +74,7 @@ def fn30(spark, sf):
     return landmarks(spark, sf).select("id", L.clean_english(raw).alias("en"))
 
 
-@query("fn31_rule_translation", f"WITH {SQL_B} SELECT DISTINCT name, CASE WHEN name LIKE '%小学校' THEN regexp_extract(name, '^(?:市立|府立|私立|国立)?(.+)小学校(.*)$', 1) ELSE name END AS part, CASE WHEN name LIKE '%小学校' THEN ' Elementary School' ELSE '' END AS after FROM b WHERE name <> ''")
+@query("fn31_rule_translation", f"WITH {SQL_B} SELECT DISTINCT name, CASE WHEN name LIKE '%小学校%' THEN regexp_extract(name, '^(?:市立|府立|私立|国立)?(.+)小学校(.*)$', 1) ELSE name END AS part, CASE WHEN name LIKE '%小学校%' THEN ' Elementary School' ELSE '' END AS after, CASE WHEN name LIKE '%小学校%' THEN regexp_extract(name, '^(?:市立|府立|私立|国立)?(.+)小学校(.*)$', 2) ELSE '' END AS more FROM b WHERE name <> ''")
 def fn31(spark, sf):
     return named(spark, sf).select("name").distinct().withColumns(L.rule_of(F.col("name")))
 
@@ -85,7 +85,7 @@ def fn32(spark, sf):
     return L.translated(named(spark, sf))
 
 
-@query("flt12_untranslated", f"WITH {SQL_B} SELECT DISTINCT name FROM b WHERE name <> '' AND (name IN ('梅田駅', '天王寺公園') OR name LIKE '施設%' OR name = '大阪市立中央小学校')")
+@query("flt12_untranslated", f"WITH {SQL_B} SELECT DISTINCT name FROM b WHERE name <> '' AND (name LIKE '施設%' OR name LIKE '大阪市立中央小学校%')")
 def flt12(spark, sf):
     return L.translated(named(spark, sf)).filter(F.col("en").rlike(L.JAPANESE)).select("name")
 
@@ -110,9 +110,23 @@ def join12(spark, sf):
     return landmarks(spark, sf).filter("id % 9 <> 0").join(g, "name", "left_anti").select("id")
 
 
-@query("join13_facility_conflicts", f"""WITH {SQL_B}, {_NB} SELECT a.id AS a, b.id AS b FROM nb a JOIN nb b ON a.id < b.id AND abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.01
-WHERE {sql_dist("a.lat", "a.lon", "b.lat", "b.lon")} < 40 OR (a.name = b.name AND ({sql_dist("a.lat", "a.lon", "b.lat", "b.lon")} < 300 OR (a.name LIKE '%駅' AND {sql_dist("a.lat", "a.lon", "b.lat", "b.lon")} < 800)))""")
+_KN = "kn AS (SELECT CASE id % 4 WHEN 0 THEN 's' WHEN 1 THEN 'l' WHEN 2 THEN 't' ELSE 'p' END AS k, CASE id % 4 WHEN 0 THEN '梅田駅' ELSE name END AS ja, lat + CASE WHEN id % 3 = 0 THEN 0.003 ELSE 0.0 END AS lat, lon FROM b WHERE id % 10 < 5)"
+
+
+@query("join13_facility_conflicts", f"""WITH {SQL_B}, {_NB}, {_KN} SELECT DISTINCT nb.id FROM nb JOIN kn ON kn.k <> 'p' AND abs(kn.lat - nb.lat) < 0.01 AND abs(kn.lon - nb.lon) < 0.01
+WHERE {sql_dist("nb.lat", "nb.lon", "kn.lat", "kn.lon")} < 40 OR (nb.name = kn.ja AND ({sql_dist("nb.lat", "nb.lon", "kn.lat", "kn.lon")} < 300 OR (nb.name LIKE '%駅' AND kn.k = 's' AND {sql_dist("nb.lat", "nb.lon", "kn.lat", "kn.lon")} < 800)))""")
 def join13(spark, sf):
+    """Facilities against labels of all kinds made of half of the buildings, some moved by 300 metres."""
+    i = F.col("pid")
+    b = I.buildings(spark, sf).filter(i % 10 < 5)
+    kind = F.when(i % 4 == 0, "s").when(i % 4 == 1, "l").when(i % 4 == 2, "t").otherwise("p")
+    known = b.select(kind.alias("k"), F.when(i % 4 == 0, "梅田駅").otherwise(F.col("name")).alias("ja"), (F.col("lat") + F.when(i % 3 == 0, 0.003).otherwise(0.0)).alias("lat"), "lon")
+    return L.beside_known_labels(named(spark, sf).select("id", "name", "lat", "lon"), known).select("id")
+
+
+@query("grd2_conflict_pairs", f"""WITH {SQL_B}, {_NB} SELECT a.id AS a, b.id AS b FROM nb a JOIN nb b ON a.id < b.id AND abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.01
+WHERE {sql_dist("a.lat", "a.lon", "b.lat", "b.lon")} < 40 OR (a.name = b.name AND ({sql_dist("a.lat", "a.lon", "b.lat", "b.lon")} < 300 OR (a.name LIKE '%駅' AND {sql_dist("a.lat", "a.lon", "b.lat", "b.lon")} < 800)))""")
+def grd2_pairs(spark, sf):
     return L.conflicts(named(spark, sf).select("id", "name", "lat", "lon"))
 
 
@@ -126,11 +140,10 @@ def _labels(spark, sf):
 _ORD = "l2 AS (SELECT id, name AS ja, lat, lon, id % 3 + 1 AS r, CASE WHEN id % 4 <> 0 THEN id % 300 END AS e FROM l), o AS (SELECT *, row_number() OVER (PARTITION BY ja ORDER BY r, coalesce(e, 0) DESC, id) AS n FROM l2)"
 
 
-@query("sort1_label_order", f"WITH {_L}, {_ORD} SELECT id, row_number() OVER (ORDER BY r, coalesce(e, 0) DESC, id) AS place FROM o ORDER BY place LIMIT 1000")
+@query("sort1_label_order", f"WITH {_L}, {_ORD} SELECT id, row_number() OVER (ORDER BY r, coalesce(e, 0) DESC, id) AS place FROM o")
 def sort1(spark, sf):
-    """The first thousand labels with their place."""
-    top = _labels(spark, sf).orderBy("r", F.coalesce("e", F.lit(0)).desc(), "id").limit(1000)
-    return top.select("id", F.row_number().over(Window.orderBy("key")).alias("place"))
+    """All labels with their place."""
+    return L.ordered_places(_labels(spark, sf), [F.col("r"), F.coalesce("e", F.lit(0)).desc(), F.col("id")]).select("id", "place")
 
 
 @query("grd1_same_name_dedup", f"""WITH RECURSIVE {_L}, {_ORD},
@@ -161,10 +174,14 @@ def grd2(spark, sf):
     return L.greedy_independent(f, L.conflicts(f)).select("id")
 
 
-@query("agg8_label_statistics", f"WITH {SQL_B}, {_NB}, k AS (SELECT CASE WHEN name LIKE '%駅' THEN 's' ELSE 'f' END AS k, CASE WHEN name LIKE '%駅' OR top - base >= 60 THEN 2 ELSE 3 END AS r FROM nb) SELECT k, count(*) AS n, count(*) FILTER (WHERE r = 2) AS second FROM k GROUP BY ROLLUP (k)")
+@query("agg8_label_statistics", f"""WITH {SQL_B}, {_NB}, k AS (SELECT CASE WHEN name LIKE '%駅' THEN 's' ELSE 'f' END AS k, CASE WHEN name LIKE '%駅' OR top - base >= 60 THEN 2 ELSE 3 END AS r FROM nb
+ UNION ALL SELECT 'p', CASE WHEN id % 4 = 0 THEN 1 ELSE 3 END FROM fx_peaks WHERE id % 5 - 2 > 0 OR ele_tag IS NOT NULL)
+SELECT k, count(*) AS n, count(*) FILTER (WHERE r = 1) AS first, CASE WHEN k = 'p' THEN (SELECT count(*) FROM fx_peaks) END AS seen FROM k GROUP BY ROLLUP (k)""")
 def agg8(spark, sf):
-    n = named(spark, sf).withColumns(L.facility_fields(F.col("name"), F.col("top"), F.col("base")))
-    return n.rollup("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") == 2).alias("second"))
+    n = named(spark, sf).withColumns(L.facility_fields(F.col("name"), F.col("top"), F.col("base"))).select("k", "r")
+    peaks = fixture(spark, sf, "fx_peaks")
+    kept = peaks.filter(L.keep_peak(F.col("id") % 5 - 2, F.col("ele_tag"))).select(F.lit("p").alias("k"), F.when(F.col("id") % 4 == 0, 1).otherwise(3).alias("r"))
+    return L.label_statistics(n.unionByName(kept), peaks)
 
 
 @query("fn34_wikipedia_link", f"WITH {_L} SELECT id, 'https://ja.wikipedia.org/wiki/Place%20' || id AS link FROM l")
@@ -199,9 +216,13 @@ def join14(spark, sf):
     return b.join(g, "tn", "left").select("id", "i")
 
 
-@query("fn37_heights_above_ground", f"WITH {SQL_B} SELECT id, round(top - 12.5, 6) AS agl, round(greatest(base, 12.5 + 1), 6) AS asl FROM b")
+@query("fn37_heights_above_ground", f"""WITH {SQL_DEM}, {SQL_B}, g AS (SELECT b.id, top, base, floor(z / 0.1::DOUBLE + 0.5) * 0.1::DOUBLE AS ground FROM b JOIN dem ON dem.r = greatest(0, least(209, floor((34.78::DOUBLE - lat) / 0.001::DOUBLE)))
+AND dem.c = greatest(0, least(239, floor((lon - 135.37::DOUBLE) / 0.001::DOUBLE)))) SELECT id, round(top - ground, 6) AS agl, round(greatest(base, ground + 1), 6) AS asl FROM g""")
 def fn37(spark, sf):
-    return I.buildings(spark, sf).select(F.col("pid").alias("id"), F.round(F.col("top") - 12.5, 6).alias("agl"), F.round(F.greatest(F.col("base"), F.lit(13.5)), 6).alias("asl"))
+    from cityjobs.operators import terrain as T
+
+    b = T.nearest_height(I.buildings(spark, sf), I.dem(spark, sf), I.GRID)
+    return b.select(F.col("pid").alias("id"), F.round(F.col("top") - F.col("ground"), 6).alias("agl"), F.round(F.greatest(F.col("base"), F.col("ground") + 1), 6).alias("asl"))
 
 
 @query("fn38_compass_points", "SELECT event_id, (['N','NE','E','SE','S','SW','W','NW'])[CAST(floor(alpha / 45.0 + 0.5) AS INTEGER) % 8 + 1] AS p8, (['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])[CAST(floor(alpha / 22.5 + 0.5) AS INTEGER) % 16 + 1] AS p16 FROM fx_pings")
@@ -209,13 +230,15 @@ def fn38(spark, sf):
     return fixture(spark, sf, "fx_pings").select("event_id", geo.compass_point(F.col("alpha"), V.POINTS_8).alias("p8"), geo.compass_point(F.col("alpha") - 360, V.POINTS_16).alias("p16"))
 
 
-@query("fn39_view_links", "SELECT view_id, round(lat_u / 1e6, 6) AS lat, round(lon_u / 1e6, 6) AS lon, h_dm / 10.0::DOUBLE AS h, heading::DOUBLE AS heading, pitch::DOUBLE AS pitch FROM fx_views")
+@query("fn39_view_links", """SELECT event_id, round(lat_u / 1e6, 6) AS lat, round(lon_u / 1e6, 6) AS lon, (event_id % 900) / 10.0::DOUBLE AS h, alpha::DOUBLE AS heading, beta::DOUBLE AS pitch, event_id % 3 = 0 AS look,
+CASE WHEN event_id % 4 = 1 THEN (event_id % 7 + 1)::DOUBLE END AS spin FROM fx_pings""")
 def fn39(spark, sf):
     """Views written as links and read back."""
-    v = I.named_points(spark, sf, "fx_views")
-    link = V.view_link(F.col("lat"), F.col("lon"), F.col("h_dm") / F.lit(10.0), F.col("heading").cast("double"), F.col("pitch").cast("double"))
-    p = v.select("view_id", V.parsed_view(link).alias("v"))
-    return p.select("view_id", *[F.get("v", i).alias(n) for i, n in enumerate(("lat", "lon", "h", "heading", "pitch"))])
+    v = I.named_points(spark, sf, "fx_pings")
+    i = F.col("event_id")
+    link = V.view_link(F.col("lat"), F.col("lon"), (i % 900) / F.lit(10.0), F.col("alpha").cast("double"), F.col("beta").cast("double"), i % 3 == 0, F.when(i % 4 == 1, (i % 7 + 1).cast("double")))
+    p = v.select("event_id", V.parsed_view(link).alias("v"), *[c.alias(k) for k, c in V.view_options(link).items()])
+    return p.select("event_id", *[F.get("v", i).alias(n) for i, n in enumerate(("lat", "lon", "h", "heading", "pitch"))], "look", "spin")
 
 
 _VEC = """t AS (SELECT event_id, device, ts, cos(radians(alpha)) AS ca, sin(radians(alpha)) AS sa, cos(radians(beta)) AS cb, sin(radians(beta)) AS sb, cos(radians(gamma)) AS cg, sin(radians(gamma)) AS sg FROM fx_pings),
@@ -275,7 +298,7 @@ def sort2(spark, sf):
 
 @query("join17_line_of_sight")
 def join17(spark, sf):
-    """Candidates that no terrain hides; the terrain is raised a hundred times so that some is in the way."""
+    """Candidates that no terrain hides; the terrain is raised ten times so that some is in the way."""
     pairs = _candidates(spark, sf).withColumn("pair", F.concat_ws(":", "view_id", "id"))
     high = I.dem(spark, sf).withColumn("z", F.col("z") * 10)
     return V.in_sight(pairs, high, I.GRID).select("view_id", "id")
@@ -308,11 +331,16 @@ def str2(spark, sf):
     return D.smoothed(fixture(spark, sf, "fx_pings")).select("event_id", (F.round("dx", 6) + 0).alias("dx"), (F.round("uy", 6) + 0).alias("uy"))
 
 
-@query("str1_ping_enrichment", f"""WITH {SQL_DEM} SELECT event_id, dem.z AS ground, dem.z + 1.5 AS eye FROM fx_pings JOIN dem ON dem.r = greatest(0, least(209, floor((34.78::DOUBLE - lat_u / 1e6) / 0.001::DOUBLE))) AND dem.c = greatest(0, least(239, floor((lon_u / 1e6 - 135.37::DOUBLE) / 0.001::DOUBLE)))""")
+_P1 = "p AS (SELECT event_id AS id, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon FROM fx_pings)"
+
+
+@query("str1_ping_enrichment", f"""WITH {SQL_DEM}, {_P1}, {SQL_BILINEAR}, o AS (SELECT event_id, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) = 1 AS first FROM (SELECT event_id, device, ts FROM fx_pings))
+SELECT event_id, round(height, 6) AS ground, round(height + 1.5, 6) AS eye, first FROM bil JOIN o ON o.event_id = bil.id""")
 def str1(spark, sf):
     from cityjobs.streaming import devices as D
 
-    return D.enriched(I.named_points(spark, sf, "fx_pings"), I.dem(spark, sf), I.GRID, 1.5).select("event_id", "ground", "eye")
+    out = D.first_flagged(D.enriched(I.named_points(spark, sf, "fx_pings"), I.dem(spark, sf), I.GRID, 1.5))
+    return out.select("event_id", F.round("ground", 6).alias("ground"), F.round("eye", 6).alias("eye"), "first")
 
 
 @query("str3_settled_views", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY device ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM fx_pings),

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
 from cityjobs.jobs import inputs as I
-from cityjobs.jobs.inputs import SQL_DEM, SQL_W
+from cityjobs.jobs.inputs import SQL_B, SQL_DEM, SQL_E, SQL_G, SQL_W, sql_dist
 from cityjobs.jobs.registry import query
+from cityjobs.jobs.spatial_queries import MESH, SQL_IN
+from cityjobs.operators import labels as L
 from cityjobs.operators import osm as O
 from cityjobs.operators import spatial as S
 from cityjobs.operators import terrain as T
@@ -28,7 +30,7 @@ def elements(spark, sf):
     none = F.lit(None).cast(O.POINTS)
     lm = lm.select(F.lit("node").alias("type"), "id", (i * 3).alias("seq"), "lat", "lon", _tags(
         name=F.col("name"), railway=F.when(F.col("is_station"), "station"), wikidata=F.when(F.col("notable"), F.concat(F.lit("Q"), i)), name__en=F.col("name_en"),
-        tourism=F.when(i % 5 == 0, "museum").when(i % 5 == 1, "hotel"), historic=F.when(i % 7 == 0, "monument").when(i % 29 == 0, "castle"), leisure=F.when(i % 11 == 0, "park"),
+        tourism=F.when(i % 5 == 0, "museum").when(i % 5 == 1, "hotel"), historic=F.when(i % 7 == 0, F.get(F.array(*[F.lit(k) for k in (*O.HISTORIC_KINDS, "ruins", "wreck")]), (i / 7).cast("int") % 9)).when(i % 29 == 0, "castle"), leisure=F.when(i % 11 == 0, "park").when(i % 11 == 1, "pitch"), landuse=F.when(i % 15 == 0, "religious"),
         amenity=F.when(i % 9 == 0, "place_of_worship"), wikipedia=F.when(i % 13 == 0, F.concat(F.lit("ja:"), F.col("name"))), heritage=F.when(i % 17 == 0, "2"),
         religion=F.when(i % 10 == 0, "buddhist").when(i % 10 == 1, "shinto").when(i % 10 == 2, "christian"), heritage__operator=F.when(i % 34 == 0, "whc"),
     ).alias("tags"), none.alias("geometry"))
@@ -56,7 +58,7 @@ def flt1(spark, sf):
     return O.peaks(elements(spark, sf), BOX).select("id")
 
 
-_LM = f"""SELECT 'node' AS type, id FROM l WHERE {_IN} AND (id % 5 = 0 OR id % 7 = 0 OR id % 29 = 0 OR is_station OR (id % 11 = 0 AND notable))
+_LM = f"""SELECT 'node' AS type, id FROM l WHERE {_IN} AND (id % 5 = 0 OR (id % 7 = 0 AND CAST(floor(id / 7) AS INTEGER) % 9 < 7) OR (id % 29 = 0 AND id % 7 <> 0) OR is_station OR (id % 11 = 0 AND notable))
 UNION ALL SELECT 'way', id FROM w WHERE {_IN} AND id % 4 = 0 AND (NOT is_part OR id % 6 = 0)"""
 
 
@@ -65,9 +67,12 @@ def flt2(spark, sf):
     return O.landmarks(elements(spark, sf), BOX).select("type", "id")
 
 
-@query("flt3_sacred_grounds", f"WITH {_L} SELECT id FROM l WHERE (id % 9 = 0 AND (id % 13 = 0 OR notable)) OR (id % 29 = 0 AND id % 7 <> 0 AND id % 13 = 0)")
+_SG = f"SELECT id FROM l WHERE {_IN} AND ((id % 9 = 0 AND (id % 13 = 0 OR notable)) OR (id % 15 = 0 AND id % 13 = 0) OR (((id % 29 = 0 AND id % 7 <> 0) OR (id % 7 = 0 AND CAST(floor(id / 7) AS INTEGER) % 9 = 0)) AND id % 13 = 0))"
+
+
+@query("flt3_sacred_grounds", f"WITH {_L} {_SG}")
 def flt3(spark, sf):
-    return O.sacred_grounds(elements(spark, sf)).select("id")
+    return O.sacred_grounds(elements(spark, sf), BOX).select("id")
 
 
 @query("flt5_closed_ways", f"WITH {SQL_W} SELECT id FROM w WHERE id % 13 <> 0")
@@ -81,14 +86,16 @@ hm AS (SELECT *, least(h - 0.5, CASE WHEN id % 7 = 0 THEN 2.5 ELSE 0.0 END)::DOU
 ht AS (SELECT *, CASE WHEN shape = 'flat' THEN 0.0 ELSE least(CASE WHEN id % 9 = 0 THEN 3.0 ELSE (h - min_h) * 0.4 END, h - min_h) END::DOUBLE AS rh, coalesce(lv, 0.0)::DOUBLE AS levels FROM hm)"""
 
 
-@query("flt6_observation_towers", f"WITH {SQL_W}, {_H} SELECT id FROM ht WHERE id % 12 = 0 AND NOT is_part AND th >= 30")
+_WIN = f"""b AS (SELECT id, lat, lon FROM w), {SQL_E}, {SQL_G}, {SQL_IN}"""
+
+
+@query("flt6_observation_towers", f"WITH {SQL_W}, {_H}, {_WIN} SELECT id FROM ht WHERE id % 12 = 0 AND NOT is_part AND th >= 30 AND id NOT IN (SELECT id FROM own)")
 def flt6(spark, sf):
-    e = elements(spark, sf)
-    tower = O.has("building") & (O.tag("man_made") == "tower") & (O.tag("tower:type") == "observation") & (O.lenient_number(O.tag("height")) >= 30)
-    return e.filter((F.col("type") == "way") & tower).select("id")
+    """Towers within a ground are not among them."""
+    return O.observation_towers(elements(spark, sf), I.grounds(spark, sf)).select("id")
 
 
-@query("fn15_ground_religion", f"""WITH {_L} SELECT id, CAST(CASE WHEN id % 29 = 0 AND id % 7 <> 0 THEN 4 WHEN id % 10 = 0 THEN 1 WHEN id % 10 = 1 THEN 2 WHEN id % 10 = 2 THEN 3 WHEN name LIKE '%宮' THEN 2 WHEN name LIKE '%寺' THEN 1 ELSE 3 END AS INTEGER) AS rel FROM l
+@query("fn15_ground_religion", f"""WITH {_L} SELECT id, CAST(CASE WHEN (id % 29 = 0 AND id % 7 <> 0) OR (id % 7 = 0 AND CAST(floor(id / 7) AS INTEGER) % 9 = 0) THEN 4 WHEN id % 10 = 0 THEN 1 WHEN id % 10 = 1 THEN 2 WHEN id % 10 = 2 THEN 3 WHEN name LIKE '%宮' THEN 2 WHEN name LIKE '%寺' THEN 1 ELSE 3 END AS INTEGER) AS rel FROM l
 UNION ALL SELECT i + 20000000, CAST(CASE i % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 3 END AS INTEGER) FROM fx_grounds""")
 def fn15(spark, sf):
     from cityjobs.sources.fixtures import fixture
@@ -150,28 +157,42 @@ def fn14(spark, sf):
     return I.ways(spark, sf).select("id", O.assembled(pieces).alias("rings")).select("id", F.size("rings").alias("n"), "rings")
 
 
-@query("fn20_walls_and_roofs", f"WITH {SQL_W}, {_H} SELECT id, CAST(4 + CASE WHEN rh > 0.3 AND shape <> 'flat' THEN 4 ELSE 1 END AS INTEGER) AS n, round(CASE WHEN rh > 0.3 AND shape <> 'flat' THEN h - rh ELSE h END, 6) AS eave FROM ht")
+_FACES = """pt AS (SELECT ht.*, rh > 0.3 AND shape <> 'flat' AS roofy, CASE WHEN rh > 0.3 AND shape <> 'flat' THEN h - rh ELSE h END AS eave, (n - s) * 111000.0::DOUBLE AS dn, (e - w) * 91280.04047475605::DOUBLE AS de FROM ht),
+-- corners 0 .. 3 are (s, w), (s, e), (n, e), (n, w); a ridge along them if the sides to the east are the longer ones
+rf AS (SELECT id, roofy, eave, shape, h, min_h, dn, de, s, w, n, e, CASE WHEN shape = 'gabled' THEN 0.0::DOUBLE WHEN greatest(dn, de) > least(dn, de) THEN least(dn, de) / 2 / greatest(dn, de) ELSE 0.5::DOUBLE END AS f FROM pt)"""
+
+
+@query("fn20_walls_and_roofs", f"""WITH {SQL_W}, {_H}, {_FACES} SELECT id, CAST(4 + CASE WHEN roofy THEN 4 ELSE 1 END AS INTEGER) AS n, round(eave, 6) AS eave,
+ round(CASE WHEN NOT roofy THEN eave WHEN shape IN ('gabled', 'hipped') THEN h ELSE h END, 6) AS top,
+ round(CASE WHEN NOT roofy THEN n WHEN shape = 'pyramidal' THEN (s + n) / 2 WHEN de >= dn THEN (s + n) / 2 ELSE s + (n - s) * (1 - f) END, 7) AS lat,
+ round(CASE WHEN NOT roofy THEN e WHEN shape = 'pyramidal' THEN (w + e) / 2 WHEN de >= dn THEN w + (e - w) * (1 - f) ELSE (w + e) / 2 END, 7) AS lon FROM rf""")
 def fn20(spark, sf):
+    """Number of polygons, eave, and the third point of the first roof polygon: a ridge's end, the apex, or a corner."""
     w = _ways(spark, sf).withColumn("open", F.slice("geometry", 1, 4))
     eave, roof = O.roof_surfaces(F.col("open"), F.col("min_h"), F.col("h"), F.col("shape"), F.col("rh"), F.lit(False))
     w = w.withColumns({"eave": eave, "roof": roof}).withColumn("walls", O.wall_surfaces(F.col("open"), F.col("min_h"), F.col("eave")))
-    return w.select("id", F.size(F.concat("walls", "roof")).alias("n"), F.round("eave", 6).alias("eave"))
+    third = F.get(F.get("roof", 0), 2)
+    return w.select("id", F.size(F.concat("walls", "roof")).alias("n"), F.round("eave", 6).alias("eave"), F.round(third["z"], 6).alias("top"), F.round(third["lat"], 7).alias("lat"), F.round(third["lon"], 7).alias("lon"))
 
 
-@query("fn21_tower_surfaces", f"WITH {SQL_W}, {_H} SELECT id, 25 AS n, round(h, 6) AS top, round(0.78 * h, 6) AS deck FROM ht")
+@query("fn21_tower_surfaces", f"""WITH {SQL_W}, {_H}, lv AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 1.0::DOUBLE), (1, 0.25, 0.45), (2, 0.75, 0.42), (3, 0.78, 0.6), (4, 0.86, 0.6), (5, 0.88, 0.3)) AS t(k, f, size)),
+side AS (SELECT id, k * 4 + q.j AS face, f * h AS z, CASE WHEN q.j IN (0, 1) THEN lat + (s - lat) * size ELSE lat + (n - lat) * size END AS la FROM ht, lv, (VALUES (0), (1), (2), (3)) AS q(j) WHERE k < 5)
+SELECT id, face, round(z, 6) AS z, round(la, 7) AS lat FROM side UNION ALL SELECT id, 20, round(0.78 * h, 6), round(lat + (n - lat) * 0.6, 7) FROM ht
+UNION ALL SELECT id, 21 + q.j, round(0.88 * h, 6), round(CASE WHEN q.j IN (0, 1) THEN lat + (s - lat) * 0.3 ELSE lat + (n - lat) * 0.3 END, 7) FROM ht, (VALUES (0), (1), (2), (3)) AS q(j)""")
 def fn21(spark, sf):
+    """The first point of every polygon: twenty sides, the deck's floor, four sides of the spire."""
     s = O.tower_surfaces(F.slice("geometry", 1, 4), F.lit(0.0), F.col("h"))
-    w = _ways(spark, sf).select("id", s.alias("s"))
-    top = F.array_max(F.transform(F.flatten("s"), lambda p: p["z"]))
-    return w.select("id", F.size("s").alias("n"), F.round(top, 6).alias("top"), F.round(F.get(F.get("s", 20), 0)["z"], 6).alias("deck"))
+    w = _ways(spark, sf).select("id", F.posexplode(s).alias("face", "p"))
+    first = F.get("p", 0)
+    return w.select("id", "face", F.round(first["z"], 6).alias("z"), F.round(first["lat"], 7).alias("lat"))
 
 
-@query("fn22_prism_walls", f"WITH {SQL_W} SELECT id, 8 AS triangles FROM w")
+@query("fn22_prism_walls", f"WITH {SQL_W} SELECT id, k, round(la, 7) AS lat, round(lo, 7) AS lon FROM (SELECT id, 0 AS k, s AS la, w AS lo FROM w UNION ALL SELECT id, 1, s, e FROM w UNION ALL SELECT id, 2, n, e FROM w UNION ALL SELECT id, 3, n, w FROM w)")
 def fn22(spark, sf):
-    """Two triangles for every edge of a millimetre or more."""
-    r = F.col("ring")
-    long = F.transform(r, lambda p, i: geo.plane_distance(p["lat"], p["lon"], O._next(r, i)["lat"], O._next(r, i)["lon"]) >= 1e-3)
-    return I.ways(spark, sf).select("id", (2 * F.size(F.filter(long, lambda x: x))).alias("triangles"))
+    """Two triangles for every edge of a millimetre or more, counter-clockwise from above: where each pair begins."""
+    walls = O.prism_walls(F.concat("ring", F.slice("ring", 4, 1)), F.lit(0.0), F.lit(3.0))  # the last point twice: an edge without length
+    w = I.ways(spark, sf).select("id", F.posexplode(walls).alias("k", "t"))
+    return w.filter(F.col("k") % 2 == 0).select("id", (F.col("k") / 2).cast("int").alias("k"), F.round(F.get("t", 0)["lat"], 7).alias("lat"), F.round(F.get("t", 0)["lon"], 7).alias("lon"))
 
 
 @query("fn23_surface_normals", f"WITH {SQL_W} SELECT id, round((n - s) * 111000.0::DOUBLE * (e - w) * 91280.04047475605::DOUBLE * 2, 3) AS size, 2 AS dropped FROM w")
@@ -181,16 +202,35 @@ def fn23(spark, sf):
     return w.select("id", F.round(F.sqrt(nx * nx + ny * ny + nz * nz), 3).alias("size"), geo.dropped_axis(nx, ny, nz).alias("dropped"))
 
 
-@query("agg7_infill_statistics", f"WITH {SQL_W}, {_H} SELECT shape, count(*) AS n, count(*) FILTER (WHERE is_part) AS parts FROM ht GROUP BY shape")
+def _items(spark, sf):
+    """Ways of buildings in grounds, and observation towers outside, with their fate, ground and mesh."""
+    w = S.innermost_area(I.ways(spark, sf).withColumn("pid", F.col("id")), I.grounds(spark, sf)).drop("pid")
+    tower = F.col("id") % 12 == 0
+    items = w.filter(F.col("ground").isNotNull() | tower)
+    temples = I.ways(spark, sf).filter("btype = 'temple' AND id % 3 = 1").withColumnRenamed("id", "fid")
+    known = I.buildings(spark, sf).filter("pid % 11 = 0")
+    return O.infill(items, temples, known).withColumns({"mesh": geo.mesh_code(F.col("lat"), F.col("lon")), "name": F.concat(F.lit("塔"), "id")})
+
+
+_IT = f"""{_WIN}, it AS (SELECT w.*, ground FROM w LEFT JOIN own USING (id) WHERE ground IS NOT NULL OR id % 12 = 0),
+ol AS (SELECT DISTINCT o.id FROM it o JOIN it p ON p.is_part AND NOT o.is_part AND (o.s > p.lat) <> (o.n > p.lat) AND p.lat BETWEEN o.s AND o.n AND p.lon < o.e AND NOT p.lon < o.w),
+bb AS (SELECT id, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon FROM fx_buildings WHERE id % 11 = 0),
+cv AS (SELECT it.id FROM it JOIN bb ON (it.s > bb.lat) <> (it.n > bb.lat) AND bb.lon < it.e AND NOT bb.lon < it.w AND bb.lat BETWEEN it.s AND it.n
+ UNION SELECT it.id FROM it JOIN w f ON f.btype = 'temple' AND f.id % 3 = 1 AND (f.s > it.lat) <> (f.n > it.lat) AND it.lon < f.e AND NOT it.lon < f.w AND it.lat <= f.n),
+fate AS (SELECT it.id, ground, '塔' || it.id AS name, {MESH.format("it.lat", "it.lon")} AS mesh, CASE WHEN it.id IN (SELECT id FROM ol) THEN 'outlined' WHEN it.id IN (SELECT id FROM cv) THEN 'covered' ELSE 'added' END AS fate FROM it)"""
+
+
+@query("agg7_infill_statistics", f"""WITH {SQL_W}, {_IT} SELECT ground, GROUPING(ground) = 1 AS total, count(*) FILTER (WHERE fate = 'added') AS added, count(*) FILTER (WHERE fate = 'covered') AS covered, count(*) FILTER (WHERE fate = 'outlined') AS outlined,
+count(DISTINCT CASE WHEN fate = 'added' THEN mesh END) AS tiles, coalesce(list_sort(list(DISTINCT name) FILTER (WHERE fate = 'added' AND ground IS NULL)), []) AS towers FROM fate GROUP BY ROLLUP (ground)""")
 def agg7(spark, sf):
-    return _ways(spark, sf).groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.count_if(O.has("building:part")).alias("parts"))
+    return O.infill_statistics(_items(spark, sf))
 
 
-@query("agg9_distinct_elements", "SELECT count(*) AS n FROM (SELECT id FROM fx_landmarks UNION ALL SELECT id + 10000000 FROM fx_peaks UNION ALL SELECT -id FROM fx_ways)")
+@query("agg9_distinct_elements", "SELECT 'node' AS type, id, id * 3 AS seq FROM fx_landmarks UNION ALL SELECT 'node', id + 10000000, id * 3 + 1 FROM fx_peaks UNION ALL SELECT 'way', id, id * 3 + 2 FROM fx_ways")
 def agg9(spark, sf):
+    """Each element comes twice; the first occurrence stays."""
     e = elements(spark, sf).select("type", "id", "seq")
-    twice = e.unionByName(e.withColumn("seq", F.col("seq") + 1_000_000))
-    return O.first_of_each(twice).agg(F.count(F.lit(1)).alias("n"))
+    return O.first_of_each(e.unionByName(e.withColumn("seq", F.col("seq") + 1_000_000_000)))
 
 
 @query("agg11_element_counts", "SELECT 'node' AS type, (SELECT count(*) FROM fx_landmarks) + (SELECT count(*) FROM fx_peaks) AS n UNION ALL SELECT 'way', count(*) FROM fx_ways")
@@ -198,10 +238,10 @@ def agg11(spark, sf):
     return elements(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("set1_selector_union", f"WITH {_L}, {SQL_W} SELECT DISTINCT type, id FROM ({_LM} UNION ALL SELECT 'node', id FROM l WHERE (id % 9 = 0 AND (id % 13 = 0 OR notable)) OR (id % 29 = 0 AND id % 7 <> 0 AND id % 13 = 0))")
+@query("set1_selector_union", f"WITH {_L}, {SQL_W} SELECT DISTINCT type, id FROM ({_LM} UNION ALL SELECT 'node', id FROM ({_SG}))")
 def set1(spark, sf):
     e = elements(spark, sf)
-    return O.landmarks(e, BOX).unionByName(O.sacred_grounds(e)).select("type", "id").dropDuplicates(["type", "id"])
+    return O.landmarks(e, BOX).unionByName(O.sacred_grounds(e, BOX)).select("type", "id").dropDuplicates(["type", "id"])
 
 
 @query("set2_index_union", "SELECT 'city' AS src, id FROM fx_buildings UNION ALL SELECT 'osm', id FROM fx_ways")
@@ -215,6 +255,24 @@ def set3(spark, sf):
     return w.join(S.outlines_of_parts(w).select("id"), "id", "left_anti").select("id")
 
 
-@query("topk1_busiest_grounds", "SELECT i, n FROM (SELECT id % 10 AS i, count(*) AS n FROM fx_ways GROUP BY ALL) ORDER BY n DESC, i LIMIT 12")
+@query("topk1_busiest_grounds", f"WITH {SQL_W}, {_IT} SELECT ground, count(*) AS n FROM fate WHERE fate = 'added' AND ground IS NOT NULL GROUP BY ground ORDER BY n DESC, ground LIMIT 12")
 def topk1(spark, sf):
-    return I.ways(spark, sf).groupBy((F.col("id") % 10).alias("i")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "i").limit(12)
+    added = _items(spark, sf).filter("fate = 'added' AND ground IS NOT NULL")
+    return added.groupBy("ground").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ground").limit(12)
+
+
+@query("fn44_landmark_positions", f"""WITH {_L}, {SQL_W}, {SQL_B.replace("b AS", "bd AS")}, {SQL_DEM}, el AS (SELECT 'node/' || id AS qid, lat, lon, CASE WHEN is_station THEN 60 ELSE 15 END AS most FROM l),
+nd AS (SELECT qid, arg_min(bd.id, ({sql_dist("el.lat", "el.lon", "bd.lat", "bd.lon")}, bd.id)) AS seq FROM el JOIN bd ON bd.lat BETWEEN el.lat - 0.001 AND el.lat + 0.001 AND bd.lon BETWEEN el.lon - 0.001 AND el.lon + 0.001
+ WHERE {sql_dist("el.lat", "el.lon", "bd.lat", "bd.lon")} < most GROUP BY qid),
+wb AS (SELECT 'way/' || w.id AS qid, arg_min(bd.id, (-top, bd.id)) AS seq FROM w JOIN bd ON NOT is_part AND (w.s > bd.lat) <> (w.n > bd.lat) AND bd.lon < w.e AND NOT bd.lon < w.w AND bd.lat BETWEEN w.s AND w.n GROUP BY 1),
+al AS (SELECT qid, lat, lon FROM el UNION ALL SELECT 'way/' || id, CASE WHEN id % 13 = 0 THEN (s + n) / 2 ELSE (3 * s + 2 * n) / 5 END, CASE WHEN id % 13 = 0 THEN (w + e) / 2 ELSE (3 * w + 2 * e) / 5 END FROM w ),
+pos AS (SELECT al.qid, coalesce(bd.lat, al.lat) AS lat, coalesce(bd.lon, al.lon) AS lon, bd.top, coalesce(bd.top - bd.base, 0) AS h FROM al LEFT JOIN (SELECT * FROM nd UNION ALL SELECT * FROM wb) m USING (qid) LEFT JOIN bd ON bd.id = m.seq)
+SELECT qid, round(pos.lat, 6) AS lat, round(pos.lon, 6) AS lon, round(h, 6) AS h, floor(coalesce(top + 3, floor(dem.z / 0.1::DOUBLE + 0.5) * 0.1::DOUBLE + 8) * 10 + 0.5) / 10 AS z, CASE WHEN h <> 0 THEN floor(h + 0.5) END AS e
+FROM pos JOIN dem ON dem.r = greatest(0, least(209, floor((34.78::DOUBLE - pos.lat) / 0.001::DOUBLE))) AND dem.c = greatest(0, least(239, floor((pos.lon - 135.37::DOUBLE) / 0.001::DOUBLE)))""")
+def fn44(spark, sf):
+    """Landmarks and ways with the building they stand on, and the label's height over it or over the ground."""
+    e = elements(spark, sf).filter("NOT (type = 'node' AND id >= 10000000)").withColumn("members", F.lit(None).cast("array<struct<role:string,geometry:array<struct<lat:double,lon:double>>>>"))
+    a = O.anchored_landmarks(e, I.buildings(spark, sf).select("seq", "lat", "lon", "base", "top"))
+    a = T.nearest_height(a, I.dem(spark, sf), I.GRID)
+    fields = L.anchored_fields(F.col("top"), F.col("base"), F.col("ground"))
+    return a.select(F.concat_ws("/", "type", "id").alias("qid"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("h", 6).alias("h"), *[c.alias(k) for k, c in fields.items()])

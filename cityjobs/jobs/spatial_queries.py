@@ -9,9 +9,10 @@ from cityjobs.functions import geo
 from cityjobs.jobs import inputs as I
 from cityjobs.jobs.inputs import SQL_B, SQL_CROSS, SQL_E, SQL_G, SQL_W, sql_dist
 from cityjobs.jobs.registry import query
+from cityjobs.operators import buildings as B
 from cityjobs.operators import spatial as S
 
-SQL_IN = f"""inside AS (SELECT p.id, g.i, g.area FROM b p JOIN g ON p.lat BETWEEN g.s AND g.n AND p.lon BETWEEN g.w AND g.e JOIN e ON e.i = g.i GROUP BY p.id, g.i, g.area HAVING {SQL_CROSS}),
+SQL_IN = f"""inside AS (SELECT p.id, g.i, g.area FROM b p JOIN g ON p.lat BETWEEN g.s AND g.n AND p.lon BETWEEN g.w AND g.e JOIN e ON e.i = g.i GROUP BY p.id, g.i, g.area, e.k HAVING {SQL_CROSS}),
 own AS (SELECT id, arg_min(i, (area, i)) AS ground FROM inside GROUP BY id)"""
 MESH = "CAST(floor({0} * 1.5) AS BIGINT) || '' || CAST(floor({1} - 100) AS BIGINT) || CAST(floor(({0} * 1.5 - floor({0} * 1.5)) * 8) AS BIGINT) || CAST(floor(({1} - 100 - floor({1} - 100)) * 8) AS BIGINT) || CAST(floor((({0} * 1.5 - floor({0} * 1.5)) * 8 - floor(({0} * 1.5 - floor({0} * 1.5)) * 8)) * 10) AS BIGINT) || CAST(floor((({1} - 100 - floor({1} - 100)) * 8 - floor(({1} - 100 - floor({1} - 100)) * 8)) * 10) AS BIGINT)"
 
@@ -67,13 +68,13 @@ def fn42(spark, sf):
     return I.buildings(spark, sf).select(F.col("pid").alias("id"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), F.round(h, 3).alias("h"))
 
 
-@query("fn12_point_in_ring", f"WITH {SQL_B}, {SQL_E}, {SQL_G} SELECT p.id, g.i FROM b p JOIN g ON p.lat BETWEEN g.s AND g.n AND p.lon BETWEEN g.w AND g.e JOIN e ON e.i = g.i GROUP BY p.id, g.i HAVING {SQL_CROSS}")
+@query("fn12_point_in_ring", f"WITH {SQL_B}, {SQL_E}, {SQL_G} SELECT DISTINCT p.id, g.i FROM b p JOIN g ON p.lat BETWEEN g.s AND g.n AND p.lon BETWEEN g.w AND g.e JOIN e ON e.i = g.i GROUP BY p.id, g.i, e.k HAVING {SQL_CROSS}")
 def fn12(spark, sf):
-    both = S.points_in_boxes(I.buildings(spark, sf).select("pid", "lat", "lon"), I.grounds(spark, sf).select("i", "ring", "s", "w", "n", "e"), 0.005)
-    return both.filter(geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select(F.col("pid").alias("id"), "i")
+    both = S.points_in_boxes(I.buildings(spark, sf).select("pid", "lat", "lon"), I.grounds(spark, sf).select("i", "rings", "s", "w", "n", "e"), 0.005)
+    return both.filter(geo.in_any_ring(F.col("lat"), F.col("lon"), F.col("rings"))).select(F.col("pid").alias("id"), "i")
 
 
-@query("fn13_ring_measures", f"WITH {SQL_E}, {SQL_G} SELECT i, round(area, 3) AS area, s, w, n, e, round(avg_lat, 9) AS mean_lat, round(avg_lon, 9) AS mean_lon FROM g JOIN (SELECT i, avg(alat) AS avg_lat, avg(alon) AS avg_lon FROM e GROUP BY i) USING (i)")
+@query("fn13_ring_measures", f"WITH {SQL_E}, {SQL_G} SELECT i, round(area, 3) AS area, s, w, n, e, round(avg_lat, 9) AS mean_lat, round(avg_lon, 9) AS mean_lon FROM g JOIN (SELECT i, avg(alat) AS avg_lat, avg(alon) AS avg_lon FROM e WHERE k = 0 GROUP BY i) USING (i)")
 def fn13(spark, sf):
     g = I.grounds(spark, sf)
     return g.select("i", F.round("area", 3).alias("area"), "s", "w", "n", "e", F.round(geo.ring_mean(F.col("ring"), "lat"), 9).alias("mean_lat"), F.round(geo.ring_mean(F.col("ring"), "lon"), 9).alias("mean_lon"))
@@ -91,7 +92,7 @@ def join2(spark, sf):
     return S.nearest_within(q, I.buildings(spark, sf), 60.0).select(F.col("qid").alias("id"), "nearest", F.round("dist", 6).alias("dist"))
 
 
-@query("join3_tallest_in_polygon", f"""WITH {SQL_B}, {SQL_E}, {SQL_G}, inside AS (SELECT p.id, g.i, p.top FROM b p JOIN g ON p.lat BETWEEN g.s AND g.n AND p.lon BETWEEN g.w AND g.e JOIN e ON e.i = g.i GROUP BY p.id, g.i, p.top HAVING {SQL_CROSS}),
+@query("join3_tallest_in_polygon", f"""WITH {SQL_B}, {SQL_E}, {SQL_G}, inside AS (SELECT p.id, g.i, p.top FROM b p JOIN g ON p.lat BETWEEN g.s AND g.n AND p.lon BETWEEN g.w AND g.e JOIN e ON e.i = g.i GROUP BY p.id, g.i, p.top, e.k HAVING {SQL_CROSS}),
 best AS (SELECT i, arg_min(id, (-top, id)) AS tallest FROM inside GROUP BY i) SELECT g.i, tallest FROM g LEFT JOIN best USING (i)""")
 def join3(spark, sf):
     return S.tallest_inside(I.grounds(spark, sf), I.buildings(spark, sf)).select("i", "tallest")
@@ -123,21 +124,27 @@ def agg5(spark, sf):
     return t.agg(rad(F.min("lon")).alias("w"), rad(F.min("lat")).alias("s"), rad(F.max("lon")).alias("e"), rad(F.max("lat")).alias("n"), F.min("base").alias("lo"), F.max("top").alias("hi"))
 
 
-@query("agg6_build_statistics", f"WITH {SQL_CLS} SELECT mesh, count(*) AS n, count(ground) AS in_grounds, count(*) FILTER (WHERE name <> '') AS named, count(*) FILTER (WHERE cls = 't') AS tall FROM cls GROUP BY ROLLUP (mesh)")
+@query("agg6_build_statistics", f"""WITH {SQL_CLS}, one AS (SELECT *, id % 17 = 0 AS skipped, ground IS NOT NULL AND id % 5 = 0 AS lod2, floor((34.78::DOUBLE - lat) / 0.001::DOUBLE) * 240 + floor((lon - 135.37::DOUBLE) / 0.001::DOUBLE) AS cell FROM cls)
+SELECT mesh, count(*) FILTER (WHERE NOT skipped) AS n, count(*) FILTER (WHERE skipped) AS skipped, count(ground) FILTER (WHERE NOT skipped) AS in_grounds, count(*) FILTER (WHERE lod2 AND NOT skipped) AS lod2,
+  count(DISTINCT CASE WHEN NOT skipped THEN mesh || cls END) AS tiles, count(*) FILTER (WHERE name <> '' AND NOT skipped) AS named, count(DISTINCT CASE WHEN NOT skipped THEN cell END) AS cells FROM one GROUP BY ROLLUP (mesh)""")
 def agg6(spark, sf):
-    t = classified(spark, sf).rollup("mesh")
-    return t.agg(F.count(F.lit(1)).alias("n"), F.count("ground").alias("in_grounds"), F.count_if(F.col("name") != "").alias("named"), F.count_if(F.col("cls") == "t").alias("tall"))
+    """Every seventeenth building has no valid solid; every fifth in a ground has surfaces."""
+    cell = geo.grid_cell(F.col("lat"), F.col("lon"), I.GRID.north, I.GRID.west, I.GRID.res, I.GRID.cols)[2]
+    b = classified(spark, sf).withColumns({"valid": F.col("pid") % 17 != 0, "lod2": F.col("ground").isNotNull() & (F.col("pid") % 5 == 0), "cell": cell})
+    return B.statistics(b)
 
 
-@query("flt4_ways_in_grounds", f"""WITH {SQL_W}, b AS (SELECT id, lat, lon FROM w), {SQL_E}, {SQL_G} SELECT DISTINCT id FROM (SELECT p.id, g.i FROM b p JOIN g ON p.lat BETWEEN g.s AND g.n AND p.lon BETWEEN g.w AND g.e JOIN e ON e.i = g.i GROUP BY p.id, g.i HAVING {SQL_CROSS})""")
+@query("flt4_ways_in_grounds", f"""WITH {SQL_W}, b AS (SELECT id, lat, lon FROM w), {SQL_E}, {SQL_G} SELECT DISTINCT id FROM (SELECT DISTINCT p.id, g.i FROM b p JOIN g ON p.lat BETWEEN g.s AND g.n AND p.lon BETWEEN g.w AND g.e JOIN e ON e.i = g.i GROUP BY p.id, g.i, e.k HAVING {SQL_CROSS})""")
 def flt4(spark, sf):
     w = I.ways(spark, sf).select(F.col("id").alias("pid"), "lat", "lon")
     return S.innermost_area(w, I.grounds(spark, sf)).filter("ground IS NOT NULL").select(F.col("pid").alias("id"))
 
 
-@query("fn24_quantized_positions", f"""WITH {SQL_B} SELECT id, CAST(greatest(-32767, least(32767, floor((lon - 135.5) * 91280.04047475605::DOUBLE / 0.05::DOUBLE + 0.5))) AS INTEGER) AS qx, CAST(greatest(-32767, least(32767, floor(top / 0.05::DOUBLE + 0.5))) AS INTEGER) AS qy FROM b""")
+@query("fn24_quantized_positions", f"""WITH {SQL_B}, q AS (SELECT id, floor(h / 0.05::DOUBLE + 0.5) AS qx, floor(top / 0.05::DOUBLE + 0.5) AS qy, floor(-base / 0.05::DOUBLE + 0.5) AS qz FROM b)
+SELECT id, CAST(qx AS INTEGER) AS qx, CAST(qy AS INTEGER) AS qy, CAST(qz AS INTEGER) AS qz FROM q""")
 def fn24(spark, sf):
-    return I.buildings(spark, sf).select(F.col("pid").alias("id"), geo.quantized((F.col("lon") - 135.5) * geo.M_LON, 0.05).alias("qx"), geo.quantized(F.col("top"), 0.05).alias("qy"))
+    q = geo.quantized_position(F.col("h"), F.col("base"), F.col("top"))
+    return I.buildings(spark, sf).select(F.col("pid").alias("id"), q.alias("q")).select("id", *[F.get("q", i).alias(f"q{a}") for i, a in enumerate("xyz")])
 
 
 @query("fn5_base_and_top", f"WITH {SQL_B} SELECT id, base AS zb, top AS zt FROM b")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
 from cityjobs.jobs import inputs as I
-from cityjobs.jobs.inputs import GRID, SQL_B, SQL_DEM, sql_dist  # noqa: F401
+from cityjobs.jobs.inputs import GRID, SQL_B, SQL_BILINEAR, SQL_DEM, SQL_OVERVIEW
 from cityjobs.jobs.registry import query
 from cityjobs.operators import terrain as T
 
@@ -96,7 +96,7 @@ def agg4(spark, sf):
 
 @query("fn25_height_quantization", f"WITH {SQL_DEM} SELECT r, c, CAST(greatest(-32767, least(32767, floor(z * 1.5 / 0.1::DOUBLE + 0.5))) AS INTEGER) AS z_dm FROM dem")
 def fn25(spark, sf):
-    return I.dem(spark, sf).select("r", "c", geo.quantized(F.col("z") * 1.5, 0.1).alias("z_dm"))
+    return I.dem(spark, sf).select("r", "c", geo.clamped_steps(F.col("z") * 1.5, 0.1).alias("z_dm"))
 
 
 @query("snk3_terrain_chunks", f"""WITH {SQL_DEM}, ch AS (SELECT cr, cc, y, x, least(cr * 64 + y, 209) AS r, least(cc * 64 + x, 239) AS c
@@ -116,17 +116,13 @@ def join6(spark, sf):
     return T.nearest_height(I.named_points(spark, sf, "fx_landmarks"), I.dem(spark, sf), GRID).select("id", F.round("ground", 6).alias("ground"))
 
 
-_BIL = """q AS (SELECT id, lat, lon, greatest(0.0::DOUBLE, least(239.0::DOUBLE, (lon - 135.37::DOUBLE) / 0.001::DOUBLE - 0.5)) AS x, greatest(0.0::DOUBLE, least(209.0::DOUBLE, (34.78::DOUBLE - lat) / 0.001::DOUBLE - 0.5)) AS y FROM p),
-f AS (SELECT *, CAST(floor(x) AS BIGINT) AS x0, CAST(floor(y) AS BIGINT) AS y0, x - floor(x) AS fx, y - floor(y) AS fy FROM q),
-corner AS (SELECT id, lat, lon, unnest([y0, y0, least(209, y0 + 1), least(209, y0 + 1)]) AS r, unnest([x0, least(239, x0 + 1), x0, least(239, x0 + 1)]) AS c,
-  unnest([(1 - fx) * (1 - fy), fx * (1 - fy), (1 - fx) * fy, fx * fy]) AS w FROM f),
-bil AS (SELECT id, CASE WHEN any_value(lat) BETWEEN 34.78::DOUBLE - 210 * 0.001::DOUBLE AND 34.78::DOUBLE AND any_value(lon) BETWEEN 135.37::DOUBLE AND 135.37::DOUBLE + 240 * 0.001::DOUBLE
-  THEN sum(w * dem.z) ELSE 0.0 END AS height FROM corner JOIN dem USING (r, c) GROUP BY id)"""
-
-
-@query("join7_bilinear_terrain", f"WITH {SQL_DEM}, {_P}, {_BIL} SELECT id, round(height, 6) AS height FROM bil")
+@query("join7_bilinear_terrain", f"""WITH {SQL_DEM}, {_P}, {SQL_BILINEAR}, {SQL_OVERVIEW}, whole AS (SELECT id FROM corner WHERE r >= 40 OR c >= 40 GROUP BY id HAVING count(*) = 4)
+SELECT p.id, round(CASE WHEN p.id IN (SELECT id FROM whole) THEN bil.height ELSE bilo.height END, 6) AS height FROM p LEFT JOIN bil USING (id) LEFT JOIN bilo USING (id)""")
 def join7(spark, sf):
-    return T.bilinear_height(I.named_points(spark, sf, "fx_landmarks"), I.dem(spark, sf), GRID, "id").select("id", F.round("height", 6).alias("height"))
+    """The full cells of the north-west corner are not there: the overview steps in."""
+    dem = I.dem(spark, sf)
+    points = I.named_points(spark, sf, "fx_landmarks")
+    return T.bilinear_with_fallback(points, dem.filter("r >= 40 OR c >= 40"), T.overview(dem), GRID, "id").select("id", F.round("height", 6).alias("height"))
 
 
 @query("flt11_inside_grid", f"WITH {_P} SELECT id FROM p WHERE lat BETWEEN 34.6::DOUBLE - 100 * 0.001::DOUBLE AND 34.6::DOUBLE AND lon BETWEEN 135.4::DOUBLE AND 135.4::DOUBLE + 100 * 0.001::DOUBLE")
@@ -146,15 +142,20 @@ def join9(spark, sf):
     return T.lowest_under(I.ways(spark, sf), I.dem(spark, sf), GRID, "id").select("id", F.round("ground", 6).alias("ground"))
 
 
-_TILES = "t AS (SELECT DISTINCT 10 AS level, CAST(floor((lon_u / 1e6 + 180) / (180.0::DOUBLE / 1024)) AS BIGINT) AS x, CAST(floor((90 - lat_u / 1e6) / (180.0::DOUBLE / 1024)) AS BIGINT) AS y FROM fx_buildings)"
+_TILES = """t AS (SELECT DISTINCT level, CAST(floor((lon_u / 1e6 + 180) / (180.0::DOUBLE / (1 << level))) AS BIGINT) AS x, CAST(floor((90 - lat_u / 1e6) / (180.0::DOUBLE / (1 << level))) AS BIGINT) AS y
+FROM fx_buildings, (VALUES (9), (11)) AS l(level)), p AS (SELECT ((level * 65536 + x) * 65536 + y) * 10000 + j * 100 + i AS id, level, x, y, j, i, 90 - y * (180.0::DOUBLE / (1 << level)) - j * (180.0::DOUBLE / (1 << level) / 32) AS lat,
+ -180 + x * (180.0::DOUBLE / (1 << level)) + i * (180.0::DOUBLE / (1 << level) / 32) AS lon FROM t, range(33) a(j), range(33) b(i))"""
 
 
-@query("join18_terrain_tiles", f"""WITH {SQL_DEM}, {_TILES}, p AS (SELECT (x * 4096 + y) * 10000 + j * 100 + i AS id, x, y, j, i, 90 - y * (180.0::DOUBLE / 1024) - j * (180.0::DOUBLE / 1024 / 32) AS lat, -180 + x * (180.0::DOUBLE / 1024) + i * (180.0::DOUBLE / 1024 / 32) AS lon
-FROM t, range(33) a(j), range(33) b(i)), {_BIL} SELECT p.x, p.y, list(round(height, 6) ORDER BY j, i) AS heights FROM p JOIN bil USING (id) GROUP BY p.x, p.y""")
+@query("join18_terrain_tiles", f"""WITH {SQL_DEM}, {_TILES}, {SQL_BILINEAR}, {SQL_OVERVIEW}
+SELECT p.level, p.x, p.y, list(round(CASE WHEN level = 9 THEN bilo.height ELSE bil.height END, 6) ORDER BY j, i) AS heights FROM p JOIN bil USING (id) JOIN bilo USING (id) GROUP BY p.level, p.x, p.y""")
 def join18(spark, sf):
-    size = 180.0 / 1024
-    tiles = I.buildings(spark, sf).select(F.lit(10).alias("level"), F.floor((F.col("lon") + 180) / size).alias("x"), F.floor((90 - F.col("lat")) / size).alias("y")).distinct()
-    s = T.tile_samples(tiles).withColumn("id", (F.col("x") * 4096 + F.col("y")) * 10000 + F.col("j") * 100 + F.col("i"))
-    h = T.bilinear_height(s, I.dem(spark, sf), GRID, "id")
+    """Tiles of two levels: the samples of one are further apart than four cells, so they come from the overview."""
+    b = I.buildings(spark, sf).withColumn("level", F.explode(F.array(F.lit(9), F.lit(11))))
+    size = 180.0 / F.pow(F.lit(2.0), F.col("level"))
+    tiles = b.select("level", F.floor((F.col("lon") + 180) / size).alias("x"), F.floor((90 - F.col("lat")) / size).alias("y")).distinct()
+    s = T.tile_samples(tiles).withColumn("id", ((F.col("level") * 65536 + F.col("x")) * 65536 + F.col("y")) * 10000 + F.col("j") * 100 + F.col("i"))
+    dem = I.dem(spark, sf)
+    h = T.bilinear_with_fallback(s, dem, T.overview(dem), GRID, "id", use_full=F.col("step") <= GRID.res * 4)
     rows = F.array_sort(F.collect_list(F.struct("j", "i", F.round("height", 6).alias("h"))))  # 33 x 33 for each tile
-    return h.groupBy("x", "y").agg(F.transform(rows, lambda v: v["h"]).alias("heights"))
+    return h.groupBy("level", "x", "y").agg(F.transform(rows, lambda v: v["h"]).alias("heights"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def ring_of_numbers(text: Column) -> Column:
     """Points (lat, lon, z) of a list of numbers; a last point over the first is left out."""
-    v = F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.try_cast("double"))
+    v = F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+"), lambda x: x.try_cast("double"))
     n = F.floor(F.size(v) / 3).cast("int")
     pts = F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(v, 3 * i).alias("lat"), F.get(v, 3 * i + 1).alias("lon"), F.get(v, 3 * i + 2).alias("z"))))
     first, last = F.get(pts, 0), F.get(pts, n - 1)
@@ -66,6 +66,19 @@ def packed_primitives(buildings: DataFrame, most: int) -> DataFrame:
     return slim.groupBy("mesh", "cls").applyInPandas(run, "mesh string, cls string, seq long, nv long, prim long")
 
 
+def statistics(buildings: DataFrame) -> DataFrame:
+    """Per mesh and in all (mesh null): buildings, skipped ones, those in grounds, with surfaces and with names, tiles and ground cells.
+
+    ``buildings`` has mesh, cls, ground, name, cell, lod2, and valid for those that have a solid.
+    """
+    of = lambda c: F.when(F.col("valid"), c)
+    count = lambda c: F.count_if(F.col("valid") & c)
+    return buildings.rollup("mesh").agg(
+        F.count_if("valid").alias("n"), F.count_if(~F.col("valid")).alias("skipped"), count(F.col("ground").isNotNull()).alias("in_grounds"), count(F.col("lod2")).alias("lod2"),
+        F.count_distinct(of(F.concat("mesh", "cls"))).alias("tiles"), count(F.col("name") != "").alias("named"), F.count_distinct(of(F.col("cell"))).alias("cells"),
+    )
+
+
 def sidecars(buildings: DataFrame) -> DataFrame:
     """A row of arrays in batch order for each tile: ids, storeys, usage, addresses and ground names."""
     cols = ("id", "s", "u", "addr", "tn")
@@ -81,11 +94,20 @@ def features_of_sidecars(files: DataFrame) -> DataFrame:
     return files.select("mesh", "cls", F.posexplode(zipped).alias("batch_id", "f")).select("mesh", "cls", "batch_id", "f.*")
 
 
-def manifest(bounds: DataFrame) -> DataFrame:
-    """One JSON document over tile bounds (mesh, cls, w, s, e, n, lo, hi): root, a node for each mesh, its detail below."""
-    region = F.array("w", "s", "e", "n", "lo", "hi")
-    by_cls = lambda c: F.max(F.when(F.col("cls") == c, F.struct(region.alias("region"), F.concat_ws("_", "mesh", "cls").alias("content"))))
-    nodes = bounds.filter("mesh IS NOT NULL AND cls IS NOT NULL").groupBy("mesh").agg(by_cls("t").alias("t"), by_cls("d").alias("d"))
-    node = F.struct("mesh", F.lit(80).alias("geometricError"), F.lit("ADD").alias("refine"), F.col("t").alias("content"), F.col("d").alias("child"))
-    all_nodes = nodes.agg(F.array_sort(F.collect_list(node)).alias("children"))  # a row for each mesh
-    return all_nodes.select(F.to_json(F.struct(F.lit(2000).alias("geometricError"), "children")).alias("manifest"), F.size("children").alias("n"))
+def manifest(bounds: DataFrame, leaves: bool = False) -> DataFrame:
+    """One JSON document over tile bounds (mesh, cls, w, s, e, n, lo, hi): a node for each mesh with its tall tile, its detail below.
+
+    With ``leaves`` (infill), a mesh is one leaf. The document lists the meshes, as its format
+    wants, so it is one row of as many nodes as there are square kilometres with buildings.
+    """
+    sides = {"w": F.min, "s": F.min, "e": F.max, "n": F.max, "lo": F.min, "hi": F.max}
+    region = F.array(*sides)
+    tile = lambda c, error: F.max(F.when(F.col("cls") == c, F.struct(region.alias("region"), F.concat_ws("_", "mesh", "cls").alias("content"), F.lit(error).alias("geometricError"))))
+    per_mesh = bounds.groupBy("mesh").agg(tile("t", 80).alias("t"), tile("d", 0).alias("d"), *[f(k).alias(k) for k, f in sides.items()])
+    if leaves:
+        node = F.struct("mesh", region.alias("region"), F.lit(0).alias("geometricError"), F.col("mesh").alias("content"))
+    else:
+        node = F.struct("mesh", region.alias("region"), F.lit(80).alias("geometricError"), F.lit("ADD").alias("refine"), F.col("t").alias("content"), F.col("d").alias("child"))
+    whole = per_mesh.agg(F.array_sort(F.collect_list(F.struct("mesh", node.alias("node")))).alias("nodes"), *[f(k).alias(k) for k, f in sides.items()])
+    root = F.struct(region.alias("region"), F.lit(2000).alias("geometricError"), F.lit("ADD").alias("refine"), F.transform("nodes", lambda n: n["node"]).alias("children"))
+    return whole.select(F.to_json(F.struct(F.lit(5000).alias("geometricError"), root.alias("root"))).alias("manifest"), F.size("nodes").alias("n"))

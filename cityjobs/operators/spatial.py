@@ -32,9 +32,10 @@ def points_in_boxes(points: DataFrame, areas: DataFrame, size: float) -> DataFra
 
 
 def innermost_area(points: DataFrame, areas: DataFrame, size: float = 0.005) -> DataFrame:
-    """Points (pid, lat, lon) with ``ground``: the smallest area (i, ring, area, box) around each, the first of equals; else null."""
-    slim = areas.select("i", "ring", "area", "s", "w", "n", "e")
-    inside = points_in_boxes(points.select("pid", "lat", "lon"), slim, size).filter(geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
+    """Points (pid, lat, lon) with ``ground``: of the areas (i, rings, area of all, box) one of whose rings holds the point
+    the smallest, the first of equals; else null."""
+    slim = areas.select("i", "rings", "area", "s", "w", "n", "e")
+    inside = points_in_boxes(points.select("pid", "lat", "lon"), slim, size).filter(geo.in_any_ring(F.col("lat"), F.col("lon"), F.col("rings")))
     best = inside.groupBy("pid").agg(F.min(F.struct("area", "i"))["i"].alias("ground"))
     return points.join(best, "pid", "left")
 
@@ -51,9 +52,9 @@ def nearest_within(queries: DataFrame, points: DataFrame, metres: float, size: f
 
 
 def tallest_inside(areas: DataFrame, points: DataFrame, size: float = 0.001) -> DataFrame:
-    """Areas (i, ring, box) with ``tallest``: seq of the highest point (seq, lat, lon, top) in the ring, the first of equals."""
-    both = points_in_boxes(points.select("seq", "lat", "lon", "top"), areas.select("i", "ring", "s", "w", "n", "e"), size)
-    inside = both.filter(geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
+    """Areas (i, rings, box) with ``tallest``: seq of the highest point (seq, lat, lon, top) in one of the rings, the first of equals."""
+    both = points_in_boxes(points.select("seq", "lat", "lon", "top"), areas.select("i", "rings", "s", "w", "n", "e"), size)
+    inside = both.filter(geo.in_any_ring(F.col("lat"), F.col("lon"), F.col("rings")))
     best = inside.groupBy("i").agg(F.max(F.struct("top", (-F.col("seq")).alias("neg"))).alias("b"))
     return areas.join(best.select("i", (-F.col("b.neg")).alias("tallest")), "i", "left")
 
@@ -75,10 +76,10 @@ def outlines_of_parts(ways: DataFrame, size: float = 0.001) -> DataFrame:
     return ways.join(both.select("id").distinct(), "id", "left_semi")
 
 
-def close_pairs(left: DataFrame, right: DataFrame, metres: float, extra: Column | None = None) -> DataFrame:
-    """Pairs of left (lid, lat, lon, ...) and right (rid, rlat, rlon, ...) closer than ``metres``."""
+def close_pairs(left: DataFrame, right: DataFrame, metres: float, key: str | None = None) -> DataFrame:
+    """Pairs of left (lid, lat, lon, ...) and right (rid, rlat, rlon, ...) closer than ``metres``; with equal ``key`` if one is given."""
     size = metres / geo.M_LON
     l = left.withColumns({"cy": cell_of(F.col("lat"), size), "cx": cell_of(F.col("lon"), size)})
     r = with_cells(right, F.col("rlat") - size, F.col("rlon") - size, F.col("rlat") + size, F.col("rlon") + size, size)
-    both = l.join(r, ["cy", "cx"]).drop("cy", "cx").filter(geo.plane_distance(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")) < metres)
-    return both.filter(extra) if extra is not None else both
+    both = l.join(r, ["cy", "cx"] + ([key] if key else [])).drop("cy", "cx")
+    return both.filter(geo.plane_distance(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")) < metres)

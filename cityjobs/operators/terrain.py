@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
@@ -87,7 +89,7 @@ def overridden(dem: DataFrame, means: DataFrame) -> DataFrame:
 def overview(dem: DataFrame, factor: int = 4) -> DataFrame:
     """Decimetre means of blocks of factor x factor cells; border blocks take what there is."""
     blocks = dem.groupBy(F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c")).agg(F.avg("z").alias("z"))
-    return blocks.select("r", "c", geo.quantized(F.col("z"), 0.1).alias("z_dm"))
+    return blocks.select("r", "c", geo.clamped_steps(F.col("z"), 0.1).alias("z_dm"))
 
 
 def chunked(dem: DataFrame, grid: Grid, size: int) -> DataFrame:
@@ -106,21 +108,40 @@ def chunked(dem: DataFrame, grid: Grid, size: int) -> DataFrame:
 
     out = dem.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "z")
     out = out.withColumn("pr", F.explode(places(F.col("r"), grid.rows))).withColumn("pc", F.explode(places(F.col("c"), grid.cols)))
-    return out.select(F.col("pr.chunk").alias("cr"), F.col("pc.chunk").alias("cc"), F.col("pr.off").alias("y"), F.col("pc.off").alias("x"), geo.quantized(F.col("z"), 0.1).alias("z_dm"))
+    return out.select(F.col("pr.chunk").alias("cr"), F.col("pc.chunk").alias("cc"), F.col("pr.off").alias("y"), F.col("pc.off").alias("x"), geo.clamped_steps(F.col("z"), 0.1).alias("z_dm"))
+
+
+def chunk_blobs(cells: DataFrame, size: int) -> DataFrame:
+    """A row (name, content) for each chunk of (cr, cc, y, x, z_dm): little-endian 16-bit heights row by row. A chunk is bounded by its size."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((size + 1, size + 1), "<i2")
+        out[pdf["y"], pdf["x"]] = pdf["z_dm"]
+        return pd.DataFrame({"name": [f"c_{pdf['cr'].iloc[0]}_{pdf['cc'].iloc[0]}.bin"], "content": [out.tobytes()]})
+
+    return cells.groupBy("cr", "cc").applyInPandas(pack, "name string, content binary")
+
+
+def grid_meta(spark: SparkSession, grid: Grid, factor: int, size: int) -> DataFrame:
+    """One row that describes the written terrain."""
+    lo = coarser(grid, factor)
+    row = (grid.cols, grid.rows, grid.west, grid.north, grid.res, 0.1, (factor, lo.cols, lo.rows), (size, -(-grid.rows // size), -(-grid.cols // size)))
+    return spark.createDataFrame([row], "width int, height int, west double, north double, res double, scale double, overview struct<factor:int,width:int,height:int>, chunk struct<size:int,rows:int,cols:int>")
 
 
 def nearest_height(points: DataFrame, dem: DataFrame, grid: Grid) -> DataFrame:
     """Points (lat, lon) with ``ground``, the height of their cell in tenths; the border cell outside."""
     r = F.greatest(F.lit(0), F.least(F.lit(grid.rows - 1), grid.row(F.col("lat"))))
     c = F.greatest(F.lit(0), F.least(F.lit(grid.cols - 1), grid.col(F.col("lon"))))
-    cells = dem.select("r", "c", (geo.quantized(F.col("z"), 0.1) * F.lit(0.1)).alias("ground"))
+    cells = dem.select("r", "c", (geo.clamped_steps(F.col("z"), 0.1) * F.lit(0.1)).alias("ground"))
     return points.withColumns({"r": r, "c": c}).join(cells, ["r", "c"], "left").drop("r", "c")
 
 
-def bilinear_height(points: DataFrame, dem: DataFrame, grid: Grid, key: str) -> DataFrame:
+def bilinear_height(points: DataFrame, dem: DataFrame, grid: Grid, key: str, whole: bool = False) -> DataFrame:
     """Points with ``height`` between the four cell centres around them; 0 outside the grid.
 
-    Each point asks for four weighted cells, which one join and one sum bring together.
+    Each point asks for four weighted cells, which one join and one sum bring together. With
+    ``whole``, the height is null where one of the four cells is missing.
     """
     x = F.greatest(F.lit(0.0), F.least(F.lit(grid.cols - 1.0), (F.col("lon") - F.lit(grid.west)) / grid.res - 0.5))
     y = F.greatest(F.lit(0.0), F.least(F.lit(grid.rows - 1.0), (F.lit(grid.north) - F.col("lat")) / grid.res - 0.5))
@@ -132,10 +153,29 @@ def bilinear_height(points: DataFrame, dem: DataFrame, grid: Grid, key: str) ->
         corner(F.col("y0"), F.col("x0"), (1 - fx) * (1 - fy)), corner(F.col("y0"), x1, fx * (1 - fy)), corner(y1, F.col("x0"), (1 - fx) * fy), corner(y1, x1, fx * fy)
     )
     asked = p.select(key, F.explode(four).alias("q")).select(key, "q.r", "q.c", "q.w")
-    sums = asked.join(dem.select("r", "c", "z"), ["r", "c"]).groupBy(key).agg(F.sum(F.col("w") * F.col("z")).alias("height"))
+    sums = asked.join(dem.select("r", "c", "z"), ["r", "c"]).groupBy(key).agg(F.sum(F.col("w") * F.col("z")).alias("height"), F.count(F.lit(1)).alias("__n"))
+    if whole:
+        return points.join(sums.filter("__n = 4").drop("__n"), key, "left")
+    sums = sums.drop("__n")
     return points.join(sums, key, "left").withColumn("height", F.coalesce("height", F.lit(0.0)))
 
 
+def coarser(grid: Grid, factor: int = 4) -> Grid:
+    """The grid of the overview."""
+    return Grid(grid.north, grid.west, grid.res * factor, -(-grid.rows // factor), -(-grid.cols // factor))
+
+
+def bilinear_with_fallback(points: DataFrame, dem: DataFrame, coarse: DataFrame, grid: Grid, key: str, factor: int = 4, use_full: Column | None = None) -> DataFrame:
+    """Points with ``height`` from the full cells where ``use_full`` (else: where all four cells are there), and from the
+    overview (r, c, z_dm) elsewhere; 0 outside the grid."""
+    inside = points.filter(grid.has(F.col("lat"), F.col("lon")))
+    full = bilinear_height(inside if use_full is None else inside.filter(use_full), dem, grid, key, whole=True).select(key, F.col("height").alias("__full"))
+    lo = coarse.select("r", "c", (F.col("z_dm") * F.lit(0.1)).alias("z"))
+    rough = bilinear_height(inside, lo, coarser(grid, factor), key).select(key, F.col("height").alias("__rough"))
+    both = points.join(full.filter("__full IS NOT NULL"), key, "left").join(rough, key, "left")
+    return both.withColumn("height", F.coalesce("__full", "__rough", F.lit(0.0))).drop("__full", "__rough")
+
+
 def highest_around(points: DataFrame, dem: DataFrame, grid: Grid, key: str, reach: int = 2) -> DataFrame:
     """Points with the highest cell (hr, hc, hz) within +-reach cells, the first in row order of equals."""
     span = F.sequence(F.lit(-reach), F.lit(reach))

@@ -25,16 +25,26 @@ COLOURS = ("#c9874f", "#e2583e", "#b9a3d6", "#6fa58c", "#ffe2b0", "#dfe8f5", "#f
 def candidates(views: DataFrame, labels: DataFrame, kinds: tuple[str, ...] = tuple(MAX_DISTANCE)) -> DataFrame:
     """Pairs of a view (view_id, vlat, vlon, vh, heading, pitch) and a label (id, k, r, lat, lon, z) in front of it and near enough, with ``dist``.
 
-    Views and labels meet in cells of the greatest distance of the label's kind and rank.
+    Labels lie in cells of the greatest distance of their kind and rank; a view asks for the
+    cells that its box of that distance meets, wider in longitude the further from the equator,
+    and across the 180th meridian.
     """
     rows = [F.struct(F.lit(k).alias("k"), F.lit(i + 1).alias("r"), F.lit(float(m)).alias("most")) for k in kinds for i, m in enumerate(MAX_DISTANCE[k])]
     limits = labels.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.k", "x.r", "x.most")  # 15 rows
-    near = labels.join(F.broadcast(limits), ["k", "r"]).withColumn("size", F.col("most") / 80000.0)  # degrees, with room to spare
-    near = near.withColumns({"cy": F.floor(F.col("lat") / F.col("size")), "cx": F.floor(F.col("lon") / F.col("size"))})
-    v = views.join(F.broadcast(limits.select("most").distinct())).withColumn("size", F.col("most") / 80000.0)
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    v = v.withColumn("o", F.explode(around)).withColumns({"cy": F.floor(F.col("vlat") / F.col("size")) + F.col("o.a"), "cx": F.floor(F.col("vlon") / F.col("size")) + F.col("o.b")})
-    both = near.join(v.drop("size", "o"), ["most", "cy", "cx"])
+    size = F.col("most") / 100000.0  # degrees; a degree of latitude is 110.5 km at least
+    around = F.floor(F.lit(360.0) / size)  # cells to the east go from 0 to this
+    east = lambda lon: F.pmod(lon + 180.0, F.lit(360.0))
+    near = labels.join(F.broadcast(limits), ["k", "r"])
+    near = near.withColumns({"cy": F.floor(F.col("lat") / size), "cx": F.floor(east(F.col("lon")) / size)})
+    most = limits.select("most").distinct()
+    v = views.join(F.broadcast(most), F.lit(True))  # 15 distances at most
+    wide = F.least(F.lit(180.0), size / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs("vlat") + size)))))
+    v = v.withColumn("cy", F.explode(F.sequence(F.floor((F.col("vlat") - size) / size), F.floor((F.col("vlat") + size) / size))))
+    v = v.withColumn("cx", F.explode(F.sequence(F.floor((east(F.col("vlon")) - wide) / size), F.floor((east(F.col("vlon")) + wide) / size))))
+    # beyond the meridian cells go on from the other side, whose last cell may be a part of one
+    other = F.when(F.col("cx") < 0, F.array(F.col("cx") + around, F.col("cx") + around + 1)).when(F.col("cx") >= around, F.array(F.col("cx"), F.col("cx") - around, F.col("cx") - around - 1)).otherwise(F.array("cx"))
+    v = v.withColumn("cx", F.explode(other)).distinct()
+    both = near.join(v, ["most", "cy", "cx"])
     eye, at = geo.ecef(F.col("vlat"), F.col("vlon"), F.col("vh")), geo.ecef(F.col("lat"), F.col("lon"), F.col("z"))
     dist = F.sqrt(sum(((a - b) * (a - b) for a, b in zip(at, eye, strict=True)), F.lit(0.0)))
     e, n, u = geo.local_enu(F.col("lat"), F.col("lon"), F.col("z"), F.col("vlat"), F.col("vlon"))
@@ -117,8 +127,12 @@ def display_title(name: Column, ground: Column, usage: Column) -> Column:
     return F.coalesce(filled(name), F.concat(F.lit("Building at "), filled(ground)), filled(usage), F.lit("—"))
 
 
-def view_link(lat: Column, lon: Column, h: Column, heading: Column, pitch: Column) -> Column:
-    return F.concat(F.lit("#v="), F.concat_ws(",", F.format_string("%.6f", lat), F.format_string("%.6f", lon), F.format_string("%.1f", h), F.format_string("%.1f", heading), F.format_string("%.1f", pitch)))
+def view_link(lat: Column, lon: Column, h: Column, heading: Column, pitch: Column, look: Column | None = None, spin: Column | None = None) -> Column:
+    """Link of a view; ``look`` for one at eye level, ``spin`` seconds for one that turns."""
+    v = F.concat_ws(",", F.format_string("%.6f", lat), F.format_string("%.6f", lon), F.format_string("%.1f", h), F.format_string("%.1f", heading), F.format_string("%.1f", pitch))
+    tail = F.when(look, "&look=1").otherwise("") if look is not None else F.lit("")
+    turn = F.coalesce(F.concat(F.lit("&spin="), F.regexp_replace(spin.cast("string"), r"\.0$", "")), F.lit("")) if spin is not None else F.lit("")
+    return F.concat(F.lit("#v="), v, tail, turn)
 
 
 def parsed_view(link: Column) -> Column:
@@ -126,3 +140,9 @@ def parsed_view(link: Column) -> Column:
     v = F.transform(F.split(F.regexp_extract(link, "[#&]v=([^&]*)", 1), ","), lambda x: x.try_cast("double"))
     good = (F.size(v) == 5) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(good, v)
+
+
+def view_options(link: Column) -> dict[str, Column]:
+    """Whether a link looks from eye level, and the seconds of a turn if it has more than 0."""
+    spin = F.regexp_extract(link, "[#&]spin=([^&]*)", 1).try_cast("double")
+    return {"look": F.regexp_extract(link, "[#&]look=([^&]*)", 1) == "1", "spin": F.when(spin > 0, spin)}

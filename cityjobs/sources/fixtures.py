@@ -21,10 +21,11 @@ FROM supplier"""
 HEXAGON_CORNERS = ((10, 0), (5, 9), (-5, 9), (-10, 0), (-5, -9), (5, -9))
 HEXAGON = "(VALUES " + ",".join(f"({i},{a},{b})" for i, (a, b) in enumerate(HEXAGON_CORNERS)) + ")"
 
+#: Every seventh ground has a second, smaller ring (k = 1) to the east of the first.
 GROUND_EDGES = f"""
-SELECT g.i, o.seq, g.lat_u + o.dlat * g.h10_u AS lat1_u, g.lon_u + o.dlon * g.h10_u AS lon1_u,
-  g.lat_u + p.dlat * g.h10_u AS lat2_u, g.lon_u + p.dlon * g.h10_u AS lon2_u
-FROM fx_grounds g CROSS JOIN {HEXAGON} AS o(seq, dlat, dlon) JOIN {HEXAGON} AS p(seq, dlat, dlon) ON p.seq = (o.seq + 1) % 6"""
+SELECT g.i, g.k, o.seq, g.lat_u + o.dlat * g.h AS lat1_u, g.lon_u + o.dlon * g.h AS lon1_u, g.lat_u + p.dlat * g.h AS lat2_u, g.lon_u + p.dlon * g.h AS lon2_u
+FROM (SELECT i, 0 AS k, lat_u, lon_u, h10_u AS h FROM fx_grounds UNION ALL SELECT i, 1, lat_u, lon_u + 30 * h10_u, h10_u - 35 FROM fx_grounds WHERE i % 7 = 3) g
+JOIN {HEXAGON} AS o(seq, dlat, dlon) ON o.seq >= 0 JOIN {HEXAGON} AS p(seq, dlat, dlon) ON p.seq = (o.seq + 1) % 6"""
 
 BUILDINGS = """
 SELECT o_orderkey AS id,
@@ -43,9 +44,10 @@ SELECT 34565000 + (l_orderkey * 7907 + l_linenumber * 611 + l_partkey * 13) % 22
   135365000 + (l_orderkey * 6301 + l_suppkey * 977 + l_partkey * 29) % 250000 AS lon_u, CAST(l_quantity AS BIGINT) * 7 - 30 AS z_dm
 FROM lineitem"""
 
+#: The grid of 210 x 240 cells; a cell's height comes from the line items that fall into it, and is missing without one.
 DEM = """
-SELECT a.r AS r, b.c AS c, CASE WHEN (a.r * 31 + b.c * 17) % 101 = 0 THEN -32768 ELSE (a.r * 7 + b.c * 13) % 60 - 10 END AS raw
-FROM range(210) AS a(r) CROSS JOIN range(240) AS b(c)"""
+SELECT CAST(floor(a.i / 240) AS BIGINT) AS r, a.i % 240 AS c, CASE WHEN q IS NULL THEN -32768 ELSE q % 60 - 10 END AS raw
+FROM range(50400) AS a(i) LEFT JOIN (SELECT (l_orderkey * 7919 + l_linenumber * 10473) % 50400 AS i, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1) l ON l.i = a.i"""
 
 WAYS = """
 SELECT p_partkey AS id,
@@ -85,7 +87,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "fx_ground_edges": (GROUND_EDGES, (), ("fx_grounds",)),
     "fx_buildings": (BUILDINGS, ("orders",), ("fx_grounds",)),
     "fx_tin": (TIN, ("lineitem",), ()),
-    "fx_dem": (DEM, (), ()),
+    "fx_dem": (DEM, ("lineitem",), ()),
     "fx_ways": (WAYS, ("part",), ("fx_grounds",)),
     "fx_landmarks": (LANDMARKS, ("customer",), ()),
     "fx_peaks": (PEAKS, ("nation",), ()),

@@ -22,10 +22,15 @@ def _one(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1)
 
 
-def gml_buildings(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each building of ``*_op.gml`` files: mesh, file, seq, xml. Files are split at the end of a building."""
+def gml_buildings(spark: SparkSession, path: str, first_files: int | None = None) -> DataFrame:
+    """A row for each building of ``*_op.gml`` files: mesh, file, seq, xml. Files are split at the end of a building.
+
+    ``first_files`` takes that many files in the order of their names.
+    """
     raw = spark.read.option("lineSep", "</bldg:Building>").option("pathGlobFilter", "*_op.gml").text(path)
     t = raw.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    if first_files is not None:
+        t = t.join(t.select("file").distinct().orderBy("file").limit(first_files), "file", "left_semi")
     t = t.withColumn("xml", F.regexp_extract("value", r"(?s)(<bldg:Building[ >].*)", 1)).filter("xml <> ''")
     return t.select(F.split("file", "_")[0].alias("mesh"), "file", F.struct("file", "start", "row").alias("seq"), "xml")
 
@@ -56,10 +61,19 @@ def lod1_solids(xml: Column) -> Column:
 
 
 def lod2_surfaces(xml: Column) -> Column:
-    """Polygons of roofs, walls and outer ceilings and floors."""
+    """Polygons of roofs, walls and outer ceilings and floors; ground surfaces are never seen."""
     kinds = F.array(*[F.lit(k) for k in ("RoofSurface", "WallSurface", "OuterCeilingSurface", "OuterFloorSurface")])
     of_kind = lambda k: F.regexp_extract_all(xml, F.concat(F.lit("(?s)<bldg:"), k, F.lit("[ >](.*?)</bldg:"), k, F.lit(">")), F.lit(1))
-    return F.flatten(F.transform(F.flatten(F.transform(kinds, of_kind)), _polygons))
+    multi = lambda x: F.regexp_extract_all(x, F.lit("(?s)<bldg:lod2MultiSurface>(.*?)</bldg:lod2MultiSurface>"), F.lit(1))
+    surfaces = F.flatten(F.transform(F.flatten(F.transform(kinds, of_kind)), multi))
+    return F.flatten(F.transform(surfaces, _polygons))
+
+
+def chosen_surfaces(xml: Column, in_ground: Column, lod2_all: bool = False) -> Column:
+    """The surfaces of buildings in grounds, or of all with ``lod2_all``, that are modelled with them; an empty list means the solids."""
+    modelled = (in_ground | F.lit(lod2_all)) & F.contains(xml, F.lit("<bldg:lod2Solid"))
+    surfaces = lod2_surfaces(xml)
+    return F.when(modelled, surfaces).otherwise(F.slice(surfaces, 1, 0))
 
 
 def tin_triangles(spark: SparkSession, path: str) -> DataFrame:

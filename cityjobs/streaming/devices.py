@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cityjobs.functions import geo
@@ -70,11 +71,49 @@ def smoothed_stream(events: DataFrame, share: float = 0.25, timeout: str = "1 ho
 
 
 def enriched(pings: DataFrame, dem: DataFrame, grid: T.Grid, above: float) -> DataFrame:
-    """Positions with the height of their cell, and the eye above it; a stream joins the static cells alike."""
-    r = F.greatest(F.lit(0), F.least(F.lit(grid.rows - 1), grid.row(F.col("lat"))))
-    c = F.greatest(F.lit(0), F.least(F.lit(grid.cols - 1), grid.col(F.col("lon"))))
-    p = pings.withColumns({"r": r, "c": c})
-    return p.join(dem.select("r", "c", F.col("z").alias("ground")), ["r", "c"], "left").drop("r", "c").withColumn("eye", F.col("ground") + F.lit(above))
+    """Positions with the height of the terrain between the four cells around them (0 outside the grid), and the eye above it.
+
+    The four cells are joined one by one as static tables, so a stream of pings is enriched alike.
+    """
+    x = F.greatest(F.lit(0.0), F.least(F.lit(grid.cols - 1.0), (F.col("lon") - F.lit(grid.west)) / grid.res - 0.5))
+    y = F.greatest(F.lit(0.0), F.least(F.lit(grid.rows - 1.0), (F.lit(grid.north) - F.col("lat")) / grid.res - 0.5))
+    p = pings.withColumns({"__x": x, "__y": y, "__in": grid.has(F.col("lat"), F.col("lon"))})
+    x0, y0 = F.floor("__x").cast("long"), F.floor("__y").cast("long")
+    fx, fy = F.col("__x") - x0, F.col("__y") - y0
+    cells = dem.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "z")
+    height = F.lit(0.0)
+    for k, (down, right) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+        corner = cells.select(F.col("r").alias(f"__r{k}"), F.col("c").alias(f"__c{k}"), F.col("z").alias(f"__z{k}"))
+        p = p.withColumns({f"__r{k}": F.least(F.lit(grid.rows - 1), y0 + down), f"__c{k}": F.least(F.lit(grid.cols - 1), x0 + right)}).join(corner, [f"__r{k}", f"__c{k}"], "left")
+        height = height + (fx if right else 1 - fx) * (fy if down else 1 - fy) * F.coalesce(f"__z{k}", F.lit(0.0))
+    p = p.withColumn("ground", F.when(F.col("__in"), height).otherwise(0.0)).withColumn("eye", F.col("ground") + F.lit(above))
+    return p.select(*pings.columns, "ground", "eye")
+
+
+def first_flagged(pings: DataFrame) -> DataFrame:
+    """Batch: whether a ping is its device's first (``first``), in order of time."""
+    least = pings.groupBy("device").agg(F.min(F.struct("ts", "event_id")).alias("__first"))
+    return pings.join(least, "device", "left").withColumn("first", F.coalesce(F.struct("ts", "event_id") == F.col("__first"), F.lit(False))).drop("__first")
+
+
+def first_flagged_stream(pings: DataFrame, timeout: str = "1 hour") -> DataFrame:
+    """Stream: the same, with whether a device has been seen as its state, dropped after ``timeout`` of quiet."""
+    ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    schema = T_.StructType([*pings.schema.fields, T_.StructField("first", T_.BooleanType())])
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        pdf["first"] = False
+        if not state.exists:
+            pdf.iloc[0, pdf.columns.get_loc("first")] = True
+        state.update((True,))
+        state.setTimeoutDuration(ms)
+        yield pdf
+
+    return pings.groupBy("device").applyInPandasWithState(run, schema, "seen boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def settled_views(views: DataFrame, quiet: str = "400 milliseconds", late: str = "10 seconds") -> DataFrame:

@@ -43,9 +43,9 @@ def test_smoothing_weights_equal_two_box_sums():
 
 def test_innermost_area_ties_and_misses(spark):
     ring = lambda r: [{"lat": -r, "lon": -r}, {"lat": -r, "lon": r}, {"lat": r, "lon": r}, {"lat": r, "lon": -r}]
-    areas = spark.createDataFrame([(i, ring(r), 4 * r * r, -r, -r, r, r) for i, r in ((1, 0.02), (2, 0.01), (3, 0.01))], "i int, ring array<struct<lat:double,lon:double>>, area double, s double, w double, n double, e double")
-    points = spark.createDataFrame([(1, 0.001, 0.002), (2, 0.015, 0.0), (3, 1.0, 1.0)], "pid int, lat double, lon double")
-    assert {r.pid: r.ground for r in spatial.innermost_area(points, areas).collect()} == {1: 2, 2: 1, 3: None}
+    areas = spark.createDataFrame([(i, [ring(r), [{"lat": p["lat"] + 1, "lon": p["lon"]} for p in ring(r)]], 8 * r * r, -r, -r, r + 1, r) for i, r in ((1, 0.02), (2, 0.01), (3, 0.01))], "i int, rings array<array<struct<lat:double,lon:double>>>, area double, s double, w double, n double, e double")
+    points = spark.createDataFrame([(1, 0.001, 0.002), (2, 0.015, 0.0), (3, 1.0, 1.0), (4, 1.005, 0.0), (5, 0.5, 0.0)], "pid int, lat double, lon double")
+    assert {r.pid: r.ground for r in spatial.innermost_area(points, areas).collect()} == {1: 2, 2: 1, 3: None, 4: 2, 5: None}
 
 
 def test_greedy_rounds_equal_a_plain_walk(spark):
@@ -59,7 +59,47 @@ def test_greedy_rounds_equal_a_plain_walk(spark):
     assert {r.id for r in got.collect()} == kept
 
 
+def test_roofs_and_selected_kinds(spark):
+    ways = [("way", k, {"name": "x", key: value}) for k, (key, value) in enumerate(
+        [("historic", v) for v in (*osm.HISTORIC_KINDS, "ruins")] + [("leisure", v) for v in (*osm.LEISURE_KINDS, "pitch")] + [("tourism", v) for v in (*osm.TOURISM_KINDS, "hotel")]
+    )]
+    d = spark.createDataFrame([(t, i, {**m, "wikidata": "Q"}, 34.7, 135.5) for t, i, m in ways] + [("way", 99, {"name": "x", "historic": "castle"}, 35.0, 135.5)], "type string, id long, tags map<string,string>, lat double, lon double")
+    unknown = {k for k, (_, _, m) in enumerate(ways) if set(m.values()) & {"ruins", "pitch", "hotel"}}
+    assert {r.id for r in osm.landmarks(d).collect()} == set(range(len(ways))) - unknown
+    square = [{"lat": 0.0, "lon": 0.0}, {"lat": 0.0, "lon": 2e-4}, {"lat": 1e-4, "lon": 2e-4}, {"lat": 1e-4, "lon": 0.0}]
+    e = spark.createDataFrame([(square, s, a) for s in ("hipped", "gabled") for a in (False, True)], "ring array<struct<lat:double,lon:double>>, shape string, across boolean")
+    _, roof = osm.roof_surfaces(F.col("ring"), F.lit(0.0), F.lit(10.0), F.col("shape"), F.lit(4.0), F.col("across"))
+    for r in e.select("shape", "across", roof.alias("roof")).collect():
+        ridge = [(p["lat"], p["lon"]) for p in r.roof[0] if p["z"] == 10.0]
+        assert len(r.roof) == 4 and [len(f) for f in r.roof] == [4, 4, 3, 3] and len(ridge) == 2
+        along = 0 if r.across else 1  # the ridge keeps to the middle of the other axis
+        assert all(abs(p[1 - along] - (1e-4 if r.across else 5e-5)) < 1e-9 for p in ridge)
+        if r.shape == "gabled":
+            assert {round(p[along], 7) for p in ridge} == ({0.0, 1e-4} if r.across else {0.0, 2e-4})
+
+
+def test_first_ping_of_a_stream_equals_batch(spark, tmp_path):
+    rows = [(i, i % 3, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=i // 2)).to_pydatetime()) for i in range(30)]
+    src = spark.createDataFrame(rows, "event_id long, device long, ts timestamp")
+    for i in range(2):
+        src.filter(f"event_id div 15 = {i}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = devices.first_flagged_stream(stream).writeStream.format("memory").queryName("firsts").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r.event_id: r["first"] for r in spark.sql("SELECT * FROM firsts").collect()}
+    assert got == {r.event_id: r["first"] for r in devices.first_flagged(src).collect()} and sum(got.values()) == 3
+
+
+def test_views_far_north_and_across_the_meridian(spark):
+    v = spark.createDataFrame([(1, 70.0, 179.99, 10.0, 90.0, 0.0)], "view_id long, vlat double, vlon double, vh double, heading double, pitch double")
+    l = spark.createDataFrame([(1, "l", 2, 70.0, -179.9, 0.0), (2, "l", 2, 70.0, 179.8, 0.0), (3, "l", 2, 70.0, -179.0, 0.0)], "id long, k string, r int, lat double, lon double, z double")
+    assert {r.id for r in views.candidates(v, l).collect()} == {1}
+
+
 def test_translation_words():
+    assert labels.translate_terms("十三駅") == "Juso Station"
+    assert labels.translate_terms("金胎寺山") == "Kontaiji山"
+    assert labels.translate_terms("ヴィラ・マッチャ(北館)") == "Vira Matcha (North Wing)"
     assert labels.translate_terms("大阪市立図書館") == "Osaka City Library"
     assert labels.translate_terms("グランドビル") == "Grand Building"
     assert labels.translate_terms("寺田") == "寺田"
