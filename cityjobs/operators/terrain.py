@@ -133,8 +133,8 @@ def nearest_height(points: DataFrame, dem: DataFrame, grid: Grid) -> DataFrame:
     """Points (lat, lon) with ``ground``, the height of their cell in tenths; the border cell outside."""
     r = F.greatest(F.lit(0), F.least(F.lit(grid.rows - 1), grid.row(F.col("lat"))))
     c = F.greatest(F.lit(0), F.least(F.lit(grid.cols - 1), grid.col(F.col("lon"))))
-    cells = dem.select("r", "c", (geo.clamped_steps(F.col("z"), 0.1) * F.lit(0.1)).alias("ground"))
-    return points.withColumns({"r": r, "c": c}).join(cells, ["r", "c"], "left").drop("r", "c")
+    cells = dem.select(F.col("r").alias("__r"), F.col("c").alias("__c"), (geo.clamped_steps(F.col("z"), 0.1) * F.lit(0.1)).alias("ground"))
+    return points.withColumns({"__r": r, "__c": c}).join(cells, ["__r", "__c"], "left").drop("__r", "__c")
 
 
 def bilinear_height(points: DataFrame, dem: DataFrame, grid: Grid, key: str, whole: bool = False) -> DataFrame:
