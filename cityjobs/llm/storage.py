@@ -16,7 +16,12 @@ def write_committed(folder: str, name: str, attempt: str, data: bytes) -> None:
     temporary = f"{path}/.{name}.{attempt}"
     with fs.open_output_stream(temporary, compression=None) as f:
         f.write(data)
-    fs.move(temporary, f"{path}/{name}")
+    try:
+        fs.move(temporary, f"{path}/{name}")
+    except OSError:  # not every file system replaces a file; one that is there has the same bytes
+        if fs.get_file_info(f"{path}/{name}").type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(temporary)
 
 
 def read_file(folder: str, name: str) -> bytes:

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, ship
+from .common import before_each, materialize, shared_dir, ship
 from .storage import read_file, write_committed
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Compressed size at which a file is full.
 ROLL_BYTES = 8 << 20
+#: Files whose bounds are broadcast (under 100 bytes each); where there are more, members are joined to their files.
+MAX_BOUNDS = 1 << 20
 _SPACE = uuid.UUID(int=0)
 
 
@@ -133,26 +135,31 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     n_runs = max(1, -(-(members.agg(F.sum("size")).first()[0] or 0) // (4 * roll_bytes)))
     runs = members.select("page_id", "copy", "size").repartitionByRange(n_runs, F.col("page_id").asc_nulls_first(), "copy")
     runs = materialize(runs.withColumn("run", F.spark_partition_id()), "runs")
-    before_run = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each run only
-    starts = materialize(runs.groupBy("run").agg(F.sum("size").alias("s")).select("run", F.coalesce(F.sum("s").over(before_run), F.lit(0)).alias("before")), "run-starts")
+    starts = materialize(before_each(runs.groupBy("run").agg(F.sum("size").alias("s")), "run", F.col("s"), "before"), "run-starts")
     within = Window.partitionBy("run").orderBy(F.col("page_id").asc_nulls_first(), "copy").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     placed = runs.join(starts, "run").withColumn("file_no", F.floor(upto / roll_bytes).cast("long")).select("page_id", "copy", "size", "file_no")
-    # a file is a range of the order, so its bounds place the members without a join of theirs
     bounds = materialize(placed.groupBy("file_no").agg(F.min(F.struct("page_id", "copy")).alias("first")), "bounds")
-    firsts = bounds.select("file_no", F.col("first.page_id").alias("p"), F.col("first.copy").alias("c")).sort("file_no").toPandas()  # a row for each file
-    starts_at = [(-(1 << 63) - 1 if pd.isna(p) else int(p), int(c)) for p, c in zip(firsts["p"], firsts["c"], strict=True)]
-    numbers = firsts["file_no"].tolist()
-    given = spark.sparkContext.broadcast((starts_at, numbers))
+    columns = "page_id long, copy int, member binary, size long, file_no long"
+    if bounds.count() > MAX_BOUNDS:
+        at = placed.select(F.col("page_id").alias("rid"), F.col("copy").alias("rcopy"), "file_no").hint("merge")
+        files = members.join(at, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("copy") == F.col("rcopy"))).drop("rid", "rcopy")
+    else:
+        # a file is a range of the order, so its bounds place the members without a join of theirs
+        firsts = bounds.select("file_no", F.col("first.page_id").alias("p"), F.col("first.copy").alias("c")).sort("file_no").toPandas()
+        starts_at = [(-(1 << 63) - 1 if pd.isna(p) else int(p), int(c)) for p, c in zip(firsts["p"], firsts["c"], strict=True)]
+        given = spark.sparkContext.broadcast((starts_at, firsts["file_no"].tolist()))
 
-    def to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
+        def to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import bisect
 
-        keys, files = given.value
-        for batch in batches:
-            ids, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = [files[bisect.bisect_right(keys, (-(1 << 63) - 1 if p is None else p, c)) - 1] for p, c in zip(ids, copies, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=["page_id", "copy", "member", "size", "file_no"])
+            keys, numbers = given.value
+            for batch in batches:
+                ids, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                at = [numbers[bisect.bisect_right(keys, (-(1 << 63) - 1 if p is None else p, c)) - 1] for p, c in zip(ids, copies, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=["page_id", "copy", "member", "size", "file_no"])
+
+        files = members.mapInArrow(to_files, columns)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         from pyspark import TaskContext
@@ -164,7 +171,6 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
         write_committed(path, name, str(context.taskAttemptId() if context else 0), data)
         return pd.DataFrame({"file": [name], "records": [len(pdf)], "bytes": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()]})
 
-    files = members.mapInArrow(to_files, "page_id long, copy int, member binary, size long, file_no long")
     files = files.groupBy("file_no").applyInPandas(write, "file string, records long, bytes long, sha256 string")
     files.write.parquet(f"{path}/_manifest")
     return path
