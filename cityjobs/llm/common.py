@@ -14,14 +14,19 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows that a task writes at least, where their number is known to be small.
+ROWS_PER_TASK = 250_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as a plain Parquet scan.
 
     This cuts lineage (a lost executor re-reads a file, not the whole plan) and
     gives the planner true sizes, so that it broadcasts the table only when the
-    measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
+    measured size is under ``spark.sql.autoBroadcastJoinThreshold``. Where ``rows``, a bound
+    of its rows, is given, no more tasks write it than these are worth.
     """
-    return written(df, name)
+    return written(df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_TASK))), name)
 
 
 def ship(spark: SparkSession) -> None:
