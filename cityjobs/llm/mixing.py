@@ -86,17 +86,18 @@ def mix(
     max_epochs: int = 2,
     weights: dict[str, float] = WEIGHTS,
     seed: int = 11,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Documents selected for a token budget of ``budget`` times all tokens.
 
     Returns id, domain, language, source, epoch (from 0), start (tokens of the leaf's
     stream before the document), n_tokens, take_tokens (less than n_tokens only for the
-    document that the prefix ends in) and leaf_alloc. Tokens are words.
+    document that the prefix ends in), leaf_alloc[, keep...]. Tokens are words.
 
     * Null texts count as empty; documents without tokens are selected while the stream
       has tokens left to give. Null languages and sources are the nodes ''.
-    * Ties of the seeded order go to the smaller id; null ids are ordered first, and
-      rows that repeat an id share its place in an order that is not defined.
+    * Rows whose id is null or repeated are put in order each by itself, by a number that
+      follows from where they lie in the input; so they may be any share of the rows.
     * An empty table gives an empty result; other columns are ignored.
     * A leaf may hold any share of the rows: its stream is summed in 4096 slices of the
       seeded order, and only documents within a slice meet in one task.
@@ -106,8 +107,17 @@ def mix(
         F.coalesce(F.col(source_col), F.lit("")).alias("__source"),
         F.coalesce(F.col(lang_col), F.lit("")).alias("language"),
         F.size(words(text_or_empty(text_col))).cast("long").alias("n_tokens"),
+        *keep,
     )
-    base = materialize(base.select("__id", domain_of(F.col("__source")).alias("domain"), "language", F.col("__source").alias("source"), "n_tokens"), "mix-sizes")
+    base = base.select("__id", domain_of(F.col("__source")).alias("domain"), "language", F.col("__source").alias("source"), "n_tokens", *keep)
+    base = materialize(base.withColumn("__number", F.monotonically_increasing_id()), "mix-sizes")
+    unique = F.col("__id").cast("string")
+    again = materialize(base.filter("__id IS NOT NULL").groupBy("__id").count().filter("count > 1").select(F.col("__id").alias("__again")), "repeated-ids")
+    if again.isEmpty():
+        base = base.withColumn("__name", F.coalesce(unique, F.concat(F.lit("#"), "__number")))
+    else:
+        base = base.join(again, F.col("__id") == F.col("__again"), "left")
+        base = base.withColumn("__name", F.when(F.col("__again").isNull() & F.col("__id").isNotNull(), unique).otherwise(F.concat_ws("#", unique, F.col("__number"))))
     leaves = materialize(base.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     total = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * F.lit(budget))
     total = leaves.select(total.alias("t")).limit(1).first()  # one number
@@ -118,15 +128,15 @@ def mix(
     stream = (
         base.join(budgets, list(LEVELS))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__epochs") - 1)))
-        .withColumn("__order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("__id").cast("string"), F.lit(""))).cast("binary")))
+        .withColumn("__order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), "__name").cast("binary")))
         .withColumn("__slice", F.substring("__order", 1, SLICE_DIGITS))
     )
     leaf = [*LEVELS, "epoch"]
     sums = stream.groupBy(*leaf, "__slice").agg(F.sum("n_tokens").alias("__sum"))
     before_slice = Window.partitionBy(*LEVELS).orderBy("epoch", "__slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = materialize(sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before_slice), F.lit(0))).drop("__sum"), "slices")
-    before = Window.partitionBy(*leaf, "__slice").orderBy("__order", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*leaf, "__slice").orderBy("__order", "__number").rowsBetween(Window.unboundedPreceding, -1)
     placed = stream.join(sums, [*leaf, "__slice"]).withColumn("start", F.col("__before") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     return placed.filter("start < alloc").select(
-        F.col("__id").alias(id_col), *leaf, "start", "n_tokens", F.least(F.col("n_tokens"), F.col("alloc") - F.col("start")).alias("take_tokens"), F.col("alloc").alias("leaf_alloc")
+        F.col("__id").alias(id_col), *leaf, "start", "n_tokens", F.least(F.col("n_tokens"), F.col("alloc") - F.col("start")).alias("take_tokens"), F.col("alloc").alias("leaf_alloc"), *keep
     )

@@ -186,10 +186,10 @@ def certified_cutoffs(
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Counts and verdict per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, failed_rules, stratum.
+    n_repeat_words, base_failed, kept, failed_rules, stratum[, keep...].
 
     * Null or empty texts have no words and fail the base rule. Null strata are the stratum ''.
     * A stratum without enough labelled documents takes the cut-offs of all strata together;
@@ -197,8 +197,8 @@ def judge(
     * Repeated rows are judged each on its own; an empty table gives an empty result.
     * Any stratum may hold any share of the rows: its counts are combined before the shuffle.
     """
-    named = docs.select(id_col, text_col, F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"))
-    features = materialize(text_features(named, id_col, text_col, ("stratum",)), "features")
+    named = docs.select(id_col, text_col, F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), *keep)
+    features = materialize(text_features(named, id_col, text_col, ("stratum", *keep)), "features")
     cutoffs = certified_cutoffs(features, labels, alpha=alpha, delta=delta).withColumnRenamed("stratum", "__stratum")
     pool = cutoffs.filter("__stratum IS NULL").head()
     out = features.join(cutoffs, F.col("stratum") == F.col("__stratum"), "left").withColumn("base_failed", base_failed())
@@ -217,4 +217,5 @@ def judge(
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"),
         "failed_rules",
         "stratum",
+        *keep,
     )

@@ -51,17 +51,41 @@ def test_exact_dedup(docs, none):
         got = exact_dedup.exact_dedup(docs.filter("doc_id IS NOT NULL OR text IS NULL").dropDuplicates(["doc_id"]) if ident is not F.xxhash64 else docs, identifier=ident).collect()
         if ident is F.xxhash64:
             assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
+            one = exact_dedup.exact_dedup(docs.withColumn("at", F.monotonically_increasing_id()), row_col="at").filter("kept").collect()
+            assert Counter(r.text_sha256 for r in one) == Counter({hashlib.sha256(t.encode()).hexdigest() for t in groups}) and all(r.doc_id == r.keep_id for r in one)
         else:
             by = {r.doc_id: r for r in got}
             assert by[7].keep_id == 7 and by[8].keep_id == 8 and by[3].keep_id == by[4].keep_id == 4
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_external_shuffle_query(spark):
+    """All that the query returns of each document, and its law."""
+    out = queries.op3_external_shuffle(spark, SF).collect()
+    want = {r.doc_id: (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in out} == want and len(out) == len(want)
+    assert {(r.law, r.grown_shard) for r in out} == {("rows", None)}
+    slots = {k: sorted(r.slot for r in out if r.shard == k) for k in range(16)}
+    assert all(s == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot))] != sorted(want)
+
+
+def test_external_shuffle_splits_hot_keys(spark):
+    rows = [(None, "same text " * 9, {"a": 1, "b": i % 2}) for i in range(300)] + [(5, f"t{i} " * 9, None) for i in range(300)] + [(i, "x", {}) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>").repartition(3)
+    placed = sharding.external_shuffle(frame, n_shards=4, bucket_bytes=4096)
+    out = placed.collect()
+    show = lambda r: (r.doc_id, r.text, sorted((r.tags or {}).items()), r.tags is None)
+    assert sorted(map(str, map(show, out))) == sorted(map(str, map(show, frame.collect())))
+    hot = sorted(r.shard for r in out if r.doc_id is None)
+    assert {k: hot.count(k) > 30 for k in range(4)} == dict.fromkeys(range(4), True)  # dealt over all of the order
+
+
 @pytest.mark.parametrize("bucket", [200, 1 << 20])
 def test_external_shuffle(docs, none, bucket):
-    wide = docs.drop("shard")
+    wide = docs.drop("shard") if bucket > 200 else docs.drop("shard").filter("length(text) > 1000 OR doc_id < 3")  # without hot keys at that size
     out = sharding.write_shards(wide, n_shards=4, bucket_bytes=bucket).collect()
-    assert Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in docs.collect())
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in wide.collect())
     by = {}
     for r in out:
         by.setdefault(r.shard, []).append(r.slot)
@@ -90,26 +114,82 @@ def test_lattice_forward_equals_all_segmentations():
     assert math.isclose((one * lengths).sum(), 2.0 * 4)
 
 
-def test_lattice_scores(docs, none):
+def test_long_words_equal_short_ones(monkeypatch):
+    """Forward and expected numbers of a word taken window by window, and a megabyte without a space."""
+    rng = random.Random(3)
+    pieces = [bytes([x]) for x in lattice.BYTES] + [b" a", b"ab", b"abc", b"bc", b" ab", b"a" * 16]
+    probs = lattice.smoothed(np.arange(1, len(pieces) + 1, dtype=float))
+    words = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 15, 16, 17, 100, 250)] + [b"a" * 200]
+    lat = lattice.Lattice(pieces, probs)
+    weights = np.arange(1.0, len(words) + 1)
+    want, many = lat.scores(words), lat.expect(words, weights)
+    monkeypatch.setattr(lattice, "LONG", 0)
+    for window in (7, 16, 64, 1 << 14):
+        monkeypatch.setattr(lattice, "WINDOW", window)
+        assert np.allclose(lat.scores(words), want) and np.allclose(lat.expect(words, weights), many)
+    text = bytes(rng.choice(b"abcdefgh") for _ in range(1 << 20))
+    total = np.zeros(lat.n + 1)
+    lat.long_expect(text, 1.0, total)
+    assert math.isclose((total[:-1] * np.array([len(p) for p in pieces])).sum(), len(text) + 1, rel_tol=1e-3)
+
+
+def test_lattice_scores(docs, none, monkeypatch):
+    """Counts, base and score of every document against a plain model that goes through all segmentations."""
     path = queries.public_file("piece_bpe_32k.model")
+    monkeypatch.setattr(lattice, "MAX_HELD_WORDS", 4)  # the others are joined
     rows = pairs(docs)
     out = lattice.lattice_scores(docs, path).collect()
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 1
     words = lambda t: t.encode().lower().split()
-    counts, ends = Counter(), 0
-    for i, t in rows:
-        if not held(i):
-            counts.update(words(t))
-            ends += 1
+    pieces, own = lattice.public_pieces(path)
+
+    def model(train):
+        counts = Counter(w for _, t in train for w in words(t))
+        probs, drawn = own, 0.0
+        p_end = (len(train) + 1) / (lattice.PRIOR + len(train) + 1)
+
+        def alphas(w, score, back=False):
+            a = [1.0]
+            for e in range(1, len(w) + 1):
+                a.append(sum(a[e - k] * score.get(w[-e : len(w) - e + k] if back else w[e - k : e], 0.0) for k in range(1, min(e, 16) + 1)))
+            return a
+
+        for _ in range(lattice.EM_ROUNDS):
+            score = dict(zip(pieces, (1 - p_end) * probs, strict=True))
+            total = Counter()
+            for w, c in counts.items():
+                w = b" " + w
+                f, g = alphas(w, score), alphas(w, score, True)
+                for e in range(1, len(w) + 1):
+                    for k in range(1, min(e, 16) + 1):
+                        if (piece := w[e - k : e]) in score:
+                            total[piece] += c * f[e - k] * score[piece] * g[len(w) - e] / f[-1]
+            weights = lattice.PRIOR * own + np.array([total[p] for p in pieces])
+            drawn = sum(total.values())
+            probs = lattice.smoothed(weights)
+            p_end = (len(train) + 1) / (drawn + lattice.PRIOR + len(train) + 1)
+        score = dict(zip(pieces, (1 - p_end) * probs, strict=True))
+        assert math.isclose(sum(score.values()) + p_end, 1.0)
+        return lambda t: math.log10(p_end) + sum(math.log10(alphas(b" " + w, score)[-1]) for w in words(t))
+
+    train = [(i, t) for i, t in rows if not held(i)]
+    counts, ends = Counter(w for _, t in train for w in words(t)), len(train)
     n, v = sum(counts.values()) + ends, len(counts) + 1
     counts[None] = ends
-    want = Counter()
+    short = [(i, t) for i, t in rows if len(t) < 1000]
+    want, scores = Counter(), {}
     for i, t in rows:
         w = words(t) + [None]
         base = sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         want[i, held(i), len(w), sum(counts[x] > 0 for x in w), n, round(base, 5)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in out) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in out)
+    few = docs.filter("text IS NULL OR length(text) < 1000")
+    got = Counter((r.doc_id, round(r.score, 6)) for r in lattice.lattice_scores(few, path).collect())
+    plain = model([(i, t) for i, t in short if not held(i)])
+    assert got == Counter((i, round(plain(t), 6)) for i, t in short)
+    one = lattice.lattice_scores(docs.filter("doc_id IS NULL"), path).collect()  # none to train on
+    assert all(r.train_tokens == 0 == r.base_score and r.n_known == 0 for r in one)
     assert lattice.lattice_scores(none, path).count() == 0
 
 
@@ -217,19 +297,45 @@ def test_jaccard_join(spark, docs, none, most, monkeypatch):
     out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = components([(i, t or "") for i, t in rows])
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
-    assert jaccard.jaccard_components(docs).count() == docs.count()
+    # rows by number, whatever ids they have
+    numbered = docs.withColumn("at", F.monotonically_increasing_id()).collect()
+    by_row = components([(r["at"], r.text or "") for r in numbered])
+    ids = {r["at"]: r.doc_id for r in numbered}
+    least = {}
+    for at, (_, root) in by_row.items():
+        least[root] = min((i for i in (least.get(root), ids[at]) if i is not None), default=None)
+    out = jaccard.jaccard_components(spark.createDataFrame(numbered, docs.withColumn("at", F.lit(0).cast("long")).schema), keep=("at",)).collect()
+    assert {r["at"]: (r.doc_id, r.n_shingles, r.component_id) for r in out} == {at: (ids[at], n, least[root] if n else ids[at]) for at, (n, root) in by_row.items()}
+    assert all((r.component is None) == (r.n_shingles == 0) for r in out)
     assert jaccard.jaccard_components(none).count() == 0
 
 
 def test_id_coder_round_trip():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 2, 2047, 2048, 2049, 4097, 9000):
-        for ids in (rng.integers(0, 49408, n), rng.integers(0, 3, n), np.zeros(n, int), rng.integers(0, 65535, n), (rng.zipf(1.3, n) % 60000)):
-            assert (id_coder.decode(id_coder.encode(ids)) == ids).all()
-    data = bytearray(id_coder.encode(rng.integers(0, 100, 5000)))
-    data[-40] ^= 1
-    with pytest.raises(ValueError, match="checksum"):
-        id_coder.decode(bytes(data))
+    for n in (0, 1, 2, 255, 256, 2049, 9000, 70_001):
+        for ids in (rng.integers(0, 49408, n), rng.integers(0, 3, n), np.zeros(n, int), rng.integers(0, 65536, n), (rng.zipf(1.3, n) % 60000)):
+            assert (id_coder.decode(id_coder.encode(ids, 30_000)) == ids).all()
+    ids = rng.integers(0, 100, 5000)
+    data = bytearray(id_coder.encode(ids, 2000))
+    first, second, third = (id_coder.block_of(data, k) for k in range(3))
+    assert (id_coder.decode_block(bytes(second)) == ids[5000 // 3 : 2 * 5000 // 3]).all()  # a block needs no other
+    for at in (-40, -len(third) + 20):
+        broken = bytearray(data)
+        broken[at] ^= 1
+        with pytest.raises(ValueError, match="checksum"):
+            id_coder.decode(bytes(broken))
+        assert (id_coder.decode_block(id_coder.block_of(bytes(broken), 0)) == ids[: 5000 // 3]).all()
+
+
+def test_coded_ids_are_smaller_than_order_0_entropy(spark):
+    """By 4 % at least on the documents; adaptive frequencies cost 15 % at most where ids are independent."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    enc = tokens.encoder(queries.public_file("word_bpe_49k.json"), "words")
+    entropy = lambda ids: sum(-c * math.log2(c / len(ids)) for c in Counter(ids.tolist()).values()) / 8
+    ids = np.concatenate([ids for _, _, ids, _ in enc.encode(pa.array(texts), 2)])
+    assert len(id_coder.encode(ids)) < 0.96 * entropy(ids)
+    ids = np.random.default_rng(1).zipf(1.3, 400_000) % 49_000
+    assert len(id_coder.encode(ids)) < 1.15 * entropy(ids)
 
 
 def test_id_files(spark, docs, none):
@@ -250,9 +356,11 @@ def test_id_files(spark, docs, none):
     assert id_files.read_ids(spark, id_files.write_ids(none, path)).count() == 0
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("bounds", [0, 1 << 20])
+def test_warc(spark, bounds, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_BOUNDS", bounds)
     rows = [(1, "http://a/x", "<p>a"), (2, None, "<p>a"), (3, "http://b/", None), (4, "http://c/", ""), (5, "u", "é" * 5000), (5, "u", "é" * 5000), (None, "n", "<p>a"), (7, "u v\nw", "\r\n\r\nWARC/1.1\r\n")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({k: F.lit(1) for k in ("hash", "copy", "member", "winner", "size")})
     for roll in (300, 1 << 20):
         out = warc.read_warc(spark, warc.write_warc(pages, roll_bytes=roll)).collect()
         best = {}
@@ -310,6 +418,78 @@ def test_tree_judges_articles_and_counts_copies_once(spark):
     assert texts(rows) == {i: f"Head {min(i, 11)}\nOwn words {min(i, 11)}" for i in range(60)}
 
 
+def test_names_say_furniture_only_where_they_say_nothing_else(spark):
+    page = (
+        "<body><article><p title='the hidden truth'>one</p><section data-id='ad'><p>two</p></section><div class='share-price'>three</div><div class='related work'>four</div>"
+        "<div class='ad-hoc'>five</div><div id='comment-on-kant'>six</div><p class=keep>seven</p><div class='share-buttons'>no</div><div class='col-4 sidebar'>no</div><div id=comments>no</div></article></body>"
+    )
+    teasers = "<body><main><p>Teaser</p></main><div><p>" + "A story in an unmarked element. " * 9 + "</p></div></body>"
+    rows = [(1, "http://a.example/", page), (2, "http://b.example/", teasers)]
+    out = {r.page_id: r.text for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[1] == "one\ntwo\nthree\nfour\nfive\nsix\nseven"
+    assert "A story" in out[2]
+
+
+def test_tree_cuts_what_differs_on_every_page_without_names(spark):
+    """Adverts and footers with other words on each page, in elements without a telling name."""
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(20):
+        body = [say(30) for _ in range(rng.randrange(2, 6))]
+        head = say(6)
+        rows.append((i, f"http://h.example/{i}", f"<body><div class=q>{say(4)}</div><div class=z><h1>{head}</h1>" + "".join(f"<p>{t}</p>" for t in body) + f"<div class=lead>{say(3)}</div></div><div class=y>{say(5)}</div></body>"))
+        want[i] = [head, *body]
+    out = {r.page_id: r.text.split("\n") for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: t[:-1] for i, t in out.items()} == want  # what stands within the main branch stays, however short
+
+
+def test_importance_equals_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(150)
+    rows = style_tree.with_host(pages.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id") % 3, F.lit(".example/")))).select("__host", "html", F.lit(1).cast("long").alias("copies"))
+    counted = rows.mapInArrow(style_tree._features, "host string, path string, kind int, feature long, words long, pages double")
+    features = counted.groupBy("host", "path", "kind", "feature", "words").agg(F.round(F.sum("pages")).cast("long").alias("k"))
+    got = {(r.host, r.branch): r for r in style_tree.importance(features).collect()}
+    texts, shapes, having = {}, {}, {}
+    for r in rows.collect():
+        found, styles = blocks(r.html or "")
+        own = {(b.path, b.text) for b in found}
+        for path, text in own:
+            c = texts.setdefault((r["__host"], path), Counter())
+            c[text] += 1
+        above = {"/".join(p.split("/")[:k]) for p, _ in own for k in range(2, p.count("/") + 2)}
+        for p in above:
+            having[r["__host"], p] = having.get((r["__host"], p), 0) + 1
+        for p, s in {x for x in styles if x[0] in above}:
+            shapes.setdefault((r["__host"], p), Counter())[s] += 1
+    carried, words = Counter(), Counter()
+    for (host, path), c in texts.items():
+        m = having[host, path]
+        for text, k in c.items():
+            n = len(text.split(" ")) * k
+            kept = n * (1 - min(1, math.log(k) / math.log(m))) if m >= style_tree.MIN_PAGES else n
+            for j in range(1, path.count("/") + 2):
+                branch = "/".join(path.split("/")[:j])
+                carried[host, branch] += kept
+                words[host, branch] += n
+    assert set(got) == {x for x in words if x[1]} and len(got) > 10
+    for (host, branch), r in got.items():
+        m = having[host, branch]
+        style = sum(-min(1, c / m) * math.log(min(1, c / m)) / math.log(m) for c in shapes.get((host, branch), {}).values()) if m > 1 else 0
+        assert r.pages == m and math.isclose(r.style, style, abs_tol=1e-9)
+        assert math.isclose(r.content, carried[host, branch] / words[host, branch], abs_tol=1e-9)
+        assert math.isclose(r.share, carried[host, branch] / carried[host, ""], abs_tol=1e-9)
+
+
+def test_main_text_of_odd_rows(spark):
+    """Long html, repeated rows, ties, null ids and urls, and columns of clashing names."""
+    long = "<body><article>" + "<p>word word</p>" * 40_000 + "</article>" + "<div>" * 3000 + "x"
+    rows = [(1, None, "<p>a", "h"), (1, None, "<p>a", "h"), (None, "http://x.example/", "<p>b", "h"), (3, "http://x.example/", long, "h"), (4, "nonsense", "<article>", "h"), (5, "http://x.example/", None, "h")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumns({k: F.lit(1) for k in ("text", "paths", "path", "k")})
+    out = style_tree.main_texts(frame).collect()
+    assert Counter((r.page_id, r.text[:9], r.n_chars) for r in out) == Counter([(1, "a", 1), (1, "a", 1), (None, "b", 1), (3, "word word", 40_000 * 10 - 1), (4, "", 0), (5, "", 0)])
+
+
 def test_quality_counts(docs, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     out = quality.judge(docs, labels).collect()
@@ -404,6 +584,16 @@ def test_matches_oracle(spark, name):
     assert sorted(str([r[c] for c in cols]) for r in df.collect()) == sorted(str([dict(zip(rel.columns, r, strict=True))[c] for c in cols]) for r in rel.fetchall())
 
 
+def test_names_of_sets_that_clash(spark, monkeypatch):
+    """With a first half of few values, sets are told apart by the second."""
+    whole = jaccard._digest
+    monkeypatch.setattr(jaccard, "_digest", lambda s: (whole(s)[0] % 3, whole(s)[1]))
+    words = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join(words[: 20 + k % 5] + [f"u{k // 5}"] * 8)) for k in range(15)] + [(20, "x y")]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root for i, (_, root) in components(rows).items()}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
@@ -416,3 +606,50 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
     texts = [r.text for r in kept.collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """With null, repeated and clashing ids, whole rows that repeat, and columns of clashing names."""
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**8)}" for _ in range(n))
+    base = [fresh(60) for _ in range(12)]
+    near = [" ".join(t.split()[:-2] + ["end", str(k)]) for k, t in enumerate(base[:4])]
+    junk = "again and again " * 40
+    rows = [(i, t) for i, t in enumerate(base)] + [(7, junk), (7, near[0]), (None, base[1]), (None, near[1]), (None, None), (None, ""), (3, base[3]), (3, base[3]), (30, base[3]), (40, near[2]), (40, near[2]), (None, fresh(55)), (5, "short")]
+    schema = "doc_id long, text string, lang string, source string, n_words long, kept string, component string"
+    folder = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    wide = [(i, t, "en" if k % 2 else None, f"src{k % 7}", k, "k", None) for k, (i, t) in enumerate(rows)]
+
+    def stage(k, given):
+        given.write.parquet(at := f"{folder}/{len(list(tmp_path.iterdir()))}")
+        out = corpus_pipeline.STAGES[k][1](spark, spark.read.parquet(at), folder)
+        assert k == 4 or out.columns == given.columns
+        return out, [tuple(r) for r in given.collect()]
+
+    lots = lambda rows: Counter((r[0], r[1]) for r in rows)
+    out, given = stage(0, spark.createDataFrame(wide, schema))
+    kept = out.collect()
+    assert lots(kept) == lots(r for r in given if r[1] and len(r[1].split()) >= 50 and r[1] != junk)
+    out, given = stage(1, spark.createDataFrame(wide, schema))
+    top = {}
+    for i, t in ((r[0], r[1] or "") for r in given):
+        top[t] = max(top.get(t, -1), -1 if i is None else i)
+    assert Counter((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in out.collect()) == Counter((i, t) for t, i in top.items())
+    out, given = stage(2, spark.createDataFrame(wide, schema))
+    comp = components([(k, r[1] or "") for k, r in enumerate(given)])
+    best = {}
+    for k, (n, root) in comp.items():
+        i = given[k][0]
+        root = root if n else ("none", k)
+        best[root] = min(best.get(root, (2, 0)), (i is None, i or 0))
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == Counter(best.values())
+    out, given = stage(3, out)
+    chosen, total = out.collect(), sum(len((r[1] or "").split()) for r in given)
+    assert not lots(chosen) - lots(given)
+    assert 0.9 * total - 1 <= sum(len((r.text or "").split()) for r in chosen) <= total
+    out, given = stage(4, spark.createDataFrame(wide, schema))
+    enc = tokens.UnitEncoder(queries.public_file("byte_bpe_50k.json"), "bytes").tokenizer
+    assert sum(r.length for r in out.collect()) == sum(len(enc.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in given)
+    none = spark.createDataFrame([], schema)
+    assert [stage(k, none)[0].count() for k in range(5)] == [0] * 5
