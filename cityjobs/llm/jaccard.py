@@ -280,14 +280,14 @@ def _settle(postings: DataFrame, labels: DataFrame | None, percent: int, link, s
             sums = by.agg(F.sum("pairs").alias("p"), F.sum("m").alias("m")).first()
             if not sums["m"]:
                 return labels
-            current = current.join(by.select("gram").hint("merge"), "gram", "left_semi")
+            opened = current.join(by.select("gram").hint("merge"), "gram", "left_semi")
             if sums["p"] <= PAIRS_PER_POSTING * sums["m"]:
-                return connected_components(link(_pairs(current, current, percent)), labels)
-        current = current.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(LEADERS**step)))
-        if labels is not None:
-            current = materialize(current, "postings")
-        # written, so that the join below is one whose skewed keys AQE can split
-        least = materialize(current.groupBy("gram", "slot").agg(F.min("id").alias("least")), "least")
+                return connected_components(link(_pairs(opened, opened, percent)), labels)
+        slot = F.pmod(F.xxhash64("id"), F.lit(LEADERS**step)).alias("slot")
+        of_open = (current if labels is None else opened).groupBy("gram", slot)
+        # written, so that the join below, which keeps open shingles only, is one whose skewed keys AQE can split
+        least = materialize(of_open.agg(F.min("id").alias("least")), "least")
+        current = current.select("*", slot)
         marked = current.join(least.hint("merge"), ["gram", "slot"])
         marked = materialize(marked.select("gram", "id", "n", "pos", "comp", (F.col("id") == F.col("least")).alias("first")), "marked")
         labels = connected_components(link(_pairs(marked.filter("first"), marked, percent)), labels)
