@@ -265,7 +265,7 @@ def topk1(spark, sf):
 nd AS (SELECT qid, arg_min(bd.id, ({sql_dist("el.lat", "el.lon", "bd.lat", "bd.lon")}, bd.id)) AS seq FROM el JOIN bd ON bd.lat BETWEEN el.lat - 0.001 AND el.lat + 0.001 AND bd.lon BETWEEN el.lon - 0.001 AND el.lon + 0.001
  WHERE {sql_dist("el.lat", "el.lon", "bd.lat", "bd.lon")} < most GROUP BY qid),
 wb AS (SELECT 'way/' || w.id AS qid, arg_min(bd.id, (-top, bd.id)) AS seq FROM w JOIN bd ON NOT is_part AND (w.s > bd.lat) <> (w.n > bd.lat) AND bd.lon < w.e AND NOT bd.lon < w.w AND bd.lat BETWEEN w.s AND w.n GROUP BY 1),
-al AS (SELECT qid, lat, lon FROM el UNION ALL SELECT 'way/' || id, CASE WHEN id % 13 = 0 THEN (s + n) / 2 ELSE (3 * s + 2 * n) / 5 END, CASE WHEN id % 13 = 0 THEN (w + e) / 2 ELSE (3 * w + 2 * e) / 5 END FROM w ),
+al AS (SELECT qid, lat, lon FROM el UNION ALL SELECT 'way/' || id, CASE WHEN id % 13 = 0 THEN (s + s + n + n) / 4 ELSE (s + s + n + n + s) / 5 END, CASE WHEN id % 13 = 0 THEN (w + e + e + w) / 4 ELSE (w + e + e + w + w) / 5 END FROM w ),
 pos AS (SELECT al.qid, coalesce(bd.lat, al.lat) AS lat, coalesce(bd.lon, al.lon) AS lon, bd.top, coalesce(bd.top - bd.base, 0) AS h FROM al LEFT JOIN (SELECT * FROM nd UNION ALL SELECT * FROM wb) m USING (qid) LEFT JOIN bd ON bd.id = m.seq)
 SELECT qid, round(pos.lat, 6) AS lat, round(pos.lon, 6) AS lon, round(h, 6) AS h, floor(coalesce(top + 3, floor(dem.z / 0.1::DOUBLE + 0.5) * 0.1::DOUBLE + 8) * 10 + 0.5) / 10 AS z, CASE WHEN h <> 0 THEN floor(h + 0.5) END AS e
 FROM pos JOIN dem ON dem.r = greatest(0, least(209, floor((34.78::DOUBLE - pos.lat) / 0.001::DOUBLE))) AND dem.c = greatest(0, least(239, floor((pos.lon - 135.37::DOUBLE) / 0.001::DOUBLE)))""")
