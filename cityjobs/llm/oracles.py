@@ -1,7 +1,10 @@
 """DuckDB SQL for the operators' queries that SQL can express."""
 
+from .decontaminate import WINDOW
+from .filter_audit import FILTERS
 from .mixing import WEIGHTS
 from .quality import ALPHA, DELTA, GRID
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 OP1 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -133,4 +136,67 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id,
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) c ON c.a = w.doc_id
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op2_warc_writer": OP2, "op6_jaccard_join": OP6, "op8_source_mix": OP8, "op10_quality_rules": OP10}
+_BIT = "CASE {0} " + " ".join(f"WHEN '{f}' THEN {1 << i}" for i, f in enumerate(FILTERS)) + " END"
+
+#: Every order is applied to the documents' flags, counted by equal ones; nothing is inverted.
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+least AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+flags AS (SELECT doc_id, part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM w JOIN least USING (t)),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM flags LEFT JOIN marks USING (doc_id) GROUP BY part, mask),
+l AS (SELECT unnest({list(FILTERS)}) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM l a JOIN l b ON b.f <> a.f JOIN l c ON c.f NOT IN (a.f, b.f) JOIN l d ON d.f NOT IN (a.f, b.f, c.f) JOIN l e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+letters AS (SELECT o, CAST(k AS INT) AS step, substr(o, k, 1) AS f FROM orders, range(1, {len(FILTERS) + 1}) r(k)),
+steps AS (SELECT *, {_BIT.format("f")} AS bit, coalesce(sum({_BIT.format("f")}) OVER (PARTITION BY o ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before FROM letters),
+run AS (SELECT part, o, step, f, bit, c.*, c.mask & before = 0 AS here, c.mask & bit <> 0 AS fails FROM steps JOIN cells c ON true),
+done AS (SELECT part, o AS filter_order, step, f AS filter,
+  CAST(sum(CASE WHEN here AND NOT fails THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN here AND fails THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN NOT here AND fails THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN here AND fails THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN here AND fails THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN fails THEN n ELSE 0 END) AS BIGINT) AS failing FROM run GROUP BY part, o, step, f)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM done
+"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, ws, least({WINDOW}, len(ws)) AS size FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM b)),
+dw AS (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS g FROM (SELECT d.*, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d JOIN (SELECT DISTINCT size FROM b) s ON len(ws) >= size)),
+found AS (SELECT doc_id, dw.i, dw.size, item_id FROM dw JOIN iw USING (g, size)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM found)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+_ROUNDS = "".join(
+    f"""far{r} AS (SELECT x.vec_id, x.part, c.entry, sum((x.x - c.x) * (x.x - c.x)) AS dist FROM comps x JOIN book{r} c USING (part, place) GROUP BY ALL),
+near{r} AS (SELECT vec_id, part, arg_min(entry, (dist, entry)) AS entry, min(dist) AS dist FROM far{r} GROUP BY vec_id, part),
+"""
+    + (
+        f"""mean{r} AS (SELECT part, entry, place, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM comps JOIN near{r} USING (vec_id, part) GROUP BY part, entry, place),
+book{r + 1} AS (SELECT part, entry, place, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN mean{r} m USING (part, entry, place)),
+"""
+        if r < ROUNDS
+        else ""
+    )
+    for r in range(ROUNDS + 1)
+)
+
+OP13 = f"""
+WITH kept AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+places AS (SELECT vec_id, len(v) // {PARTS} AS d, unnest(range(len(v))) AS k, unnest(v) AS x FROM kept),
+comps AS (SELECT vec_id, k // d AS part, k % d AS place, CAST(floor({SCALE} * x::DOUBLE) AS BIGINT) AS x FROM places),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {ENTRIES}),
+book0 AS (SELECT part, entry, place, x FROM comps JOIN first USING (vec_id)),
+{_ROUNDS}coded AS (SELECT vec_id, label, string_agg(printf('%02x', n.entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM kept JOIN near{ROUNDS} n USING (vec_id) GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM book{ROUNDS}) AS codebooks_sha256 FROM coded
+"""
+
+ORACLES = {"op1_exact_dedup": OP1, "op2_warc_writer": OP2, "op6_jaccard_join": OP6, "op8_source_mix": OP8, "op10_quality_rules": OP10, "op11_filter_audit": OP11, "op12_benchmark_windows": OP12, "op13_vector_codes": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, id_files, jaccard, lattice, mixing, packing, quality, sharding, style_tree, warc
+from . import decontaminate, exact_dedup, filter_audit, id_files, jaccard, lattice, mixing, packing, quality, sharding, style_tree, vector_codes, warc
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -93,6 +105,9 @@ def queries() -> dict[str, Query]:
         "op8_source_mix": op8_source_mix,
         "op9_style_tree": op9_style_tree,
         "op10_quality_rules": op10_quality_rules,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_benchmark_windows": op12_benchmark_windows,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
