@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
+from cityjobs.operators.heights import Heights, height_store
 from cityjobs.operators.terrain import Grid, base_heights
 from cityjobs.sources.fixtures import HEXAGON_CORNERS, fixture
 
@@ -83,6 +84,11 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_heights(fixture(spark, sf_dir, "fx_dem"))
 
 
+def heights(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None, overview: DataFrame | None = None) -> Heights:
+    """The store of the grid's heights, or of other cells; written, as one table serves several lookups."""
+    return height_store(dem(spark, sf_dir) if cells is None else cells, GRID, 64, overview=overview).saved()
+
+
 def tin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "fx_tin").select((F.col("lat_u") / DEG).alias("lat"), (F.col("lon_u") / DEG).alias("lon"), (F.col("z_dm") / F.lit(10.0)).alias("z"))
 

@@ -11,6 +11,7 @@ from cityjobs.jobs.inputs import SQL_B, SQL_BILINEAR, SQL_DEM, sql_dist
 from cityjobs.jobs.registry import query
 from cityjobs.operators import labels as L
 from cityjobs.operators import views as V
+from cityjobs.operators.heights import nearest_height
 from cityjobs.sources.fixtures import fixture
 
 _L = "l AS (SELECT id, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, name, is_station, notable, name_en FROM fx_landmarks)"
@@ -219,9 +220,7 @@ def join14(spark, sf):
 @query("fn37_heights_above_ground", f"""WITH {SQL_DEM}, {SQL_B}, g AS (SELECT b.id, top, base, floor(z / 0.1::DOUBLE + 0.5) * 0.1::DOUBLE AS ground FROM b JOIN dem ON dem.r = greatest(0, least(209, floor((34.78::DOUBLE - lat) / 0.001::DOUBLE)))
 AND dem.c = greatest(0, least(239, floor((lon - 135.37::DOUBLE) / 0.001::DOUBLE)))) SELECT id, round(top - ground, 6) AS agl, round(greatest(base, ground + 1), 6) AS asl FROM g""")
 def fn37(spark, sf):
-    from cityjobs.operators import terrain as T
-
-    b = T.nearest_height(I.buildings(spark, sf), I.dem(spark, sf), I.GRID)
+    b = nearest_height(I.buildings(spark, sf), I.heights(spark, sf))
     return b.select(F.col("pid").alias("id"), F.round(F.col("top") - F.col("ground"), 6).alias("agl"), F.round(F.greatest(F.col("base"), F.col("ground") + 1), 6).alias("asl"))
 
 
@@ -301,7 +300,7 @@ def join17(spark, sf):
     """Candidates that no terrain hides; the terrain is raised ten times so that some is in the way."""
     pairs = _candidates(spark, sf).withColumn("pair", F.concat_ws(":", "view_id", "id"))
     high = I.dem(spark, sf).withColumn("z", F.col("z") * 10)
-    return V.in_sight(pairs, high, I.GRID).select("view_id", "id")
+    return V.in_sight(pairs, I.heights(spark, sf, high)).select("view_id", "id")
 
 
 @query("grd4_label_declutter")
@@ -339,7 +338,7 @@ SELECT event_id, round(height, 6) AS ground, round(height + 1.5, 6) AS eye, firs
 def str1(spark, sf):
     from cityjobs.streaming import devices as D
 
-    out = D.first_flagged(D.enriched(I.named_points(spark, sf, "fx_pings"), I.dem(spark, sf), I.GRID, 1.5))
+    out = D.first_flagged(D.enriched(I.named_points(spark, sf, "fx_pings"), I.heights(spark, sf), 1.5))
     return out.select("event_id", F.round("ground", 6).alias("ground"), F.round("eye", 6).alias("eye"), "first")
 
 

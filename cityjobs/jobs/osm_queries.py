@@ -9,10 +9,10 @@ from cityjobs.jobs import inputs as I
 from cityjobs.jobs.inputs import SQL_B, SQL_DEM, SQL_E, SQL_G, SQL_W, sql_dist
 from cityjobs.jobs.registry import query
 from cityjobs.jobs.spatial_queries import MESH, SQL_IN
+from cityjobs.operators import heights as H
 from cityjobs.operators import labels as L
 from cityjobs.operators import osm as O
 from cityjobs.operators import spatial as S
-from cityjobs.operators import terrain as T
 
 BOX = (34.6, 135.4, 34.75, 135.58)
 
@@ -128,7 +128,7 @@ def fn18(spark, sf):
 def _infill(spark, sf):
     """Ways with heights, an open simplified ring and the ground under it."""
     w = _ways(spark, sf).withColumn("ring", O.simplified(F.slice("geometry", 1, 4))).filter(F.size("ring") >= 3)
-    return w.join(T.lowest_under(w.select("id", "ring"), I.dem(spark, sf), I.GRID, "id"), "id")
+    return w.join(H.lowest_under(w.select("id", "ring"), I.heights(spark, sf), "id"), "id")
 
 
 _GR = """p AS (SELECT id, unnest([s, s, n, n]) AS lat, unnest([w, e, e, w]) AS lon FROM w),
@@ -273,6 +273,6 @@ def fn44(spark, sf):
     """Landmarks and ways with the building they stand on, and the label's height over it or over the ground."""
     e = elements(spark, sf).filter("NOT (type = 'node' AND id >= 10000000)").withColumn("members", F.lit(None).cast("array<struct<role:string,geometry:array<struct<lat:double,lon:double>>>>"))
     a = O.anchored_landmarks(e, I.buildings(spark, sf).select("seq", "lat", "lon", "base", "top"))
-    a = T.nearest_height(a, I.dem(spark, sf), I.GRID)
+    a = H.nearest_height(a, I.heights(spark, sf))
     fields = L.anchored_fields(F.col("top"), F.col("base"), F.col("ground"))
     return a.select(F.concat_ws("/", "type", "id").alias("qid"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("h", 6).alias("h"), *[c.alias(k) for k, c in fields.items()])

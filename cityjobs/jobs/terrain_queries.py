@@ -8,7 +8,9 @@ from cityjobs.functions import geo
 from cityjobs.jobs import inputs as I
 from cityjobs.jobs.inputs import GRID, SQL_B, SQL_BILINEAR, SQL_DEM, SQL_OVERVIEW
 from cityjobs.jobs.registry import query
+from cityjobs.operators import heights as H
 from cityjobs.operators import terrain as T
+from cityjobs.sources.shared import written
 
 _TIN = """tin AS (SELECT CAST(floor((34.78::DOUBLE - lat_u / 1e6) / 0.001::DOUBLE) AS BIGINT) AS r, CAST(floor((lon_u / 1e6 - 135.37::DOUBLE) / 0.001::DOUBLE) AS BIGINT) AS c, z_dm / 10.0::DOUBLE AS z FROM fx_tin),
 means AS (SELECT r, c, avg(z) AS z, count(*) AS n FROM tin WHERE r BETWEEN 0 AND 209 AND c BETWEEN 0 AND 239 GROUP BY r, c)"""
@@ -113,16 +115,16 @@ AND dem.c = greatest(0, least(239, floor((lon - 135.37::DOUBLE) / 0.001::DOUBLE)
 
 @query("join6_nearest_terrain", f"WITH {SQL_DEM}, {_P}, {_NEAR} SELECT id, round(ground, 6) AS ground FROM near")
 def join6(spark, sf):
-    return T.nearest_height(I.named_points(spark, sf, "fx_landmarks"), I.dem(spark, sf), GRID).select("id", F.round("ground", 6).alias("ground"))
+    return H.nearest_height(I.named_points(spark, sf, "fx_landmarks"), I.heights(spark, sf)).select("id", F.round("ground", 6).alias("ground"))
 
 
 @query("join7_bilinear_terrain", f"""WITH {SQL_DEM}, {_P}, {SQL_BILINEAR}, {SQL_OVERVIEW}, whole AS (SELECT id FROM corner WHERE r >= 40 OR c >= 40 GROUP BY id HAVING count(*) = 4)
 SELECT p.id, round(CASE WHEN p.id IN (SELECT id FROM whole) THEN bil.height ELSE bilo.height END, 6) AS height FROM p LEFT JOIN bil USING (id) LEFT JOIN bilo USING (id)""")
 def join7(spark, sf):
     """The full cells of the north-west corner are not there: the overview steps in."""
-    dem = I.dem(spark, sf)
-    points = I.named_points(spark, sf, "fx_landmarks")
-    return T.bilinear_with_fallback(points, dem.filter("r >= 40 OR c >= 40"), T.overview(dem), GRID, "id").select("id", F.round("height", 6).alias("height"))
+    dem = written(I.dem(spark, sf), "dem")
+    store = I.heights(spark, sf, dem.filter("r >= 40 OR c >= 40"), T.overview(dem))
+    return H.bilinear_with_fallback(I.named_points(spark, sf, "fx_landmarks"), store).select("id", F.round("height", 6).alias("height"))
 
 
 @query("flt11_inside_grid", f"WITH {_P} SELECT id FROM p WHERE lat BETWEEN 34.6::DOUBLE - 100 * 0.001::DOUBLE AND 34.6::DOUBLE AND lon BETWEEN 135.4::DOUBLE AND 135.4::DOUBLE + 100 * 0.001::DOUBLE")
@@ -134,12 +136,12 @@ def flt11(spark, sf):
 @query("join8_local_maximum", f"""WITH {SQL_DEM}, p AS (SELECT id, CAST(floor((34.78::DOUBLE - lat_u / 1e6) / 0.001::DOUBLE) AS BIGINT) AS r0, CAST(floor((lon_u / 1e6 - 135.37::DOUBLE) / 0.001::DOUBLE) AS BIGINT) AS c0 FROM fx_peaks)
 SELECT id, r AS hr, c AS hc, z AS hz FROM (SELECT id, r, c, z, row_number() OVER (PARTITION BY id ORDER BY z DESC, r, c) AS n FROM p JOIN dem ON r BETWEEN r0 - 2 AND r0 + 2 AND c BETWEEN c0 - 2 AND c0 + 2) WHERE n = 1""")
 def join8(spark, sf):
-    return T.highest_around(I.named_points(spark, sf, "fx_peaks"), I.dem(spark, sf), GRID, "id").select("id", "hr", "hc", "hz")
+    return H.highest_around(I.named_points(spark, sf, "fx_peaks"), I.heights(spark, sf)).select("id", "hr", "hc", "hz")
 
 
 @query("join9_lowest_under_footprint", f"""WITH {SQL_DEM}, {I.SQL_W}, p AS (SELECT id, unnest([s, s, n, n]) AS lat, unnest([w, e, e, w]) AS lon FROM w), {_NEAR} SELECT id, round(min(ground), 6) AS ground FROM near GROUP BY id""")
 def join9(spark, sf):
-    return T.lowest_under(I.ways(spark, sf), I.dem(spark, sf), GRID, "id").select("id", F.round("ground", 6).alias("ground"))
+    return H.lowest_under(I.ways(spark, sf), I.heights(spark, sf), "id").select("id", F.round("ground", 6).alias("ground"))
 
 
 _TILES = """t AS (SELECT DISTINCT level, CAST(floor((lon_u / 1e6 + 180) / (180.0::DOUBLE / (1 << level))) AS BIGINT) AS x, CAST(floor((90 - lat_u / 1e6) / (180.0::DOUBLE / (1 << level))) AS BIGINT) AS y
@@ -155,7 +157,7 @@ def join18(spark, sf):
     size = 180.0 / F.pow(F.lit(2.0), F.col("level"))
     tiles = b.select("level", F.floor((F.col("lon") + 180) / size).alias("x"), F.floor((90 - F.col("lat")) / size).alias("y")).distinct()
     s = T.tile_samples(tiles).withColumn("id", ((F.col("level") * 65536 + F.col("x")) * 65536 + F.col("y")) * 10000 + F.col("j") * 100 + F.col("i"))
-    dem = I.dem(spark, sf)
-    h = T.bilinear_with_fallback(s, dem, T.overview(dem), GRID, "id", use_full=F.col("step") <= GRID.res * 4)
+    dem = written(I.dem(spark, sf), "dem")
+    h = H.bilinear_with_fallback(s, I.heights(spark, sf, dem, T.overview(dem)), use_full=F.col("step") <= GRID.res * 4)
     rows = F.array_sort(F.collect_list(F.struct("j", "i", F.round("height", 6).alias("h"))))  # 33 x 33 for each tile
     return h.groupBy("level", "x", "y").agg(F.transform(rows, lambda v: v["h"]).alias("heights"))

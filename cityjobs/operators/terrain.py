@@ -1,4 +1,4 @@
-"""Terrain grids as tables of cells (r, c, z): correction, overrides, overviews, chunks and lookups."""
+"""Terrain grids as tables of cells (r, c, z): correction, overrides, overviews and chunks."""
 
 from __future__ import annotations
 
@@ -129,70 +129,11 @@ def grid_meta(spark: SparkSession, grid: Grid, factor: int, size: int) -> DataFr
     return spark.createDataFrame([row], "width int, height int, west double, north double, res double, scale double, overview struct<factor:int,width:int,height:int>, chunk struct<size:int,rows:int,cols:int>")
 
 
-def nearest_height(points: DataFrame, dem: DataFrame, grid: Grid) -> DataFrame:
-    """Points (lat, lon) with ``ground``, the height of their cell in tenths; the border cell outside."""
-    r = F.greatest(F.lit(0), F.least(F.lit(grid.rows - 1), grid.row(F.col("lat"))))
-    c = F.greatest(F.lit(0), F.least(F.lit(grid.cols - 1), grid.col(F.col("lon"))))
-    cells = dem.select(F.col("r").alias("__r"), F.col("c").alias("__c"), (geo.clamped_steps(F.col("z"), 0.1) * F.lit(0.1)).alias("ground"))
-    return points.withColumns({"__r": r, "__c": c}).join(cells, ["__r", "__c"], "left").drop("__r", "__c")
-
-
-def bilinear_height(points: DataFrame, dem: DataFrame, grid: Grid, key: str, whole: bool = False) -> DataFrame:
-    """Points with ``height`` between the four cell centres around them; 0 outside the grid.
-
-    Each point asks for four weighted cells, which one join and one sum bring together. With
-    ``whole``, the height is null where one of the four cells is missing.
-    """
-    x = F.greatest(F.lit(0.0), F.least(F.lit(grid.cols - 1.0), (F.col("lon") - F.lit(grid.west)) / grid.res - 0.5))
-    y = F.greatest(F.lit(0.0), F.least(F.lit(grid.rows - 1.0), (F.lit(grid.north) - F.col("lat")) / grid.res - 0.5))
-    p = points.filter(grid.has(F.col("lat"), F.col("lon"))).select(key, x.alias("x"), y.alias("y")).withColumns({"x0": F.floor("x"), "y0": F.floor("y")})
-    fx, fy = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
-    x1, y1 = F.least(F.lit(grid.cols - 1), F.col("x0") + 1), F.least(F.lit(grid.rows - 1), F.col("y0") + 1)
-    corner = lambda r, c, w: F.struct(r.cast("long").alias("r"), c.cast("long").alias("c"), w.alias("w"))
-    four = F.array(
-        corner(F.col("y0"), F.col("x0"), (1 - fx) * (1 - fy)), corner(F.col("y0"), x1, fx * (1 - fy)), corner(y1, F.col("x0"), (1 - fx) * fy), corner(y1, x1, fx * fy)
-    )
-    asked = p.select(key, F.explode(four).alias("q")).select(key, "q.r", "q.c", "q.w")
-    sums = asked.join(dem.select("r", "c", "z"), ["r", "c"]).groupBy(key).agg(F.sum(F.col("w") * F.col("z")).alias("height"), F.count(F.lit(1)).alias("__n"))
-    if whole:
-        return points.join(sums.filter("__n = 4").drop("__n"), key, "left")
-    sums = sums.drop("__n")
-    return points.join(sums, key, "left").withColumn("height", F.coalesce("height", F.lit(0.0)))
-
-
 def coarser(grid: Grid, factor: int = 4) -> Grid:
     """The grid of the overview."""
     return Grid(grid.north, grid.west, grid.res * factor, -(-grid.rows // factor), -(-grid.cols // factor))
 
 
-def bilinear_with_fallback(points: DataFrame, dem: DataFrame, coarse: DataFrame, grid: Grid, key: str, factor: int = 4, use_full: Column | None = None) -> DataFrame:
-    """Points with ``height`` from the full cells where ``use_full`` (else: where all four cells are there), and from the
-    overview (r, c, z_dm) elsewhere; 0 outside the grid."""
-    inside = points.filter(grid.has(F.col("lat"), F.col("lon")))
-    full = bilinear_height(inside if use_full is None else inside.filter(use_full), dem, grid, key, whole=True).select(key, F.col("height").alias("__full"))
-    lo = coarse.select("r", "c", (F.col("z_dm") * F.lit(0.1)).alias("z"))
-    rough = bilinear_height(inside, lo, coarser(grid, factor), key).select(key, F.col("height").alias("__rough"))
-    both = points.join(full.filter("__full IS NOT NULL"), key, "left").join(rough, key, "left")
-    return both.withColumn("height", F.coalesce("__full", "__rough", F.lit(0.0))).drop("__full", "__rough")
-
-
-def highest_around(points: DataFrame, dem: DataFrame, grid: Grid, key: str, reach: int = 2) -> DataFrame:
-    """Points with the highest cell (hr, hc, hz) within +-reach cells, the first in row order of equals."""
-    span = F.sequence(F.lit(-reach), F.lit(reach))
-    clamp = lambda x, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), x))
-    p = points.select(key, grid.row(F.col("lat")).alias("r0"), grid.col(F.col("lon")).alias("c0"))
-    p = p.withColumn("r", F.explode(F.array_distinct(F.transform(span, lambda o: clamp(F.col("r0") + o, grid.rows)))))
-    p = p.withColumn("c", F.explode(F.array_distinct(F.transform(span, lambda o: clamp(F.col("c0") + o, grid.cols)))))
-    best = p.join(dem.select("r", "c", "z"), ["r", "c"]).groupBy(key).agg(F.max(F.struct("z", (-F.col("r")).alias("nr"), (-F.col("c")).alias("nc"))).alias("b"))
-    return points.join(best.select(key, (-F.col("b.nr")).alias("hr"), (-F.col("b.nc")).alias("hc"), F.col("b.z").alias("hz")), key, "left")
-
-
-def lowest_under(rings: DataFrame, dem: DataFrame, grid: Grid, key: str) -> DataFrame:
-    """Lowest ground under the vertices of each ring (key, ring)."""
-    v = rings.select(key, F.explode("ring").alias("p")).select(key, F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
-    return nearest_height(v, dem, grid).groupBy(key).agg(F.min("ground").alias("ground"))
-
-
 def coverage(dem: DataFrame, means: DataFrame) -> DataFrame:
     """Number of cells, of cells with terrain vertices, and of cells these override."""
     return overridden(dem, means).agg(F.count(F.lit(1)).alias("cells"), F.count_if("overridden").alias("overridden"))

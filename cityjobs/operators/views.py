@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
-from cityjobs.operators import terrain as T
+from cityjobs.operators.heights import Heights, bilinear_height
 
 # fixed values: greatest distance in metres by kind and rank; names of compass points; usage codes; colours
 MAX_DISTANCE = {"p": (160000, 50000, 12000), "t": (60000, 15000, 4500), "l": (45000, 12000, 3500), "s": (8000, 6000, 3000), "f": (6000, 4000, 1500)}
@@ -66,10 +66,9 @@ def sight_samples(pairs: DataFrame) -> DataFrame:
     return p.select("pair", "i", "f", lat.alias("lat"), lon.alias("lon"), h.alias("h"))
 
 
-def in_sight(pairs: DataFrame, dem: DataFrame, grid: T.Grid) -> DataFrame:
+def in_sight(pairs: DataFrame, heights: Heights) -> DataFrame:
     """Pairs whose line no terrain rises above by more than 3 metres, and 8 more towards the label."""
-    s = sight_samples(pairs).withColumn("sample", F.concat_ws(":", "pair", "i"))
-    over = T.bilinear_height(s, dem, grid, "sample").filter(F.col("height") > F.col("h") + 3 + F.col("f") * 8)
+    over = bilinear_height(sight_samples(pairs), heights).filter(F.col("height") > F.col("h") + 3 + F.col("f") * 8)
     return pairs.join(over.select("pair").distinct(), "pair", "left_anti")
 
 

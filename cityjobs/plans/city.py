@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
 from cityjobs.operators import buildings as B
+from cityjobs.operators import heights as H
 from cityjobs.operators import labels as L
 from cityjobs.operators import osm as O
 from cityjobs.operators import spatial as S
@@ -34,7 +35,7 @@ def terrain_cells(dem: DataFrame, building_bases: DataFrame, vertices: DataFrame
     return T.overridden(moved, T.mean_of_vertices(vertices, grid)).select("r", "c", "z")
 
 
-def infill_table(ways: DataFrame, grounds: DataFrame, footprints: DataFrame, points: DataFrame, dem: DataFrame, grid: T.Grid) -> DataFrame:
+def infill_table(ways: DataFrame, grounds: DataFrame, footprints: DataFrame, points: DataFrame, heights: H.Heights) -> DataFrame:
     """Buildings added to grounds, and observation towers outside, where no known one is: id, area, mesh, ground, base, top, surfaces.
 
     ``ways`` are closed (id, lat, lon, geometry, box, tags); heights come from their tags.
@@ -46,7 +47,7 @@ def infill_table(ways: DataFrame, grounds: DataFrame, footprints: DataFrame, poi
     items = written(items, "infill-items")
     added = O.infill(items, footprints, points).filter("fate = 'added'").withColumns({"ring": O.simplified("ring"), **O.building_heights()})
     added = written(added.filter(F.size("ring") >= 3), "infill-added")
-    added = added.join(T.lowest_under(added.select("id", "ring"), dem, grid, "id"), "id")
+    added = added.join(H.lowest_under(added.select("id", "ring"), heights, "id"), "id")
     added = written(added.withColumns({"base": F.col("ground") + F.col("min_h"), "top": F.col("ground") + F.col("h"), "mesh": geo.mesh_code(F.col("lat"), F.col("lon"))}), "infill-rows")
     across = F.coalesce(O.tag("roof:orientation") == "across", F.lit(False))
     eave, roof = O.roof_surfaces(F.col("ring"), F.col("base"), F.col("top"), F.col("shape"), F.col("rh"), across)
@@ -61,24 +62,24 @@ def _label(df: DataFrame, kind: Column | str, part: int, **fields: Column) -> Da
     return df.select(*[columns.get(k, F.lit(None) if k == "e" else F.col(k)).cast(t).alias(k) for k, t in types.items()])
 
 
-def label_table(peaks: DataFrame, grounds: DataFrame, elements: DataFrame, facilities: DataFrame, points: DataFrame, dem: DataFrame, grid: T.Grid) -> DataFrame:
+def label_table(peaks: DataFrame, grounds: DataFrame, elements: DataFrame, facilities: DataFrame, points: DataFrame, heights: H.Heights) -> DataFrame:
     """Labels (k, ja, lat, lon, z, r, e, place): peaks, grounds, landmarks and stations, named buildings, in order, each name once in 300 metres.
 
     peaks (seq, name, lat, lon, ele, wikidata), grounds (i, name, rel, r, lat, lon, rings, box),
     elements of landmarks (type, id, seq, lat, lon, tags, geometry, members), facilities
     (seq, name, lat, lon, base, top) and all buildings as ``points`` (seq, lat, lon, base, top).
     """
-    p = T.highest_around(peaks, dem, grid, "seq").filter(L.keep_peak(F.col("hz"), F.col("ele")))
+    p = H.highest_around(peaks, heights).filter(L.keep_peak(F.col("hz"), F.col("ele")))
     f = L.peak_fields(F.col("name"), O.lenient_number(F.col("ele")), F.col("hz"), F.col("wikidata"))
     out = _label(p, "p", 0, ja=F.col("name"), **{k: f[k] for k in ("z", "r", "e")})
 
     halls = points.select(F.col("seq").alias("tallest"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), "base", "top")
     g = S.tallest_inside(grounds, points).join(halls, "tallest", "left").withColumns({"lat": F.coalesce("blat", "lat"), "lon": F.coalesce("blon", "lon")})
-    g = T.nearest_height(g, dem, grid)
+    g = H.nearest_height(g, heights)
     f = L.anchored_fields(F.col("top"), F.col("base"), F.col("ground"))
     out = out.unionByName(_label(g.withColumn("seq", F.col("i")), "t", 1, ja=F.col("name"), r=F.when(F.col("rel") == 4, 1).otherwise(F.col("r")), **f))
 
-    a = written(T.nearest_height(O.anchored_landmarks(elements, points), dem, grid).withColumn("name", O.tag("name")), "landmarks")
+    a = written(H.nearest_height(O.anchored_landmarks(elements, points), heights).withColumn("name", O.tag("name")), "landmarks")
     f = L.anchored_fields(F.col("top"), F.col("base"), F.col("ground"))
     station = F.coalesce(O.tag("railway") == "station", F.lit(False))
     s = a.filter(station).withColumn("z", f["z"]).select("name", "seq", "lat", "lon", "z")
@@ -88,7 +89,7 @@ def label_table(peaks: DataFrame, grounds: DataFrame, elements: DataFrame, facil
     sights = sights.filter(L.keep_landmark(F.col("notable"), F.col("h"), F.col("sight"), O.tag("name:en"))).withColumn("pid", F.concat_ws("/", "type", "id"))
     inside = S.innermost_area(sights.drop("ground"), grounds).withColumnRenamed("ground", "area")
     inside = inside.join(grounds.select(F.col("i").alias("area"), F.col("name").alias("area_name")), "area", "left")
-    known = T.nearest_height(inside, dem, grid)
+    known = H.nearest_height(inside, heights)
     rank = L.landmark_rank(F.col("h"), F.col("major"), F.col("notable"), F.col("area").isNotNull(), F.col("name") != F.col("area_name"))
     out = out.unionByName(_label(known, "l", 2, ja=F.col("name"), r=rank, **f))
 

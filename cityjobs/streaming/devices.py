@@ -12,7 +12,7 @@ from pyspark.sql import types as T_
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cityjobs.functions import geo
-from cityjobs.operators import terrain as T
+from cityjobs.operators.heights import Heights, bilinear_height
 
 OUT = "event_id long, device long, ts timestamp, dx double, dy double, dz double, ux double, uy double, uz double"
 STATE = "dx double, dy double, dz double, ux double, uy double, uz double"
@@ -70,24 +70,12 @@ def smoothed_stream(events: DataFrame, share: float = 0.25, timeout: str = "1 ho
     return vectors(events).groupBy("device").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def enriched(pings: DataFrame, dem: DataFrame, grid: T.Grid, above: float) -> DataFrame:
+def enriched(pings: DataFrame, heights: Heights, above: float) -> DataFrame:
     """Positions with the height of the terrain between the four cells around them (0 outside the grid), and the eye above it.
 
-    The four cells are joined one by one as static tables, so a stream of pings is enriched alike.
+    The store of heights is one static table, so a stream of pings is enriched alike.
     """
-    x = F.greatest(F.lit(0.0), F.least(F.lit(grid.cols - 1.0), (F.col("lon") - F.lit(grid.west)) / grid.res - 0.5))
-    y = F.greatest(F.lit(0.0), F.least(F.lit(grid.rows - 1.0), (F.lit(grid.north) - F.col("lat")) / grid.res - 0.5))
-    p = pings.withColumns({"__x": x, "__y": y, "__in": grid.has(F.col("lat"), F.col("lon"))})
-    x0, y0 = F.floor("__x").cast("long"), F.floor("__y").cast("long")
-    fx, fy = F.col("__x") - x0, F.col("__y") - y0
-    cells = dem.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "z")
-    height = F.lit(0.0)
-    for k, (down, right) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-        corner = cells.select(F.col("r").alias(f"__r{k}"), F.col("c").alias(f"__c{k}"), F.col("z").alias(f"__z{k}"))
-        p = p.withColumns({f"__r{k}": F.least(F.lit(grid.rows - 1), y0 + down), f"__c{k}": F.least(F.lit(grid.cols - 1), x0 + right)}).join(corner, [f"__r{k}", f"__c{k}"], "left")
-        height = height + (fx if right else 1 - fx) * (fy if down else 1 - fy) * F.coalesce(f"__z{k}", F.lit(0.0))
-    p = p.withColumn("ground", F.when(F.col("__in"), height).otherwise(0.0)).withColumn("eye", F.col("ground") + F.lit(above))
-    return p.select(*pings.columns, "ground", "eye")
+    return bilinear_height(pings, heights, "ground").withColumn("eye", F.col("ground") + F.lit(above))
 
 
 def first_flagged(pings: DataFrame) -> DataFrame:

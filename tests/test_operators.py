@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
-from cityjobs.operators import buildings, labels, osm, spatial, terrain, views
+from cityjobs.operators import buildings, heights, labels, osm, spatial, terrain, views
 from cityjobs.operators.terrain import Grid
 from cityjobs.streaming import devices
 
@@ -145,3 +145,54 @@ def test_smoothing_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.event_id: round(r.dx, 9) for r in spark.sql("SELECT * FROM smoothed").collect()}
     assert got == {r.event_id: round(r.dx, 9) for r in devices.smoothed(src).collect()}
+
+
+def stored_heights(spark, grid, z, lo=None, size=4, halo=2):
+    cells = [(r, c, float(v)) for r, row in enumerate(z) for c, v in enumerate(row) if v is not None]
+    over = None if lo is None else spark.createDataFrame([(r, c, int(v)) for r, row in enumerate(lo) for c, v in enumerate(row)], "r int, c int, z_dm int")
+    return heights.height_store(spark.createDataFrame(cells, "r int, c int, z double"), grid, size, halo, over)
+
+
+def test_heights_from_chunks_equal_the_grid(spark):
+    rng = np.random.default_rng(4)
+    grid = Grid(10.0, 20.0, 0.5, 11, 14)
+    z = [[None if rng.random() < 0.1 else float(rng.integers(-500, 9000)) / 10 for _ in range(14)] for _ in range(11)]
+    lo = rng.integers(-50, 900, (3, 4))
+    store = stored_heights(spark, grid, z, lo.tolist())
+    points = [(i, float(rng.uniform(3, 12)), float(rng.uniform(18, 29))) for i in range(300)] + [(300 + k, 10.0 - a * 0.5, 20.0 + b * 0.5) for k, (a, b) in enumerate([(0, 0), (11, 14), (4, 4), (8, 12), (3.5, 7.5)])] + [(400, None, 21.0)]
+    frame = spark.createDataFrame(points, "id int, lat double, lon double").repartition(3)
+
+    def between(g, get, lat, lon):
+        x, y = min(max((lon - 20) / g.res - 0.5, 0), g.cols - 1), min(max((10 - lat) / g.res - 0.5, 0), g.rows - 1)
+        x0, y0 = int(x), int(y)
+        four = [(get(r, c), w) for r, wy in ((y0, 1 - (y - y0)), (min(y0 + 1, g.rows - 1), y - y0)) for c, wx in ((x0, 1 - (x - x0)), (min(x0 + 1, g.cols - 1), x - x0)) for w in (wy * wx,)]
+        return sum(v * w for v, w in four if v is not None), all(v is not None for v, _ in four)
+
+    clamp = lambda v, n: min(max(v, 0), n - 1)
+    near = {r.id: r.ground for r in heights.nearest_height(frame, store).collect()}
+    fine = {r.id: r.height for r in heights.bilinear_height(frame, store).collect()}
+    both = {r.id: r.height for r in heights.bilinear_with_fallback(frame, store).collect()}
+    only = {r.id: r.height for r in heights.bilinear_with_fallback(frame, store, F.col("id") % 2 == 0).collect()}
+    top = {r.id: (r.hr, r.hc, r.hz) for r in heights.highest_around(frame, store).collect()}
+    assert len(near) == len(points) and near[400] is None and fine[400] == both[400] == 0.0 and top[400] == (None, None, None)
+    for i, lat, lon in points[:-1]:
+        r, c = int(np.floor((10 - lat) / 0.5)), int(np.floor((lon - 20) / 0.5))
+        v = z[clamp(r, 11)][clamp(c, 14)]
+        assert near[i] == (None if v is None else np.floor(v / 0.1 + 0.5) * 0.1)
+        inside = 4.5 <= lat <= 10 and 20 <= lon <= 27
+        a, whole = between(grid, lambda r, c: z[r][c], lat, lon)
+        b, _ = between(terrain.coarser(grid), lambda r, c: lo[r][c] * 0.1, lat, lon)
+        assert abs(fine[i] - (a if inside else 0)) < 1e-9
+        assert abs(both[i] - ((a if whole else b) if inside else 0)) < 1e-9
+        assert abs(only[i] - ((a if whole and i % 2 == 0 else b) if inside else 0)) < 1e-9
+        around = {(clamp(r + y, 11), clamp(c + x, 14)) for y in range(-2, 3) for x in range(-2, 3)}
+        known = [(-z[y][x], y, x) for y, x in around if z[y][x] is not None]
+        assert top[i] == ((min(known)[1], min(known)[2], -min(known)[0]) if known else (None, None, None))
+
+
+def test_heights_take_one_shuffle_of_the_points(spark):
+    store = stored_heights(spark, Grid(1.0, 0.0, 0.1, 10, 10), [[1.0] * 10] * 10).saved()
+    store = heights.Heights(store.chunks.hint("merge"), store.grid, store.size, store.halo, store.factor)
+    points = spark.createDataFrame([(i, 0.5, 0.5) for i in range(9)], "id int, lat double, lon double")
+    plan = heights.bilinear_height(points, store)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Generate" not in plan and "Aggregate" not in plan
