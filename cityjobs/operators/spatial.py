@@ -1,16 +1,28 @@
-"""Spatial joins as equi-joins on grid cells.
-
-Points carry their own cell, areas are repeated for the cells of their box, and the exact
-test runs on what meets. A busy cell is split by AQE; the planner broadcasts a side only
-when it knows it to be small.
+"""Spatial joins as equi-joins on the cells of a quadtree that fits the points.
+
+A histogram of the points decides the cells: level 0 has cells of a given size, and a cell
+with more than ``CAPACITY`` points is split into four, down to ``DEPTH`` levels. A point
+carries the one leaf that it is in. An area is placed at the level of its own size, so that
+it touches four cells at most however large it is: a small one in cells of level 0, from
+where it goes down to the leaves, a large one in the larger cells of a level above, for
+which points carry a second cell. Cells that are still too full are dealt out in shares,
+with their areas in each. The exact test runs on what meets.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
+from cityjobs.sources.shared import written
+
+#: Points of a cell beyond which it is split, and levels of splitting.
+CAPACITY = 4096
+DEPTH = 6
+_KEY = ["__lv", "__y", "__x", "__share"]
 
 
 def cell_of(x: Column, size: float) -> Column:
@@ -18,17 +30,129 @@ def cell_of(x: Column, size: float) -> Column:
 
 
 def with_cells(df: DataFrame, s: Column, w: Column, n: Column, e: Column, size: float) -> DataFrame:
-    """A row of ``df`` for each grid cell that the box touches, in columns cy and cx."""
+    """A row of ``df`` for each grid cell that the box touches, in columns cy and cx; for boxes of a bounded number of cells."""
     out = df.withColumn("cy", F.explode(F.sequence(cell_of(s, size), cell_of(n, size))))
     return out.withColumn("cx", F.explode(F.sequence(cell_of(w, size), cell_of(e, size))))
 
 
-def points_in_boxes(points: DataFrame, areas: DataFrame, size: float) -> DataFrame:
-    """Pairs of a point (lat, lon) and an area whose box (s, w, n, e) holds it, borders included."""
-    p = points.withColumns({"cy": cell_of(F.col("lat"), size), "cx": cell_of(F.col("lon"), size)})
-    a = with_cells(areas, F.col("s"), F.col("w"), F.col("n"), F.col("e"), size)
-    both = p.join(a, ["cy", "cx"]).drop("cy", "cx")
-    return both.filter(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e")))
+@dataclass(frozen=True)
+class Tree:
+    """Cells of ``size`` degrees at level 0. ``above`` are the levels above (negative) at which there are areas, ``full``
+    the cells (lv, y, x, n) with more points than ``capacity``, None if there is none."""
+
+    size: float
+    capacity: int
+    depth: int
+    above: tuple[int, ...]
+    full: DataFrame | None
+
+    def fine(self, x: Column) -> Column:
+        """Number of the finest cell; those of all other levels follow from it."""
+        return F.floor(x / (self.size / 2**self.depth)).cast("long")
+
+    def at(self, fine: str, level: int | Column) -> Column:
+        """Number of the cell of a level that a finest cell lies in."""
+        if isinstance(level, int):
+            return F.shiftright(F.col(fine), self.depth - level)
+        return F.floor(F.col(fine) / F.pow(F.lit(2.0), F.lit(self.depth) - level)).cast("long")
+
+    def own_level(self) -> Column:
+        """The level at which a box of finest cells (__s, __w, __n, __e) touches two cells at most along each axis."""
+        span = F.greatest(F.col("__n") - F.col("__s"), F.col("__e") - F.col("__w"))
+        return F.when(span <= 2**self.depth, F.lit(0)).otherwise(self.depth - F.ceil(F.log2(span.cast("double")))).cast("int")
+
+    def boxed(self, areas: DataFrame) -> DataFrame:
+        box = {f"__{k}": self.fine(F.col(k)) for k in "swne"}
+        return areas.withColumns(box).withColumn("__lv", self.own_level())
+
+
+def tree_of(points: DataFrame, areas: DataFrame, size: float, capacity: int = CAPACITY, depth: int = DEPTH) -> Tree:
+    """The tree for points (lat, lon) and areas with boxes (s, w, n, e): one histogram of the points, combined in the tasks."""
+    plain = Tree(size, capacity, depth, (), None)
+    levels = plain.boxed(areas.select(*"swne")).select("__lv").filter("__lv < 0").distinct().collect()  # one for each doubling of the size
+    above = tuple(sorted(r["__lv"] for r in levels))
+    cells = points.select(plain.fine(F.col("lat")).alias("fy"), plain.fine(F.col("lon")).alias("fx")).filter("fy IS NOT NULL AND fx IS NOT NULL")
+    counts = cells.groupBy("fy", "fx").agg(F.count(F.lit(1)).alias("n"))
+    every = F.array(*[F.struct(F.lit(k).alias("lv"), plain.at("fy", k).alias("y"), plain.at("fx", k).alias("x")) for k in (*above, *range(depth + 1))])
+    full = counts.select("n", F.explode(every).alias("c")).groupBy("c.lv", "c.y", "c.x").agg(F.sum("n").alias("n")).filter(F.col("n") > capacity)
+    full = written(full, "full-cells")
+    return Tree(size, capacity, depth, above, None if full.isEmpty() else full)
+
+
+def _dealt(keyed: DataFrame, tree: Tree, shares: Column) -> DataFrame:
+    """Rows with the number of shares of their cell (one unless it is full and cannot be split), or one row for each."""
+    if tree.full is None:
+        return keyed.withColumn("__share", F.lit(0))
+    last = tree.full.filter((F.col("lv") < 0) | (F.col("lv") == tree.depth))
+    of = last.select(F.col("lv").alias("__lv"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.ceil(F.col("n") / tree.capacity).cast("int").alias("__shares"))
+    both = keyed.join(of, ["__lv", "__y", "__x"], "left")
+    return both.withColumn("__share", shares).drop("__shares")
+
+
+def keyed_points(points: DataFrame, tree: Tree) -> DataFrame:
+    """Points (lat, lon) with the key of their leaf, and a row more for each level above that has areas; those without a place go."""
+    p = points.withColumns({"__fy": tree.fine(F.col("lat")), "__fx": tree.fine(F.col("lon"))}).filter("__fy IS NOT NULL AND __fx IS NOT NULL")
+    leaf = F.lit(0)
+    if tree.full is not None:
+        for k in range(tree.depth):  # a cell is only full if those above it are
+            here = tree.full.filter(F.col("lv") == k).select(F.col("y").alias("__y"), F.col("x").alias("__x"), F.lit(1).alias(f"__full{k}"))
+            p = p.withColumns({"__y": tree.at("__fy", k), "__x": tree.at("__fx", k)}).join(here, ["__y", "__x"], "left").drop("__y", "__x")
+            leaf = leaf + F.coalesce(f"__full{k}", F.lit(0))
+    p = p.withColumn("__leaf", leaf)
+    key = lambda level: F.struct(level.cast("int").alias("lv"), tree.at("__fy", level).alias("y"), tree.at("__fx", level).alias("x"))
+    p = p.withColumn("__k", F.explode(F.array(key(F.col("__leaf")), *[key(F.lit(k)) for k in tree.above])))
+    p = p.withColumns({"__lv": F.col("__k.lv"), "__y": F.col("__k.y"), "__x": F.col("__k.x")})
+    hashed = [c for c, t in points.dtypes if "map<" not in t and "variant" not in t]
+    return _dealt(p, tree, F.pmod(F.xxhash64(*hashed), F.coalesce("__shares", F.lit(1)).cast("long")).cast("int")).select(*points.columns, *_KEY)
+
+
+def keyed_boxes(areas: DataFrame, tree: Tree) -> DataFrame:
+    """Areas with a row for each leaf that their box (s, w, n, e) touches, or for each of the four cells at most of a level above."""
+    span = lambda a, b, level: F.sequence(tree.at(a, level), tree.at(b, level))
+    a = tree.boxed(areas)
+    a = a.withColumn("__y", F.explode(span("__s", "__n", F.col("__lv")))).withColumn("__x", F.explode(span("__w", "__e", F.col("__lv"))))
+    if tree.full is not None:
+        for k in range(tree.depth):
+            here = tree.full.filter(F.col("lv") == k).select(F.lit(k).alias("__lv"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.lit(1).alias("__split"))
+            a = a.join(here, ["__lv", "__y", "__x"], "left")
+            inner = lambda lo, hi, at: F.sequence(F.greatest(tree.at(lo, k + 1), 2 * F.col(at)), F.least(tree.at(hi, k + 1), 2 * F.col(at) + 1))  # noqa: B023, E731
+            own = lambda c: F.array(F.col(c))
+            a = a.withColumns({"__ys": F.when(F.col("__split") == 1, inner("__s", "__n", "__y")).otherwise(own("__y")), "__xs": F.when(F.col("__split") == 1, inner("__w", "__e", "__x")).otherwise(own("__x"))})
+            a = a.withColumn("__lv", F.col("__lv") + F.coalesce("__split", F.lit(0))).drop("__split", "__y", "__x")
+            a = a.withColumn("__y", F.explode("__ys")).withColumn("__x", F.explode("__xs")).drop("__ys", "__xs")
+    a = _dealt(a, tree, F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1)))
+    return a.select(*areas.columns, *_KEY)
+
+
+def _in_box() -> Column:
+    return F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e"))
+
+
+def points_in_boxes(points: DataFrame, areas: DataFrame, size: float, tree: Tree | None = None) -> DataFrame:
+    """Pairs of a point (lat, lon) and an area whose box (s, w, n, e) holds it, borders included; each pair once."""
+    tree = tree or tree_of(points, areas, size)
+    return keyed_points(points, tree).join(keyed_boxes(areas, tree), _KEY).filter(_in_box()).drop(*_KEY)
+
+
+def _meets(left: DataFrame, right: DataFrame, test: Column) -> DataFrame:
+    """Rows of ``left`` that meet one of ``right`` in a cell, in whose box they are, or the other way round, and pass ``test``: each is let go at its first."""
+    r = right.withColumnsRenamed({k: f"{k}_r" for k in _KEY})
+    same = F.lit(True)
+    for k in _KEY:
+        same = same & (F.col(k) == F.col(f"{k}_r"))
+    return left.join(r, same & _in_box() & test, "left_semi").drop(*_KEY)
+
+
+def points_in(points: DataFrame, areas: DataFrame, test: Column, size: float) -> DataFrame:
+    """The points (lat, lon) that lie in the box of an area and pass ``test`` with it; a point may come twice. Other columns must differ."""
+    tree = tree_of(points, areas, size)
+    return _meets(keyed_points(points, tree), keyed_boxes(areas, tree), test)
+
+
+def areas_with(areas: DataFrame, points: DataFrame, test: Column, size: float) -> DataFrame:
+    """The areas in whose box a point (lat, lon) lies that passes ``test`` with them; an area may come for each of its cells."""
+    tree = tree_of(points, areas, size)
+    return _meets(keyed_boxes(areas, tree), keyed_points(points, tree), test)
 
 
 def innermost_area(points: DataFrame, areas: DataFrame, size: float = 0.005) -> DataFrame:
@@ -61,10 +185,9 @@ def tallest_inside(areas: DataFrame, points: DataFrame, size: float = 0.001) ->
 
 def not_covered(ways: DataFrame, footprints: DataFrame, points: DataFrame, size: float = 0.001) -> DataFrame:
     """Ways (id, lat, lon, ring, box) whose centre is in no footprint (fid, ring, box) and that hold no point (lat, lon)."""
-    f = footprints.select("fid", "ring", "s", "w", "n", "e")
-    centre = points_in_boxes(ways.select("id", "lat", "lon"), f, size).filter(geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("id")
-    holds = points_in_boxes(points.select("lat", "lon"), ways.select("id", "ring", "s", "w", "n", "e"), size)
-    holds = holds.filter(geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring"))).select("id")
+    inside = geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring"))
+    centre = points_in(ways.select("id", "lat", "lon"), footprints.select("fid", "ring", "s", "w", "n", "e"), inside, size).select("id")
+    holds = areas_with(ways.select("id", "ring", "s", "w", "n", "e"), points.select("lat", "lon"), inside, size).select("id")
     return ways.join(centre.unionByName(holds).distinct(), "id", "left_anti")
 
 
@@ -72,8 +195,8 @@ def outlines_of_parts(ways: DataFrame, size: float = 0.001) -> DataFrame:
     """Ways that are not parts and hold the centre of a part: their parts are drawn instead."""
     parts = ways.filter("is_part").select(F.col("id").alias("pid"), "lat", "lon")
     outlines = ways.filter("NOT is_part").select("id", "ring", "s", "w", "n", "e")
-    both = points_in_boxes(parts, outlines, size).filter((F.col("pid") != F.col("id")) & geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
-    return ways.join(both.select("id").distinct(), "id", "left_semi")
+    inside = (F.col("pid") != F.col("id")) & geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring"))
+    return ways.join(areas_with(outlines, parts, inside, size).select("id").distinct(), "id", "left_semi")
 
 
 def close_pairs(left: DataFrame, right: DataFrame, metres: float, key: str | None = None) -> DataFrame:

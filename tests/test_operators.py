@@ -196,3 +196,44 @@ def test_heights_take_one_shuffle_of_the_points(spark):
     points = spark.createDataFrame([(i, 0.5, 0.5) for i in range(9)], "id int, lat double, lon double")
     plan = heights.bilinear_height(points, store)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Generate" not in plan and "Aggregate" not in plan
+
+
+def crowded(seed):
+    """Points of which a third lies in one place and some at borders; areas of all sizes, one over all."""
+    rng = np.random.default_rng(seed)
+    at = [(34.5005, 135.5005)] * 150 + [(float(rng.uniform(34.5, 34.501)), float(rng.uniform(135.5, 135.501))) for _ in range(100)] + [(float(rng.uniform(34.4, 34.6)), float(rng.uniform(135.4, 135.6))) for _ in range(150)]
+    points = [(i, a, b) for i, (a, b) in enumerate(at)] + [(900, 34.5, 135.5), (901, None, 135.5), (902, -34.5, -135.5)]
+    boxes = [(34.4, 135.4, 34.6, 135.6), (-90.0, -180.0, 90.0, 180.0), (34.5, 135.5, 34.5, 135.5), (34.5005, 135.5005, 34.5005, 135.5005), (None, None, None, None)]
+    for _ in range(120):
+        a, b, d = (rng.uniform(34.495, 34.505), rng.uniform(135.495, 135.505), 10 ** rng.uniform(-5, -1.5))
+        boxes.append((float(a), float(b), float(a + d * rng.uniform(0.1, 1)), float(b + d)))
+    return points, [(i, *b) for i, b in enumerate(boxes)]
+
+
+def test_quadtree_join_equals_all_pairs(spark):
+    for seed, capacity, depth in ((1, 20, 4), (2, 5, 2), (3, 100000, 6)):
+        points, boxes = crowded(seed)
+        p = spark.createDataFrame(points, "pid int, lat double, lon double").repartition(3)
+        a = spark.createDataFrame(boxes, "i int, s double, w double, n double, e double").repartition(2)
+        tree = spatial.tree_of(p, a, 0.001, capacity, depth)
+        want = sorted((i, k) for i, lat, lon in points if lat is not None for k, s, w, n, e in boxes if s is not None and s <= lat <= n and w <= lon <= e)
+        got = spatial.points_in_boxes(p, a, 0.001, tree)
+        assert sorted((r.pid, r.i) for r in got.collect()) == want
+        every = F.lit(True)
+        keyed = spatial.keyed_boxes(a, tree)
+        assert {r.pid for r in spatial._meets(spatial.keyed_points(p, tree), keyed, every).collect()} == {i for i, _ in want}
+        assert {r.i for r in spatial._meets(keyed, spatial.keyed_points(p, tree), every).collect()} == {k for _, k in want}
+        above = keyed.filter("__lv < 0").groupBy("i", "__share").count().agg(F.max("count")).first()[0]
+        assert above <= 4  # however large an area is
+
+
+def test_hot_cells_are_split(spark):
+    """No key holds much more than the capacity, though a third of the points lies in one place under an area of the whole city."""
+    rng = np.random.default_rng(7)
+    points = [(i, 34.5005, 135.5005) for i in range(2000)] + [(2000 + i, float(34.4 + rng.uniform(0, 0.2)), float(135.4 + rng.uniform(0, 0.2))) for i in range(4000)]
+    p = spark.createDataFrame(points, "pid int, lat double, lon double")
+    a = spark.createDataFrame([(0, 34.4, 135.4, 34.6, 135.6), (1, 34.5, 135.5, 34.501, 135.501)], "i int, s double, w double, n double, e double")
+    tree = spatial.tree_of(p, a, 0.005, 200, 4)
+    most = spatial.keyed_points(p, tree).groupBy(*spatial._KEY).count().agg(F.max("count")).first()[0]
+    assert most < 300
+    assert spatial.points_in_boxes(p, a, 0.005, tree).groupBy("i").count().filter("i = 0").first()["count"] == len(points)
