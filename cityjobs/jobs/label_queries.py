@@ -171,8 +171,7 @@ ins AS (SELECT b AS id, list(a) AS before FROM c GROUP BY b), num AS (SELECT id,
 walk(n, gone) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL SELECT num.n, CASE WHEN len(list_filter(num.before, lambda x: NOT list_contains(w.gone, x))) > 0 THEN list_append(w.gone, num.id) ELSE w.gone END FROM walk w JOIN num ON num.n = w.n + 1)
 SELECT id FROM nb WHERE id NOT IN (SELECT unnest(gone) FROM (SELECT arg_max(gone, n) AS gone FROM walk))""")
 def grd2(spark, sf):
-    f = named(spark, sf).select("id", "name", "lat", "lon")
-    return L.greedy_independent(f, L.conflicts(f)).select("id")
+    return L.suppressed_facilities(named(spark, sf).select("id", "name", "lat", "lon")).select("id")
 
 
 @query("agg8_label_statistics", f"""WITH {SQL_B}, {_NB}, k AS (SELECT CASE WHEN name LIKE '%駅' THEN 's' ELSE 'f' END AS k, CASE WHEN name LIKE '%駅' OR top - base >= 60 THEN 2 ELSE 3 END AS r FROM nb

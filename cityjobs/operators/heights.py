@@ -81,10 +81,11 @@ def _clamped(at: Column, n: int) -> Column:
 
 
 def _beside(points: DataFrame, heights: Heights) -> DataFrame:
-    """Points (lat, lon) with the arrays of the chunk that each is in, or nearest to."""
+    """Points (lat, lon) with their row and column of the grid (__r, __c) and the arrays of the chunk that each is in, or nearest to."""
     g = heights.grid
-    cr = F.floor(_clamped(g.row(F.col("lat")), g.rows) / heights.size).cast("int")
-    cc = F.floor(_clamped(g.col(F.col("lon")), g.cols) / heights.size).cast("int")
+    points = points.withColumns({"__r": g.row(F.col("lat")), "__c": g.col(F.col("lon"))})
+    cr = F.floor(_clamped(F.col("__r"), g.rows) / heights.size).cast("int")
+    cc = F.floor(_clamped(F.col("__c"), g.cols) / heights.size).cast("int")
     chunks = heights.chunks.select(F.col("cr").alias("__cr"), F.col("cc").alias("__cc"), F.col("z").alias("__z"), F.col("lo").alias("__lo"))
     return points.withColumns({"__cr": cr, "__cc": cc}).join(chunks, ["__cr", "__cc"], "left")
 
@@ -114,8 +115,8 @@ def _between(heights: Heights, lo: bool) -> tuple[Column, Column]:
 def nearest_height(points: DataFrame, heights: Heights) -> DataFrame:
     """Points (lat, lon) with ``ground``, the height of their cell in tenths; the border cell outside, null where there is none."""
     g = heights.grid
-    z = _cell(heights, _clamped(g.row(F.col("lat")), g.rows), _clamped(g.col(F.col("lon")), g.cols))
     out = _beside(points, heights)
+    z = _cell(heights, _clamped(F.col("__r"), g.rows), _clamped(F.col("__c"), g.cols))
     return out.select(*points.columns, F.when(z.isNotNull(), geo.clamped_steps(z, 0.1) * F.lit(0.1)).alias("ground"))
 
 
@@ -139,10 +140,10 @@ def highest_around(points: DataFrame, heights: Heights, reach: int = 2) -> DataF
     if reach > heights.halo:
         raise ValueError("the halo of the store is smaller than the reach")
     g = heights.grid
-    r0, c0 = g.row(F.col("lat")), g.col(F.col("lon"))
     # far outside, the border cells nearest to the point
-    near = [(_clamped(r0 + i, g.rows), _clamped(c0 + j, g.cols)) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-    cells = F.array(*[F.struct(_cell(heights, r, c).alias("z"), (-r).alias("nr"), (-c).alias("nc")) for r, c in near])
+    around = lambda at, n: F.array_distinct(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda o: _clamped(F.col(at) + o, n)))
+    cell = lambda r, c: F.struct(_cell(heights, r, c).alias("z"), (-r).alias("nr"), (-c).alias("nc"))
+    cells = F.flatten(F.transform(around("__r", g.rows), lambda r: F.transform(around("__c", g.cols), lambda c: cell(r, c))))
     best = _beside(points, heights).select(*points.columns, F.array_max(cells).alias("__b"))
     found = lambda c: F.when(F.col("__b.z").isNotNull(), c)
     return best.select(*points.columns, found(-F.col("__b.nr")).alias("hr"), found(-F.col("__b.nc")).alias("hc"), F.col("__b.z").alias("hz"))

@@ -95,8 +95,7 @@ def label_table(peaks: DataFrame, grounds: DataFrame, elements: DataFrame, facil
 
     out = written(out, "known-labels")
     taken = L.beside_known_labels(facilities.withColumnRenamed("seq", "id"), out).select(F.col("id").alias("seq"))
-    free = facilities.join(taken, "seq", "left_anti").withColumn("id", F.col("seq"))
-    free = L.greedy_independent(free, L.conflicts(free.select("id", "name", "lat", "lon"))).drop("id")
+    free = L.suppressed_facilities(facilities.join(taken, "seq", "left_anti").withColumn("id", F.col("seq"))).drop("id")
     f = L.facility_fields(F.col("name"), F.col("top"), F.col("base"))
     out = out.unionByName(_label(free, f.pop("k"), 3, ja=F.col("name"), **f))
     placed = L.ordered_places(out, [F.col("r"), F.coalesce("e", F.lit(0.0)).desc(), F.col("seq")])

@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cityjobs.functions import geo
 from cityjobs.operators.heights import Heights, bilinear_height
+from cityjobs.operators.scan import RANGE_ROWS, carried_scan
 
 OUT = "event_id long, device long, ts timestamp, dx double, dy double, dz double, ux double, uy double, uz double"
 STATE = "dx double, dy double, dz double, ux double, uy double, uz double"
@@ -27,30 +28,44 @@ def vectors(events: DataFrame) -> DataFrame:
     return full.select("event_id", "device", "ts", *[F.get(v, i).alias(n) for v, i, n in names])
 
 
-def _smooth(values: np.ndarray, start: np.ndarray | None, share: float) -> np.ndarray:
-    """Each row moves the state by ``share`` towards it; both vectors are kept at length 1."""
-    out = np.empty_like(values)
-    s = start
-    for i, v in enumerate(values):
-        if s is None:
-            s = v
-        else:
-            s = s + (v - s) * share
-            a, b = np.sqrt((s[:3] ** 2).sum()) or 1.0, np.sqrt((s[3:] ** 2).sum()) or 1.0
-            s = np.concatenate((s[:3] / a, s[3:] / b))
-        out[i] = s
+def _smooth(values: np.ndarray, starts: list[int], state: np.ndarray | None, share: float) -> np.ndarray:
+    """Each row moves its device's state by ``share`` towards it; both vectors are kept at length 1.
+
+    Rows are in order, those of a device from each of ``starts`` on; ``state`` is that of the
+    first one. All devices take their next step together.
+    """
+    out = np.array(values, float)
+    begin = np.array(starts)
+    left = np.diff([*starts, len(values)])
+    on = np.argsort(-left, kind="stable")  # those with more rows first, so that the ones still going on are the front
+    begin, left = begin[on], left[on]
+    s = out[begin]
+    if state is not None:
+        s[on == 0] = _step(state[None, :], s[on == 0], share)
+    out[begin] = s
+    for k in range(1, int(left[0])):
+        n = int(np.searchsorted(-left, -k))
+        s = _step(s[:n], out[begin[:n] + k], share)
+        out[begin[:n] + k] = s
     return out
 
 
-def smoothed(events: DataFrame, share: float = 0.25) -> DataFrame:
-    """Batch: orientation vectors smoothed per device in order of time."""
+def _step(s: np.ndarray, v: np.ndarray, share: float) -> np.ndarray:
+    s = s + (v - s) * share
+    for part in (s[:, :3], s[:, 3:]):
+        size = np.sqrt(part[:, 0] * part[:, 0] + part[:, 1] * part[:, 1] + part[:, 2] * part[:, 2])
+        part /= np.where(size == 0, 1.0, size)[:, None]
+    return s
+
+
+def smoothed(events: DataFrame, share: float = 0.25, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Batch: orientation vectors smoothed per device in order of time, over ranges of device and time: a device may hold any share."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        pdf[_V] = _smooth(pdf[_V].to_numpy(), None, share)
-        return pdf
+    def scan(pdf: pd.DataFrame, starts: list[int], state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        pdf[_V] = _smooth(pdf[_V].to_numpy(), starts, None if state is None else np.array(state), share)
+        return pdf[["event_id", "device", "ts", *_V]], tuple(float(x) for x in pdf[_V].iloc[-1])
 
-    return vectors(events).groupBy("device").applyInPandas(run, OUT)
+    return carried_scan(vectors(events), "device", ["ts", "event_id"], scan, OUT, STATE, range_rows)
 
 
 def smoothed_stream(events: DataFrame, share: float = 0.25, timeout: str = "1 hour") -> DataFrame:
@@ -62,7 +77,7 @@ def smoothed_stream(events: DataFrame, share: float = 0.25, timeout: str = "1 ho
             state.remove()
             return
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        pdf[_V] = _smooth(pdf[_V].to_numpy(), np.array(state.get) if state.exists else None, share)
+        pdf[_V] = _smooth(pdf[_V].to_numpy(), [0], np.array(state.get) if state.exists else None, share)
         state.update(tuple(float(x) for x in pdf[_V].iloc[-1]))
         state.setTimeoutDuration(ms)
         yield pdf[["event_id", "device", "ts", *_V]]

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
-from cityjobs.operators import buildings, heights, labels, osm, spatial, terrain, views
+from cityjobs.operators import buildings, greedy, heights, labels, osm, spatial, terrain, views
 from cityjobs.operators.terrain import Grid
 from cityjobs.streaming import devices
 
@@ -48,15 +48,77 @@ def test_innermost_area_ties_and_misses(spark):
     assert {r.pid: r.ground for r in spatial.innermost_area(points, areas).collect()} == {1: 2, 2: 1, 3: None, 4: 2, 5: None}
 
 
-def test_greedy_rounds_equal_a_plain_walk(spark):
+def metres_apart(a, b):
+    return np.hypot((a[0] - b[0]) * geo.M_LAT, (a[1] - b[1]) * geo.M_LON)
+
+
+def walk(places, rules):
+    kept = []
+    for i, name, *at in sorted(places):
+        clash = any(metres_apart(at, b) < r.metres and (not r.same_name or (name is not None and name == other)) and all((n or "").endswith(r.ending) for n in (name, other)) for _, other, *b in kept for r in rules)
+        if not clash:
+            kept.append((i, name, *at))
+    return {k[0] for k in kept}
+
+
+def test_greedy_blocks_equal_a_plain_walk(spark):
+    """A third of the places in one spot, long chains over block borders, and blocks that hold fewer than there are."""
     rng = np.random.default_rng(5)
-    edges = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (90, 2)) if a != b}
-    kept: set[int] = set()
-    for i in range(60):
-        if not any((j, i) in edges for j in kept):
-            kept.add(i)
-    got = labels.greedy_independent(spark.range(60), spark.createDataFrame(sorted(edges), "a long, b long"))
-    assert {r.id for r in got.collect()} == kept
+    name = lambda: str(rng.choice(["a", "b", "c駅", "d駅"]))
+    places = [(i, name(), 34.7 + rng.uniform(0, 2e-4), 135.5 + rng.uniform(0, 2e-4)) for i in range(0, 300, 3)]
+    places += [(i, name(), 34.7 + rng.uniform(0, 0.03), 135.5 + rng.uniform(0, 0.03)) for i in range(1, 300, 3)]
+    places += [(i, None if i % 5 == 0 else "a", 34.7, 135.4 + (i % 100) * 25e-5) for i in range(2, 300, 3)]  # a chain to the east, 23 metres a step
+    places = [(i, n, float(a), float(b)) for i, n, a, b in places]
+    frame = spark.createDataFrame([*places, (900, "a", None, 135.5)], "id int, name string, lat double, lon double").repartition(3)
+    want = walk(places, labels.FACILITY_RULES) | {900}
+    for block in (20_000, 15):
+        gone = [r.id for r in greedy.greedy_apart(frame, labels.FACILITY_RULES, block).collect()]
+        assert len(gone) == len(set(gone)) and {r.id for r in frame.collect()} - set(gone) == want
+    assert {r.id for r in labels.suppressed_facilities(frame).collect()} == want
+    same = labels.greedy_same_name(frame.filter("lat IS NOT NULL").select(F.col("id").alias("ord"), F.col("name").alias("ja"), "lat", "lon"), 500.0)
+    assert {r.ord for r in same.collect()} == walk(places, (greedy.Rule(500.0, same_name=True),))
+    assert greedy.greedy_apart(frame.limit(0), labels.FACILITY_RULES).count() == 0
+
+
+def test_last_accepted_station_of_a_hot_name(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, str(rng.choice(["x", "x", "y"])) if i % 4 else None, float(34.7 + rng.uniform(0, 0.012)), float(135.5 + rng.uniform(0, 0.012))) for i in range(400)]
+    rows += [(500 + i, "far", 34.7, 135.5) for i in range(60)] + [(600, "x", None, 1.0)]
+    last, want = {}, set()
+    for i, n, a, b in sorted(rows):
+        if a is None:
+            want.add(i)
+        elif n not in last or metres_apart(last[n], (a, b)) >= 500:
+            last[n] = (a, b)
+            want.add(i)
+    frame = spark.createDataFrame(rows, "seq int, name string, lat double, lon double").repartition(4)
+    for rows_of_a_range in (20, 1000):
+        got = [r.seq for r in labels.last_accepted(frame, 500.0, rows_of_a_range).collect()]
+        assert sorted(got) == sorted(want)
+    assert labels.last_accepted(frame.limit(0)).count() == 0
+
+
+def test_smoothing_of_a_device_with_most_events(spark):
+    """Ranges of a few events, one device over most of them: the rows of one walk per device."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"event_id": range(300), "device": np.where(rng.random(300) < 0.7, 1, rng.integers(2, 9, 300)), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(300) // 2, "s")})
+    for c in ("alpha", "beta", "gamma"):
+        pdf[c] = rng.integers(-40, 300, 300).astype(float)
+    pdf.loc[7, "beta"] = None
+    src = spark.createDataFrame(pdf).withColumn("beta", F.expr("nullif(beta, 'NaN')")).repartition(5)
+    rows = sorted(devices.vectors(src).collect(), key=lambda r: (r.ts, r.event_id))
+    state, want = {}, {}
+    for r in rows:
+        v = np.array([r.dx, r.dy, r.dz, r.ux, r.uy, r.uz])
+        s = state.get(r.device)
+        if s is not None:
+            s = s + (v - s) * 0.25
+            v = np.concatenate((s[:3] / np.linalg.norm(s[:3]), s[3:] / np.linalg.norm(s[3:])))
+        state[r.device] = want[r.event_id] = v
+    assert len(want) == 299
+    for range_rows in (20, 100_000):
+        got = {r.event_id: np.array([r.dx, r.dy, r.dz, r.ux, r.uy, r.uz]) for r in devices.smoothed(src, range_rows=range_rows).collect()}
+        assert got.keys() == want.keys() and all(np.abs(got[i] - want[i]).max() < 1e-9 for i in want)
 
 
 def test_roofs_and_selected_kinds(spark):
