@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cityjobs.jobs import inputs as I
 from cityjobs.jobs.inputs import SQL_B, SQL_DEM, SQL_W
+from cityjobs.jobs.osm_queries import all_elements
 from cityjobs.jobs.registry import query
 from cityjobs.jobs.spatial_queries import SQL_CLS, classified
 from cityjobs.operators import buildings as B
@@ -14,7 +15,7 @@ from cityjobs.operators import terrain as T
 from cityjobs.sources import readers as R
 from cityjobs.sources.fixtures import fixture
 from cityjobs.sources.shared import shared_dir as folder
-from cityjobs.sources.writers import write_files
+from cityjobs.sources.writers import write_document, write_files
 
 
 def _poly(z):
@@ -111,18 +112,23 @@ def src2(spark, sf):
     return R.tin_triangles(spark, path)
 
 
-@query("src4_osm_elements", f"WITH {SQL_W} SELECT 'way' AS type, id, btype AS building, 4 AS points, round(s, 6) AS lat0, round(w, 6) AS lon0, row_number() OVER (PARTITION BY id % 16 ORDER BY id) - 1 AS seq FROM w")
+@query("src4_osm_elements", f"""WITH {SQL_W}, el AS (SELECT 'node' AS type, id, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, name, NULL AS building, -1 AS points, -1 AS members, NULL AS role, NULL AS lat0 FROM fx_landmarks
+UNION ALL SELECT 'node', id + 10000000, lat_u / 1e6, lon_u / 1e6, name, NULL, -1, -1, NULL, NULL FROM fx_peaks
+UNION ALL SELECT 'way', id, lat, lon, CASE WHEN id % 4 = 0 THEN '建物' || id END, CASE WHEN NOT is_part THEN btype END, CASE WHEN id % 13 = 0 THEN 4 ELSE 5 END, -1, NULL, s FROM w
+UNION ALL SELECT 'relation', id, NULL, NULL, '集まり' || id, 'yes', -1, 2, 'inner', s FROM w WHERE id % 10 = 0)
+SELECT type, id, round(lat, 6) AS lat, round(lon, 6) AS lon, name, building, points, members, role, round(lat0, 6) AS lat0, row_number() OVER (ORDER BY type, id) - 1 AS seq FROM el""")
 def src4(spark, sf):
-    """Element documents, sixteen of them; seq is the place in the document."""
+    """One document of nodes, ways and relations, written in order and read in splits; seq is the place in the document."""
     path = folder(spark, "osm")
-    e = F.struct(F.col("id"), F.lit("way").alias("type"), F.create_map(F.lit("building"), F.col("btype")).alias("tags"), F.col("ring").alias("geometry"))
-    sorted_by_id = F.array_sort(F.collect_list(e.dropFields("tags")))
-    docs = I.ways(spark, sf).withColumn("g", F.col("id") % 16)
-    tags = docs.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("id", "btype"))).alias("kinds"), sorted_by_id.alias("es"))
-    full = F.transform("es", lambda x: F.struct(x["type"].alias("type"), x["id"].alias("id"), F.create_map(F.lit("building"), F.try_element_at(F.col("kinds"), x["id"])).alias("tags"), x["geometry"].alias("geometry")))
-    write_files(tags.select(F.concat("g", F.lit(".json")).alias("name"), F.to_json(F.struct(full.alias("elements"))).alias("content")), path)
-    first = F.get("geometry", 0)
-    return R.osm_elements(spark, path).select("type", "id", F.try_element_at("tags", F.lit("building")).alias("building"), F.size("geometry").alias("points"), F.round(first["lat"], 6).alias("lat0"), F.round(first["lon"], 6).alias("lon0"), F.col("seq").cast("long").alias("seq"))
+    e = all_elements(spark, sf)
+    write_document(e, [F.col("type"), F.col("id")], F.to_json(F.struct("type", "id", "lat", "lon", "tags", "geometry", "members")), path, "elements.json", '{"version":0.6,"elements":[\n', ",\n", "\n]}\n")
+    back = R.osm_elements(spark, path)
+    first = F.get(F.coalesce("geometry", F.get("members", 1)["geometry"]), 0)["lat"]
+    n = lambda c: F.coalesce(F.size(c), F.lit(-1))
+    return back.select(
+        "type", "id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.try_element_at("tags", F.lit("name")).alias("name"), F.try_element_at("tags", F.lit("building")).alias("building"),
+        n("geometry").alias("points"), n("members").alias("members"), F.get("members", 1)["role"].alias("role"), F.round(first, 6).alias("lat0"), "seq",
+    )
 
 
 def _tiles(spark, sf):

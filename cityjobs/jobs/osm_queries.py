@@ -48,6 +48,21 @@ def elements(spark, sf):
     return lm.unionByName(pk).unionByName(w)
 
 
+def relations(spark, sf):
+    """A relation for every tenth way: its ring as the outer member, and three points of it as the inner one."""
+    w = I.ways(spark, sf).filter("id % 10 = 0")
+    member = lambda role, g: F.struct(F.lit("way").alias("type"), F.col("id").alias("ref"), F.lit(role).alias("role"), g.alias("geometry"))
+    none = F.lit(None)
+    tags = _tags(type=F.lit("multipolygon"), name=F.concat(F.lit("集まり"), F.col("id")), building=F.lit("yes"))
+    return w.select(F.lit("relation").alias("type"), "id", F.col("id").alias("seq"), none.cast("double").alias("lat"), none.cast("double").alias("lon"), tags.alias("tags"), none.cast(O.POINTS).alias("geometry"), F.array(member("outer", F.col("ring")), member("inner", F.slice("ring", 1, 3))).alias("members"))
+
+
+def all_elements(spark, sf):
+    """Nodes, ways and relations."""
+    r = relations(spark, sf)
+    return elements(spark, sf).withColumn("members", F.lit(None).cast(r.schema["members"].dataType)).unionByName(r)
+
+
 _L = "l AS (SELECT id, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, name, is_station, notable, name_en FROM fx_landmarks)"
 _PK = "pk AS (SELECT id, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, name, ele_tag, wikidata FROM fx_peaks)"
 _IN = "lat BETWEEN 34.6 AND 34.75 AND lon BETWEEN 135.4 AND 135.58"
@@ -265,13 +280,14 @@ def topk1(spark, sf):
 nd AS (SELECT qid, arg_min(bd.id, ({sql_dist("el.lat", "el.lon", "bd.lat", "bd.lon")}, bd.id)) AS seq FROM el JOIN bd ON bd.lat BETWEEN el.lat - 0.001 AND el.lat + 0.001 AND bd.lon BETWEEN el.lon - 0.001 AND el.lon + 0.001
  WHERE {sql_dist("el.lat", "el.lon", "bd.lat", "bd.lon")} < most GROUP BY qid),
 wb AS (SELECT 'way/' || w.id AS qid, arg_min(bd.id, (-top, bd.id)) AS seq FROM w JOIN bd ON NOT is_part AND (w.s > bd.lat) <> (w.n > bd.lat) AND bd.lon < w.e AND NOT bd.lon < w.w AND bd.lat BETWEEN w.s AND w.n GROUP BY 1),
-al AS (SELECT qid, lat, lon FROM el UNION ALL SELECT 'way/' || id, CASE WHEN id % 13 = 0 THEN (s + s + n + n) / 4 ELSE (s + s + n + n + s) / 5 END, CASE WHEN id % 13 = 0 THEN (w + e + e + w) / 4 ELSE (w + e + e + w + w) / 5 END FROM w ),
+al AS (SELECT qid, lat, lon FROM el UNION ALL SELECT 'way/' || id, CASE WHEN id % 13 = 0 THEN (s + s + n + n) / 4 ELSE (s + s + n + n + s) / 5 END, CASE WHEN id % 13 = 0 THEN (w + e + e + w) / 4 ELSE (w + e + e + w + w) / 5 END FROM w
+ UNION ALL SELECT 'relation/' || id, (s + s + n + n) / 4, (w + e + e + w) / 4 FROM w WHERE id % 10 = 0),
 pos AS (SELECT al.qid, coalesce(bd.lat, al.lat) AS lat, coalesce(bd.lon, al.lon) AS lon, bd.top, coalesce(bd.top - bd.base, 0) AS h FROM al LEFT JOIN (SELECT * FROM nd UNION ALL SELECT * FROM wb) m USING (qid) LEFT JOIN bd ON bd.id = m.seq)
 SELECT qid, round(pos.lat, 6) AS lat, round(pos.lon, 6) AS lon, round(h, 6) AS h, floor(coalesce(top + 3, floor(dem.z / 0.1::DOUBLE + 0.5) * 0.1::DOUBLE + 8) * 10 + 0.5) / 10 AS z, CASE WHEN h <> 0 THEN floor(h + 0.5) END AS e
 FROM pos JOIN dem ON dem.r = greatest(0, least(209, floor((34.78::DOUBLE - pos.lat) / 0.001::DOUBLE))) AND dem.c = greatest(0, least(239, floor((pos.lon - 135.37::DOUBLE) / 0.001::DOUBLE)))""")
 def fn44(spark, sf):
     """Landmarks and ways with the building they stand on, and the label's height over it or over the ground."""
-    e = elements(spark, sf).filter("NOT (type = 'node' AND id >= 10000000)").withColumn("members", F.lit(None).cast("array<struct<role:string,geometry:array<struct<lat:double,lon:double>>>>"))
+    e = all_elements(spark, sf).filter("NOT (type = 'node' AND id >= 10000000)")
     a = O.anchored_landmarks(e, I.buildings(spark, sf).select("seq", "lat", "lon", "base", "top"))
     a = H.nearest_height(a, I.heights(spark, sf))
     fields = L.anchored_fields(F.col("top"), F.col("base"), F.col("ground"))

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityjobs.operators import buildings as B
+from cityjobs.sources.shared import written
 
-ELEMENTS = (
-    "elements array<struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>,"
-    "members:array<struct<role:string,geometry:array<struct<lat:double,lon:double>>>>>>"
+ELEMENT = (
+    "struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>,"
+    "members:array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>>"
 )
+#: How an element begins; within a string its quotes would be escaped, and members have ``ref`` in place of ``id``.
+_ELEMENT = re.compile(r'\{\s*"type"\s*:\s*"(?:node|way|relation)"\s*,\s*"id"\s*:')
 SIDECAR = "id array<string>, s array<int>, u array<string>, addr array<string>, tn array<string>"
 
 
@@ -83,9 +87,62 @@ def tin_triangles(spark: SparkSession, path: str) -> DataFrame:
     return raw.filter(F.col("value").rlike(r"<gml:posList[^>]*>[^<]*$")).select(F.explode(pts).alias("p")).select("p.*")
 
 
+def _cut_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, start, n, whole, text): the elements that begin in each split, and what the split begins with (n = -1).
+
+    Of the last element of a split (whole is false) more may follow in the next one.
+    """
+    split, n, held = None, -1, []
+
+    def rows(found):
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["file", "start", "n", "whole", "text"])
+
+    for batch in batches:
+        keys = list(zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True))
+        values = batch.column("value").to_pylist()
+        at, found = 0, []
+        while at < len(keys):
+            to = at + next((i for i, k in enumerate(keys[at:]) if k != keys[at]), len(keys) - at)
+            if keys[at] != split:
+                if split is not None:
+                    found.append((*split, n, False, "".join(held)))
+                split, n, held = keys[at], -1, []
+            text = "}".join(values[at:to]) + "}"  # the reader takes off what ends a record
+            marks = [m.start() for m in _ELEMENT.finditer(text)]  # a beginning has no brace that closes, so it lies within a record
+            for k, (a, b) in enumerate(zip([0, *marks], [*marks, len(text)], strict=True)):
+                if k:  # an element begins here, which ends what was open
+                    found.append((*split, n, n >= 0, "".join(held)))
+                    n, held = n + 1, []
+                held.append(text[a:b])
+            at = to
+        if found:
+            yield rows(found)
+    if split is not None:
+        yield rows([(*split, n, False, "".join(held))])
+
+
 def osm_elements(spark: SparkSession, path: str) -> DataFrame:
-    e = spark.read.schema(ELEMENTS).option("multiLine", True).json(path)
-    return e.select(F.posexplode("elements").alias("seq", "e")).select("seq", "e.*")
+    """A row for each element of element documents: file, seq (its place in the document) and the element's fields.
+
+    A document of any size is read by as many tasks as it has splits, whether it is one line
+    or many: records end at each closing brace, and a task finds the elements that begin in
+    its split by how elements begin (type, then id). What a split begins with completes the last
+    element of the one before: a row or two for each split.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    cut = written(raw.mapInArrow(_cut_elements, "file string, start long, n long, whole boolean, text string"), "element-texts")
+    in_file = Window.partitionBy("file")
+    # pieces of elements over borders: an open one and what the splits after it begin with
+    pieces = cut.filter("NOT whole OR n < 0").withColumn("g", F.sum((F.col("n") >= 0).cast("int")).over(in_file.orderBy("start", "n")))
+    pieces = pieces.groupBy("file", "g").agg(F.array_sort(F.collect_list(F.struct("start", "n", "text"))).alias("p")).filter(F.get("p", 0)["n"] >= 0)
+    joined = pieces.select("file", F.get("p", 0)["start"].alias("start"), F.get("p", 0)["n"].alias("n"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+    texts = cut.filter("whole AND n >= 0").select("file", "start", "n", "text").unionByName(joined)
+    counts = cut.groupBy("file", "start").agg((F.max("n") + 1).alias("k"))
+    before = F.coalesce(F.sum("k").over(in_file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    placed = texts.join(counts.select("file", "start", before.alias("before")), ["file", "start"])
+    e = placed.select("file", (F.col("before") + F.col("n")).alias("seq"), F.from_json("text", ELEMENT).alias("e"))
+    return e.select("file", "seq", "e.*")
 
 
 def sidecar_features(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators against plain Python on small inputs."""
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from cityjobs.functions import geo
 from cityjobs.operators import buildings, greedy, heights, labels, osm, spatial, terrain, views
 from cityjobs.operators.terrain import Grid
+from cityjobs.sources import readers, writers
 from cityjobs.streaming import devices
 
 
@@ -299,3 +302,53 @@ def test_hot_cells_are_split(spark):
     most = spatial.keyed_points(p, tree).groupBy(*spatial._KEY).count().agg(F.max("count")).first()[0]
     assert most < 300
     assert spatial.points_in_boxes(p, a, 0.005, tree).groupBy("i").count().filter("i = 0").first()["count"] == len(points)
+
+
+def test_one_document_is_read_by_several_tasks(spark, tmp_path):
+    """Nodes, ways and relations with members, on one line and on many, in splits smaller than some elements."""
+    rng = np.random.default_rng(2)
+    point = lambda: {"lat": float(rng.integers(0, 90)), "lon": float(rng.integers(0, 180))}
+    trap = 'a } {"type":"node","id":1} ] { \\ "é日本'
+    made = []
+    for i in range(120):
+        kind = ("node", "way", "relation")[i % 3]
+        e = {"type": kind, "id": i}
+        if kind == "node":
+            e |= point()
+        elif kind == "way":
+            e |= {"nodes": [1, 2, 3], "geometry": [point() for _ in range(int(rng.integers(0, 40)))]}
+        else:
+            e["members"] = [{"type": "way", "ref": k, "role": role, "geometry": [point() for _ in range(5)]} for k, role in enumerate(("outer", "inner"))]
+        e["tags"] = {"name": f"n{i}", "type": "multipolygon", "id": "7", "note": trap}
+        made.append(e)
+    for name, indent in (("one", None), ("many", 2)):
+        (tmp_path / name).mkdir()
+        for part in ("a", "b"):
+            doc = {"version": 0.6, "osm3s": {"x": "}"}, "elements": made if part == "a" else made[:7], "remark": {"id": 3}}
+            (tmp_path / name / f"{part}.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=indent is None))
+        held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        try:
+            for k in held:
+                spark.conf.set(k, "700" if "max" in k else "0")
+            rows = readers.osm_elements(spark, f"file://{tmp_path}/{name}").collect()
+            assert spark.read.option("lineSep", "}").text(f"file://{tmp_path}/{name}").rdd.getNumPartitions() > 20
+        finally:
+            for k, v in held.items():
+                spark.conf.set(k, v)
+        for part, want in (("a", made), ("b", made[:7])):
+            got = sorted((r for r in rows if r.file.endswith(f"{part}.json")), key=lambda r: r.seq)
+            assert [r.seq for r in got] == list(range(len(want)))
+            for r, e in zip(got, want, strict=True):
+                assert (r.type, r.id, r.lat, r.lon, r.tags) == (e["type"], e["id"], e.get("lat"), e.get("lon"), e["tags"])
+                assert [p.asDict() for p in r.geometry or []] == e.get("geometry", [])
+                assert [(m.ref, m.role, len(m.geometry)) for m in r.members or []] == [(m["ref"], m["role"], 5) for m in e.get("members", [])]
+
+
+def test_a_document_is_written_in_order(spark, tmp_path):
+    d = spark.createDataFrame([(i * 7 % 100, f"t{i * 7 % 100}") for i in range(100)] + [(500, None)], "k int, t string").repartition(7)
+    parts = writers.write_document(d, [F.col("k")], F.col("t"), f"file://{tmp_path}/out", "doc", "<", "|", ">", part_rows=15).collect()
+    text = (tmp_path / "out" / "doc").read_text()
+    assert text == "<" + "|".join(f"t{i}" for i in range(100)) + ">"
+    assert len(parts) > 3 and all(text[p.offset :].startswith(f"t{sum(q.records for q in parts if q.part < p.part)}") for p in parts) and sum(p.records for p in parts) == 100
+    writers.write_document(d.limit(0), [F.col("k")], F.col("t"), f"file://{tmp_path}/out", "none", "[", ",", "]")
+    assert (tmp_path / "out" / "none").read_text() == "[]"
