@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cityjobs.functions import geo
@@ -99,30 +100,57 @@ def first_flagged(pings: DataFrame) -> DataFrame:
     return pings.join(least, "device", "left").withColumn("first", F.coalesce(F.struct("ts", "event_id") == F.col("__first"), F.lit(False))).drop("__first")
 
 
-def first_flagged_stream(pings: DataFrame, timeout: str = "1 hour") -> DataFrame:
-    """Stream: the same, with whether a device has been seen as its state, dropped after ``timeout`` of quiet."""
-    ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    schema = T_.StructType([*pings.schema.fields, T_.StructField("first", T_.BooleanType())])
+class _FirstPing(StatefulProcessor):
+    """Holds a device's pings until the watermark passes the earliest of them, which is its first then; later ones go straight on."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, schema: T_.StructType):
+        self.schema = schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "first timestamp")
+        self.held = handle.getListState("held", self.schema)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))[self.schema.names]
+        if self.seen.exists():
+            yield pdf.assign(first=False)
             return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        pdf["first"] = False
-        if not state.exists:
-            pdf.iloc[0, pdf.columns.get_loc("first")] = True
-        state.update((True,))
-        state.setTimeoutDuration(ms)
-        yield pdf
+        self.held.appendList([tuple(r) for r in pdf.itertuples(index=False)])
+        self.handle.registerTimer(pdf["ts"].min().value // 1_000_000)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():  # the timer of a ping that came before an earlier one
+            yield pd.DataFrame()
+            return
+        pdf = pd.DataFrame(list(self.held.get()), columns=self.schema.names).sort_values(["ts", "event_id"])
+        self.seen.update((pdf["ts"].iloc[0].to_pydatetime(),))
+        self.held.clear()
+        yield pdf.assign(first=[True] + [False] * (len(pdf) - 1))
+
+    def close(self) -> None:
+        pass
 
-    return pings.groupBy("device").applyInPandasWithState(run, schema, "seen boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+def first_flagged_stream(pings: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """Stream: the same rows, though pings may come in any order within ``late`` of the latest; later ones are dropped.
+
+    A device's pings are held until the watermark has passed its earliest one, by an
+    event-time timer; from then on its state is that one time. Needs a state store for
+    arbitrary state (``spark.sql.streaming.stateStore.providerClass`` of RocksDB).
+    """
+    schema = T_.StructType([*pings.schema.fields, T_.StructField("first", T_.BooleanType())])
+    marked = pings.filter("device IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late)
+    return marked.groupBy("device").transformWithStateInPandas(_FirstPing(pings.schema), schema, "Append", "EventTime")
 
 
 def settled_views(views: DataFrame, quiet: str = "400 milliseconds", late: str = "10 seconds") -> DataFrame:
     """The last event of each run of a device's events that are closer than ``quiet`` to each other.
 
-    The watermark bounds the state of a stream; in batch it has no effect.
+    In a stream events may come in any order within ``late`` of the latest; a run is given out
+    once the watermark has passed its end, and later events are dropped. In batch the
+    watermark has no effect.
     """
     v = views.withWatermark("ts", late) if views.isStreaming else views
     runs = v.groupBy("device", F.session_window("ts", quiet).alias("w"))

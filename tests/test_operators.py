@@ -1,6 +1,7 @@
 """Operators against plain Python on small inputs."""
 
 import json
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -143,16 +144,55 @@ def test_roofs_and_selected_kinds(spark):
             assert {round(p[along], 7) for p in ridge} == ({0.0, 1e-4} if r.across else {0.0, 2e-4})
 
 
-def test_first_ping_of_a_stream_equals_batch(spark, tmp_path):
-    rows = [(i, i % 3, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=i // 2)).to_pydatetime()) for i in range(30)]
-    src = spark.createDataFrame(rows, "event_id long, device long, ts timestamp")
-    for i in range(2):
-        src.filter(f"event_id div 15 = {i}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    q = devices.first_flagged_stream(stream).writeStream.format("memory").queryName("firsts").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.event_id: r["first"] for r in spark.sql("SELECT * FROM firsts").collect()}
-    assert got == {r.event_id: r["first"] for r in devices.first_flagged(src).collect()} and sum(got.values()) == 3
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def streamed(spark, tmp_path, batches, schema, job, name, provider=None):
+    """Rows of a stream of the batches, one after another, in append mode."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(key)
+    try:
+        spark.conf.set(key, provider or held)
+        q = job(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+    finally:
+        spark.conf.set(key, held)
+    return spark.sql(f"SELECT * FROM {name}").collect()
+
+
+def feed(seed):
+    """Three batches of (event_id, device, ts) whose rows come up to 8 seconds out of order, and one row that comes an hour late; the last moves the watermark."""
+    rng = np.random.default_rng(seed)
+    at = lambda s: (pd.Timestamp("2024-01-01 10:00") + pd.Timedelta(milliseconds=int(1000 * s))).to_pydatetime()
+    rows = [(i, int(rng.integers(0, 4)), at(i * 1.7 - rng.uniform(0, 8))) for i in range(90)]
+    late = (500, 9, at(-3600))
+    return [rows[:30], rows[30:60], [*rows[60:], late], [(900, 8, at(3600))], [(901, 8, at(7200))]], rows
+
+
+def test_first_pings_of_a_stream_equal_batch(spark, tmp_path):
+    """With late and out-of-order rows, and enriched with heights on the way."""
+    batches, good = feed(1)
+    schema = "event_id long, device long, ts timestamp"
+    store = stored_heights(spark, Grid(1.0, 0.0, 0.1, 10, 10), [[float(r + c) for c in range(10)] for r in range(10)]).saved()
+    place = lambda d: devices.enriched(d.withColumns({"lat": 0.9 - F.col("event_id") % 7 / 10.0, "lon": 0.1 + F.col("event_id") % 5 / 10.0}), store, 1.5)
+    rows = streamed(spark, tmp_path, batches, schema, lambda s: devices.first_flagged_stream(place(s)), "firsts", ROCKS)
+    want = devices.first_flagged(place(spark.createDataFrame(good, schema))).collect()
+    got = {r.event_id: (r["first"], round(r.eye, 9)) for r in rows if r.event_id < 900}
+    assert got == {r.event_id: (r["first"], round(r.eye, 9)) for r in want}
+    assert len(rows) == len({r.event_id for r in rows}) and sum(r["first"] for r in rows if r.event_id < 900) == 4
+
+
+def test_settled_views_of_a_stream_equal_batch(spark, tmp_path):
+    batches, good = feed(2)
+    schema = "event_id long, device long, ts timestamp"
+    rows = streamed(spark, tmp_path, batches, schema, lambda s: devices.settled_views(s, "5 seconds", "10 seconds"), "settled")
+    want = devices.settled_views(spark.createDataFrame(good, schema), "5 seconds").collect()
+    got = Counter((r.device, r.event_id, r.ts, r.n) for r in rows if r.device < 8)
+    assert got == Counter((r.device, r.event_id, r.ts, r.n) for r in want) and len(want) > 6
 
 
 def test_views_far_north_and_across_the_meridian(spark):
