@@ -14,7 +14,8 @@ that pages give it) and its content:
 
 Element semantics, and names that say nothing but page furniture, remove what the tree
 leaves, and all on hosts with too few pages for a tree. What remains, within the article
-if the page marks one, is the main text.
+if the page marks one, is the main text; unless the tree knows the host's main branch, and
+what the page marks lies beside it.
 """
 
 from __future__ import annotations
@@ -38,8 +39,6 @@ THRESHOLD = 0.2
 BESIDE = 0.12
 #: Weight of content against presentation.
 GAMMA = 0.9
-#: A page's own mark of its article counts if that holds this share of the page's text.
-MARKED = 0.25
 
 
 def _digest(text: str) -> int:
@@ -115,7 +114,7 @@ def importance(features: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 
 def unimportant(pages: DataFrame, html_col: str = "html", min_pages: int = MIN_PAGES, threshold: float = THRESHOLD, beside: float = BESIDE) -> DataFrame:
-    """Rows (host, paths, texts): the branches to cut on the pages of a host, and the single texts as 'digest path'.
+    """Rows (host, paths, texts, main): the branches to cut on the pages of a host, the single texts as 'digest path', and the main branch.
 
     ``pages`` has the host in ``__host``. Only copies of a page are joined by payload, so pages
     are shuffled only where the table of payloads that repeat is too large to be broadcast.
@@ -148,19 +147,26 @@ def unimportant(pages: DataFrame, html_col: str = "html", min_pages: int = MIN_P
     leaves = most.select("host", F.lit(None).cast("string").alias("branch"), F.concat_ws(" ", "feature", "path").alias("leaf"))
     cut = low.unionByName(side).withColumn("leaf", F.lit(None).cast("string")).unionByName(leaves)
     cut = cut.groupBy("host").agg(F.array_sort(F.collect_set("branch")).alias("paths"), F.array_sort(F.collect_set("leaf")).alias("texts"))
-    return materialize(cut, "unimportant")
+    return materialize(cut.join(inmost, "host", "full"), "unimportant")
 
 
 def left_by_tree(found: list[Block], cut: tuple[str, ...], single: frozenset[str]) -> list[Block]:
-    return [b for b in found if not any(b.path == p or b.path.startswith(p + "/") for p in cut) and not (single and f"{_digest(b.text)} {b.path}" in single)]
+    return [b for b in found if not any(within(b.path, p) for p in cut) and not (single and f"{_digest(b.text)} {b.path}" in single)]
 
 
-def main_blocks(found: list[Block], cut: tuple[str, ...], single: frozenset[str]) -> list[Block]:
-    """The blocks of a page that neither the tree nor names remove, within its article if it marks one."""
+def within(path: str, branch: str) -> bool:
+    return path == branch or path.startswith(branch + "/")
+
+
+def main_blocks(found: list[Block], cut: tuple[str, ...], single: frozenset[str], main: str | None = None) -> list[Block]:
+    """The blocks of a page that neither the tree nor names remove, within its article if it marks one.
+
+    The mark does not count where the host's main branch holds blocks of the page but none that is marked.
+    """
     left = [b for b in left_by_tree(found, cut, single) if not b.furniture]
     inside = [b for b in left if b.in_body]
-    marked = sum(len(b.text) for b in inside) >= MARKED * sum(len(b.text) for b in left)
-    return inside if inside and marked else left
+    in_main = [b for b in left if main and within(b.path, main)]
+    return left if not inside or (in_main and not any(b.in_body for b in in_main)) else inside
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +174,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             texts = []
-            for page, low, leaves in zip(part.column("html"), part.column("paths"), part.column("texts"), strict=True):
+            for page, low, leaves, main in zip(part.column("html"), part.column("paths"), part.column("texts"), part.column("main"), strict=True):
                 cut, single = tuple(low.as_py() or ()), frozenset(leaves.as_py() or ())
                 found, _ = blocks(page.as_py() or "")
-                texts.append("\n".join(b.text for b in main_blocks(found, cut, single)))
+                texts.append("\n".join(b.text for b in main_blocks(found, cut, single, main.as_py())))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -199,7 +205,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     low = unimportant(rows, **options)
     kind = rows.schema["page_id"].dataType.simpleString()
     if low.isEmpty():
-        rows = rows.withColumns({c: F.lit(None).cast("array<string>") for c in ("paths", "texts")})
+        rows = rows.withColumns({c: F.lit(None).cast("array<string>") for c in ("paths", "texts")} | {"main": F.lit(None).cast("string")})
     else:
-        rows = rows.join(low.withColumnRenamed("host", "__low"), F.col("__host") == F.col("__low"), "left").select("page_id", "url", "html", "paths", "texts")
+        rows = rows.join(low.withColumnRenamed("host", "__low"), F.col("__host") == F.col("__low"), "left").select("page_id", "url", "html", "paths", "texts", "main")
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long").withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)

@@ -3,8 +3,11 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import duckdb
 import numpy as np
@@ -13,8 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cityjobs.llm import exact_dedup, id_coder, id_files, jaccard, lattice, mixing, packing, quality, queries, sharding, style_tree, tokens, warc
-from cityjobs.llm.dom import blocks
+from cityjobs.llm import dom, exact_dedup, id_coder, id_files, jaccard, lattice, mixing, packing, quality, queries, sharding, style_tree, tokens, warc
+from cityjobs.llm.dom import TEXT_LEVEL, blocks
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, kept string, id string, h string"
@@ -423,11 +426,12 @@ def test_names_say_furniture_only_where_they_say_nothing_else(spark):
         "<body><article><p title='the hidden truth'>one</p><section data-id='ad'><p>two</p></section><div class='share-price'>three</div><div class='related work'>four</div>"
         "<div class='ad-hoc'>five</div><div id='comment-on-kant'>six</div><p class=keep>seven</p><div class='share-buttons'>no</div><div class='col-4 sidebar'>no</div><div id=comments>no</div></article></body>"
     )
-    teasers = "<body><main><p>Teaser</p></main><div><p>" + "A story in an unmarked element. " * 9 + "</p></div></body>"
-    rows = [(1, "http://a.example/", page), (2, "http://b.example/", teasers)]
+    teasers = "<body><main><p>Teaser {0}</p></main><div><p>" + "A story {0} in an unmarked element. " * 9 + "</p></div></body>"
+    rows = [(1, "http://a.example/", page)] + [(2 + i, "http://b.example/", teasers.format(i)) for i in range(9)] + [(20, "http://c.example/", teasers.format(1))]
     out = {r.page_id: r.text for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[1] == "one\ntwo\nthree\nfour\nfive\nsix\nseven"
-    assert "A story" in out[2]
+    assert "A story" in out[2]  # the tree knows that the host's main branch is not the marked one
+    assert out[20] == "Teaser 1"  # without a tree the page's mark counts, however short what it marks is
 
 
 def test_tree_cuts_what_differs_on_every_page_without_names(spark):
@@ -444,24 +448,20 @@ def test_tree_cuts_what_differs_on_every_page_without_names(spark):
     assert {i: t[:-1] for i, t in out.items()} == want  # what stands within the main branch stays, however short
 
 
-def test_importance_equals_brute_force(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(150)
-    rows = style_tree.with_host(pages.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id") % 3, F.lit(".example/")))).select("__host", "html", F.lit(1).cast("long").alias("copies"))
-    counted = rows.mapInArrow(style_tree._features, "host string, path string, kind int, feature long, words long, pages double")
-    features = counted.groupBy("host", "path", "kind", "feature", "words").agg(F.round(F.sum("pages")).cast("long").alias("k"))
-    got = {(r.host, r.branch): r for r in style_tree.importance(features).collect()}
+def brute_tree(rows):
+    """Of (host, html): texts, child sequences and pages of every node, and what the texts of every branch carry, and their words."""
     texts, shapes, having = {}, {}, {}
-    for r in rows.collect():
-        found, styles = blocks(r.html or "")
+    for host, page in rows:
+        found, styles = blocks(page or "")
         own = {(b.path, b.text) for b in found}
         for path, text in own:
-            c = texts.setdefault((r["__host"], path), Counter())
+            c = texts.setdefault((host, path), Counter())
             c[text] += 1
         above = {"/".join(p.split("/")[:k]) for p, _ in own for k in range(2, p.count("/") + 2)}
         for p in above:
-            having[r["__host"], p] = having.get((r["__host"], p), 0) + 1
+            having[host, p] = having.get((host, p), 0) + 1
         for p, s in {x for x in styles if x[0] in above}:
-            shapes.setdefault((r["__host"], p), Counter())[s] += 1
+            shapes.setdefault((host, p), Counter())[s] += 1
     carried, words = Counter(), Counter()
     for (host, path), c in texts.items():
         m = having[host, path]
@@ -472,6 +472,16 @@ def test_importance_equals_brute_force(spark):
                 branch = "/".join(path.split("/")[:j])
                 carried[host, branch] += kept
                 words[host, branch] += n
+    return texts, shapes, having, carried, words
+
+
+def test_importance_equals_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(150)
+    rows = style_tree.with_host(pages.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id") % 3, F.lit(".example/")))).select("__host", "html", F.lit(1).cast("long").alias("copies"))
+    counted = rows.mapInArrow(style_tree._features, "host string, path string, kind int, feature long, words long, pages double")
+    features = counted.groupBy("host", "path", "kind", "feature", "words").agg(F.round(F.sum("pages")).cast("long").alias("k"))
+    got = {(r.host, r.branch): r for r in style_tree.importance(features).collect()}
+    texts, shapes, having, carried, words = brute_tree([(r["__host"], r.html) for r in rows.collect()])
     assert set(got) == {x for x in words if x[1]} and len(got) > 10
     for (host, branch), r in got.items():
         m = having[host, branch]
@@ -481,6 +491,115 @@ def test_importance_equals_brute_force(spark):
         assert math.isclose(r.share, carried[host, branch] / carried[host, ""], abs_tol=1e-9)
 
 
+def brute_cuts(rows):
+    """Host -> branches to cut, single texts to cut (path, text), and the main branch; from distinct pages."""
+    rows = list(dict.fromkeys(rows))
+    texts, shapes, having, carried, words = brute_tree(rows)
+    pages = Counter(h for h, _ in rows)
+    out = {h: (set(), set(), None) for h in pages}
+    for h in pages:
+        if pages[h] < style_tree.MIN_PAGES:
+            continue
+        nodes = {p: m for (host, p), m in having.items() if host == h}
+        container = lambda p: p.rpartition("/")[2].partition(".")[0] not in TEXT_LEVEL
+        share = {p: carried[h, p] / max(carried[h, ""], 1e-9) for p in nodes}
+        way = [p for p in nodes if container(p) and share[p] > 0.5]
+        main = max(way, key=len, default=None)
+        low, single = set(), set()
+        for p, m in nodes.items():
+            if m < style_tree.MIN_PAGES:
+                continue
+            style = 0.1 * sum(-min(1, c / m) * math.log(min(1, c / m)) / math.log(m) for c in shapes.get((h, p), {}).values())
+            up = p.rpartition("/")[0]
+            if style + 0.9 * carried[h, p] / words[h, p] < style_tree.THRESHOLD or (container(p) and style + 0.9 * share[p] < style_tree.BESIDE and up in way and up != main):
+                low.add(p)
+            single |= {(p, t) for t, k in texts.get((h, p), {}).items() if 2 * k > max(m, style_tree.MIN_PAGES) and 0.9 * (1 - min(1, math.log(k) / math.log(m))) < style_tree.THRESHOLD}
+        out[h] = (low, single, main)
+    return out
+
+
+def test_texts_of_the_query_equal_brute_force(spark):
+    """Whole texts of all pages of two scales: trees and cuts worked out in plain Python."""
+    for sf in (SF, "/root/testdata/sf0.01"):
+        rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+        host = lambda u: (urlsplit(u or "").hostname or "").lower()
+        cuts = brute_cuts([(host(r.url), r.html or "") for r in rows if host(r.url)])
+        want = {}
+        for r in rows:
+            low, single, main = cuts.get(host(r.url), (set(), set(), None))
+            inside = lambda b, p: (b.path + "/").startswith(p + "/")
+            left = [b for b in blocks(r.html or "")[0] if not b.furniture and not any(inside(b, p) for p in low) and (b.path, b.text) not in single]
+            marked, of_main = [b for b in left if b.in_body], [b for b in left if main and inside(b, main)]
+            chosen = left if not marked or (of_main and not set(of_main) & set(marked)) else marked
+            want[r.page_id] = (r.url, "\n".join(b.text for b in chosen), sum(len(b.text) + 1 for b in chosen[:-1]) + len(chosen[-1].text) if chosen else 0)
+        got = {r.page_id: (r.url, r.text, r.n_chars) for r in queries.op9_style_tree(spark, sf).collect()}
+        assert got == want
+
+
+class _Plain(HTMLParser):
+    """Texts outside of elements without text, cut at every tag that is not inline."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.skip, self.out, self.now = 0, [], []
+
+    def cut(self):
+        self.out.append(" ".join("".join(self.now).split()))
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now.append(" ")
+        elif tag not in dom.INLINE:
+            self.cut()
+        self.skip += tag in SKIPPED
+
+    def handle_endtag(self, tag):
+        if tag not in dom.INLINE:
+            self.cut()
+        self.skip -= tag in SKIPPED
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.now.append(data)
+
+
+SKIPPED = {"script", "style", "noscript", "template", "textarea", "title", "iframe"}
+
+
+def test_blocks_equal_another_parser(spark):
+    n = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = _Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        plain.cut()
+        assert [b.text for b in blocks(r.html or "")[0]] == [t for t in plain.out if t]
+        n += 1
+    assert n > 200
+
+
+def test_tags_that_are_broken_or_cross(spark):
+    texts = lambda page: [b.text for b in blocks(page)[0]]
+    assert texts('<p class=x">first<p>second') == ["first", "second"]
+    assert texts("<p title='it's'>one</p><p a = \"x>y\" b=c>two</p>") == ["one", "two"]
+    assert texts('<p a="open>three<p>four') == ["three", "four"]
+    assert texts("a < b <3 <p/>five</p ><!-- <p>no --><br/>six") == ["a < b <3", "five", "six"]
+    assert texts("<script>if (a</b) '</p>'</script>x<style>y") == ["x"]
+    for page in ('<p ' * 300_000, "<div>" * 100_000 + "</p>" * 100_000, '<p a="x>' * 120_000, "<" * 10**6, "<!--" * 250_000, "<div class=abcdefgh>x" * 50_000, "<a " + " / " * 300_000):
+        began = time.process_time()
+        blocks(page)
+        assert time.process_time() - began < 20  # a megabyte; the time is linear
+
+
+def test_headlines_and_texts_that_names_do_not_hide(spark):
+    page = "<body><div class=header>no</div><article><div class='header'><h1>Head</h1></div><p>One</p><section id='comments-policy'><p>Two</p></section><div class='cookie-policy'>no</div><div class='share-on'>no</div><div class='related-articles'>no</div></article></body>"
+    short = "<body><article><h1>Head</h1><p>Short</p></article><div><p>" + "A longer teaser of another story. " * 30 + "</p></div></body>"
+    rows = [(1, "http://a.example/", page), (2, "http://b.example/", short)]
+    out = {r.page_id: r.text for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {1: "Head\nOne\nTwo", 2: "Head\nShort"}
+
+
 def test_main_text_of_odd_rows(spark):
     """Long html, repeated rows, ties, null ids and urls, and columns of clashing names."""
     long = "<body><article>" + "<p>word word</p>" * 40_000 + "</article>" + "<div>" * 3000 + "x"
