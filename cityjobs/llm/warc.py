@@ -17,12 +17,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import before_each, materialize, shared_dir, ship
+from .common import ROW, before_each, materialize, shared_dir, ship, with_rows
 from .storage import read_file, write_committed
 
 DATE = "1970-01-01T00:00:00Z"
@@ -97,6 +97,24 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _numbered(rows: DataFrame, range_rows: int = 100_000) -> DataFrame:
+    """Rows (page_id, hash, url, place) that repeat, without their html, with ``copy``: a number within each (page_id, hash), from 0.
+
+    All may be copies of one: they are numbered in ranges of their order, and a range's
+    numbers go on from those of the ranges before it.
+    """
+    order = ["page_id", "hash", "url", ROW]
+    rows = materialize(rows, "repeated-rows")
+    ranged = rows.repartitionByRange(max(1, -(-rows.count() // range_rows)), *order)
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "repeated-ranges")
+    counts = ranged.groupBy("page_id", "hash", "part").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("page_id", "hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = counts.select(F.col("page_id").alias("rid"), F.col("hash").alias("rhash"), F.col("part").alias("rpart"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("part", "page_id", "hash").orderBy("url", ROW)) - 1
+    placed = ranged.withColumn("at", at).join(before, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash")) & (F.col("part") == F.col("rpart")))
+    return materialize(placed.select(ROW, (F.col("at") + F.col("before")).cast("int").alias("copy")), "copies")
+
+
 def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES) -> str:
     """Write a record for every page and return the archive's folder; its manifest is committed last.
 
@@ -109,8 +127,12 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     spark: SparkSession = pages.sparkSession
     ship(spark)
     path = path or shared_dir(spark, "warc")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("hash", F.sha2(F.encode("html", "UTF-8"), 256))
+
+    def records(of: DataFrame, *more: str) -> DataFrame:
+        r = of.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), *more)
+        return r.withColumn("hash", F.sha2(F.encode("html", "UTF-8"), 256))
+
+    rows = records(pages)
     light = rows.select("page_id", "url", "hash")
     winners = light.groupBy("hash").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "winner")
     winners = materialize(winners, "winners")
@@ -118,15 +140,16 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
         light.join(winners.select("hash", F.col("winner").alias("page_id")), ["hash", "page_id"]).groupBy("hash", F.col("page_id").alias("winner")).agg(F.min("url").alias("refers_url")),
         "winner-urls",
     )
-    rows = rows.join(urls, "hash", "left")
     # copies are counted only among ids that repeat
     repeated = materialize(light.groupBy("page_id", "hash").count().filter("count > 1").select(F.col("page_id").alias("rid"), F.col("hash").alias("rhash")), "repeats")
     if repeated.isEmpty():
         rows = rows.withColumn("copy", F.lit(0))
     else:
-        same = rows.join(repeated, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash")), "left")
-        number = F.row_number().over(Window.partitionBy("page_id", "hash").orderBy("url")) - 1
-        rows = same.filter("rhash IS NULL").withColumn("copy", F.lit(0)).unionByName(same.filter("rhash IS NOT NULL").withColumn("copy", number))
+        rows = records(with_rows(pages), ROW)
+        same = F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("hash") == F.col("rhash"))
+        copies = _numbered(rows.select("page_id", "hash", "url", ROW).join(repeated, same).drop("rid", "rhash"))
+        rows = rows.join(copies.select(F.col(ROW).alias("__at"), "copy"), F.col(ROW) == F.col("__at"), "left").withColumn("copy", F.coalesce("copy", F.lit(0)))
+    rows = rows.join(urls, "hash", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))
     rows = rows.select("page_id", "url", "html", F.col("copy").cast("int").alias("copy"), refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("refers_url")).alias("refers_url"))
 
@@ -146,9 +169,9 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
         files = members.join(at, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("copy") == F.col("rcopy"))).drop("rid", "rcopy")
     else:
         # a file is a range of the order, so its bounds place the members without a join of theirs
-        firsts = bounds.select("file_no", F.col("first.page_id").alias("p"), F.col("first.copy").alias("c")).sort("file_no").toPandas()
-        starts_at = [(-(1 << 63) - 1 if pd.isna(p) else int(p), int(c)) for p, c in zip(firsts["p"], firsts["c"], strict=True)]
-        given = spark.sparkContext.broadcast((starts_at, firsts["file_no"].tolist()))
+        firsts = bounds.select("file_no", F.col("first.page_id").alias("p"), F.col("first.copy").alias("c")).sort("file_no").toArrow()
+        starts_at = [(-(1 << 63) - 1 if p is None else p, c) for p, c in zip(firsts["p"].to_pylist(), firsts["c"].to_pylist(), strict=True)]
+        given = spark.sparkContext.broadcast((starts_at, firsts["file_no"].to_pylist()))
 
         def to_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import bisect
@@ -161,17 +184,18 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
 
         files = members.mapInArrow(to_files, columns)
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(table: pa.Table) -> pa.Table:
         from pyspark import TaskContext
 
-        pdf = pdf.sort_values(["page_id", "copy"], na_position="first")
-        name = f"part-{int(pdf['file_no'].iloc[0]):08d}.warc.gz"
-        data = b"".join(pdf["member"])
+        order = pc.sort_indices(table, sort_keys=[("page_id", "ascending"), ("copy", "ascending")], null_placement="at_start")
+        number = table.column("file_no")[0].as_py()
+        name = f"part-{number:08d}.warc.gz"
+        data = b"".join(table.column("member").take(order).to_pylist())
         context = TaskContext.get()
         write_committed(path, name, str(context.taskAttemptId() if context else 0), data)
-        return pd.DataFrame({"file": [name], "records": [len(pdf)], "bytes": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()]})
+        return pa.table({"file": [name], "records": pa.array([table.num_rows], pa.int64()), "bytes": pa.array([len(data)], pa.int64()), "sha256": [hashlib.sha256(data).hexdigest()]})
 
-    files = files.groupBy("file_no").applyInPandas(write, "file string, records long, bytes long, sha256 string")
+    files = files.groupBy("file_no").applyInArrow(write, "file string, records long, bytes long, sha256 string")
     files.write.parquet(f"{path}/_manifest")
     return path
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cityjobs.llm import dom, exact_dedup, id_coder, id_files, jaccard, lattice, mixing, packing, quality, queries, sharding, style_tree, tokens, warc
+from cityjobs.llm.common import ROW, with_rows
 from cityjobs.llm.dom import TEXT_LEVEL, blocks
 
 SF = "/root/testdata/sf0.001"
@@ -377,6 +378,43 @@ def test_warc(spark, bounds, monkeypatch):
     assert warc.read_warc(spark, warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_warc_files_of_large_ids_beside_a_null(spark):
+    """Ids over 2**53 beside a null one, which no float may touch: the files roll, and the order within them is that of the ids."""
+    rng = random.Random(3)
+    ids = [(1 << 53) + k for k in range(60)]
+    rows = [(i, None, f"<p>{rng.random()}") for i in ids]
+    files = {}
+    for name, extra in (("without", []), ("with", [(None, None, "<p>x")])):
+        frame = spark.createDataFrame(rows + extra, "page_id long, url string, html string").repartition(3)
+        path = warc.write_warc(frame, roll_bytes=400)
+        out = warc.read_warc(spark, path).collect()
+        assert Counter(r.page_id for r in out) == Counter(i for i, _, _ in rows + extra)
+        files[name] = {r.page_id: r.file for r in out}
+        for f in set(files[name].values()):
+            data = warc.read_file(path, f)
+            held = [h.get("x-page-id") for h, _ in warc.parse_records(data)]
+            assert held == sorted(held, key=lambda x: (x is not None, int(x or 0)))
+    assert len(set(files["without"].values())) > 30 and len(set(files["with"].values())) > 30
+    assert max(Counter(files["with"].values()).values()) <= 3
+    order = sorted(files["with"], key=lambda i: (i is not None, i or 0))
+    assert [files["with"][i] for i in order] == sorted(files["with"].values())
+
+
+def test_warc_numbers_repeats_in_ranges(spark):
+    rows = [(5, f"u{i % 3}", "<p>same") for i in range(120)] + [(None, None, "<p>none")] * 30 + [(7, "v", "<p>once"), (5, "u", "<p>other")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    light = with_rows(frame).select("page_id", F.col("html").alias("hash"), "url", ROW)
+    for n in (9, 1000):
+        out = warc._numbered(light, range_rows=n)
+        got = light.join(out, ROW).collect()
+        by = {}
+        for r in got:
+            by.setdefault((r.page_id, r["hash"]), []).append((r.copy, r.url or ""))
+        assert len(got) == len(rows) and all([c for c, _ in sorted(v)] == list(range(len(v))) and [u for _, u in sorted(v)] == sorted(u for _, u in v) for v in by.values())
+    ids = [r.record_id for r in warc.read_warc(spark, warc.write_warc(frame)).collect()]
+    assert len(set(ids)) == len(rows)
+
+
 def test_main_text(spark):
     page = '<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1><p><b>One<br><p>two  &nbsp;three<script>x</script><form>f</form></article><div id="comments">no</div><footer>F'
     assert [b.text for b in blocks(page)[0] if b.in_body and not b.furniture] == ["A & B", "One", "two three"]
