@@ -9,6 +9,7 @@ _SPECIAL = {"し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji",
 _SYLLABLE = {kana: c + v for c, row in _ROWS.items() for kana, v in zip(row, "aiueo", strict=True)} | _SPECIAL
 _GLIDE = dict(zip("ゃゅょ", ("ya", "yu", "yo"), strict=True))
 _SMALL = dict(zip("ぁぃぅぇぉ", "aiueo", strict=True))
+_BP, _M = _ROWS["b"] + _ROWS["p"], _ROWS["m"]
 KANA = re.compile("[ぁ-ゖァ-ヺー]+")
 
 
@@ -23,7 +24,11 @@ def _syllable(first: str, small: str) -> str:
 
 
 def to_latin(text: str) -> str:
-    """Runs of kana in Latin letters, long vowels short; other characters stay."""
+    """Runs of kana in Latin letters, long vowels short; other characters stay.
+
+    The syllabic n is an m before b and p; before m it is one in katakana, which write foreign
+    words, while hiragana readings join words there (Namba, Tenma).
+    """
 
     def run(m: re.Match) -> str:
         kana = "".join(chr(ord(c) - 0x60) if "ァ" <= c <= "ヶ" else c for c in m[0])
@@ -38,6 +43,8 @@ def to_latin(text: str) -> str:
                 continue
             two = bool(nxt) and (nxt in _GLIDE or nxt in _SMALL) and c in _SYLLABLE
             s = _syllable(c, nxt) if two else _SYLLABLE.get(c, _SMALL.get(c, c))
+            if c == "ん" and (nxt in _BP or (nxt in _M and m[0][i] == "ン")) and nxt:
+                s = "m"
             out += ("t" if s.startswith("ch") else s[:1] if double else "") + s if double else s
             i, double = i + 1 + two, False
         return out.replace("ou", "o").replace("uu", "u")

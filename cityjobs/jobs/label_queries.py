@@ -13,6 +13,7 @@ from cityjobs.operators import labels as L
 from cityjobs.operators import views as V
 from cityjobs.operators.heights import nearest_height
 from cityjobs.sources.fixtures import fixture
+from cityjobs.sources.shared import written
 
 _L = "l AS (SELECT id, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon, name, is_station, notable, name_en FROM fx_landmarks)"
 _NB = "nb AS (SELECT * FROM b WHERE name <> '')"
@@ -299,7 +300,8 @@ def join17(spark, sf):
     """Candidates that no terrain hides; the terrain is raised ten times so that some is in the way."""
     pairs = _candidates(spark, sf).withColumn("pair", F.concat_ws(":", "view_id", "id"))
     high = I.dem(spark, sf).withColumn("z", F.col("z") * 10)
-    return V.in_sight(pairs, I.heights(spark, sf, high)).select("view_id", "id")
+    high = written(high, "high-dem")
+    return V.in_sight(pairs, I.heights(spark, sf, high), V.height_pyramid(high)).select("view_id", "id")
 
 
 @query("grd4_label_declutter")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cityjobs.functions import geo
 from cityjobs.operators.heights import Heights, bilinear_height
+from cityjobs.operators.terrain import Grid
+from cityjobs.sources.shared import written
 
 # fixed values: greatest distance in metres by kind and rank; names of compass points; usage codes; colours
 MAX_DISTANCE = {"p": (160000, 50000, 12000), "t": (60000, 15000, 4500), "l": (45000, 12000, 3500), "s": (8000, 6000, 3000), "f": (6000, 4000, 1500)}
@@ -53,23 +58,88 @@ def candidates(views: DataFrame, labels: DataFrame, kinds: tuple[str, ...] = tup
     return both.withColumn("dist", dist).filter((F.col("dist") <= F.col("most")) & (front > 0)).drop("most", "cy", "cx")
 
 
-def sight_samples(pairs: DataFrame) -> DataFrame:
-    """Points (pair, i, f, lat, lon, h) on the straight lines of pairs (pair, vlat, vlon, vh, lat, lon, z, dist)."""
-    steps = F.greatest(F.lit(8), F.least(F.lit(48), F.floor(F.col("dist") / 400 + 0.5))).cast("int")
+def _steps() -> Column:
+    return F.greatest(F.lit(8), F.least(F.lit(48), F.floor(F.col("dist") / 400 + 0.5))).cast("int")
+
+
+def sight_samples(pairs: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """Points (pair, i, f, lat, lon, h) on the straight lines of pairs (pair, vlat, vlon, vh, lat, lon, z, dist); all of a line's, or those from ``first`` to ``last``."""
     ends = F.struct(*[c.alias(f"{n}{i}") for n, end in (("a", ("vlat", "vlon", "vh")), ("b", ("lat", "lon", "z"))) for i, c in enumerate(geo.ecef(*map(F.col, end)))])
+    steps = _steps()
+    first, last = F.lit(1) if first is None else first, steps - 1 if last is None else F.least(last, steps - 1)
     # a generator over one element keeps the planner from writing out the same sums over and over
-    p = pairs.select("pair", steps.alias("steps"), F.explode(F.array(ends)).alias("q"))
-    p = p.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("steps") - 1))).withColumn("f", F.col("i") / F.col("steps"))
+    p = pairs.select("pair", steps.alias("steps"), first.alias("first"), last.alias("last"), F.explode(F.array(ends)).alias("q"))
+    p = p.withColumn("i", F.explode(F.sequence(F.col("first"), F.col("last")))).withColumn("f", F.col("i") / F.col("steps"))
     xyz = F.struct(*[(F.col(f"q.a{i}") + (F.col(f"q.b{i}") - F.col(f"q.a{i}")) * F.col("f")).alias(n) for i, n in enumerate("xyz")])
     p = p.select("pair", "i", "f", F.explode(F.array(xyz)).alias("at"))
     lat, lon, h = geo.geodetic(F.col("at.x"), F.col("at.y"), F.col("at.z"))
     return p.select("pair", "i", "f", lat.alias("lat"), lon.alias("lon"), h.alias("h"))
 
 
-def in_sight(pairs: DataFrame, heights: Heights) -> DataFrame:
-    """Pairs whose line no terrain rises above by more than 3 metres, and 8 more towards the label."""
-    over = bilinear_height(sight_samples(pairs), heights).filter(F.col("height") > F.col("h") + 3 + F.col("f") * 8)
-    return pairs.join(over.select("pair").distinct(), "pair", "left_anti")
+def _allowed() -> Column:
+    """Height of terrain that does not yet hide the line: 3 metres above it, and 8 more towards the label."""
+    return F.col("h") + 3 + F.col("f") * 8
+
+
+#: Samples of a stretch of a line that is judged as one.
+STRETCH = 6
+#: The finest and the coarsest level of the pyramid of greatest heights; a level's blocks have 2**level cells on a side.
+LEVELS = (1, 12)
+
+
+def height_pyramid(cells: DataFrame) -> DataFrame:
+    """Rows (lv, y, x, hi): the greatest height, 0 at least, in each block of 2**lv cells a side of cells (r, c, z) and in the eight around it."""
+    level = cells.select(F.col("r").alias("y"), F.col("c").alias("x"), F.greatest(F.lit(0.0), "z").alias("hi"))
+    out = None
+    for lv in range(1, LEVELS[1] + 1):
+        level = level.groupBy(F.shiftright(F.col("y").cast("long"), 1).alias("y"), F.shiftright(F.col("x").cast("long"), 1).alias("x")).agg(F.max("hi").alias("hi"))
+        level = written(level, "pyramid-level") if lv == 1 else level
+        if lv >= LEVELS[0]:
+            near = F.explode(F.array(*[F.struct((F.col("y") + i).alias("y"), (F.col("x") + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+            wide = level.select("hi", near.alias("at")).groupBy("at.y", "at.x").agg(F.max("hi").alias("hi")).select(F.lit(lv).alias("lv"), "y", "x", "hi")
+            out = wide if out is None else out.unionByName(wide)
+    return written(out, "pyramid")
+
+
+def doubtful_stretches(pairs: DataFrame, pyramid: DataFrame, grid: Grid) -> DataFrame:
+    """The stretches (pair, first, last, place) of lines that the pyramid does not clear, those with the most terrain above them first.
+
+    A stretch is looked up once, at the level at which its samples, and the cells around
+    them, lie within one block of the one its middle is in.
+    """
+    s = sight_samples(pairs).withColumn("seg", F.floor((F.col("i") - 1) / STRETCH).cast("int"))
+    ends = [f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))]
+    seg = s.groupBy("pair", "seg").agg(F.min(_allowed()).alias("allowed"), *ends)  # mostly summed before the shuffle: a line's samples lie side by side
+    half = F.greatest(F.col("hi_lat") - F.col("lo_lat"), F.col("hi_lon") - F.col("lo_lon")) / (2 * grid.res) + 1.5
+    lv = F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(half))).cast("int")
+    middle = lambda c: (F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2
+    block = lambda at: F.floor(at / F.pow(F.lit(2.0), F.col("lv"))).cast("long")
+    seg = seg.withColumn("lv", lv).withColumns({"y": block(grid.row(middle("lat"))), "x": block(grid.col(middle("lon")))})
+    known = seg.join(pyramid, ["lv", "y", "x"], "left")
+    # outside the grid, and where cells are missing, terrain counts as sea level; a stretch too long for the pyramid stays in doubt
+    over = F.when(F.col("lv") <= LEVELS[1], F.coalesce("hi", F.lit(0.0)) - F.col("allowed")).otherwise(F.lit(float("inf")))
+    left = known.withColumn("over", over).filter("over > 0")
+    place = F.row_number().over(Window.partitionBy("pair").orderBy(F.desc("over"), "seg"))  # at most 8 for a line
+    return left.select("pair", (F.col("seg") * STRETCH + 1).alias("first"), (F.col("seg") * STRETCH + STRETCH).alias("last"), place.alias("place"))
+
+
+def in_sight(pairs: DataFrame, heights: Heights, pyramid: DataFrame) -> DataFrame:
+    """Pairs (pair, ...) whose line no terrain rises above by more than 3 metres, and 8 more towards the label.
+
+    Stretches that the pyramid clears are not sampled. Of the others the most doubtful one of
+    each line is sampled first, and only lines that it leaves open are sampled further.
+    """
+    slim = written(pairs.select("pair", "vlat", "vlon", "vh", "lat", "lon", "z", "dist"), "lines")
+    doubtful = written(doubtful_stretches(slim, pyramid, heights.grid), "stretches")
+
+    def hidden(stretches: DataFrame) -> DataFrame:
+        lines = slim.join(stretches, "pair")
+        taken = sight_samples(lines, F.col("first"), F.col("last"))
+        return bilinear_height(taken, heights).filter(F.col("height") > _allowed()).select("pair").distinct()
+
+    first = written(hidden(doubtful.filter("place = 1")), "hidden")
+    second = written(hidden(doubtful.filter("place > 1").join(first, "pair", "left_anti")), "hidden")
+    return pairs.join(first.unionByName(second), "pair", "left_anti")
 
 
 def label_text(kind: Column, name: Column, e: Column) -> Column:
@@ -87,21 +157,44 @@ def distance_scale(dist: Column) -> Column:
     return F.when(dist > 2000, F.greatest(F.lit(0.8), 1 - 0.2 * (dist - 2000) / 78000)).otherwise(1.0)
 
 
-def declutter(boxes: DataFrame, most: int = 70) -> DataFrame:
-    """Per view, in order (ord), the boxes (x0, y0, x1, y1) in sight (clear) that overlap none taken before; ``most`` at most."""
+def declutter(boxes: DataFrame, most: int = 70, prefix: int = 512) -> DataFrame:
+    """Per view, in order (ord, then id), the boxes (x0, y0, x1, y1) in sight (clear) that overlap none taken before; ``most`` at most.
+
+    Rounds: of every view that has not got its ``most`` yet, the next ``prefix`` boxes of its
+    order are looked at, beside those it has taken. Spark takes the first ones in every task
+    before it shuffles, so a group is bounded however many candidates a view has, and what
+    stands behind a full view is never moved. Boxes without an order are left out.
+    """
+    corner, columns = ("x0", "y0", "x1", "y1"), boxes.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        taken: list[tuple[float, float, float, float]] = []
+    def run(part: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["ord", "id"])
+        held = list(taken[list(corner)].itertuples(index=False, name=None))
         flags = []
-        for x0, y0, x1, y1, clear in zip(pdf["x0"], pdf["y0"], pdf["x1"], pdf["y1"], pdf["clear"], strict=True):
-            ok = len(taken) < most and bool(clear) and not any(x0 < b[2] and x1 > b[0] and y0 < b[3] and y1 > b[1] for b in taken)
+        for x0, y0, x1, y1, clear in zip(*(part[c] for c in corner), part["clear"], strict=True):
+            ok = len(held) < most and clear is not None and bool(clear) and not any(x0 < b[2] and x1 > b[0] and y0 < b[3] and y1 > b[1] for b in held)
             flags.append(ok)
             if ok:
-                taken.append((x0, y0, x1, y1))
-        return pdf[flags]
-
-    return boxes.groupBy("view_id").applyInPandas(run, boxes.schema)
+                held.append((x0, y0, x1, y1))
+        return part.assign(taken=flags)[[*columns, "taken"]]
+
+    open_ = boxes.filter("ord IS NOT NULL")
+    schema = T.StructType([*boxes.schema.fields, T.StructField("taken", T.BooleanType())])
+    done: list[DataFrame] = []
+    so_far = boxes.sparkSession.createDataFrame([], boxes.schema)
+    while True:
+        n = F.row_number().over(Window.partitionBy("view_id").orderBy("ord", "id"))
+        part = open_.withColumn("__n", n).filter(F.col("__n") <= prefix).drop("__n")
+        judged = written(part.groupBy("view_id").cogroup(so_far.groupBy("view_id")).applyInPandas(run, schema), "judged")
+        done.append(judged.filter("taken").drop("taken"))
+        so_far = reduce(DataFrame.unionByName, done)
+        counts = so_far.groupBy("view_id").agg(F.count(F.lit(1)).alias("n"))
+        ends = judged.groupBy("view_id").agg(F.max(F.struct("ord", "id")).alias("__last"), F.count(F.lit(1)).alias("__seen"))
+        ends = ends.join(counts, "view_id", "left").filter((F.col("__seen") == prefix) & (F.coalesce("n", F.lit(0)) < most)).select("view_id", "__last")
+        ends = written(ends, "open-views")
+        if ends.isEmpty():
+            return so_far
+        open_ = boxes.join(ends, "view_id").filter(F.struct("ord", "id") > F.col("__last")).drop("__last")
 
 
 def wikipedia_link(ref: Column) -> Column:
@@ -126,6 +219,22 @@ def display_title(name: Column, ground: Column, usage: Column) -> Column:
     return F.coalesce(filled(name), F.concat(F.lit("Building at "), filled(ground)), filled(usage), F.lit("—"))
 
 
+def place_kind(rel: Column) -> Column:
+    """What a ground is: a temple, a shrine, a castle, or another place of worship."""
+    return F.when(rel == 1, "Temple").when(rel == 2, "Shrine").when(rel == 4, "Castle").otherwise("Place of worship")
+
+
+def building_rows(buildings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buildings (pid, name, tn, usage) with what is shown of them: title, and kind and name of their ground where both have one.
+
+    ``labels`` (seq, k, ja, g) tell the ground of a building by its name, the first of equals.
+    """
+    grounds = labels.filter("k = 't'").groupBy(F.col("ja").alias("tn")).agg(F.min_by("g", "seq").alias("g"))
+    b = buildings.join(grounds, "tn", "left")
+    shown = (F.coalesce("name", F.lit("")) != "") & (F.coalesce("tn", F.lit("")) != "")
+    return b.withColumns({"title": display_title(F.col("name"), F.col("tn"), F.col("usage")), "place_kind": F.when(shown, place_kind(F.col("g"))), "place": F.when(shown, F.col("tn"))})
+
+
 def view_link(lat: Column, lon: Column, h: Column, heading: Column, pitch: Column, look: Column | None = None, spin: Column | None = None) -> Column:
     """Link of a view; ``look`` for one at eye level, ``spin`` seconds for one that turns."""
     v = F.concat_ws(",", F.format_string("%.6f", lat), F.format_string("%.6f", lon), F.format_string("%.1f", h), F.format_string("%.1f", heading), F.format_string("%.1f", pitch))

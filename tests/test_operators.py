@@ -208,6 +208,7 @@ def test_translation_words():
     assert labels.translate_terms("大阪市立図書館") == "Osaka City Library"
     assert labels.translate_terms("グランドビル") == "Grand Building"
     assert labels.translate_terms("寺田") == "寺田"
+    assert labels.translate_terms("なんば・てんま・サンプル・コンマ・しんいち・カンナ・ほんぱ・ん") == "Namba Tenma Sampuru Komma Shinichi Kanna Hompa N"
     assert labels.translate_terms("") == ""
 
 
@@ -392,3 +393,50 @@ def test_a_document_is_written_in_order(spark, tmp_path):
     assert len(parts) > 3 and all(text[p.offset :].startswith(f"t{sum(q.records for q in parts if q.part < p.part)}") for p in parts) and sum(p.records for p in parts) == 100
     writers.write_document(d.limit(0), [F.col("k")], F.col("t"), f"file://{tmp_path}/out", "none", "[", ",", "]")
     assert (tmp_path / "out" / "none").read_text() == "[]"
+
+
+def test_declutter_equals_a_plain_walk(spark):
+    """One view has most of the boxes, more than a round looks at."""
+    rng = np.random.default_rng(11)
+    rows = [(1 if i % 4 else int(rng.integers(2, 5)), i, float(rng.integers(0, 50)), *map(float, (x := rng.integers(0, 400), y := rng.integers(0, 300), x + rng.integers(5, 60), y + rng.integers(5, 30))), bool(rng.random() < 0.8)) for i in range(600)]
+    frame = spark.createDataFrame([*rows, (1, 900, None, 0.0, 0.0, 1.0, 1.0, True)], "view_id long, id long, ord double, x0 double, y0 double, x1 double, y1 double, clear boolean").repartition(5)
+    for most, prefix in ((20, 15), (70, 512), (3, 40)):
+        want = set()
+        for v in {r[0] for r in rows}:
+            held = []
+            for _, i, _, *b, clear in sorted((r for r in rows if r[0] == v), key=lambda r: (r[2], r[1])):
+                if len(held) < most and clear and not any(b[0] < h[2] and b[2] > h[0] and b[1] < h[3] and b[3] > h[1] for h in held):
+                    held.append(b)
+                    want.add(i)
+        assert {r.id for r in views.declutter(frame, most, prefix).collect()} == want
+    assert views.declutter(frame.limit(0)).count() == 0
+
+
+def test_line_of_sight_equals_all_samples(spark):
+    """Hills and plains, lines within the grid and beyond it; lines whose stretches are cleared take few samples."""
+    rng = np.random.default_rng(12)
+    n = 96
+    y, x = np.mgrid[0:n, 0:n]
+    z = 40 + 300 * np.exp(-((y - 30) ** 2 + (x - 50) ** 2) / 60) + 200 * np.exp(-((y - 70) ** 2 + (x - 20) ** 2) / 20) + rng.uniform(0, 5, (n, n))
+    grid = Grid(34.9, 135.3, 0.002, n, n)
+    holes = [[None if rng.random() < 0.02 else float(v) for v in row] for row in z]
+    store = stored_heights(spark, grid, holes, size=16).saved()
+    cells = spark.createDataFrame([(r, c, v) for r, row in enumerate(holes) for c, v in enumerate(row) if v is not None], "r int, c int, z double")
+    place = lambda: (float(rng.uniform(34.68, 34.92)), float(rng.uniform(135.28, 135.52)))
+    pairs = [(str(k), *place(), float(rng.uniform(60, 260)), *place(), float(rng.uniform(50, 200))) for k in range(150)]
+    frame = spark.createDataFrame(pairs, "pair string, vlat double, vlon double, vh double, lat double, lon double, z double")
+    frame = frame.withColumn("dist", geo.plane_distance(F.col("vlat"), F.col("vlon"), F.col("lat"), F.col("lon"))).cache()
+    samples = views.sight_samples(frame)
+    high = heights.bilinear_height(samples, store).filter(F.col("height") > F.col("h") + 3 + F.col("f") * 8)
+    want = {p[0] for p in pairs} - {r.pair for r in high.select("pair").distinct().collect()}
+    pyramid = views.height_pyramid(cells)
+    assert {r.pair for r in views.in_sight(frame, store, pyramid).collect()} == want and 20 < len(want) < 130
+    doubtful = views.doubtful_stretches(frame, pyramid, grid)
+    assert doubtful.count() < samples.count() / views.STRETCH / 2
+
+
+def test_places_of_buildings(spark):
+    b = spark.createDataFrame([(1, "Hall", "A", "House"), (2, "", "A", "House"), (3, "Hall", "", ""), (4, None, None, ""), (5, "Keep", "C", ""), (6, "x", "none", "")], "pid int, name string, tn string, usage string")
+    l = spark.createDataFrame([(2, "t", "A", 2), (1, "t", "A", 1), (3, "l", "C", 1), (4, "t", "C", 4)], "seq int, k string, ja string, g int")
+    out = {r.pid: (r.title, r.place_kind, r.place) for r in views.building_rows(b, l).collect()}
+    assert out == {1: ("Hall", "Temple", "A"), 2: ("Building at A", None, None), 3: ("Hall", None, None), 4: ("—", None, None), 5: ("Keep", "Castle", "C"), 6: ("x", "Place of worship", "none")}
