@@ -88,17 +88,17 @@ LEVELS = (1, 12)
 
 
 def height_pyramid(cells: DataFrame) -> DataFrame:
-    """Rows (lv, y, x, hi): the greatest height, 0 at least, in each block of 2**lv cells a side of cells (r, c, z) and in the eight around it."""
-    level = cells.select(F.col("r").alias("y"), F.col("c").alias("x"), F.greatest(F.lit(0.0), "z").alias("hi"))
-    out = None
-    for lv in range(1, LEVELS[1] + 1):
-        level = level.groupBy(F.shiftright(F.col("y").cast("long"), 1).alias("y"), F.shiftright(F.col("x").cast("long"), 1).alias("x")).agg(F.max("hi").alias("hi"))
-        level = written(level, "pyramid-level") if lv == 1 else level
-        if lv >= LEVELS[0]:
-            near = F.explode(F.array(*[F.struct((F.col("y") + i).alias("y"), (F.col("x") + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-            wide = level.select("hi", near.alias("at")).groupBy("at.y", "at.x").agg(F.max("hi").alias("hi")).select(F.lit(lv).alias("lv"), "y", "x", "hi")
-            out = wide if out is None else out.unionByName(wide)
-    return written(out, "pyramid")
+    """Rows (lv, y, x, hi): the greatest height, 0 at least, in each block of 2**lv cells a side of cells (r, c, z) and in the eight around it.
+
+    One sum over the cells for the finest blocks, one over these for all levels.
+    """
+    half = lambda c, k: F.shiftright(F.col(c).cast("long"), k)
+    finest = cells.groupBy(half("r", LEVELS[0]).alias("y"), half("c", LEVELS[0]).alias("x")).agg(F.max(F.greatest(F.lit(0.0), "z")).alias("hi"))
+    every = F.array(*[F.struct(F.lit(LEVELS[0] + k).alias("lv"), half("y", k).alias("y"), half("x", k).alias("x")) for k in range(LEVELS[1] - LEVELS[0] + 1)])
+    blocks = finest.select("hi", F.explode(every).alias("b")).groupBy("b.lv", "b.y", "b.x").agg(F.max("hi").alias("hi"))
+    near = F.array(*[F.struct((F.col("y") + i).alias("y"), (F.col("x") + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    wide = blocks.select("lv", "hi", F.explode(near).alias("at")).groupBy("lv", "at.y", "at.x").agg(F.max("hi").alias("hi"))
+    return written(wide, "pyramid")
 
 
 def doubtful_stretches(pairs: DataFrame, pyramid: DataFrame, grid: Grid) -> DataFrame:
