@@ -85,8 +85,8 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heights(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None, overview: DataFrame | None = None) -> Heights:
-    """The store of the grid's heights, or of other cells; written, as one table serves several lookups."""
-    return height_store(dem(spark, sf_dir) if cells is None else cells, GRID, 64, overview=overview).saved()
+    """The store of the grid's heights, or of other cells."""
+    return height_store(dem(spark, sf_dir) if cells is None else cells, GRID, 64, overview=overview)
 
 
 def tin(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,7 +301,7 @@ def join17(spark, sf):
     pairs = _candidates(spark, sf).withColumn("pair", F.concat_ws(":", "view_id", "id"))
     high = I.dem(spark, sf).withColumn("z", F.col("z") * 10)
     high = written(high, "high-dem")
-    return V.in_sight(pairs, I.heights(spark, sf, high), V.height_pyramid(high)).select("view_id", "id")
+    return V.in_sight(pairs, I.heights(spark, sf, high).saved(), V.height_pyramid(high)).select("view_id", "id")
 
 
 @query("grd4_label_declutter")

@@ -40,7 +40,7 @@ FROM it JOIN gr ON gr.id = it.id WHERE it.id NOT IN (SELECT id FROM ol) AND it.i
 def job_infill(spark, sf):
     """Every thirteenth way is open and left out; no footprints are known, and every eleventh building is."""
     none = I.ways(spark, sf).filter("false").withColumnRenamed("id", "fid")
-    out = city.infill_table(_ways(spark, sf), I.grounds(spark, sf), none, I.buildings(spark, sf).filter("pid % 11 = 0"), I.heights(spark, sf))
+    out = city.infill_table(_ways(spark, sf), I.grounds(spark, sf), none, I.buildings(spark, sf).filter("pid % 11 = 0"), I.heights(spark, sf).saved())
     six = lambda c: F.round(c, 6).alias(c)
     return out.select("id", "area", "mesh", six("ground"), six("base"), six("top"), F.size("surfaces").alias("surfaces"))
 
@@ -52,4 +52,4 @@ def job_labels(spark, sf):
     members = F.lit(None).cast("array<struct<role:string,geometry:array<struct<lat:double,lon:double>>>>")
     named = elements(spark, sf).filter("id < 10000000 AND tags['name'] IS NOT NULL").withColumn("members", members)
     b = I.buildings(spark, sf)
-    return city.label_table(peaks, I.grounds(spark, sf), named, b.filter("name <> ''").select("seq", "name", "lat", "lon", "base", "top"), b.select("seq", "lat", "lon", "base", "top"), I.heights(spark, sf))
+    return city.label_table(peaks, I.grounds(spark, sf), named, b.filter("name <> ''").select("seq", "name", "lat", "lon", "base", "top"), b.select("seq", "lat", "lon", "base", "top"), I.heights(spark, sf).saved())

@@ -11,7 +11,6 @@ crosses, not its length.
 
 from __future__ import annotations
 
-import dataclasses
 import math
 from collections import defaultdict
 from dataclasses import dataclass
@@ -103,9 +102,11 @@ def too_near(places: DataFrame, taken: DataFrame, rules: tuple[Rule, ...]) -> Da
 
 def _blocks(open_: DataFrame, reach: float, block: int) -> DataFrame:
     """Open places with a row for each block that they may matter to (__lv, __y, __x), whether it is their own (__home), and __upto."""
-    tree = S.tree_of(open_, open_.limit(0).select(*[F.col("lat").alias(k) for k in "swne"]), 8 * reach, block, 2)
-    crowded = tree.full is not None and not tree.full.filter(F.col("lv") == tree.depth).isEmpty()
-    tree = dataclasses.replace(tree, capacity=1 << 62)  # no shares: a block is one
+    tree = S.tree_of(open_, open_.limit(0).select(*[F.col("lat").alias(k) for k in "swne"]), 8 * reach, block, 2, share=1 << 62)  # no shares: a block is one
+    if tree.listed is None:
+        crowded = not tree.full.filter(F.col("lv") == tree.depth).isEmpty()
+    else:
+        crowded = any(lv == tree.depth for lv, *_ in tree.listed)
     if not crowded:
         part = open_.withColumn("__upto", F.lit((1 << 63) - 1))
     else:

@@ -22,7 +22,12 @@ from cityjobs.sources.shared import written
 #: Points of a cell beyond which it is split, and levels of splitting.
 CAPACITY = 4096
 DEPTH = 6
+#: Points of a cell that cannot be split beyond which they are dealt out in shares.
+SHARE = 65_536
+#: Full cells up to which they stand in the plan itself; where there are more, they are a table.
+LISTED = 2000
 _KEY = ["__lv", "__y", "__x", "__share"]
+_MARK = 1000
 
 
 def cell_of(x: Column, size: float) -> Column:
@@ -37,14 +42,17 @@ def with_cells(df: DataFrame, s: Column, w: Column, n: Column, e: Column, size:
 
 @dataclass(frozen=True)
 class Tree:
-    """Cells of ``size`` degrees at level 0. ``above`` are the levels above (negative) at which there are areas, ``full``
-    the cells (lv, y, x, n) with more points than ``capacity``, None if there is none."""
+    """Cells of ``size`` degrees at level 0. ``above`` are the levels above (negative) at which there are areas, ``total``
+    the number of points, ``listed`` the cells (lv, y, x, n) with more points than ``capacity``, or ``full`` their table."""
 
     size: float
     capacity: int
     depth: int
-    above: tuple[int, ...]
-    full: DataFrame | None
+    share: int
+    above: tuple[int, ...] = ()
+    total: int = 0
+    listed: tuple[tuple[int, int, int, int], ...] | None = ()
+    full: DataFrame | None = None
 
     def fine(self, x: Column) -> Column:
         """Number of the finest cell; those of all other levels follow from it."""
@@ -56,72 +64,109 @@ class Tree:
             return F.shiftright(F.col(fine), self.depth - level)
         return F.floor(F.col(fine) / F.pow(F.lit(2.0), F.lit(self.depth) - level)).cast("long")
 
-    def own_level(self) -> Column:
-        """The level at which a box of finest cells (__s, __w, __n, __e) touches two cells at most along each axis."""
+    def boxed(self, areas: DataFrame) -> DataFrame:
+        """Areas with their box in finest cells, and the level at which it touches two cells at most along each axis."""
+        a = areas.withColumns({f"__{k}": self.fine(F.col(k)) for k in "swne"})
         span = F.greatest(F.col("__n") - F.col("__s"), F.col("__e") - F.col("__w"))
-        return F.when(span <= 2**self.depth, F.lit(0)).otherwise(self.depth - F.ceil(F.log2(span.cast("double")))).cast("int")
+        return a.withColumn("__lv", F.when(span <= 2**self.depth, F.lit(0)).otherwise(self.depth - F.ceil(F.log2(span.cast("double")))).cast("int"))
 
-    def boxed(self, areas: DataFrame) -> DataFrame:
-        box = {f"__{k}": self.fine(F.col(k)) for k in "swne"}
-        return areas.withColumns(box).withColumn("__lv", self.own_level())
+    def deepest(self) -> int:
+        """The level down to which cells are split, as far as that is known."""
+        return self.depth if self.listed is None else max((lv + 1 for lv, *_ in self.listed if 0 <= lv < self.depth), default=0)
 
+    def cells(self, columns: str, rows: list[tuple[int, ...]]) -> DataFrame:
+        """A small table within the plan."""
+        import pyspark.sql
 
-def tree_of(points: DataFrame, areas: DataFrame, size: float, capacity: int = CAPACITY, depth: int = DEPTH) -> Tree:
-    """The tree for points (lat, lon) and areas with boxes (s, w, n, e): one histogram of the points, combined in the tasks."""
-    plain = Tree(size, capacity, depth, (), None)
-    levels = plain.boxed(areas.select(*"swne")).select("__lv").filter("__lv < 0").distinct().collect()  # one for each doubling of the size
-    above = tuple(sorted(r["__lv"] for r in levels))
-    cells = points.select(plain.fine(F.col("lat")).alias("fy"), plain.fine(F.col("lon")).alias("fx")).filter("fy IS NOT NULL AND fx IS NOT NULL")
-    counts = cells.groupBy("fy", "fx").agg(F.count(F.lit(1)).alias("n"))
-    every = F.array(*[F.struct(F.lit(k).alias("lv"), plain.at("fy", k).alias("y"), plain.at("fx", k).alias("x")) for k in (*above, *range(depth + 1))])
-    full = counts.select("n", F.explode(every).alias("c")).groupBy("c.lv", "c.y", "c.x").agg(F.sum("n").alias("n")).filter(F.col("n") > capacity)
-    full = written(full, "full-cells")
-    return Tree(size, capacity, depth, above, None if full.isEmpty() else full)
+        spark = pyspark.sql.SparkSession.getActiveSession()
+        return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(f'{v}L' for v in r) + ')' for r in rows)} AS t({columns})")
 
+    def leaves(self) -> list[tuple[int, ...]]:
+        """(y0, x0, lv, y, x): the leaves below the full cells (y0, x0) of level 0."""
+        split = {(lv, y, x) for lv, y, x, _ in self.listed if 0 <= lv < self.depth}
+        kids = {(lv + 1, 2 * y + i, 2 * x + j) for lv, y, x in split for i in (0, 1) for j in (0, 1)}
+        return [(y >> lv, x >> lv, lv, y, x) for lv, y, x in sorted(kids - split)]
 
-def _dealt(keyed: DataFrame, tree: Tree, shares: Column) -> DataFrame:
-    """Rows with the number of shares of their cell (one unless it is full and cannot be split), or one row for each."""
-    if tree.full is None:
-        return keyed.withColumn("__share", F.lit(0))
-    last = tree.full.filter((F.col("lv") < 0) | (F.col("lv") == tree.depth))
-    of = last.select(F.col("lv").alias("__lv"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.ceil(F.col("n") / tree.capacity).cast("int").alias("__shares"))
-    both = keyed.join(of, ["__lv", "__y", "__x"], "left")
-    return both.withColumn("__share", shares).drop("__shares")
+
+def tree_of(points: DataFrame, areas: DataFrame, size: float, capacity: int = CAPACITY, depth: int = DEPTH, share: int = SHARE) -> Tree:
+    """The tree for points (lat, lon) and areas with boxes (s, w, n, e), in one job: a histogram of the points, combined in the tasks."""
+    plain = Tree(size, capacity, depth, share)
+    cells = points.select(plain.fine(F.col("lat")).alias("fy"), plain.fine(F.col("lon")).alias("fx")).filter("fy IS NOT NULL AND fx IS NOT NULL")
+    counts = cells.groupBy("fy", "fx").agg(F.count(F.lit(1)).alias("n"))
+    cell = lambda k: F.struct(F.lit(k).alias("lv"), plain.at("fy", k).alias("y"), plain.at("fx", k).alias("x"))
+    whole = F.struct(F.lit(_MARK).alias("lv"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("x"))
+    sums = counts.select("n", F.explode(F.array(whole, *[cell(k) for k in range(depth + 1)])).alias("c")).groupBy("c.lv", "c.y", "c.x").agg(F.sum("n").alias("n"))
+    full = sums.filter((F.col("n") > capacity) | (F.col("lv") == _MARK))
+    zero = F.lit(0).cast("long")
+    levels = plain.boxed(areas.select(*"swne")).filter("__lv < 0").select((F.col("__lv") + _MARK).alias("lv"), zero.alias("y"), zero.alias("x"), zero.alias("n")).distinct()  # one for each doubling of the size
+    few = list(map(tuple, levels.unionByName(full).limit(LISTED + 1).collect()))
+    above = tuple(sorted(lv - _MARK for lv, *_ in few if depth < lv < _MARK))
+    total = sum(n for lv, _, _, n in few if lv == _MARK)
+    if len(few) <= LISTED:
+        return Tree(size, capacity, depth, share, above, total, tuple(r for r in few if r[0] <= depth))
+    table = written(levels.unionByName(full), "full-cells")
+    above = tuple(sorted(r["lv"] - _MARK for r in table.filter(F.col("lv").between(depth + 1, _MARK - 1)).collect()))
+    total = sum(r["n"] for r in table.filter(F.col("lv") == _MARK).collect())
+    return Tree(size, capacity, depth, share, above, total, None, table.filter(F.col("lv") <= depth))
+
+
+def _shares(keyed: DataFrame, tree: Tree) -> DataFrame:
+    """Rows with ``__shares``, into how many their cell is dealt: one unless it is not split and holds too many points."""
+    of_above = max(1, -(-tree.total // tree.share))
+    crowded = F.col("n") > tree.share
+    if tree.listed is None:
+        last = tree.full.filter((F.col("lv") == tree.depth) & crowded)
+    else:
+        rows = [r for r in tree.listed if r[0] == tree.depth and r[3] > tree.share]
+        last = tree.cells("lv, y, x, n", rows) if rows else None
+    shares = F.lit(1)
+    if last is not None:
+        of = last.select(F.col("lv").alias("__flv"), F.col("y").alias("__fcy"), F.col("x").alias("__fcx"), F.ceil(F.col("n") / tree.share).cast("int").alias("__times"))
+        keyed = keyed.join(of, (F.col("__lv") == F.col("__flv")) & (F.col("__y") == F.col("__fcy")) & (F.col("__x") == F.col("__fcx")), "left")
+        shares = F.coalesce("__times", F.lit(1))
+    return keyed.withColumn("__shares", F.when(F.col("__lv") < 0, of_above).otherwise(shares))
 
 
 def keyed_points(points: DataFrame, tree: Tree) -> DataFrame:
     """Points (lat, lon) with the key of their leaf, and a row more for each level above that has areas; those without a place go."""
     p = points.withColumns({"__fy": tree.fine(F.col("lat")), "__fx": tree.fine(F.col("lon"))}).filter("__fy IS NOT NULL AND __fx IS NOT NULL")
     leaf = F.lit(0)
-    if tree.full is not None:
-        for k in range(tree.depth):  # a cell is only full if those above it are
-            here = tree.full.filter(F.col("lv") == k).select(F.col("y").alias("__y"), F.col("x").alias("__x"), F.lit(1).alias(f"__full{k}"))
-            p = p.withColumns({"__y": tree.at("__fy", k), "__x": tree.at("__fx", k)}).join(here, ["__y", "__x"], "left").drop("__y", "__x")
+    for k in range(tree.deepest()):  # a cell is only full if those above it are
+        if tree.listed is None:
+            here = tree.full.filter(F.col("lv") == k).select(F.col("y").alias("__sy"), F.col("x").alias("__sx"), F.lit(1).alias(f"__full{k}"))
+            p = p.join(here, (tree.at("__fy", k) == F.col("__sy")) & (tree.at("__fx", k) == F.col("__sx")), "left").drop("__sy", "__sx")
             leaf = leaf + F.coalesce(f"__full{k}", F.lit(0))
-    p = p.withColumn("__leaf", leaf)
+        else:
+            number = lambda y, x: F.shiftleft(y, 32).bitwiseXOR(x.bitwiseAND(F.lit(0xFFFFFFFF)))
+            cells = [(y << 32) ^ (x & 0xFFFFFFFF) for lv, y, x, _ in tree.listed if lv == k]
+            leaf = leaf + number(tree.at("__fy", k), tree.at("__fx", k)).isin(*cells).cast("int")
     key = lambda level: F.struct(level.cast("int").alias("lv"), tree.at("__fy", level).alias("y"), tree.at("__fx", level).alias("x"))
-    p = p.withColumn("__k", F.explode(F.array(key(F.col("__leaf")), *[key(F.lit(k)) for k in tree.above])))
-    p = p.withColumns({"__lv": F.col("__k.lv"), "__y": F.col("__k.y"), "__x": F.col("__k.x")})
+    p = p.withColumn("__leaf", leaf).select(*points.columns, F.explode(F.array(key(F.col("__leaf")), *[key(F.lit(k)) for k in tree.above])).alias("__k"))
+    p = _shares(p.select(*points.columns, F.col("__k.lv").alias("__lv"), F.col("__k.y").alias("__y"), F.col("__k.x").alias("__x")), tree)
     hashed = [c for c, t in points.dtypes if "map<" not in t and "variant" not in t]
-    return _dealt(p, tree, F.pmod(F.xxhash64(*hashed), F.coalesce("__shares", F.lit(1)).cast("long")).cast("int")).select(*points.columns, *_KEY)
+    return p.select(*points.columns, "__lv", "__y", "__x", F.pmod(F.xxhash64(*hashed), F.col("__shares").cast("long")).cast("int").alias("__share"))
 
 
 def keyed_boxes(areas: DataFrame, tree: Tree) -> DataFrame:
     """Areas with a row for each leaf that their box (s, w, n, e) touches, or for each of the four cells at most of a level above."""
     span = lambda a, b, level: F.sequence(tree.at(a, level), tree.at(b, level))
-    a = tree.boxed(areas)
-    a = a.withColumn("__y", F.explode(span("__s", "__n", F.col("__lv")))).withColumn("__x", F.explode(span("__w", "__e", F.col("__lv"))))
-    if tree.full is not None:
-        for k in range(tree.depth):
-            here = tree.full.filter(F.col("lv") == k).select(F.lit(k).alias("__lv"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.lit(1).alias("__split"))
-            a = a.join(here, ["__lv", "__y", "__x"], "left")
-            inner = lambda lo, hi, at: F.sequence(F.greatest(tree.at(lo, k + 1), 2 * F.col(at)), F.least(tree.at(hi, k + 1), 2 * F.col(at) + 1))  # noqa: B023, E731
-            own = lambda c: F.array(F.col(c))
-            a = a.withColumns({"__ys": F.when(F.col("__split") == 1, inner("__s", "__n", "__y")).otherwise(own("__y")), "__xs": F.when(F.col("__split") == 1, inner("__w", "__e", "__x")).otherwise(own("__x"))})
-            a = a.withColumn("__lv", F.col("__lv") + F.coalesce("__split", F.lit(0))).drop("__split", "__y", "__x")
-            a = a.withColumn("__y", F.explode("__ys")).withColumn("__x", F.explode("__xs")).drop("__ys", "__xs")
-    a = _dealt(a, tree, F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1)))
-    return a.select(*areas.columns, *_KEY)
+    box = ["__s", "__w", "__n", "__e"]
+    a = tree.boxed(areas).withColumn("__y", F.explode(span("__s", "__n", F.col("__lv"))))
+    a = a.withColumn("__x", F.explode(span("__w", "__e", F.col("__lv"))))
+    if tree.listed is not None and tree.deepest():
+        below = tree.cells("y0, x0, l, ly, lx", tree.leaves())
+        a = a.join(below, (F.col("__lv") == 0) & (F.col("__y") == F.col("y0")) & (F.col("__x") == F.col("x0")), "left")
+        touches = lambda c, lo, hi: F.col(c).between(tree.at(lo, F.col("l")), tree.at(hi, F.col("l")))
+        a = a.filter(F.col("l").isNull() | (touches("ly", "__s", "__n") & touches("lx", "__w", "__e")))
+        a = a.select(*areas.columns, F.coalesce("l", "__lv").cast("int").alias("__lv"), F.coalesce("ly", "__y").alias("__y"), F.coalesce("lx", "__x").alias("__x"))
+    for k in range(tree.depth if tree.listed is None else 0):
+        here = tree.full.filter(F.col("lv") == k).select(F.lit(k).alias("__lv"), F.col("y").alias("__y"), F.col("x").alias("__x"), F.lit(1).alias("__split"))
+        inner = lambda lo, hi, at: F.sequence(F.greatest(tree.at(lo, k + 1), 2 * F.col(at)), F.least(tree.at(hi, k + 1), 2 * F.col(at) + 1))  # noqa: B023, E731
+        cells = lambda lo, hi, at: F.when(F.col("__split") == 1, inner(lo, hi, at)).otherwise(F.array(at))
+        a = a.join(here, ["__lv", "__y", "__x"], "left").select(*areas.columns, *box, (F.col("__lv") + F.coalesce("__split", F.lit(0))).alias("__lv"), F.explode(cells("__s", "__n", "__y")).alias("__ny"), cells("__w", "__e", "__x").alias("__xs"))
+        a = a.select(*areas.columns, *box, "__lv", F.col("__ny").alias("__y"), F.explode("__xs").alias("__x"))
+    a = _shares(a, tree)
+    return a.select(*areas.columns, "__lv", "__y", "__x", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)).alias("__share"))
 
 
 def _in_box() -> Column:

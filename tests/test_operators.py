@@ -316,12 +316,15 @@ def crowded(seed):
     return points, [(i, *b) for i, b in enumerate(boxes)]
 
 
-def test_quadtree_join_equals_all_pairs(spark):
-    for seed, capacity, depth in ((1, 20, 4), (2, 5, 2), (3, 100000, 6)):
+def test_quadtree_join_equals_all_pairs(spark, monkeypatch):
+    """Full cells listed in the plan, as a table, and none."""
+    for seed, capacity, depth, listed in ((1, 20, 4, 2000), (2, 5, 2, 3), (3, 100000, 6, 2000)):
+        monkeypatch.setattr(spatial, "LISTED", listed)
         points, boxes = crowded(seed)
         p = spark.createDataFrame(points, "pid int, lat double, lon double").repartition(3)
         a = spark.createDataFrame(boxes, "i int, s double, w double, n double, e double").repartition(2)
-        tree = spatial.tree_of(p, a, 0.001, capacity, depth)
+        tree = spatial.tree_of(p, a, 0.001, capacity, depth, share=2 * capacity)
+        assert (tree.listed is None) == (listed == 3)
         want = sorted((i, k) for i, lat, lon in points if lat is not None for k, s, w, n, e in boxes if s is not None and s <= lat <= n and w <= lon <= e)
         got = spatial.points_in_boxes(p, a, 0.001, tree)
         assert sorted((r.pid, r.i) for r in got.collect()) == want
@@ -339,7 +342,7 @@ def test_hot_cells_are_split(spark):
     points = [(i, 34.5005, 135.5005) for i in range(2000)] + [(2000 + i, float(34.4 + rng.uniform(0, 0.2)), float(135.4 + rng.uniform(0, 0.2))) for i in range(4000)]
     p = spark.createDataFrame(points, "pid int, lat double, lon double")
     a = spark.createDataFrame([(0, 34.4, 135.4, 34.6, 135.6), (1, 34.5, 135.5, 34.501, 135.501)], "i int, s double, w double, n double, e double")
-    tree = spatial.tree_of(p, a, 0.005, 200, 4)
+    tree = spatial.tree_of(p, a, 0.005, 200, 4, share=200)
     most = spatial.keyed_points(p, tree).groupBy(*spatial._KEY).count().agg(F.max("count")).first()[0]
     assert most < 300
     assert spatial.points_in_boxes(p, a, 0.005, tree).groupBy("i").count().filter("i = 0").first()["count"] == len(points)
