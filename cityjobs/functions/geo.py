@@ -156,6 +156,15 @@ def offset_position(lat: Column, lon: Column, north_m: Column, east_m: Column) -
     return lat + north_m / 111320.0, lon + east_m / (111320.0 * F.cos(F.radians(lat)))
 
 
+def step_position(lat: Column, lon: Column, heading: Column, way: Column, step: Column) -> tuple[Column, Column, Column]:
+    """Latitude, longitude and metres upwards after one step: forward, back, left or right of the heading (w, s, a, d), up or down (e, q)."""
+    sin, cos = F.sin(F.radians(heading)), F.cos(F.radians(heading))
+    east = F.when(way == "w", sin).when(way == "s", -sin).when(way == "a", -cos).when(way == "d", cos).otherwise(0.0) * step
+    north = F.when(way == "w", cos).when(way == "s", -cos).when(way == "a", sin).when(way == "d", -sin).otherwise(0.0) * step
+    up = F.when(way == "e", step).when(way == "q", -step).otherwise(0.0)
+    return *offset_position(lat, lon, north, east), up
+
+
 def compass_point(heading: Column, names: tuple[str, ...]) -> Column:
     step = 360.0 / len(names)
     at = F.pmod(F.floor(F.pmod(heading.cast("double"), F.lit(360.0)) / step + 0.5), F.lit(len(names)))

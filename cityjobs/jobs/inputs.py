@@ -45,12 +45,12 @@ def sql_dist(*args: str) -> str:
     return SQL_DIST.format(*args)
 
 
-def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pid = seq = id, lat, lon, base, top, h, name, u, n_vertices."""
+def buildings(spark: SparkSession, sf_dir: str, north_u: int = 0) -> DataFrame:
+    """pid = seq = id, lat, lon, base, top, h, name, u, n_vertices; ``north_u`` micro-degrees moved to the north."""
     b = fixture(spark, sf_dir, "fx_buildings")
     dm = lambda c: F.col(c) / F.lit(10.0)
     return b.select(
-        F.col("id").alias("pid"), F.col("id").alias("seq"), (F.col("lat_u") / DEG).alias("lat"), (F.col("lon_u") / DEG).alias("lon"), dm("zb_dm").alias("base"),
+        F.col("id").alias("pid"), F.col("id").alias("seq"), ((F.col("lat_u") + north_u) / DEG).alias("lat"), (F.col("lon_u") / DEG).alias("lon"), dm("zb_dm").alias("base"),
         ((F.col("zb_dm") + F.col("h_dm")) / F.lit(10.0)).alias("top"), dm("h_dm").alias("h"), "name", "u", "n_vertices",
     )
 

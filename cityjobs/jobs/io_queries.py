@@ -6,11 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cityjobs.jobs import inputs as I
-from cityjobs.jobs.inputs import SQL_B, SQL_DEM, SQL_W
+from cityjobs.functions import geo
+from cityjobs.jobs.inputs import SQL_B, SQL_DEM, SQL_E, SQL_G, SQL_W
 from cityjobs.jobs.osm_queries import all_elements
 from cityjobs.jobs.registry import query
-from cityjobs.jobs.spatial_queries import SQL_CLS, classified
+from cityjobs.jobs.spatial_queries import MESH, SQL_CLS, SQL_IN, classified
 from cityjobs.operators import buildings as B
+from cityjobs.operators import labels as L
+from cityjobs.operators import spatial as S
 from cityjobs.operators import terrain as T
 from cityjobs.sources import readers as R
 from cityjobs.sources.fixtures import fixture
@@ -193,12 +196,60 @@ def src6(spark, sf):
     return R.chunk_cells(spark, path, 64)
 
 
-@query("snk5_labels_output", "SELECT id, name FROM fx_landmarks")
+@query("snk5_labels_output", """SELECT row_number() OVER (ORDER BY id % 3 + 1, coalesce(CASE WHEN id % 4 <> 0 THEN id % 300 END, 0) DESC, id) - 1 AS place, id, CASE WHEN is_station THEN 's' ELSE 'l' END AS k, name AS ja, name_en AS en,
+ round(lat_u / 1e6, 6) AS lat, round(lon_u / 1e6, 6) AS lon, (id % 90) / 10.0::DOUBLE AS z, CAST(id % 3 + 1 AS INTEGER) AS r, CASE WHEN id % 4 <> 0 THEN id % 300 END AS e, CASE WHEN id % 5 = 0 THEN CAST(id % 4 + 1 AS INTEGER) END AS g, CASE WHEN id % 5 = 0 THEN 'ja:' || name END AS w FROM fx_landmarks""")
 def snk5(spark, sf):
-    path = folder(spark, "labels")
-    l = I.named_points(spark, sf, "fx_landmarks").orderBy("id").select("id", "name")
-    l.write.json(path)
-    return spark.read.schema("id long, name string").json(path)
+    """All fields of a label in one array, in label order; read back line by line, with each one's place in the file."""
+    path, i = folder(spark, "labels"), F.col("id")
+    l = I.named_points(spark, sf, "fx_landmarks")
+    l = l.select("id", F.when(F.col("is_station"), "s").otherwise("l").alias("k"), F.col("name").alias("ja"), F.col("name_en").alias("en"), "lat", "lon", ((i % 90) / 10.0).alias("z"), (i % 3 + 1).cast("int").alias("r"), F.when(i % 4 != 0, i % 300).alias("e"), F.when(i % 5 == 0, (i % 4 + 1).cast("int")).alias("g"), F.when(i % 5 == 0, F.concat(F.lit("ja:"), "name")).alias("w"))
+    write_document(l, [F.col("r"), -F.coalesce("e", F.lit(0)), i], F.to_json(F.struct(*l.columns)), path, "labels.json", part_rows=500)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).filter("value LIKE '{%'")
+    placed = L.ordered_places(lines, [F.col("start"), F.col("row")])
+    back = placed.select((F.col("place") - 1).alias("place"), F.from_json("value", l.schema.simpleString()).alias("l")).select("place", "l.*")
+    return back.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
+
+
+@query("snk6_named_buildings", "SELECT id, name, round(lat_u / 1e6, 6) AS lat, round(lon_u / 1e6, 6) AS lon, (zb_dm + h_dm) / 10.0::DOUBLE AS top, zb_dm / 10.0::DOUBLE AS base, u FROM fx_buildings WHERE name <> ''")
+def snk6_named(spark, sf):
+    path = folder(spark, "named")
+    B.named_rows(I.buildings(spark, sf)).write.json(path)
+    return spark.read.schema("name string, lat double, lon double, top double, base double, u string, id long").json(path)
+
+
+@query("snk6_footprints", f"""WITH {SQL_W}, {SQL_E}, {SQL_G}, {SQL_IN.replace("FROM b p", "FROM w p")}, q AS (SELECT id, unnest([0, 1, 2, 3]) AS k, unnest([s, s, n, n]) AS lat, unnest([w, e, e, w]) AS lon FROM w WHERE id IN (SELECT id FROM own))
+SELECT id, CAST(k AS INTEGER) AS k, floor(lat * 1e7 + 0.5) / 1e7 AS lat, floor(lon * 1e7 + 0.5) / 1e7 AS lon FROM q""")
+def snk6_footprints(spark, sf):
+    """Rings of buildings in grounds, to seven digits, written and read back."""
+    path = folder(spark, "footprints")
+    w = S.innermost_area(I.ways(spark, sf).withColumn("pid", F.col("id")), I.grounds(spark, sf)).filter("ground IS NOT NULL")
+    B.footprint_rows(w).write.json(path)
+    back = spark.read.schema("id long, ring array<array<double>>").json(path).select("id", F.posexplode("ring").alias("k", "p"))
+    return back.select("id", "k", F.get("p", 0).alias("lat"), F.get("p", 1).alias("lon"))
+
+
+@query("snk4_terrain_meta", f"WITH {SQL_DEM} SELECT r // 4 AS r, c // 4 AS c, CAST(floor(avg(z) / 0.1::DOUBLE + 0.5) AS INTEGER) AS z_dm, 240 AS width, 210 AS height, 60 AS ov_width, 53 AS ov_height, 64 AS size, 4 AS chunk_rows, 4 AS chunk_cols FROM dem GROUP BY r // 4, c // 4")
+def snk4_meta(spark, sf):
+    """The overview with what its written description says."""
+    path = folder(spark, "terrain")
+    T.overview(I.dem(spark, sf)).write.parquet(f"{path}/overview")
+    meta = T.grid_meta(spark, I.GRID, 4, 64)
+    meta.write.json(f"{path}/meta")
+    said = spark.read.schema(meta.schema).json(f"{path}/meta")
+    said = said.select("width", "height", F.col("overview.width").alias("ov_width"), F.col("overview.height").alias("ov_height"), F.col("chunk.size").alias("size"), F.col("chunk.rows").alias("chunk_rows"), F.col("chunk.cols").alias("chunk_cols"))
+    return spark.read.parquet(f"{path}/overview").join(F.broadcast(said))  # one row
+
+
+@query("snk2_leaf_manifest", f"""WITH {SQL_W}, m AS (SELECT {MESH.format("lat", "lon")} AS mesh, lat, lon, id FROM w), t AS (SELECT mesh, min(lon) AS w, min(lat) AS s, max(lon) AS e, max(lat) AS n, min(id)::DOUBLE AS lo, max(id)::DOUBLE AS hi FROM m WHERE mesh IS NOT NULL GROUP BY mesh)
+SELECT row_number() OVER (ORDER BY mesh) - 1 AS place, mesh, 0 AS error, mesh AS content, w, s, e, n, lo, hi FROM t""")
+def snk2_leaves(spark, sf):
+    """Infill: a leaf for each mesh, in their order."""
+    m = I.ways(spark, sf).withColumns({"mesh": geo.mesh_code(F.col("lat"), F.col("lon")), "cls": F.lit("t")}).filter("mesh IS NOT NULL")
+    bounds = m.groupBy("mesh", "cls").agg(F.min("lon").alias("w"), F.min("lat").alias("s"), F.max("lon").alias("e"), F.max("lat").alias("n"), F.min("id").cast("double").alias("lo"), F.max("id").cast("double").alias("hi"))
+    back = F.from_json("manifest", "root struct<children:array<struct<mesh:string,region:array<double>,geometricError:int,content:string>>>")
+    nodes = B.manifest(bounds, leaves=True).select(back.alias("m")).select(F.posexplode("m.root.children").alias("place", "n"))
+    box = [F.get("n.region", i).alias(k) for i, k in enumerate(("w", "s", "e", "n", "lo", "hi"))]
+    return nodes.select(F.col("place").cast("long").alias("place"), "n.mesh", F.col("n.geometricError").alias("error"), "n.content", *box)
 
 
 @query("snk7_cached_refresh", "SELECT id, 'new' AS state FROM fx_landmarks")

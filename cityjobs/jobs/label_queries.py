@@ -11,7 +11,7 @@ from cityjobs.jobs.inputs import SQL_B, SQL_BILINEAR, SQL_DEM, sql_dist
 from cityjobs.jobs.registry import query
 from cityjobs.operators import labels as L
 from cityjobs.operators import views as V
-from cityjobs.operators.heights import nearest_height
+from cityjobs.operators.heights import bilinear_height, nearest_height
 from cityjobs.sources.fixtures import fixture
 from cityjobs.sources.shared import written
 
@@ -112,17 +112,17 @@ def join12(spark, sf):
     return landmarks(spark, sf).filter("id % 9 <> 0").join(g, "name", "left_anti").select("id")
 
 
-_KN = "kn AS (SELECT CASE id % 4 WHEN 0 THEN 's' WHEN 1 THEN 'l' WHEN 2 THEN 't' ELSE 'p' END AS k, CASE id % 4 WHEN 0 THEN '梅田駅' ELSE name END AS ja, lat + CASE WHEN id % 3 = 0 THEN 0.003 ELSE 0.0 END AS lat, lon FROM b WHERE id % 10 < 5)"
+_KN = "kn AS (SELECT CASE id % 4 WHEN 0 THEN 's' WHEN 1 THEN 'l' WHEN 2 THEN 't' ELSE 'p' END AS k, CASE id % 4 WHEN 0 THEN '梅田駅' ELSE name END AS ja, (lat_u + 2000) / 1e6 AS lat, lon_u / 1e6 AS lon FROM fx_buildings)"
 
 
 @query("join13_facility_conflicts", f"""WITH {SQL_B}, {_NB}, {_KN} SELECT DISTINCT nb.id FROM nb JOIN kn ON kn.k <> 'p' AND abs(kn.lat - nb.lat) < 0.01 AND abs(kn.lon - nb.lon) < 0.01
 WHERE {sql_dist("nb.lat", "nb.lon", "kn.lat", "kn.lon")} < 40 OR (nb.name = kn.ja AND ({sql_dist("nb.lat", "nb.lon", "kn.lat", "kn.lon")} < 300 OR (nb.name LIKE '%駅' AND kn.k = 's' AND {sql_dist("nb.lat", "nb.lon", "kn.lat", "kn.lon")} < 800)))""")
 def join13(spark, sf):
-    """Facilities against labels of all kinds made of half of the buildings, some moved by 300 metres."""
+    """Facilities against labels of all kinds made of all buildings, moved by 220 metres to the north."""
     i = F.col("pid")
-    b = I.buildings(spark, sf).filter(i % 10 < 5)
+    b = I.buildings(spark, sf, 2000)
     kind = F.when(i % 4 == 0, "s").when(i % 4 == 1, "l").when(i % 4 == 2, "t").otherwise("p")
-    known = b.select(kind.alias("k"), F.when(i % 4 == 0, "梅田駅").otherwise(F.col("name")).alias("ja"), (F.col("lat") + F.when(i % 3 == 0, 0.003).otherwise(0.0)).alias("lat"), "lon")
+    known = b.select(kind.alias("k"), F.when(i % 4 == 0, "梅田駅").otherwise(F.col("name")).alias("ja"), "lat", "lon")
     return L.beside_known_labels(named(spark, sf).select("id", "name", "lat", "lon"), known).select("id")
 
 
@@ -244,6 +244,21 @@ _VEC = """t AS (SELECT event_id, device, ts, cos(radians(alpha)) AS ca, sin(radi
 v AS (SELECT event_id, device, ts, -(ca * sg + sa * sb * cg) AS dx, -(sa * sg - ca * sb * cg) AS dy, -(cb * cg) AS dz, -sa * cb AS ux, ca * cb AS uy, sb AS uz FROM t)"""
 
 
+_TURNED = """t AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 360 - (event_id * 13) % 360 ELSE alpha END - event_id % 3 * 10 AS al, beta, gamma, radians(event_id % 4 * 90) AS sc FROM fx_pings WHERE event_id % 7 <> 0 OR event_id % 5 = 0),
+u AS (SELECT event_id, cos(radians(al)) AS ca, sin(radians(al)) AS sa, cos(radians(beta)) AS cb, sin(radians(beta)) AS sb, cos(radians(gamma)) AS cg, sin(radians(gamma)) AS sg, sin(sc) AS ss, cos(sc) AS cs FROM t),
+v AS (SELECT event_id, -(ca * sg + sa * sb * cg) AS dx, -(sa * sg - ca * sb * cg) AS dy, -(cb * cg) AS dz, (ca * cg - sa * sb * sg) * ss - sa * cb * cs AS ux, (sa * cg + ca * sb * sg) * ss + ca * cb * cs AS uy, -cb * sg * ss + sb * cs AS uz FROM u)"""
+
+
+@query("fn40_turned_devices", f"WITH {_TURNED} SELECT event_id, round(dx, 9) + 0 AS dx, round(dy, 9) + 0 AS dy, round(dz, 9) + 0 AS dz, round(ux, 9) + 0 AS ux, round(uy, 9) + 0 AS uy, round(uz, 9) + 0 AS uz FROM v")
+def fn40_turned(spark, sf):
+    """Compass headings, corrections and turned screens; events that are only relative go."""
+    from cityjobs.streaming import devices as D
+
+    i = F.col("event_id")
+    p = fixture(spark, sf, "fx_pings").withColumns({"compass": F.when(i % 5 == 0, (i * 13) % 360), "absolute": i % 7 != 0, "offset": i % 3 * 10, "screen": i % 4 * 90})
+    return D.vectors(p).select("event_id", *[(F.round(n, 9) + 0).alias(n) for n in ("dx", "dy", "dz", "ux", "uy", "uz")])
+
+
 @query("fn40_orientation_vectors", f"WITH {_VEC} SELECT event_id, round(dx, 9) + 0 AS dx, round(dy, 9) + 0 AS dy, round(dz, 9) + 0 AS dz, round(ux, 9) + 0 AS ux, round(uy, 9) + 0 AS uy, round(uz, 9) + 0 AS uz FROM v")
 def fn40(spark, sf):
     from cityjobs.streaming import devices as D
@@ -264,6 +279,29 @@ def fn43(spark, sf):
     return landmarks(spark, sf).select("id", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
 
 
+@query("fn43_steps", f"""WITH {SQL_DEM}, s AS (SELECT id, lat_u / 1e6 AS lat0, lon_u / 1e6 AS lon0, radians(id * 7 % 360) AS h, id % 6 AS way, CASE WHEN id % 2 = 0 THEN 50.0::DOUBLE ELSE 5.0::DOUBLE END AS step, (id % 4) * 0.75::DOUBLE AS above FROM fx_landmarks),
+m AS (SELECT *, CASE way WHEN 0 THEN cos(h) WHEN 1 THEN -cos(h) WHEN 2 THEN sin(h) WHEN 3 THEN -sin(h) ELSE 0.0::DOUBLE END * step AS dn, CASE way WHEN 0 THEN sin(h) WHEN 1 THEN -sin(h) WHEN 2 THEN -cos(h) WHEN 3 THEN cos(h) ELSE 0.0::DOUBLE END * step AS de,
+ CASE way WHEN 4 THEN step WHEN 5 THEN -step ELSE 0.0::DOUBLE END AS du FROM s),
+p AS (SELECT id, lat0 + dn / 111320.0::DOUBLE AS lat, lon0 + de / (111320.0::DOUBLE * cos(radians(lat0))) AS lon, greatest(1.0::DOUBLE, above + du) AS above FROM m), {SQL_BILINEAR}
+SELECT p.id, round(p.lat, 9) AS lat, round(p.lon, 9) AS lon, round(coalesce(bil.height, 0.0::DOUBLE) + p.above, 5) AS eye FROM p LEFT JOIN bil ON bil.id = p.id""")
+def fn43_steps(spark, sf):
+    """A step forward, back, left, right, up or down from each landmark, and the eye over the terrain there."""
+    i = F.col("id")
+    way = F.get(F.array(*[F.lit(k) for k in "wsadeq"]), (i % 6).cast("int"))
+    lat, lon, up = geo.step_position(F.col("lat"), F.col("lon"), i * 7 % 360, way, F.when(i % 2 == 0, 50.0).otherwise(5.0))
+    moved = landmarks(spark, sf).select("id", lat.alias("lat"), lon.alias("lon"), F.greatest(F.lit(1.0), (i % 4) * 0.75 + up).alias("above"))
+    out = bilinear_height(moved, I.heights(spark, sf))
+    return out.select("id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round(F.col("height") + F.col("above"), 5).alias("eye"))
+
+
+@query("fn36_place_kinds", f"""WITH {SQL_B}, t AS (SELECT id, name, '大阪城' || (id % 50) AS tn, {_USE} AS usage FROM b), g AS (SELECT name AS ja, arg_min(rel, i) AS rel FROM fx_grounds GROUP BY name)
+SELECT id, coalesce(nullif(t.name, ''), 'Building at ' || tn) AS title, CASE WHEN t.name <> '' THEN CASE g.rel WHEN 1 THEN 'Temple' WHEN 2 THEN 'Shrine' WHEN 4 THEN 'Castle' ELSE 'Place of worship' END END AS place_kind, CASE WHEN t.name <> '' THEN tn END AS place FROM t LEFT JOIN g ON ja = tn""")
+def fn36_kinds(spark, sf):
+    b = V.usage_name(I.buildings(spark, sf)).withColumn("tn", F.concat(F.lit("大阪城"), (F.col("pid") % 50).cast("string")))
+    g = fixture(spark, sf, "fx_grounds").select(F.col("i").alias("seq"), F.lit("t").alias("k"), F.col("name").alias("ja"), F.col("rel").alias("g"))
+    return V.building_rows(b, g).select(F.col("pid").alias("id"), "title", "place_kind", "place")
+
+
 def _views(spark, sf):
     return I.named_points(spark, sf, "fx_views").select("view_id", F.col("lat").alias("vlat"), F.col("lon").alias("vlon"), (F.col("h_dm") / F.lit(10.0)).alias("vh"), "heading", "pitch")
 

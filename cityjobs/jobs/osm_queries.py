@@ -43,7 +43,7 @@ def elements(spark, sf):
     w = w.select(F.lit("way").alias("type"), "id", (i * 3 + 2).alias("seq"), "lat", "lon", _tags(
         building=F.when(~F.col("is_part"), F.col("btype")), building__part=F.when(F.col("is_part"), "yes"), height=F.col("height_tag"), building__levels=F.col("levels_tag"),
         name=F.when(i % 4 == 0, F.concat(F.lit("建物"), i)), roof__shape=F.when(i % 8 == 0, "gabled").when(i % 8 == 1, "pyramidal").when(i % 8 == 2, "flat"), roof__levels=F.when(i % 9 == 0, "1"),
-        min_height=F.when(i % 7 == 0, "2,5"), man_made=F.when(i % 6 == 0, "tower"), tower__type=F.when(i % 12 == 0, "observation"),
+        min_height=F.when(i % 7 == 0, "2,5"), man_made=F.when((i % 6 == 0) | (i % 20 == 13), "tower"), tower__type=F.when((i % 12 == 0) | (i % 20 == 13), "observation"),
     ).alias("tags"), ring.alias("geometry"))
     return lm.unionByName(pk).unionByName(w)
 
@@ -104,7 +104,7 @@ ht AS (SELECT *, CASE WHEN shape = 'flat' THEN 0.0 ELSE least(CASE WHEN id % 9 =
 _WIN = f"""b AS (SELECT id, lat, lon FROM w), {SQL_E}, {SQL_G}, {SQL_IN}"""
 
 
-@query("flt6_observation_towers", f"WITH {SQL_W}, {_H}, {_WIN} SELECT id FROM ht WHERE id % 12 = 0 AND NOT is_part AND th >= 30 AND id NOT IN (SELECT id FROM own)")
+@query("flt6_observation_towers", f"WITH {SQL_W}, {_H}, {_WIN} SELECT id FROM ht WHERE (id % 12 = 0 OR id % 20 = 13) AND NOT is_part AND th >= 30 AND id NOT IN (SELECT id FROM own)")
 def flt6(spark, sf):
     """Towers within a ground are not among them."""
     return O.observation_towers(elements(spark, sf), I.grounds(spark, sf)).select("id")
@@ -191,23 +191,31 @@ def fn20(spark, sf):
 
 
 @query("fn21_tower_surfaces", f"""WITH {SQL_W}, {_H}, lv AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 1.0::DOUBLE), (1, 0.25, 0.45), (2, 0.75, 0.42), (3, 0.78, 0.6), (4, 0.86, 0.6), (5, 0.88, 0.3)) AS t(k, f, size)),
-side AS (SELECT id, k * 4 + q.j AS face, f * h AS z, CASE WHEN q.j IN (0, 1) THEN lat + (s - lat) * size ELSE lat + (n - lat) * size END AS la FROM ht, lv, (VALUES (0), (1), (2), (3)) AS q(j) WHERE k < 5)
-SELECT id, face, round(z, 6) AS z, round(la, 7) AS lat FROM side UNION ALL SELECT id, 20, round(0.78 * h, 6), round(lat + (n - lat) * 0.6, 7) FROM ht
-UNION ALL SELECT id, 21 + q.j, round(0.88 * h, 6), round(CASE WHEN q.j IN (0, 1) THEN lat + (s - lat) * 0.3 ELSE lat + (n - lat) * 0.3 END, 7) FROM ht, (VALUES (0), (1), (2), (3)) AS q(j)""")
+c AS (SELECT ht.id, lat, lon, h, q.j, CASE WHEN q.j IN (0, 1) THEN s ELSE n END AS la, CASE WHEN q.j IN (0, 3) THEN w ELSE e END AS lo FROM ht, (VALUES (0), (1), (2), (3)) AS q(j)),
+pt AS (SELECT id, j, k, f * h AS z, lat + (la - lat) * size AS la, lon + (lo - lon) * size AS lo FROM c, lv),
+face AS (SELECT p.id, p.k * 4 + p.j AS face, v.i AS corner, x.la, x.lo, x.z FROM pt p, (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) AS v(i, up, side) JOIN pt x ON x.id = p.id AND x.k = p.k + v.up AND x.j = (p.j + v.side) % 4 WHERE p.k < 5
+ UNION ALL SELECT id, 20, 3 - j, la, lo, z FROM pt WHERE k = 3
+ UNION ALL SELECT p.id, 21 + p.j, v.i, x.la, x.lo, x.z FROM pt p, (VALUES (0, 0), (1, 1)) AS v(i, side) JOIN pt x ON x.id = p.id AND x.k = 5 AND x.j = (p.j + v.side) % 4 WHERE p.k = 5
+ UNION ALL SELECT id, 21 + j, 2, lat, lon, h FROM c)
+SELECT id, CAST(face AS INTEGER) AS face, CAST(corner AS INTEGER) AS corner, round(la, 9) AS lat, round(lo, 9) AS lon, round(z, 6) AS z FROM face""")
 def fn21(spark, sf):
-    """The first point of every polygon: twenty sides, the deck's floor, four sides of the spire."""
+    """All corners of every polygon: twenty sides, the deck's floor, four sides of the spire."""
     s = O.tower_surfaces(F.slice("geometry", 1, 4), F.lit(0.0), F.col("h"))
     w = _ways(spark, sf).select("id", F.posexplode(s).alias("face", "p"))
-    first = F.get("p", 0)
-    return w.select("id", "face", F.round(first["z"], 6).alias("z"), F.round(first["lat"], 7).alias("lat"))
+    w = w.select("id", "face", F.posexplode("p").alias("corner", "q"))
+    return w.select("id", "face", "corner", F.round("q.lat", 9).alias("lat"), F.round("q.lon", 9).alias("lon"), F.round("q.z", 6).alias("z"))
 
 
-@query("fn22_prism_walls", f"WITH {SQL_W} SELECT id, k, round(la, 7) AS lat, round(lo, 7) AS lon FROM (SELECT id, 0 AS k, s AS la, w AS lo FROM w UNION ALL SELECT id, 1, s, e FROM w UNION ALL SELECT id, 2, n, e FROM w UNION ALL SELECT id, 3, n, w FROM w)")
+@query("fn22_prism_walls", f"""WITH {SQL_W}, c AS (SELECT id, q.k, CASE WHEN q.k IN (0, 1) THEN s ELSE n END AS la, CASE WHEN q.k IN (0, 3) THEN w ELSE e END AS lo FROM w, (VALUES (0), (1), (2), (3)) AS q(k)),
+t AS (SELECT a.id, a.k, p.t, p.j, CASE WHEN p.far THEN b.la ELSE a.la END AS la, CASE WHEN p.far THEN b.lo ELSE a.lo END AS lo, p.z FROM c a JOIN c b ON b.id = a.id AND b.k = (a.k + 1) % 4,
+ (VALUES (0, 0, false, 0.0::DOUBLE), (0, 1, true, 0.0), (0, 2, true, 3.0), (1, 0, false, 0.0), (1, 1, true, 3.0), (1, 2, false, 3.0)) AS p(t, j, far, z))
+SELECT id, CAST(2 * k + t AS INTEGER) AS k, CAST(j AS INTEGER) AS j, round(la, 7) AS lat, round(lo, 7) AS lon, z FROM t""")
 def fn22(spark, sf):
-    """Two triangles for every edge of a millimetre or more, counter-clockwise from above: where each pair begins."""
+    """All corners of two triangles for every edge of a millimetre or more, counter-clockwise from above."""
     walls = O.prism_walls(F.concat("ring", F.slice("ring", 4, 1)), F.lit(0.0), F.lit(3.0))  # the last point twice: an edge without length
     w = I.ways(spark, sf).select("id", F.posexplode(walls).alias("k", "t"))
-    return w.filter(F.col("k") % 2 == 0).select("id", (F.col("k") / 2).cast("int").alias("k"), F.round(F.get("t", 0)["lat"], 7).alias("lat"), F.round(F.get("t", 0)["lon"], 7).alias("lon"))
+    w = w.select("id", "k", F.posexplode("t").alias("j", "p"))
+    return w.select("id", "k", "j", F.round("p.lat", 7).alias("lat"), F.round("p.lon", 7).alias("lon"), F.col("p.z").alias("z"))
 
 
 @query("fn23_surface_normals", f"WITH {SQL_W} SELECT id, round((n - s) * 111000.0::DOUBLE * (e - w) * 91280.04047475605::DOUBLE * 2, 3) AS size, 2 AS dropped FROM w")
@@ -222,16 +230,16 @@ def _items(spark, sf):
     w = S.innermost_area(I.ways(spark, sf).withColumn("pid", F.col("id")), I.grounds(spark, sf)).drop("pid")
     tower = F.col("id") % 12 == 0
     items = w.filter(F.col("ground").isNotNull() | tower)
-    temples = I.ways(spark, sf).filter("btype = 'temple' AND id % 3 = 1").withColumnRenamed("id", "fid")
-    known = I.buildings(spark, sf).filter("pid % 11 = 0")
+    temples = I.ways(spark, sf).filter("btype = 'temple'").withColumnRenamed("id", "fid")
+    known = I.buildings(spark, sf, 1200)
     return O.infill(items, temples, known).withColumns({"mesh": geo.mesh_code(F.col("lat"), F.col("lon")), "name": F.concat(F.lit("塔"), "id")})
 
 
 _IT = f"""{_WIN}, it AS (SELECT w.*, ground FROM w LEFT JOIN own USING (id) WHERE ground IS NOT NULL OR id % 12 = 0),
 ol AS (SELECT DISTINCT o.id FROM it o JOIN it p ON p.is_part AND NOT o.is_part AND (o.s > p.lat) <> (o.n > p.lat) AND p.lat BETWEEN o.s AND o.n AND p.lon < o.e AND NOT p.lon < o.w),
-bb AS (SELECT id, lat_u / 1e6 AS lat, lon_u / 1e6 AS lon FROM fx_buildings WHERE id % 11 = 0),
+bb AS (SELECT id, (lat_u + 1200) / 1e6 AS lat, lon_u / 1e6 AS lon FROM fx_buildings),
 cv AS (SELECT it.id FROM it JOIN bb ON (it.s > bb.lat) <> (it.n > bb.lat) AND bb.lon < it.e AND NOT bb.lon < it.w AND bb.lat BETWEEN it.s AND it.n
- UNION SELECT it.id FROM it JOIN w f ON f.btype = 'temple' AND f.id % 3 = 1 AND (f.s > it.lat) <> (f.n > it.lat) AND it.lon < f.e AND NOT it.lon < f.w AND it.lat <= f.n),
+ UNION SELECT it.id FROM it JOIN w f ON f.btype = 'temple' AND (f.s > it.lat) <> (f.n > it.lat) AND it.lon < f.e AND NOT it.lon < f.w AND it.lat <= f.n),
 fate AS (SELECT it.id, ground, '塔' || it.id AS name, {MESH.format("it.lat", "it.lon")} AS mesh, CASE WHEN it.id IN (SELECT id FROM ol) THEN 'outlined' WHEN it.id IN (SELECT id FROM cv) THEN 'covered' ELSE 'added' END AS fate FROM it)"""
 
 

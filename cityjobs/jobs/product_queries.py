@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cityjobs.functions import geo
 from cityjobs.jobs import inputs as I
-from cityjobs.jobs.osm_queries import _GR, _H, _WIN, elements
+from cityjobs.jobs.osm_queries import _GR, _H, _WIN, all_elements, elements
 from cityjobs.jobs.registry import query
 from cityjobs.jobs.spatial_queries import MESH, SQL_CLS
 from cityjobs.jobs.terrain_queries import _FIX, _TIN
@@ -30,26 +30,36 @@ def _ways(spark, sf):
 
 
 @query("job_infill", f"""WITH {I.SQL_DEM}, {I.SQL_W.replace("w AS", "w0 AS")}, w AS (SELECT * FROM w0 WHERE id % 13 <> 0), {_H}, {_WIN}, {_GR},
-it AS (SELECT ht.*, own.ground AS area FROM ht LEFT JOIN own USING (id) WHERE own.ground IS NOT NULL OR (id % 12 = 0 AND NOT is_part AND th >= 30)),
+it AS (SELECT ht.*, own.ground AS area FROM ht LEFT JOIN own USING (id) WHERE own.ground IS NOT NULL OR ((id % 12 = 0 OR id % 20 = 13) AND NOT is_part AND th >= 30)),
 ol AS (SELECT DISTINCT o.id FROM it o JOIN it p ON p.is_part AND NOT o.is_part AND (o.s > p.lat) <> (o.n > p.lat) AND p.lat BETWEEN o.s AND o.n AND p.lon BETWEEN o.w AND o.e AND p.lon < o.e AND NOT p.lon < o.w),
-bb AS (SELECT lat_u / 1e6 AS lat, lon_u / 1e6 AS lon FROM fx_buildings WHERE id % 11 = 0),
-cv AS (SELECT it.id FROM it JOIN bb ON (it.s > bb.lat) <> (it.n > bb.lat) AND bb.lon < it.e AND NOT bb.lon < it.w AND bb.lat BETWEEN it.s AND it.n)
+bb AS (SELECT (lat_u + 1200) / 1e6 AS lat, lon_u / 1e6 AS lon FROM fx_buildings),
+cv AS (SELECT it.id FROM it JOIN bb ON (it.s > bb.lat) <> (it.n > bb.lat) AND bb.lon < it.e AND NOT bb.lon < it.w AND bb.lat BETWEEN it.s AND it.n
+ UNION SELECT it.id FROM it JOIN w0 f ON f.btype = 'temple' AND (f.s > it.lat) <> (f.n > it.lat) AND it.lon < f.e AND NOT it.lon < f.w AND it.lat BETWEEN f.s AND f.n)
 SELECT it.id, area, {MESH.format("it.lat", "it.lon")} AS mesh, round(gr.ground, 6) AS ground, round(gr.ground + min_h, 6) AS base, round(gr.ground + h, 6) AS top,
  CAST(CASE WHEN area IS NULL THEN 25 WHEN rh > 0.3 AND shape <> 'flat' THEN 8 ELSE 5 END AS INTEGER) AS surfaces
 FROM it JOIN gr ON gr.id = it.id WHERE it.id NOT IN (SELECT id FROM ol) AND it.id NOT IN (SELECT id FROM cv)""")
 def job_infill(spark, sf):
-    """Every thirteenth way is open and left out; no footprints are known, and every eleventh building is."""
-    none = I.ways(spark, sf).filter("false").withColumnRenamed("id", "fid")
-    out = city.infill_table(_ways(spark, sf), I.grounds(spark, sf), none, I.buildings(spark, sf).filter("pid % 11 = 0"), I.heights(spark, sf).saved())
+    """Every thirteenth way is open and no item; known are the temples' footprints, and the buildings moved to the north."""
+    temples = I.ways(spark, sf).filter("btype = 'temple'").withColumnRenamed("id", "fid")
+    out = city.infill_table(_ways(spark, sf), I.grounds(spark, sf), temples, I.buildings(spark, sf, 1200), I.heights(spark, sf).saved())
     six = lambda c: F.round(c, 6).alias(c)
     return out.select("id", "area", "mesh", six("ground"), six("base"), six("top"), F.size("surfaces").alias("surfaces"))
 
 
+def _grounds(spark, sf):
+    """Every eleventh ground has no rings, some have English names and articles."""
+    i = F.col("i")
+    g = I.grounds(spark, sf)
+    return g.withColumns({
+        "rings": F.when(i % 11 == 5, F.slice("rings", 1, 0)).otherwise(F.col("rings")), "en": F.when(i % 3 == 0, F.concat(F.lit("Ground・"), i)).when(i % 3 == 1, "ひらがな"),
+        "wikipedia": F.when(i % 4 == 0, F.concat(F.lit("ja:"), F.col("name"))).when(i % 4 == 1, ""),
+    })
+
+
 @query("job_labels")
 def job_labels(spark, sf):
     """Peaks, grounds, landmarks and stations, and named buildings."""
     peaks = I.named_points(spark, sf, "fx_peaks").select(F.col("id").alias("seq"), "name", "lat", "lon", F.col("ele_tag").alias("ele"), "wikidata")
-    members = F.lit(None).cast("array<struct<role:string,geometry:array<struct<lat:double,lon:double>>>>")
-    named = elements(spark, sf).filter("id < 10000000 AND tags['name'] IS NOT NULL").withColumn("members", members)
+    named = all_elements(spark, sf).filter("id < 10000000 AND tags['name'] IS NOT NULL")
     b = I.buildings(spark, sf)
-    return city.label_table(peaks, I.grounds(spark, sf), named, b.filter("name <> ''").select("seq", "name", "lat", "lon", "base", "top"), b.select("seq", "lat", "lon", "base", "top"), I.heights(spark, sf).saved())
+    return city.label_table(peaks, _grounds(spark, sf), named, b.filter("name <> ''").select("seq", "name", "lat", "lon", "base", "top"), b.select("seq", "lat", "lon", "base", "top"), I.heights(spark, sf).saved())

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cityjobs.functions import geo
+
 
 def ring_of_numbers(text: Column) -> Column:
     """Points (lat, lon, z) of a list of numbers; a last point over the first is left out."""
@@ -66,6 +68,18 @@ def packed_primitives(buildings: DataFrame, most: int) -> DataFrame:
     return slim.groupBy("mesh", "cls").applyInPandas(run, "mesh string, cls string, seq long, nv long, prim long")
 
 
+def named_rows(buildings: DataFrame) -> DataFrame:
+    """What labels are made of: name, place, top, base, usage and id of the buildings (pid, ...) with a name."""
+    near = lambda c, n: geo.round_half_up(F.col(c), n).alias(c)
+    return buildings.filter("name <> ''").select("name", near("lat", 6), near("lon", 6), near("top", 1), near("base", 1), "u", F.col("pid").alias("id"))
+
+
+def footprint_rows(buildings: DataFrame) -> DataFrame:
+    """Rings (ring) of buildings (id) as pairs of latitude and longitude to seven digits."""
+    seven = lambda v: geo.round_half_up(v, 7)
+    return buildings.select("id", F.transform("ring", lambda p: F.array(seven(p["lat"]), seven(p["lon"]))).alias("ring"))
+
+
 def statistics(buildings: DataFrame) -> DataFrame:
     """Per mesh and in all (mesh null): buildings, skipped ones, those in grounds, with surfaces and with names, tiles and ground cells.
 

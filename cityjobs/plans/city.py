@@ -55,35 +55,55 @@ def infill_table(ways: DataFrame, grounds: DataFrame, footprints: DataFrame, poi
     return added.withColumn("surfaces", F.when(F.col("area").isNotNull(), house).otherwise(O.tower_surfaces(F.col("ring"), F.col("base"), F.col("top"))))
 
 
-def _label(df: DataFrame, kind: Column | str, part: int, **fields: Column) -> DataFrame:
-    """Columns of a label; ``seq`` keeps the order of the parts and of the rows in each."""
+_FIELDS = {"k": "string", "seq": "long", "ja": "string", "lat": "double", "lon": "double", "z": "double", "r": "int", "e": "double", "g": "int", "w": "string"}
+_ENGLISH = {"known": "string", "look": "string", "how": "string", "lead": "string"}
+
+
+def _label(df: DataFrame, kind: Column | str, part: int, known: Column, how: str = "t", look: Column | None = None, lead: Column | None = None, **fields: Column) -> DataFrame:
+    """Columns of a label; ``seq`` keeps the order of the parts and of the rows in each. English: as known, else ``lead`` and the translation of ``look``."""
     columns = {"k": F.lit(kind) if isinstance(kind, str) else kind, "seq": F.lit(part << 56) + F.col("seq"), **fields}
-    types = {"k": "string", "seq": "long", "ja": "string", "lat": "double", "lon": "double", "z": "double", "r": "int", "e": "double"}
-    return df.select(*[columns.get(k, F.lit(None) if k == "e" else F.col(k)).cast(t).alias(k) for k, t in types.items()])
+    columns |= {"known": F.coalesce(known, F.lit("")), "how": F.lit(how), "look": fields["ja"] if look is None else look, "lead": F.lit("") if lead is None else lead}
+    return df.select(*[columns.get(k, F.lit(None) if k in ("e", "g", "w") else F.col(k)).cast(t).alias(k) for k, t in (_FIELDS | _ENGLISH).items()])
+
+
+def _optional(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
+def anchored_grounds(grounds: DataFrame, points: DataFrame) -> DataFrame:
+    """Grounds with ``tallest``: the highest building in their rings, or, where a ground has none, the nearest within 30 metres."""
+    drawn = F.coalesce(F.size("rings"), F.lit(0)) > 0
+    inside = S.tallest_inside(grounds.filter(drawn), points)
+    near = S.nearest_within(grounds.filter(~drawn).withColumn("qid", F.col("i")), points, 30.0).withColumnRenamed("nearest", "tallest").drop("qid", "dist")
+    return inside.unionByName(near)
 
 
 def label_table(peaks: DataFrame, grounds: DataFrame, elements: DataFrame, facilities: DataFrame, points: DataFrame, heights: H.Heights) -> DataFrame:
-    """Labels (k, ja, lat, lon, z, r, e, place): peaks, grounds, landmarks and stations, named buildings, in order, each name once in 300 metres.
+    """Labels (k, ja, en, lat, lon, z, r, e, g, w, place): peaks, grounds, landmarks and stations, named buildings, in order, each name once in 300 metres.
 
-    peaks (seq, name, lat, lon, ele, wikidata), grounds (i, name, rel, r, lat, lon, rings, box),
-    elements of landmarks (type, id, seq, lat, lon, tags, geometry, members), facilities
-    (seq, name, lat, lon, base, top) and all buildings as ``points`` (seq, lat, lon, base, top).
+    peaks (seq, name, lat, lon, ele, wikidata[, name_en]), grounds (i, name, rel, r, lat, lon,
+    rings, box[, en, wikipedia]), elements of landmarks (type, id, seq, lat, lon, tags, geometry,
+    members), facilities (seq, name, lat, lon, base, top) and all buildings as ``points`` (seq, lat, lon, base, top).
     """
     p = H.highest_around(peaks, heights).filter(L.keep_peak(F.col("hz"), F.col("ele")))
     f = L.peak_fields(F.col("name"), O.lenient_number(F.col("ele")), F.col("hz"), F.col("wikidata"))
-    out = _label(p, "p", 0, ja=F.col("name"), **{k: f[k] for k in ("z", "r", "e")})
+    mount = F.when(f["base"] == F.col("name"), "").otherwise("Mt. ")
+    out = _label(p, "p", 0, L.clean_english(_optional(p, "name_en")), "r", f["base"], mount, ja=F.col("name"), **{k: f[k] for k in ("z", "r", "e")})
 
     halls = points.select(F.col("seq").alias("tallest"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), "base", "top")
-    g = S.tallest_inside(grounds, points).join(halls, "tallest", "left").withColumns({"lat": F.coalesce("blat", "lat"), "lon": F.coalesce("blon", "lon")})
-    g = H.nearest_height(g, heights)
+    g = anchored_grounds(grounds, points).join(halls, "tallest", "left").withColumns({"lat": F.coalesce("blat", "lat"), "lon": F.coalesce("blon", "lon")})
+    g = H.nearest_height(g, heights).withColumn("seq", F.col("i"))
     f = L.anchored_fields(F.col("top"), F.col("base"), F.col("ground"))
-    out = out.unionByName(_label(g.withColumn("seq", F.col("i")), "t", 1, ja=F.col("name"), r=F.when(F.col("rel") == 4, 1).otherwise(F.col("r")), **f))
+    wiki = F.nullif(_optional(g, "wikipedia"), F.lit(""))
+    out = out.unionByName(_label(g, "t", 1, L.mapped_english(_optional(g, "en")), ja=F.col("name"), r=F.when(F.col("rel") == 4, 1).otherwise(F.col("r")), g=F.col("rel"), w=wiki, **f))
 
     a = written(H.nearest_height(O.anchored_landmarks(elements, points), heights).withColumn("name", O.tag("name")), "landmarks")
     f = L.anchored_fields(F.col("top"), F.col("base"), F.col("ground"))
+    en = L.mapped_english(O.tag("name:en"))
     station = F.coalesce(O.tag("railway") == "station", F.lit(False))
-    s = a.filter(station).withColumn("z", f["z"]).select("name", "seq", "lat", "lon", "z")
-    out = out.unionByName(_label(L.last_accepted(s), "s", 2, ja=L.station_names(F.col("name"), F.lit(""))["ja"], r=F.lit(2)))
+    s = L.last_accepted(a.filter(station).withColumns({"z": f["z"], "own_en": en}).select("name", "seq", "lat", "lon", "z", "own_en"))
+    names = L.station_names(F.col("name"), F.col("own_en"))
+    out = out.unionByName(_label(s, "s", 2, F.when(F.col("own_en") != "", names["en"]), "r", ja=names["ja"], r=F.lit(2)))
     sights = a.filter(~station & ~L.uninformative(F.col("name")) & ~F.coalesce(O.tag("amenity") == "place_of_worship", F.lit(False)))
     sights = sights.join(grounds.select("name").distinct(), "name", "left_anti").withColumns(O.notable_fields())
     sights = sights.filter(L.keep_landmark(F.col("notable"), F.col("h"), F.col("sight"), O.tag("name:en"))).withColumn("pid", F.concat_ws("/", "type", "id"))
@@ -91,12 +111,17 @@ def label_table(peaks: DataFrame, grounds: DataFrame, elements: DataFrame, facil
     inside = inside.join(grounds.select(F.col("i").alias("area"), F.col("name").alias("area_name")), "area", "left")
     known = H.nearest_height(inside, heights)
     rank = L.landmark_rank(F.col("h"), F.col("major"), F.col("notable"), F.col("area").isNotNull(), F.col("name") != F.col("area_name"))
-    out = out.unionByName(_label(known, "l", 2, ja=F.col("name"), r=rank, **f))
+    out = out.unionByName(_label(known, "l", 2, en, ja=F.col("name"), r=rank, **f))
 
     out = written(out, "known-labels")
     taken = L.beside_known_labels(facilities.withColumnRenamed("seq", "id"), out).select(F.col("id").alias("seq"))
-    free = L.suppressed_facilities(facilities.join(taken, "seq", "left_anti").withColumn("id", F.col("seq"))).drop("id")
+    free = L.suppressed_facilities(facilities.join(taken, "seq", "left_anti").withColumn("id", F.col("seq")))
+    # English of the map's element of the same name within 500 metres, where the element itself stands
+    lat, lon = O.element_position()
+    entries = elements.select(O.tag("name").alias("name"), "seq", lat.alias("nlat"), lon.alias("nlon"), en.alias("en")).filter("en <> '' AND nlat IS NOT NULL AND nlon IS NOT NULL")
+    free = free.join(L.english_by_name(free.select("id", "name", "lat", "lon"), entries).select("id", F.col("en").alias("own_en")), "id", "left").drop("id")
     f = L.facility_fields(F.col("name"), F.col("top"), F.col("base"))
-    out = out.unionByName(_label(free, f.pop("k"), 3, ja=F.col("name"), **f))
+    own = F.when(F.col("name").endswith("駅"), L.station_names(F.col("name"), F.col("own_en"))["en"]).otherwise(F.col("own_en"))
+    out = out.unionByName(_label(free, f.pop("k"), 3, own, ja=F.col("name"), **f))
     placed = L.ordered_places(out, [F.col("r"), F.coalesce("e", F.lit(0.0)).desc(), F.col("seq")])
-    return L.greedy_same_name(placed.withColumn("ord", F.col("place"))).drop("ord", "seq")
+    return L.with_english(L.greedy_same_name(placed.withColumn("ord", F.col("place"))).drop("ord", "seq"))

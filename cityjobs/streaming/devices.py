@@ -22,9 +22,18 @@ _V = ["dx", "dy", "dz", "ux", "uy", "uz"]
 
 
 def vectors(events: DataFrame) -> DataFrame:
-    """Direction and up vectors of orientation events (event_id, device, ts, alpha, beta, gamma); incomplete ones go."""
+    """Direction and up vectors of orientation events (event_id, device, ts, alpha, beta, gamma); incomplete ones go.
+
+    Where events have them: ``compass``, a compass heading, takes the place of alpha; events
+    that are not ``absolute`` and have no heading go; ``offset`` degrees are taken off as the
+    user's correction, and ``screen`` is how far the screen is turned.
+    """
+    given = lambda name, kind: F.col(name) if name in events.columns else F.lit(None).cast(kind)
+    compass, offset, screen = (given(n, "double") for n in ("compass", "offset", "screen"))
     full = events.filter("alpha IS NOT NULL AND beta IS NOT NULL AND gamma IS NOT NULL AND device IS NOT NULL")
-    look, up = geo.device_vectors(F.col("alpha"), F.col("beta"), F.col("gamma"), F.lit(0.0))
+    full = full.filter(compass.isNotNull() | F.coalesce(given("absolute", "boolean"), F.lit(True)))
+    alpha = F.coalesce(360 - compass, F.col("alpha").cast("double")) - F.coalesce(offset, F.lit(0.0))
+    look, up = geo.device_vectors(alpha, F.col("beta"), F.col("gamma"), F.coalesce(screen, F.lit(0.0)))
     names = [*((look, i, n) for i, n in enumerate(_V[:3])), *((up, i, n) for i, n in enumerate(_V[3:]))]
     return full.select("event_id", "device", "ts", *[F.get(v, i).alias(n) for v, i, n in names])
 
