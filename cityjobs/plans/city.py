@@ -82,7 +82,7 @@ def label_table(peaks: DataFrame, grounds: DataFrame, elements: DataFrame, facil
     """Labels (k, ja, en, lat, lon, z, r, e, g, w, place): peaks, grounds, landmarks and stations, named buildings, in order, each name once in 300 metres.
 
     peaks (seq, name, lat, lon, ele, wikidata[, name_en]), grounds (i, name, rel, r, lat, lon,
-    rings, box[, en, wikipedia]), elements of landmarks (type, id, seq, lat, lon, tags, geometry,
+    rings, area, box[, en, wikipedia]), elements of landmarks (type, id, seq, lat, lon, tags, geometry,
     members), facilities (seq, name, lat, lon, base, top) and all buildings as ``points`` (seq, lat, lon, base, top).
     """
     p = H.highest_around(peaks, heights).filter(L.keep_peak(F.col("hz"), F.col("ele")))

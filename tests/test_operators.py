@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cityjobs.functions import geo
 from cityjobs.operators import buildings, greedy, heights, labels, osm, spatial, terrain, views
 from cityjobs.operators.terrain import Grid
+from cityjobs.plans import city
 from cityjobs.sources import readers, writers
 from cityjobs.streaming import devices
 
@@ -443,3 +444,50 @@ def test_places_of_buildings(spark):
     l = spark.createDataFrame([(2, "t", "A", 2), (1, "t", "A", 1), (3, "l", "C", 1), (4, "t", "C", 4)], "seq int, k string, ja string, g int")
     out = {r.pid: (r.title, r.place_kind, r.place) for r in views.building_rows(b, l).collect()}
     assert out == {1: ("Hall", "Temple", "A"), 2: ("Building at A", None, None), 3: ("Hall", None, None), 4: ("—", None, None), 5: ("Keep", "Castle", "C"), 6: ("x", "Place of worship", "none")}
+
+
+def test_label_product(spark):
+    """Every kind of label: names in English as known, by the element of the same name, by words, and grounds without rings."""
+    grid = Grid(34.8, 135.4, 0.01, 20, 20)
+    z = [[20.0 if r < 10 else 0.0 for _ in range(20)] for r in range(20)]
+    z[5][5] = 650.0
+    store = stored_heights(spark, grid, z, size=8).saved()
+    peaks = spark.createDataFrame([(1, "愛宕山", 34.745, 135.455, None, False, None), (2, "甲峰", 34.745, 135.555, "300", True, "Mount Kabuto"), (3, "海", 34.62, 135.55, None, False, None)], "seq long, name string, lat double, lon double, ele string, wikidata boolean, name_en string")
+    ring = lambda a, b, d: [{"lat": a - d, "lon": b - d}, {"lat": a - d, "lon": b + d}, {"lat": a + d, "lon": b + d}, {"lat": a + d, "lon": b - d}]
+    box = lambda a, b, d: (a - d, b - d, a + d, b + d)
+    grounds = spark.createDataFrame(
+        [
+            (1, "大阪城", 4, 2, 34.70, 135.50, [ring(34.70, 135.50, 0.002)], *box(34.70, 135.50, 0.002), "Osaka Castle", "ja:大阪城"),
+            (2, "寺", 1, 3, 34.71, 135.51, [], *box(34.71, 135.51, 0.002), "てら", ""),
+            (3, "図書館神社", 2, 3, 34.66, 135.45, [], *box(34.66, 135.45, 0.001), None, None),
+        ],
+        "i long, name string, rel int, r int, lat double, lon double, rings array<array<struct<lat:double,lon:double>>>, s double, w double, n double, e double, en string, wikipedia string",
+    ).withColumn("area", geo.rings_area(F.col("rings")))
+    points = spark.createDataFrame([(1, 34.7005, 135.5005, 5.0, 45.0), (2, 34.7008, 135.5008, 5.0, 60.0), (3, 34.7101, 135.5101, 3.0, 13.0), (4, 34.75, 135.52, 0.0, 100.0), (5, 34.7501, 135.5203, 0.0, 30.0), (6, 34.72, 135.53, 2.0, 12.0)], "seq long, lat double, lon double, base double, top double")
+    geometry, members = "array<struct<lat:double,lon:double>>", "array<struct<role:string,geometry:array<struct<lat:double,lon:double>>>>"
+    elements = spark.createDataFrame(
+        [
+            ("node", 1, 1, 34.75, 135.52, {"name": "梅田", "railway": "station", "name:en": "Umeda"}, None, None),
+            ("node", 2, 2, 34.752, 135.52, {"name": "梅田", "railway": "station"}, None, None),
+            ("node", 3, 3, 34.68, 135.48, {"name": "市立博物館", "tourism": "museum", "wikidata": "Q1"}, None, None),
+            ("node", 4, 4, 34.7199, 135.5301, {"name": "中央ビル", "name:en": "Central・House", "leisure": "park"}, None, None),
+            ("node", 5, 5, 34.69, 135.49, {"name": "大阪城", "wikidata": "Q2"}, None, None),
+            ("relation", 6, 6, None, None, {"name": "記念公園", "wikipedia": "ja:x"}, None, [{"role": "outer", "geometry": ring(34.73, 135.45, 0.001)}, {"role": "inner", "geometry": ring(1.0, 1.0, 0.001)}]),
+        ],
+        f"type string, id long, seq long, lat double, lon double, tags map<string,string>, geometry {geometry}, members {members}",
+    )
+    facilities = spark.createDataFrame([(10, "中央ビル", 34.72, 135.53, 2.0, 12.0), (11, "中央ビル", 34.7201, 135.5302, 2.0, 80.0), (12, "梅田駅", 34.7502, 135.5206, 0.0, 30.0), (13, "南館", 34.65, 135.42, 1.0, 4.0)], "seq long, name string, lat double, lon double, base double, top double")
+    out = city.label_table(peaks, grounds, elements, facilities, points, store).orderBy("place").collect()
+    got = [(r.k, r.ja, r.en, round(r.lat, 4), round(r.lon, 4), r.z, r.r, r.e, r.g, r.w) for r in out]
+    assert got == [
+        ("p", "愛宕山", "Mt. Atago", 34.745, 135.455, 652.0, 1, 650.0, None, None),
+        ("p", "甲峰", "Mt. Kabuto", 34.745, 135.555, 22.0, 1, 300.0, None, None),
+        ("t", "大阪城", "Osaka Castle", 34.7008, 135.5008, 63.0, 1, 55.0, 4, "ja:大阪城"),
+        ("s", "梅田駅", "Umeda Station", 34.75, 135.52, 103.0, 2, None, None, None),
+        ("l", "市立博物館", "Municipal Museum", 34.68, 135.48, 8.0, 2, None, None, None),
+        ("l", "記念公園", labels.translate_terms("記念公園"), 34.73, 135.45, 28.0, 2, None, None, None),
+        ("t", "寺", "Temple", 34.7101, 135.5101, 16.0, 3, 10.0, 1, None),
+        ("f", "中央ビル", "Central House", 34.72, 135.53, 15.0, 3, 10.0, None, None),
+        ("f", "南館", "South Wing", 34.65, 135.42, 7.0, 3, 3.0, None, None),
+        ("t", "図書館神社", "Library Shrine", 34.66, 135.45, 8.0, 3, None, 2, None),
+    ]
