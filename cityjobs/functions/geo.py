@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ WGS_A = 6378137.0
 WGS_E2 = (1 / 298.257223563) * (2 - 1 / 298.257223563)
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often it stands there, within functions of elements too."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def round_half_up(x: Column, digits: int = 0) -> Column:
     """Halves go up, also for negative numbers."""
     k = float(10**digits)
@@ -107,8 +113,7 @@ def rings_area(rings: Column) -> Column:
 
 def largest_ring(rings: Column) -> Column:
     """The ring of the greatest area, the first of equals."""
-    most = F.array_max(F.transform(rings, ring_area))
-    return F.get(F.filter(rings, lambda r: ring_area(r) == most), 0)
+    return named(F.array_max(F.transform(rings, ring_area)), lambda most: F.get(F.filter(rings, lambda r: ring_area(r) == most), 0))
 
 
 def ring_mean(ring: Column, field: str) -> Column:

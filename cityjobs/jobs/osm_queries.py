@@ -13,6 +13,7 @@ from cityjobs.operators import heights as H
 from cityjobs.operators import labels as L
 from cityjobs.operators import osm as O
 from cityjobs.operators import spatial as S
+from cityjobs.sources.shared import written
 
 BOX = (34.6, 135.4, 34.75, 135.58)
 
@@ -229,7 +230,7 @@ def _items(spark, sf):
     """Ways of buildings in grounds, and observation towers outside, with their fate, ground and mesh."""
     w = S.innermost_area(I.ways(spark, sf).withColumn("pid", F.col("id")), I.grounds(spark, sf)).drop("pid")
     tower = F.col("id") % 12 == 0
-    items = w.filter(F.col("ground").isNotNull() | tower)
+    items = written(w.filter(F.col("ground").isNotNull() | tower), "items")
     temples = I.ways(spark, sf).filter("btype = 'temple'").withColumnRenamed("id", "fid")
     known = I.buildings(spark, sf, 1200)
     return O.infill(items, temples, known).withColumns({"mesh": geo.mesh_code(F.col("lat"), F.col("lon")), "name": F.concat(F.lit("塔"), "id")})

@@ -11,33 +11,44 @@ from cityjobs.functions import geo
 
 def ring_of_numbers(text: Column) -> Column:
     """Points (lat, lon, z) of a list of numbers; a last point over the first is left out."""
-    v = F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+"), lambda x: x.try_cast("double"))
-    n = F.floor(F.size(v) / 3).cast("int")
-    pts = F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(v, 3 * i).alias("lat"), F.get(v, 3 * i + 1).alias("lon"), F.get(v, 3 * i + 2).alias("z"))))
-    first, last = F.get(pts, 0), F.get(pts, n - 1)
-    closed = (n > 1) & (first["lat"] == last["lat"]) & (first["lon"] == last["lon"])
-    return F.when(closed, F.slice(pts, F.lit(1), n - 1)).otherwise(pts)
+    numbers = F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+"), lambda x: x.try_cast("double"))
+
+    def points(v: Column) -> Column:
+        n = F.floor(F.size(v) / 3).cast("int")
+        return F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(v, 3 * i).alias("lat"), F.get(v, 3 * i + 1).alias("lon"), F.get(v, 3 * i + 2).alias("z"))))
+
+    def opened(pts: Column) -> Column:
+        n = F.size(pts)
+        first, last = F.get(pts, 0), F.get(pts, n - 1)
+        closed = (n > 1) & (first["lat"] == last["lat"]) & (first["lon"] == last["lon"])
+        return F.when(closed, F.slice(pts, F.lit(1), n - 1)).otherwise(pts)
+
+    return geo.named(geo.named(numbers, points), opened)
 
 
 def solid_of_polygons(polygons: Column) -> Column:
     """The prism (ext, holes, zb, zt) of a solid's polygons: its bottom is the first polygon flat at the least height,
     else the first flat at the greatest; null without one or when it is lower than 0.1."""
-    real = F.filter(polygons, lambda p: F.size(p["ext"]) >= 3)
-    z = F.flatten(F.transform(real, lambda p: F.transform(p["ext"], lambda q: q["z"])))
-    zb, zt = F.array_min(z), F.array_max(z)
 
-    def flat_at(h: Column) -> Column:
-        return F.get(F.filter(real, lambda p: F.forall(p["ext"], lambda q: F.abs(q["z"] - h) < 1e-3)), 0)
+    def solid(real: Column) -> Column:
+        z = F.flatten(F.transform(real, lambda p: F.transform(p["ext"], lambda q: q["z"])))
+        flat_at = lambda h: F.get(F.filter(real, lambda p: F.forall(p["ext"], lambda q: F.abs(q["z"] - h) < 1e-3)), 0)
+
+        def between(b: Column) -> Column:
+            high = b["zt"] - b["zb"] >= 0.1
+            prism = lambda p: F.when(p.isNotNull() & high, F.struct(p["ext"].alias("ext"), p["holes"].alias("holes"), b["zb"].alias("zb"), b["zt"].alias("zt")))
+            return geo.named(F.coalesce(flat_at(b["zb"]), flat_at(b["zt"])), prism)
+
+        return geo.named(geo.named(z, lambda v: F.struct(F.array_min(v).alias("zb"), F.array_max(v).alias("zt"))), between)
 
-    bottom = F.coalesce(flat_at(zb), flat_at(zt))
-    return F.when(bottom.isNotNull() & (zt - zb >= 0.1), F.struct(bottom["ext"].alias("ext"), bottom["holes"].alias("holes"), zb.alias("zb"), zt.alias("zt")))
+    return geo.named(F.filter(polygons, lambda p: F.size(p["ext"]) >= 3), solid)
 
 
 def representative_point(solids: Column) -> tuple[Column, Column]:
     """Vertex mean of the exterior with the most vertices, the first of equals."""
     most = F.array_max(F.transform(solids, lambda s: F.size(s["ext"])))
-    ring = F.get(F.filter(solids, lambda s: F.size(s["ext"]) == most), 0)["ext"]
-    mean = lambda f: F.aggregate(F.transform(ring, lambda p: p[f]), F.lit(0.0), lambda a, x: a + x) / F.size(ring)
+    ring = geo.named(most, lambda m: F.get(F.filter(solids, lambda s: F.size(s["ext"]) == m), 0)["ext"])
+    mean = lambda f: geo.named(ring, lambda r: geo.ring_mean(r, f))
     return mean("lat"), mean("lon")
 
 

@@ -76,8 +76,9 @@ def lod2_surfaces(xml: Column) -> Column:
 def chosen_surfaces(xml: Column, in_ground: Column, lod2_all: bool = False) -> Column:
     """The surfaces of buildings in grounds, or of all with ``lod2_all``, that are modelled with them; an empty list means the solids."""
     modelled = (in_ground | F.lit(lod2_all)) & F.contains(xml, F.lit("<bldg:lod2Solid"))
-    surfaces = lod2_surfaces(xml)
-    return F.when(modelled, surfaces).otherwise(F.slice(surfaces, 1, 0))
+    point = "struct<lat:double,lon:double,z:double>"
+    none = F.array().cast(f"array<struct<ext:array<{point}>,holes:array<array<{point}>>>>")
+    return F.coalesce(lod2_surfaces(F.when(modelled, xml)), none)  # only what is modelled is searched
 
 
 def tin_triangles(spark: SparkSession, path: str) -> DataFrame:
