@@ -1,6 +1,7 @@
 """Operators against plain Python on small inputs."""
 
 import json
+import math
 from collections import Counter
 
 import numpy as np
@@ -491,3 +492,16 @@ def test_label_product(spark):
         ("f", "南館", "South Wing", 34.65, 135.42, 7.0, 3, 3.0, None, None),
         ("t", "図書館神社", "Library Shrine", 34.66, 135.45, 8.0, 3, None, 2, None),
     ]
+
+
+def test_solids_of_large_rings(spark):
+    """A ring of many points is worked out once, not once for each of its points; no bottom, no height and no text give no solid."""
+    def polygon(z, n):
+        points = [f"{34.6 + 0.001 * math.cos(6.28 * k / n):.7f} {135.5 + 0.001 * math.sin(6.28 * k / n):.7f} {z + (k % 2 if z == 9 else 0)}" for k in range(n)]
+        return f"<gml:Polygon><gml:exterior><gml:LinearRing><gml:posList>{' '.join(points + points[:1])}</gml:posList></gml:LinearRing></gml:exterior></gml:Polygon>"
+
+    solid = lambda *polygons: f"<bldg:lod1Solid>{''.join(polygons)}</bldg:lod1Solid>"
+    texts = [(1, solid(polygon(5, 2000), polygon(1, 2000))), (2, solid(polygon(9, 4))), (3, solid(polygon(1, 4))), (4, ""), (5, None), (6, solid(polygon(9, 4), polygon(12, 4)))]
+    found = spark.createDataFrame(texts, "id int, xml string").select("id", readers.lod1_solids(F.col("xml")).alias("s"))
+    got = {r["id"]: [(len(s["ext"]), s["zb"], s["zt"]) for s in r["s"] or []] for r in found.collect()}
+    assert got == {1: [(2000, 1.0, 5.0)], 2: [], 3: [], 4: [], 5: [], 6: [(4, 9.0, 12.0)]}
