@@ -8,9 +8,10 @@ place of the match) and a suffix filter (an upper bound of the overlap from coun
 partition of the hash space), and are then verified once on the whole sets.
 
 Equal sets are one class, known by a hash of its shingles, and are joined as one. Matching
-proceeds in rounds that keep groups of copies linear: one class that holds a shingle is
-paired with all others that do, pairs found join components, and pairs within a component
-need no further look. Later rounds take 64 times the leaders each, and once few pairs are
+proceeds in rounds that keep groups of copies linear: the class that holds a shingle at the
+least place, one in the middle of its group, is paired with all others that hold it, pairs
+found join components, and pairs within a component need no further look; postings too late
+for every partner go. Later rounds take 64 times the leaders each, and once few pairs are
 left these are paired in full, so no link is lost.
 
 The rounds run twice. First every pair that passes the filters counts as a link: this
@@ -253,6 +254,11 @@ def _passes(percent: int) -> Column:
     return long & (left >= needed(F.col("na"), F.col("nb"), percent))
 
 
+def _may_pass(percent: int) -> Column:
+    """Whether a posting (n, pos) may pass these filters with any set of ``least_n`` shingles or more."""
+    return F.col("n") - F.col("pos") >= needed(F.col("n"), F.greatest("least_n", F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))), percent)
+
+
 def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of different components that share a shingle and pass the filters on it."""
     a = left.select("gram", F.col("id").alias("x"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
@@ -264,10 +270,16 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
 def _settle(postings: DataFrame, labels: DataFrame | None, percent: int, link, step: int = 0) -> DataFrame:
     """Components (node, comp), so that no two classes that share a shingle and that ``link`` would link are in different ones.
 
-    Leaders of a round are the least names in each of LEADERS**round slots of a shingle's
-    classes: names are hashes, so the shingles of a group of copies mostly agree on them, and
-    they come from an aggregation that is combined in the tasks.
+    Leaders of a round are, in each of LEADERS**round slots of a shingle's classes, those that
+    hold it at the least place. Such a set has the fewest shingles of its own before those that
+    its group shares, so it lies in the middle of the group: it links with members that do not
+    link with each other, and the positional filter passes its pairs before all others. The
+    leaders come from an aggregation that is combined in the tasks.
+
+    Postings whose place is too late for the smallest set that holds the shingle pass the
+    positional filter with no other and go before the pairing.
     """
+    central = F.shiftleft("pos", 47).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 47) - 1)))  # place, then name; classes that agree in both lead together
     while True:
         if labels is None:
             current = postings.withColumn("comp", F.col("id"))
@@ -275,21 +287,23 @@ def _settle(postings: DataFrame, labels: DataFrame | None, percent: int, link, s
             known = labels.select(F.col("node").alias("id"), "comp")
             current = postings.join(known.hint("merge"), "id", "left").select("gram", "id", "n", "pos", F.coalesce("comp", "id").alias("comp"))
             current = materialize(current, "current")
-            by = current.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"))
+            by = current.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least_n"))
+            by = by.groupBy("gram").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("least_n").alias("least_n"))
             by = materialize(by.withColumn("pairs", (F.col("m") * F.col("m") - F.col("same")) / 2).filter("pairs > 0"), "open")
             sums = by.agg(F.sum("pairs").alias("p"), F.sum("m").alias("m")).first()
             if not sums["m"]:
                 return labels
-            opened = current.join(by.select("gram").hint("merge"), "gram", "left_semi")
+            opened = current.join(by.select("gram", "least_n").hint("merge"), "gram").filter(_may_pass(percent))
             if sums["p"] <= PAIRS_PER_POSTING * sums["m"]:
                 return connected_components(link(_pairs(opened, opened, percent)), labels)
         slot = F.pmod(F.xxhash64("id"), F.lit(LEADERS**step)).alias("slot")
-        of_open = (current if labels is None else opened).groupBy("gram", slot)
+        # in the first round, where a shingle has one slot, its least set is that of the slot
+        of_open, least_n = (current.groupBy("gram", slot), F.min("n")) if labels is None else (opened.groupBy("gram", slot), F.min("least_n"))
         # written, so that the join below, which keeps open shingles only, is one whose skewed keys AQE can split
-        least = materialize(of_open.agg(F.min("id").alias("least")), "least")
+        least = materialize(of_open.agg(F.min(central).alias("least"), least_n.alias("least_n")), "least")
         current = current.select("*", slot)
-        marked = current.join(least.hint("merge"), ["gram", "slot"])
-        marked = materialize(marked.select("gram", "id", "n", "pos", "comp", (F.col("id") == F.col("least")).alias("first")), "marked")
+        marked = current.join(least.hint("merge"), ["gram", "slot"]).filter(_may_pass(percent))
+        marked = materialize(marked.select("gram", "id", "n", "pos", "comp", (central == F.col("least")).alias("first")), "marked")
         labels = connected_components(link(_pairs(marked.filter("first"), marked, percent)), labels)
         postings = marked.filter("NOT first").select("gram", "id", "n", "pos")
         step += 1

@@ -314,6 +314,38 @@ def test_jaccard_join(spark, docs, none, most, monkeypatch):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def near_copies(n, seed):
+    """Copies of a text with none to twelve words changed, every fifth cut short: about half lie beyond the threshold of all others."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**9)}" for _ in range(120)]
+    rows = []
+    for k in range(n):
+        words = base[: rng.randrange(85, 121)] if k % 5 == 0 else list(base)
+        for _ in range(rng.randrange(0, 13)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_jaccard_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    """The pairs looked at grow with the group, not with its square, and no link is lost, also where sets differ in size."""
+    looked = []
+    near = jaccard._near
+
+    def counted(pairs, light, percent):
+        looked[-1] += pairs.count()
+        return near(pairs, light, percent)
+
+    monkeypatch.setattr(jaccard, "_near", counted)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", 8)
+    for n in (200, 800):
+        rows = near_copies(n, n)
+        looked.append(0)
+        out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == components(rows)
+    assert looked[1] < 8 * looked[0]  # 4 times the rows: 303 and 1,222 pairs
+
+
 def test_id_coder_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 255, 256, 2049, 9000, 70_001):
