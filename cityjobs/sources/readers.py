@@ -32,9 +32,11 @@ def gml_buildings(spark: SparkSession, path: str, first_files: int | None = None
     ``first_files`` takes that many files in the order of their names.
     """
     raw = spark.read.option("lineSep", "</bldg:Building>").option("pathGlobFilter", "*_op.gml").text(path)
+    if first_files is not None:  # by the list of files alone; the others are not read
+        there = spark.read.format("binaryFile").option("pathGlobFilter", "*_op.gml").load(path).filter("length > 0")
+        first = there.select(F.col("_metadata.file_name").alias("file")).distinct().orderBy("file").limit(first_files)
+        raw = raw.filter(F.col("_metadata.file_name").isin([r["file"] for r in first.collect()]))
     t = raw.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
-    if first_files is not None:
-        t = t.join(t.select("file").distinct().orderBy("file").limit(first_files), "file", "left_semi")
     t = t.withColumn("xml", F.regexp_extract("value", r"(?s)(<bldg:Building[ >].*)", 1)).filter("xml <> ''")
     return t.select(F.split("file", "_")[0].alias("mesh"), "file", F.struct("file", "start", "row").alias("seq"), "xml")
 

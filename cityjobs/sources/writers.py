@@ -36,6 +36,51 @@ def write_files(files: DataFrame, folder: str) -> int:
     return files.select("name", "content").mapInArrow(run, "name string").count()
 
 
+def write_texts(rows: DataFrame, name: Column, text: Column, folder: str, order: list[Column] = (), between: str = "\n") -> int:
+    """Write a file for each ``name``: the texts of its rows in their order, one behind the other; returns the number of files.
+
+    Rows are sorted by name and order and written as they come, a batch at a time, so a file
+    may have any size; the texts are only made behind the shuffle, which moves what they are
+    made of. Rows without a name or a text are left out. A file is moved to its name when it is
+    whole, so a task that is repeated puts it there again.
+    """
+    keys = {"__name": name, **{f"__o{i}": o for i, o in enumerate(order)}}
+    sorted_ = rows.withColumns(keys).filter("__name IS NOT NULL").repartition("__name").sortWithinPartitions(*keys)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        attempt = TaskContext.get().taskAttemptId()
+        fs, path = _open(folder)
+        fs.create_dir(path, recursive=True)
+        done, current, out = [], None, None
+
+        def close():
+            if out is not None:
+                out.close()
+                fs.move(f"{path}/.{current}.{attempt}", f"{path}/{current}")
+                done.append(current)
+
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = 0
+            while at < len(names):
+                to = len(names) if names[-1] == names[at] else next(i for i in range(at, len(names)) if names[i] != names[at])
+                head = between
+                if names[at] != current:
+                    close()
+                    current, head = names[at], ""
+                    out = fs.open_output_stream(f"{path}/.{current}.{attempt}", compression=None)
+                out.write((head + between.join(texts[at:to])).encode())
+                at = to
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(done)], names=["name"])
+
+    texts = sorted_.select("__name", text.alias("text")).filter("text IS NOT NULL")
+    return texts.mapInArrow(put, "name string").count()
+
+
 def write_document(rows: DataFrame, order: list[Column], text: Column, folder: str, name: str, head: str = "[\n", between: str = ",\n", tail: str = "\n]\n", part_rows: int = 200_000) -> DataFrame:
     """Write one file of the texts of all rows in a total order, and return its parts (part, offset, bytes, records).
 
