@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cityjobs.functions import geo
 from cityjobs.operators.heights import Heights, bilinear_height
@@ -157,44 +157,67 @@ def distance_scale(dist: Column) -> Column:
     return F.when(dist > 2000, F.greatest(F.lit(0.8), 1 - 0.2 * (dist - 2000) / 78000)).otherwise(1.0)
 
 
+_CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def _walk(most: int, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The boxes that are taken of rows sorted by view and order; ``__held`` of each view have been taken before, none of them in the way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view, held, n = None, [], 0
+        for batch in batches:
+            views, had = batch.column("view_id").to_pylist(), batch.column("__held").to_numpy(zero_copy_only=False)
+            box = np.column_stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in _CORNERS])
+            taken, at = [], 0
+            while at < len(views):
+                to = len(views) if views[-1] == views[at] else next(i for i in range(at, len(views)) if views[i] != views[at])
+                if view is None or views[at] != view[0]:
+                    view, held, n = (views[at],), [], int(had[at])
+                x0, y0, x1, y1 = box[at:to].T
+                meets = lambda b: (x0 < b[2]) & (x1 > b[0]) & (y0 < b[3]) & (y1 > b[1])  # noqa: B023, E731
+                free = np.ones(to - at, bool)
+                for b in held if n < most else ():
+                    free &= ~meets(b)
+                while n < most and free.any():
+                    i = int(free.argmax())  # the first one that is free
+                    b = tuple(box[at + i])
+                    free &= ~meets(b)
+                    free[: i + 1] = False
+                    held.append(b)
+                    taken.append(at + i)
+                    n += 1
+                at = to
+            if taken:
+                yield batch.take(pa.array(taken)).select(columns)
+
+    return run
+
+
 def declutter(boxes: DataFrame, most: int = 70, prefix: int = 512) -> DataFrame:
     """Per view, in order (ord, then id), the boxes (x0, y0, x1, y1) in sight (clear) that overlap none taken before; ``most`` at most.
 
-    Rounds: of every view that has not got its ``most`` yet, the next ``prefix`` boxes of its
-    order are looked at, beside those it has taken. Spark takes the first ones in every task
-    before it shuffles, so a group is bounded however many candidates a view has, and what
-    stands behind a full view is never moved. Boxes without an order are left out.
+    Of every view the first ``prefix`` boxes of its order are looked at; Spark takes the first
+    ones in every task before it shuffles, and what stands behind a full view is never moved.
+    Of views that are not full by then, the boxes behind are first rid, where they are, of those
+    that overlap a taken one; what is left is walked through in its order, a batch at a time, and
+    nothing but the taken boxes is held. Boxes without an order are left out.
     """
-    corner, columns = ("x0", "y0", "x1", "y1"), boxes.columns
-
-    def run(part: pd.DataFrame, taken: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ord", "id"])
-        held = list(taken[list(corner)].itertuples(index=False, name=None))
-        flags = []
-        for x0, y0, x1, y1, clear in zip(*(part[c] for c in corner), part["clear"], strict=True):
-            ok = len(held) < most and clear is not None and bool(clear) and not any(x0 < b[2] and x1 > b[0] and y0 < b[3] and y1 > b[1] for b in held)
-            flags.append(ok)
-            if ok:
-                held.append((x0, y0, x1, y1))
-        return part.assign(taken=flags)[[*columns, "taken"]]
-
-    open_ = boxes.filter("ord IS NOT NULL")
-    schema = T.StructType([*boxes.schema.fields, T.StructField("taken", T.BooleanType())])
-    done: list[DataFrame] = []
-    so_far = boxes.sparkSession.createDataFrame([], boxes.schema)
-    while True:
-        n = F.row_number().over(Window.partitionBy("view_id").orderBy("ord", "id"))
-        part = open_.withColumn("__n", n).filter(F.col("__n") <= prefix).drop("__n")
-        judged = written(part.groupBy("view_id").cogroup(so_far.groupBy("view_id")).applyInPandas(run, schema), "judged")
-        done.append(judged.filter("taken").drop("taken"))
-        so_far = reduce(DataFrame.unionByName, done)
-        counts = so_far.groupBy("view_id").agg(F.count(F.lit(1)).alias("n"))
-        ends = judged.groupBy("view_id").agg(F.max(F.struct("ord", "id")).alias("__last"), F.count(F.lit(1)).alias("__seen"))
-        ends = ends.join(counts, "view_id", "left").filter((F.col("__seen") == prefix) & (F.coalesce("n", F.lit(0)) < most)).select("view_id", "__last")
-        ends = written(ends, "open-views")
-        if ends.isEmpty():
-            return so_far
-        open_ = boxes.join(ends, "view_id").filter(F.struct("ord", "id") > F.col("__last")).drop("__last")
+    columns = boxes.columns
+    # one that is hidden is never taken and is in nobody's way
+    boxes = written(boxes.filter("ord IS NOT NULL AND clear"), "boxes")
+    walked = lambda d: d.repartition("view_id").sortWithinPartitions("view_id", "ord", "id").mapInArrow(_walk(most, columns), boxes.schema)
+    n = F.row_number().over(Window.partitionBy("view_id").orderBy("ord", "id"))
+    part = written(boxes.withColumn("__n", n).filter(F.col("__n") <= prefix).drop("__n"), "first-boxes")
+    first = written(walked(part.withColumn("__held", F.lit(0))), "taken-first")
+    counts = first.groupBy("view_id").agg(F.count(F.lit(1)).alias("__held"), F.collect_list(F.struct(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in _CORNERS])).alias("__taken"))  # most of them at most
+    ends = part.groupBy("view_id").agg(F.max(F.struct("ord", "id")).alias("__last"), F.count(F.lit(1)).alias("__seen"))
+    ends = written(ends.join(counts, "view_id").filter((F.col("__seen") == prefix) & (F.col("__held") < most)).drop("__seen"), "open-views")
+    if ends.isEmpty():
+        return first
+    number = {c: F.when(~F.isnan(c), F.col(c)) for c in _CORNERS}  # what is no number meets nothing
+    meets = lambda b: (number["x0"] < b["x1"]) & (number["x1"] > b["x0"]) & (number["y0"] < b["y1"]) & (number["y1"] > b["y0"])
+    behind = boxes.join(ends, "view_id").filter(F.struct("ord", "id") > F.col("__last")).filter(~F.exists("__taken", lambda b: F.coalesce(meets(b), F.lit(False))))
+    return first.unionByName(written(walked(behind.drop("__last", "__taken")), "taken"))
 
 
 def wikipedia_link(ref: Column) -> Column:

@@ -417,6 +417,23 @@ def test_declutter_equals_a_plain_walk(spark):
     assert views.declutter(frame.limit(0)).count() == 0
 
 
+def test_declutter_of_a_crowded_view_takes_few_steps(spark, monkeypatch):
+    """Thousands of boxes lie over each other before the next free one comes; steps do not follow their number."""
+    rng = np.random.default_rng(17)
+    xs, ys = rng.uniform(0, 900, 20_000), rng.uniform(0, 700, 20_000)
+    rows = sorted((float(np.hypot(x - 450, y - 350)), i % 7, i, float(x), float(y), float(x) + 60, float(y) + 25) for i, (x, y) in enumerate(zip(xs, ys, strict=True)))
+    held = []
+    for o, _, i, *b in rows:
+        if len(held) < 70 and not any(b[0] < h[2] and b[2] > h[0] and b[1] < h[3] and b[3] > h[1] for _, h in held):
+            held.append((i, b))
+    assert len(held) == 70
+    frame = spark.createDataFrame([(1, r[2], r[0], *r[3:], True) for r in rows], "view_id long, id long, ord double, x0 double, y0 double, x1 double, y1 double, clear boolean").repartition(6)
+    steps, real = [], views.written
+    monkeypatch.setattr(views, "written", lambda d, name: steps.append(name) or real(d, name))
+    assert {r.id for r in views.declutter(frame).collect()} == {i for i, _ in held}
+    assert len(steps) <= 5
+
+
 def test_line_of_sight_equals_all_samples(spark):
     """Hills and plains, lines within the grid and beyond it; lines whose stretches are cleared take few samples."""
     rng = np.random.default_rng(12)
