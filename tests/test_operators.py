@@ -522,3 +522,23 @@ def test_solids_of_large_rings(spark):
     found = spark.createDataFrame(texts, "id int, xml string").select("id", readers.lod1_solids(F.col("xml")).alias("s"))
     got = {r["id"]: [(len(s["ext"]), s["zb"], s["zt"]) for s in r["s"] or []] for r in found.collect()}
     assert got == {1: [(2000, 1.0, 5.0)], 2: [], 3: [], 4: [], 5: [], 6: [(4, 9.0, 12.0)]}
+
+
+def test_conflict_pairs_of_a_crowded_place(spark):
+    """Hundreds of stations and halls within a few hundred metres: every pair once, none shuffled to be compared with others."""
+    rng = np.random.default_rng(23)
+    names = ["梅田駅", "北館", "公園", None]
+    rows = [(i, names[int(rng.integers(4))], *(float(v) for v in np.array([34.6, 135.4]) + rng.uniform(0, 0.012 if i % 3 else 0.001, 2))) for i in range(700)]
+    rows += [(700, "北館", None, 135.4), (701, "北館", 34.6, None)]
+    frame = spark.createDataFrame(rows, "id long, name string, lat double, lon double")
+    want = set()
+    for a, n, y, x in rows[:700]:
+        for b, m, v, u in rows[a + 1 : 700]:
+            d = math.sqrt(((y - v) * geo.M_LAT) ** 2 + ((x - u) * geo.M_LON) ** 2)
+            if d < 40 or (n is not None and n == m and (d < 300 or (n.endswith("駅") and d < 800))):
+                want.add((a, b))
+    pairs = labels.conflicts(frame)
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10_000
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # no comparison of all pairs
