@@ -11,8 +11,11 @@ with their areas in each. The exact test runs on what meets.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +65,7 @@ class Tree:
         """Number of the cell of a level that a finest cell lies in."""
         if isinstance(level, int):
             return F.shiftright(F.col(fine), self.depth - level)
-        return F.floor(F.col(fine) / F.pow(F.lit(2.0), F.lit(self.depth) - level)).cast("long")
+        return F.call_function("shiftright", F.col(fine), (F.lit(self.depth) - level).cast("int"))  # a power for each row would cost more than the rest
 
     def boxed(self, areas: DataFrame) -> DataFrame:
         """Areas with their box in finest cells, and the level at which it touches two cells at most along each axis."""
@@ -88,23 +91,46 @@ class Tree:
         return [(y >> lv, x >> lv, lv, y, x) for lv, y, x in sorted(kids - split)]
 
 
+def _cell_number(y: Column, x: Column) -> Column:
+    return F.shiftleft(y, 32).bitwiseXOR(x.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def _cell_number_of(y: int, x: int) -> int:
+    return (y << 32) ^ (x & 0xFFFFFFFF)
+
+
 def tree_of(points: DataFrame, areas: DataFrame, size: float, capacity: int = CAPACITY, depth: int = DEPTH, share: int = SHARE) -> Tree:
-    """The tree for points (lat, lon) and areas with boxes (s, w, n, e), in one job: a histogram of the points, combined in the tasks."""
+    """The tree for points (lat, lon) and areas with boxes (s, w, n, e), from histograms of the points that are combined in the tasks.
+
+    The cells of level 0 are counted first, then, a level at a time, only those within full ones.
+    """
     plain = Tree(size, capacity, depth, share)
     cells = points.select(plain.fine(F.col("lat")).alias("fy"), plain.fine(F.col("lon")).alias("fx")).filter("fy IS NOT NULL AND fx IS NOT NULL")
-    counts = cells.groupBy("fy", "fx").agg(F.count(F.lit(1)).alias("n"))
-    cell = lambda k: F.struct(F.lit(k).alias("lv"), plain.at("fy", k).alias("y"), plain.at("fx", k).alias("x"))
-    whole = F.struct(F.lit(_MARK).alias("lv"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("x"))
-    sums = counts.select("n", F.explode(F.array(whole, *[cell(k) for k in range(depth + 1)])).alias("c")).groupBy("c.lv", "c.y", "c.x").agg(F.sum("n").alias("n"))
-    full = sums.filter((F.col("n") > capacity) | (F.col("lv") == _MARK))
     zero = F.lit(0).cast("long")
+    count = lambda of, k: of.groupBy(plain.at("fy", k).alias("y"), plain.at("fx", k).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    counts = count(cells, 0)
+    whole = F.struct(F.lit(_MARK).alias("lv"), zero.alias("y"), zero.alias("x"))
+    sums = counts.select("n", F.explode(F.array(whole, F.struct(F.lit(0).alias("lv"), "y", "x"))).alias("c")).groupBy("c.lv", "c.y", "c.x").agg(F.sum("n").alias("n"))
+    full = sums.filter((F.col("n") > capacity) | (F.col("lv") == _MARK))
     levels = plain.boxed(areas.select(*"swne")).filter("__lv < 0").select((F.col("__lv") + _MARK).alias("lv"), zero.alias("y"), zero.alias("x"), zero.alias("n")).distinct()  # one for each doubling of the size
     few = list(map(tuple, levels.unionByName(full).limit(LISTED + 1).collect()))
-    above = tuple(sorted(lv - _MARK for lv, *_ in few if depth < lv < _MARK))
-    total = sum(n for lv, _, _, n in few if lv == _MARK)
+    within = cells
+    for k in range(depth):
+        last = [(y, x) for lv, y, x, _ in few if lv == k]
+        if not last or len(few) > LISTED:
+            break
+        crowded = _cell_number(plain.at("fy", k), plain.at("fx", k)).isin(*(_cell_number_of(*c) for c in last))
+        within = within.filter(crowded) if k else written(within.filter(crowded), "crowded")
+        below = count(within, k + 1).filter(F.col("n") > capacity).select(F.lit(k + 1).alias("lv"), "y", "x", "n")
+        few += map(tuple, below.limit(LISTED + 1).collect())
     if len(few) <= LISTED:
+        above = tuple(sorted(lv - _MARK for lv, *_ in few if depth < lv < _MARK))
+        total = sum(n for lv, _, _, n in few if lv == _MARK)
         return Tree(size, capacity, depth, share, above, total, tuple(r for r in few if r[0] <= depth))
-    table = written(levels.unionByName(full), "full-cells")
+    finest = cells.groupBy("fy", "fx").agg(F.count(F.lit(1)).alias("n"))
+    cell = lambda k: F.struct(F.lit(k).alias("lv"), plain.at("fy", k).alias("y"), plain.at("fx", k).alias("x"))
+    sums = finest.select("n", F.explode(F.array(whole, *[cell(k) for k in range(depth + 1)])).alias("c")).groupBy("c.lv", "c.y", "c.x").agg(F.sum("n").alias("n"))
+    table = written(levels.unionByName(sums.filter((F.col("n") > capacity) | (F.col("lv") == _MARK))), "full-cells")
     above = tuple(sorted(r["lv"] - _MARK for r in table.filter(F.col("lv").between(depth + 1, _MARK - 1)).collect()))
     total = sum(r["n"] for r in table.filter(F.col("lv") == _MARK).collect())
     return Tree(size, capacity, depth, share, above, total, None, table.filter(F.col("lv") <= depth))
@@ -137,9 +163,8 @@ def keyed_points(points: DataFrame, tree: Tree) -> DataFrame:
             p = p.join(here, (tree.at("__fy", k) == F.col("__sy")) & (tree.at("__fx", k) == F.col("__sx")), "left").drop("__sy", "__sx")
             leaf = leaf + F.coalesce(f"__full{k}", F.lit(0))
         else:
-            number = lambda y, x: F.shiftleft(y, 32).bitwiseXOR(x.bitwiseAND(F.lit(0xFFFFFFFF)))
-            cells = [(y << 32) ^ (x & 0xFFFFFFFF) for lv, y, x, _ in tree.listed if lv == k]
-            leaf = leaf + number(tree.at("__fy", k), tree.at("__fx", k)).isin(*cells).cast("int")
+            cells = [_cell_number_of(y, x) for lv, y, x, _ in tree.listed if lv == k]
+            leaf = leaf + _cell_number(tree.at("__fy", k), tree.at("__fx", k)).isin(*cells).cast("int")
     key = lambda level: F.struct(level.cast("int").alias("lv"), tree.at("__fy", level).alias("y"), tree.at("__fx", level).alias("x"))
     p = p.withColumn("__leaf", leaf).select(*points.columns, F.explode(F.array(key(F.col("__leaf")), *[key(F.lit(k)) for k in tree.above])).alias("__k"))
     p = _shares(p.select(*points.columns, F.col("__k.lv").alias("__lv"), F.col("__k.y").alias("__y"), F.col("__k.x").alias("__x")), tree)
@@ -209,22 +234,191 @@ def innermost_area(points: DataFrame, areas: DataFrame, size: float = 0.005) ->
     return points.join(best, "pid", "left")
 
 
-def nearest_within(queries: DataFrame, points: DataFrame, metres: float, size: float = 0.001) -> DataFrame:
-    """Queries (qid, lat, lon) with ``nearest`` (seq of the point) and ``dist`` under ``metres``; ties go to the first point."""
-    d = metres / geo.M_LAT * 1.5
-    box = queries.select("qid", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
-    box = box.withColumns({"s": F.col("qlat") - d, "n": F.col("qlat") + d, "w": F.col("qlon") - d, "e": F.col("qlon") + d})
-    both = points_in_boxes(points.select("seq", "lat", "lon"), box, size)
-    both = both.withColumn("dist", geo.plane_distance(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))).filter(F.col("dist") < metres)
-    best = both.groupBy("qid").agg(F.min(F.struct("dist", "seq")).alias("b")).select("qid", F.col("b.seq").alias("nearest"), F.col("b.dist").alias("dist"))
+def _leaf_by_leaf(sides: DataFrame, keys: list[str], order: list[Column], prepare: Callable, judge: Callable, schema: str) -> DataFrame:
+    """Rows of ``judge`` for each leaf (``keys``): its points (``__side`` 0) in their order, as ``prepare`` makes them, or None if it has
+    none, and its other rows (1) as they come, a batch at a time; only a leaf's points are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, held, ready = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                c = batch.column(k)
+                c = c.dictionary_encode().indices if pa.types.is_string(c.type) else c
+                c = c.to_numpy(zero_copy_only=False)
+                new[1:] |= c[1:] != c[:-1]
+            side, starts, out = batch.column("__side").to_numpy(zero_copy_only=False), [0, *np.flatnonzero(new).tolist()], []
+            for at, to in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                here = tuple(batch.column(k)[at].as_py() for k in keys)
+                if here != leaf:
+                    leaf, held, ready = here, [], None
+                middle = at + int(np.searchsorted(side[at:to], 1))
+                if middle > at:
+                    held.append(batch.slice(at, middle - at))
+                    ready = None
+                if to > middle:
+                    if ready is None and held:
+                        held = pa.Table.from_batches(held).combine_chunks().to_batches()
+                        ready = prepare(held[0])
+                    out.append(judge(ready, batch.slice(middle, to - middle)))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    # as many tasks even if the rows are few: the work is in what meets
+    n = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sides.repartition(n, *keys).sortWithinPartitions(*keys, "__side", *order).mapInArrow(run, schema)
+
+
+def _doubles(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _nearest_in_leaf(metres: float, keys: list[str]) -> tuple[Callable, Callable]:
+    def prepare(points: pa.RecordBatch):
+        return *_doubles(points, "lat", "lon"), points.column("seq")
+
+    def judge(points, q: pa.RecordBatch) -> pa.RecordBatch:
+        qlat, qlon = _doubles(q, "lat", "lon")
+        dist, at = np.full(len(qlat), metres), np.zeros(len(qlat), np.int64)
+        if points is not None:
+            lat, lon, _ = points
+            rows, cols = max(1, (1 << 19) // len(lat)), 1 << 16
+            for i in range(0, len(qlat), rows):
+                for j in range(0, len(lat), cols):
+                    dy, dx = (qlat[i : i + rows, None] - lat[j : j + cols]) * geo.M_LAT, (qlon[i : i + rows, None] - lon[j : j + cols]) * geo.M_LON
+                    d = np.sqrt(dy * dy + dx * dx)
+                    first = d.argmin(axis=1)  # of equals the first point
+                    least = d[np.arange(len(first)), first]
+                    nearer = least < dist[i : i + rows]
+                    dist[i : i + rows][nearer], at[i : i + rows][nearer] = least[nearer], first[nearer] + j
+        met = dist < metres
+        seq = points[2].take(pa.array(at, mask=~met)) if points is not None else pa.nulls(len(at), q.column("seq").type)
+        return pa.RecordBatch.from_arrays([*(q.column(c) for c in ("qid", "lat", "lon", *keys)), pa.array(dist), seq], names=["qid", "lat", "lon", *keys, "dist", "seq"])
+
+    return prepare, judge
+
+
+class _Nearest:
+    """Points (seq, lat, lon[, key]) in leaves, to look for the nearest one of queries (qid, lat, lon[, key]) under ``metres``; with equal ``key`` if one is given."""
+
+    def __init__(self, points: DataFrame, queries: DataFrame, metres: float, key: str | None, capacity: int):
+        real = "NOT isnan(lat) AND NOT isnan(lon)" + (f" AND {key} IS NOT NULL" if key else "")
+        self.own = keys = [key] if key else []
+        self.metres, self.keys = metres, [*_KEY, *keys]
+        self.points = points.select("seq", "lat", "lon", *keys).filter(real)
+        self.queries = queries.select("qid", "lat", "lon", *keys).filter(real)
+        self.tree = tree_of(self.points, _no_areas(self.points), 2.02 * metres / geo.M_LON, capacity)  # a box of any query is no larger than a cell
+        self.types = dict(points.dtypes)["seq"], dict(queries.dtypes)["qid"]
+        self.keyed = keyed_points(self.points, self.tree).select(*self.keys, F.lit(0).alias("__side"), "lat", "lon", "seq", F.lit(None).cast(self.types[1]).alias("qid"))
+
+    def _met(self, keyed: DataFrame) -> DataFrame:
+        asked = keyed.select(*self.keys, F.lit(1).alias("__side"), "lat", "lon", F.lit(None).cast(self.types[0]).alias("seq"), "qid")
+        schema = ", ".join([f"qid {self.types[1]}, lat double, lon double", *(f"{k} string" for k in self.own), f"dist double, seq {self.types[0]}"])
+        return _leaf_by_leaf(self.keyed.unionByName(asked), self.keys, [F.col("seq")], *_nearest_in_leaf(self.metres, self.own), schema)
+
+    def at_home(self) -> DataFrame:
+        """All queries with a place (qid, lat, lon[, key], dist, seq): the nearest point within their own leaf; none there is one at ``metres``."""
+        return self._met(keyed_points(self.queries, self.tree))
+
+    def around(self, queries: DataFrame) -> DataFrame:
+        """(qid, dist, seq) of queries (qid, lat, lon[, key], dist) for each leaf with a point nearer than ``metres``, of those that meet the box of ``dist``."""
+        dlat, dlon = (F.col("dist") / m * 1.000001 + 1e-9 for m in (geo.M_LAT, geo.M_LON))
+        box = queries.withColumns({"s": F.col("lat") - dlat, "n": F.col("lat") + dlat, "w": F.col("lon") - dlon, "e": F.col("lon") + dlon}).drop("dist", "seq")
+        return self._met(keyed_boxes(box, self.tree)).filter("seq IS NOT NULL").select("qid", "dist", "seq")
+
+
+def _no_areas(points: DataFrame) -> DataFrame:
+    return points.limit(0).select(*[F.col("lat").alias(k) for k in "swne"])
+
+
+def nearest_within(queries: DataFrame, points: DataFrame, metres: float, capacity: int = CAPACITY) -> DataFrame:
+    """Queries (qid, lat, lon) with ``nearest`` (seq of the point) and ``dist`` under ``metres``; ties go to the first point.
+
+    The nearest point of a query's own leaf tells how far to look: only leaves that lie as
+    near are asked then. So what is compared follows the rows, however close the points lie,
+    and for each query a row or a few are shuffled.
+    """
+    n = _Nearest(points, queries, metres, None, capacity)
+    met = n.around(n.at_home())
+    best = met.groupBy("qid").agg(F.min(F.struct("dist", "seq")).alias("b")).select("qid", F.col("b.seq").alias("nearest"), F.col("b.dist").alias("dist"))
     return queries.join(best, "qid", "left")
 
 
+def with_one_within(queries: DataFrame, points: DataFrame, metres: float, key: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """The ids (qid) of queries (qid, lat, lon) with a point (lat, lon) nearer than ``metres``, of equal ``key`` if one is given; an id may come several times.
+
+    Queries with one in their own leaf are settled; only the others look further.
+    """
+    n = _Nearest(points.withColumn("seq", F.lit(0)), queries, metres, key, capacity)
+    home = written(n.at_home(), "at-home")
+    found = n.around(home.filter("seq IS NULL"))
+    return home.filter("seq IS NOT NULL").select("qid").unionByName(found.select("qid"))
+
+
+def _highest_in_leaf() -> tuple[Callable, Callable]:
+    def prepare(points: pa.RecordBatch):
+        return *_doubles(points, "lat", "lon"), points.column("top"), points.column("seq")
+
+    def inside(lat, lon, ys, xs):
+        """For rings (rows of ys, xs) and points: whether a ray to the east crosses an odd number of edges."""
+        crossed = np.zeros((len(ys), len(lat)), bool)
+        for k in range(ys.shape[1]):
+            ay, ax, by, bx = ys[:, k, None], xs[:, k, None], ys[:, k - 1, None], xs[:, k - 1, None]
+            spans = ((ay > lat) != (by > lat)) & ~np.isnan(ay) & ~np.isnan(by)
+            with np.errstate(all="ignore"):
+                crossed ^= spans & (lon < (bx - ax) * (lat - ay) / (by - ay) + ax)
+        return crossed
+
+    def judge(points, areas: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.full(areas.num_rows, -1)
+        if points is not None:
+            lat, lon, _, _ = points
+            s, w, n, e = (v[:, None] for v in _doubles(areas, *"swne"))
+            texts, sizes = areas.column("ring").to_pylist(), areas.column("nv").to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == size)
+                vertices = np.array(" ".join([texts[r] for r in rows]).split(" "), float).reshape(-1, size, 2)
+                ring_y, ring_x = vertices[:, :, 0], vertices[:, :, 1]
+                at, step, open_ = 0, 32, np.arange(len(rows))
+                while at < len(lat) and len(open_):  # the highest ones first, for rings that have none yet
+                    py, px = lat[at : at + step], lon[at : at + step]
+                    for k in range(0, len(open_), max(1, (1 << 19) // len(py))):
+                        some = open_[k : k + max(1, (1 << 19) // len(py))]
+                        r = rows[some]
+                        hit = (py >= s[r]) & (py <= n[r]) & (px >= w[r]) & (px <= e[r])
+                        hit &= inside(py, px, ring_y[some], ring_x[some])
+                        any_ = hit.any(axis=1)
+                        found[r[any_]] = hit[any_].argmax(axis=1) + at
+                    open_ = open_[found[rows[open_]] < 0]
+                    at, step = at + step, min(step * 2, 4096)
+        met = pa.array(np.flatnonzero(found >= 0))
+        at = pa.array(found[found >= 0])
+        top, seq = (points[2].take(at), points[3].take(at)) if points is not None else (areas.column("top").slice(0, 0), areas.column("seq").slice(0, 0))
+        return pa.RecordBatch.from_arrays([areas.column("i").take(met), top, seq], names=["i", "top", "seq"])
+
+    return prepare, judge
+
+
 def tallest_inside(areas: DataFrame, points: DataFrame, size: float = 0.001) -> DataFrame:
-    """Areas (i, rings, box) with ``tallest``: seq of the highest point (seq, lat, lon, top) in one of the rings, the first of equals."""
-    both = points_in_boxes(points.select("seq", "lat", "lon", "top"), areas.select("i", "rings", "s", "w", "n", "e"), size)
-    inside = both.filter(geo.in_any_ring(F.col("lat"), F.col("lon"), F.col("rings")))
-    best = inside.groupBy("i").agg(F.max(F.struct("top", (-F.col("seq")).alias("neg"))).alias("b"))
+    """Areas (i, rings, box) with ``tallest``: seq of the highest point (seq, lat, lon, top) in one of the rings, the first of equals.
+
+    A leaf's points are tried from the highest one down, so that of the points in an area but a few are looked at.
+    """
+    p = points.select("seq", "lat", "lon", "top").filter("NOT isnan(lat) AND NOT isnan(lon)")
+    a = areas.select("i", "rings", "s", "w", "n", "e")
+    tree = tree_of(p, a, size)
+    types = {**dict(areas.dtypes), **dict(p.dtypes)}
+    none = lambda c: F.lit(None).cast(types[c]).alias(c)
+    # rings go as texts of their numbers: columns of arrays cost much on the way to the tasks' Python, also where they are null
+    number = lambda c: F.coalesce(c.cast("double").cast("string"), F.lit("NaN"))
+    text = F.array_join(F.transform("r", lambda v: F.concat_ws(" ", number(v["lat"]), number(v["lon"]))), " ")
+    rings = a.select("i", F.explode("rings").alias("r"), *"swne").select("i", text.alias("ring"), F.size("r").alias("nv"), *"swne").filter("nv > 0")
+    rings = keyed_boxes(rings, tree).select(*_KEY, F.lit(1).alias("__side"), none("lat"), none("lon"), none("top"), none("seq"), "i", *"swne", "ring", "nv")
+    sides = keyed_points(p, tree).select(*_KEY, F.lit(0).alias("__side"), "lat", "lon", "top", "seq", none("i"), *map(none, "swne"), F.lit(None).cast("string").alias("ring"), F.lit(0).alias("nv"))
+    best = _leaf_by_leaf(sides.unionByName(rings), _KEY, [F.col("top").desc_nulls_last(), F.col("seq")], *_highest_in_leaf(), f"i {types['i']}, top {types['top']}, seq {types['seq']}")
+    best = best.groupBy("i").agg(F.max(F.struct("top", (-F.col("seq")).alias("neg"))).alias("b"))  # a row for each leaf of an area at most
     return areas.join(best.select("i", (-F.col("b.neg")).alias("tallest")), "i", "left")
 
 
@@ -258,7 +452,7 @@ def all_close_pairs(left: DataFrame, right: DataFrame, metres: float, test: Colu
     (without ``key`` of its own, columns of both sides differ), and no pair is shuffled."""
     reach = metres / geo.M_LON * 1.000001  # the longer of a metre's degrees
     boxes = right.withColumns({"s": F.col("rlat") - reach, "n": F.col("rlat") + reach, "w": F.col("rlon") - reach, "e": F.col("rlon") + reach})
-    tree = tree_of(left, boxes.limit(0), 2 * reach)  # a box is no larger than a cell
+    tree = tree_of(left, _no_areas(left), 2.02 * metres / geo.M_LON)  # a box is no larger than a cell
     keys = _KEY + ([key] if key else [])
     # so many tasks even if the rows are few: the work is in their pairs
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))

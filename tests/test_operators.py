@@ -542,3 +542,65 @@ def test_conflict_pairs_of_a_crowded_place(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10_000
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan  # no comparison of all pairs
+
+
+def _crowd(rng, n, spread=0.004):
+    """Places, half of them within a few metres; some on top of each other."""
+    at = np.array([34.6, 135.4]) + np.where(np.arange(n)[:, None] % 2, rng.uniform(0, spread, (n, 2)), rng.uniform(0, 0.00005, (n, 2)))
+    return [tuple(float(v) for v in np.round(p, 6)) for p in at]
+
+
+def test_nearest_of_a_crowd_and_no_row_for_each_share(spark, monkeypatch):
+    """Queries take few rows however many points there are: what comes from leaves is a row for each query and leaf that it meets."""
+    rng = np.random.default_rng(29)
+    points = [(i, *p) for i, p in enumerate(_crowd(rng, 3000))]
+    queries = [(i, *p) for i, p in enumerate(_crowd(rng, 400, 0.006))] + [(900, None, 135.4), (901, 10.0, 10.0)]
+    p, q = spark.createDataFrame(points, "seq long, lat double, lon double"), spark.createDataFrame(queries, "qid long, lat double, lon double")
+    want = {}
+    for i, y, x in queries:
+        near = [(math.sqrt(((y - v) * geo.M_LAT) ** 2 + ((x - u) * geo.M_LON) ** 2), s) for s, v, u in points] if y is not None else []
+        near = min((t for t in near if t[0] < 60.0), default=(None, None))
+        want[i] = (near[1], near[0])
+    for capacity in (40, 4096):
+        got = {r.qid: (r.nearest, r.dist) for r in spatial.nearest_within(q, p, 60.0, capacity).collect()}
+        assert got == want and sum(v[0] is not None for v in got.values()) > 200
+    met = []
+    real = spatial._Nearest.around
+    monkeypatch.setattr(spatial._Nearest, "around", lambda self, d: met.append(real(self, d)) or met[-1])
+    spatial.nearest_within(q, p, 60.0, 40)
+    assert met[0].count() < 4 * len(queries)
+
+
+def test_one_within_of_equal_names(spark):
+    rng = np.random.default_rng(31)
+    names = ["a", "b", None]
+    points = [(names[int(rng.integers(3))], *p) for p in _crowd(rng, 500)]
+    queries = [(i, names[int(rng.integers(3))], *p) for i, p in enumerate(_crowd(rng, 500, 0.02))]
+    p, q = spark.createDataFrame(points, "name string, lat double, lon double"), spark.createDataFrame(queries, "qid long, name string, lat double, lon double")
+    close = lambda a, b, m: math.sqrt(((a[0] - b[0]) * geo.M_LAT) ** 2 + ((a[1] - b[1]) * geo.M_LON) ** 2) < m
+    for metres, key, capacity in ((40.0, None, 30), (300.0, "name", 30), (300.0, "name", 4096)):
+        want = {i for i, n, *at in queries if any(close(at, b, metres) and (key is None or (n is not None and n == m)) for m, *b in points)}
+        assert {r.qid for r in spatial.with_one_within(q, p, metres, key, capacity).collect()} == want and 100 < len(want) < 450
+
+
+def test_tallest_in_crowded_areas_tries_the_highest_first(spark):
+    """Rings of several sizes, with two rings, without points, with equal heights and heights that are missing."""
+    rng = np.random.default_rng(37)
+    points = [(i, *p, [None, 5.0, 9.0, float(i % 50)][int(rng.integers(4))]) for i, p in enumerate(_crowd(rng, 3000))]
+    ring = lambda y, x, r, k: [(y + r * math.sin(2 * math.pi * j / k), x + r * math.cos(2 * math.pi * j / k)) for j in range(k)]
+    areas = [(i, [ring(y, x, float(rng.uniform(0.00001, 0.0008)), int(rng.integers(3, 7))), *([ring(y + 0.002, x, 0.0003, 4)] if i % 5 == 0 else [])]) for i, (y, x) in enumerate(_crowd(rng, 200, 0.006))]
+    a = spark.createDataFrame([(i, [[{"lat": y, "lon": x} for y, x in r] for r in rings]) for i, rings in areas], "i long, rings array<array<struct<lat:double,lon:double>>>")
+    a = a.withColumns(geo.ring_bounds(F.flatten("rings")))
+    p = spark.createDataFrame(points, "seq long, lat double, lon double, top double")
+
+    def inside(y, x, r):
+        return sum((a[0] > y) != (b[0] > y) and x < (b[1] - a[1]) * (y - a[0]) / (b[0] - a[0]) + a[1] for a, b in zip(r, [r[-1], *r[:-1]], strict=True)) % 2 == 1
+
+    def first(rings):
+        found = [(t is not None, t or 0.0, -s) for s, y, x, t in points if any(inside(y, x, r) for r in rings)]
+        return -max(found)[2] if found else None
+
+    want = {i: first(rings) for i, rings in areas}
+    got = spatial.tallest_inside(a, p)
+    assert {r.i: r.tallest for r in got.collect()} == want and 20 < sum(v is None for v in want.values()) < 180
+    assert "SortMergeJoin [__lv" not in got._jdf.queryExecution().executedPlan().toString()  # no pair of a point and an area is a row
