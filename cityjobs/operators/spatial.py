@@ -357,69 +357,23 @@ def with_one_within(queries: DataFrame, points: DataFrame, metres: float, key: s
     return home.filter("seq IS NOT NULL").select("qid").unionByName(found.select("qid"))
 
 
-def _highest_in_leaf() -> tuple[Callable, Callable]:
-    def prepare(points: pa.RecordBatch):
-        return *_doubles(points, "lat", "lon"), points.column("top"), points.column("seq")
-
-    def inside(lat, lon, ys, xs):
-        """For rings (rows of ys, xs) and points: whether a ray to the east crosses an odd number of edges."""
-        crossed = np.zeros((len(ys), len(lat)), bool)
-        for k in range(ys.shape[1]):
-            ay, ax, by, bx = ys[:, k, None], xs[:, k, None], ys[:, k - 1, None], xs[:, k - 1, None]
-            spans = ((ay > lat) != (by > lat)) & ~np.isnan(ay) & ~np.isnan(by)
-            with np.errstate(all="ignore"):
-                crossed ^= spans & (lon < (bx - ax) * (lat - ay) / (by - ay) + ax)
-        return crossed
-
-    def judge(points, areas: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.full(areas.num_rows, -1)
-        if points is not None:
-            lat, lon, _, _ = points
-            s, w, n, e = (v[:, None] for v in _doubles(areas, *"swne"))
-            texts, sizes = areas.column("ring").to_pylist(), areas.column("nv").to_numpy(zero_copy_only=False)
-            for size in np.unique(sizes[sizes > 0]).tolist():
-                rows = np.flatnonzero(sizes == size)
-                vertices = np.array(" ".join([texts[r] for r in rows]).split(" "), float).reshape(-1, size, 2)
-                ring_y, ring_x = vertices[:, :, 0], vertices[:, :, 1]
-                at, step, open_ = 0, 32, np.arange(len(rows))
-                while at < len(lat) and len(open_):  # the highest ones first, for rings that have none yet
-                    py, px = lat[at : at + step], lon[at : at + step]
-                    for k in range(0, len(open_), max(1, (1 << 19) // len(py))):
-                        some = open_[k : k + max(1, (1 << 19) // len(py))]
-                        r = rows[some]
-                        hit = (py >= s[r]) & (py <= n[r]) & (px >= w[r]) & (px <= e[r])
-                        hit &= inside(py, px, ring_y[some], ring_x[some])
-                        any_ = hit.any(axis=1)
-                        found[r[any_]] = hit[any_].argmax(axis=1) + at
-                    open_ = open_[found[rows[open_]] < 0]
-                    at, step = at + step, min(step * 2, 4096)
-        met = pa.array(np.flatnonzero(found >= 0))
-        at = pa.array(found[found >= 0])
-        top, seq = (points[2].take(at), points[3].take(at)) if points is not None else (areas.column("top").slice(0, 0), areas.column("seq").slice(0, 0))
-        return pa.RecordBatch.from_arrays([areas.column("i").take(met), top, seq], names=["i", "top", "seq"])
-
-    return prepare, judge
-
-
 def tallest_inside(areas: DataFrame, points: DataFrame, size: float = 0.001) -> DataFrame:
     """Areas (i, rings, box) with ``tallest``: seq of the highest point (seq, lat, lon, top) in one of the rings, the first of equals.
 
-    A leaf's points are tried from the highest one down, so that of the points in an area but a few are looked at.
+    The greatest height of an area is summed in the tasks, from pairs that are neither sorted nor
+    shuffled; points of just that height are then looked up again.
     """
-    p = points.select("seq", "lat", "lon", "top").filter("NOT isnan(lat) AND NOT isnan(lon)")
-    a = areas.select("i", "rings", "s", "w", "n", "e")
+    p, a = points.select("seq", "lat", "lon", "top"), areas.select("i", "rings", "s", "w", "n", "e")
     tree = tree_of(p, a, size)
-    types = {**dict(areas.dtypes), **dict(p.dtypes)}
-    none = lambda c: F.lit(None).cast(types[c]).alias(c)
-    # rings go as texts of their numbers: columns of arrays cost much on the way to the tasks' Python, also where they are null
-    number = lambda c: F.coalesce(c.cast("double").cast("string"), F.lit("NaN"))
-    text = F.array_join(F.transform("r", lambda v: F.concat_ws(" ", number(v["lat"]), number(v["lon"]))), " ")
-    rings = a.select("i", F.explode("rings").alias("r"), *"swne").select("i", text.alias("ring"), F.size("r").alias("nv"), *"swne").filter("nv > 0")
-    rings = keyed_boxes(rings, tree).select(*_KEY, F.lit(1).alias("__side"), none("lat"), none("lon"), none("top"), none("seq"), "i", *"swne", "ring", "nv")
-    sides = keyed_points(p, tree).select(*_KEY, F.lit(0).alias("__side"), "lat", "lon", "top", "seq", none("i"), *map(none, "swne"), F.lit(None).cast("string").alias("ring"), F.lit(0).alias("nv"))
-    best = _leaf_by_leaf(sides.unionByName(rings), _KEY, [F.col("top").desc_nulls_last(), F.col("seq")], *_highest_in_leaf(), f"i {types['i']}, top {types['top']}, seq {types['seq']}")
-    best = best.groupBy("i").agg(F.max(F.struct("top", (-F.col("seq")).alias("neg"))).alias("b"))  # a row for each leaf of an area at most
-    return areas.join(best.select("i", (-F.col("b.neg")).alias("tallest")), "i", "left")
+    keyed, boxes = keyed_points(p, tree), keyed_boxes(a, tree)
+    inside = geo.in_any_ring(F.col("lat"), F.col("lon"), F.col("rings"))
+    high = keyed.join(boxes, _KEY).filter(_in_box()).filter(inside).groupBy("i").agg(F.max("top").alias("__high"))
+    of = boxes.join(written(high, "high"), "i").withColumnsRenamed({k: f"{k}_a" for k in _KEY})
+    same = F.col("top").eqNullSafe(F.col("__high"))
+    for k in _KEY:
+        same = same & (F.col(k) == F.col(f"{k}_a"))
+    first = keyed.join(of, same).filter(_in_box()).filter(inside).groupBy("i").agg(F.min("seq").alias("tallest"))
+    return areas.join(first, "i", "left")
 
 
 def not_covered(ways: DataFrame, footprints: DataFrame, points: DataFrame, size: float = 0.001) -> DataFrame:
